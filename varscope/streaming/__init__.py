@@ -1,0 +1,7 @@
+"""Streaming.
+
+The statistics this library reproduces are one-shot reports over a finite
+table; there is no stream, watermark, time window or late-data rule to
+rebuild. Every operator is a batch DataFrame function, so it can be applied
+to a micro-batch inside ``foreachBatch`` by the caller; nothing else lives here.
+"""
