@@ -46,9 +46,23 @@ def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return left.join(r, cond, how).drop(*ren.values())
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast an aggregated side only behind a checked row count."""
-    return F.broadcast(df) if df.count() <= BROADCAST_MAX_ROWS else df
+def _small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast an aggregated side only when its row count is proven small."""
+    return F.broadcast(df) if max_rows <= BROADCAST_MAX_ROWS else df
+
+
+def _single_pass(data: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """Every group holds at most ``collect_limit`` values: sort each group once."""
+    g = data.groupBy(*keys).agg(F.array_sort(F.collect_list("_v")).alias("_s"))
+    n = F.size("_s")
+    qs = []
+    for p in probs:
+        h = (n - 1) * F.lit(p)
+        i = F.floor(h).cast("int")
+        xi = F.element_at("_s", i + 1)
+        xj = F.element_at("_s", F.least(i + 2, n))
+        qs.append(xi + (h - i) * (xj - xi))
+    return g.select(*keys, n.cast("long").alias("n"), F.array(*qs).alias("quantiles"))
 
 
 def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str = "value",
@@ -66,6 +80,13 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str = "value
         stats = data.groupBy(*keys).agg(F.count("_v").alias("n"), F.min("_v").alias("vmin"),
                                         F.max("_v").alias("vmax"))
     stats = stats.select(*keys, "n", "vmin", "vmax").where(F.col("n") > 0)
+    summary = stats.agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("max_n")).first()
+    if not summary["k"]:
+        return stats.select(*keys, "n", F.array().cast("array<double>").alias("quantiles")).limit(0)
+    if summary["max_n"] <= collect_limit:
+        return _single_pass(data, keys, probs)
+    # upper bound of the bracket table: one bracket per needed rank
+    max_brackets = summary["k"] * 2 * len(probs)
 
     targets = (stats.select(*keys, "n", "vmin", "vmax",
                             F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("pid", "p"))
@@ -73,7 +94,6 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str = "value
                .withColumn("ri", F.floor("h").cast("long"))
                .withColumn("rj", F.least(F.col("ri") + 1, F.col("n") - 1))
                .withColumn("frac", F.col("h") - F.col("ri")))
-    targets = materialize(targets)
 
     ranks = (targets.select(*keys, F.col("ri").alias("rank"), "vmin", "vmax", "n")
              .unionByName(targets.select(*keys, F.col("rj").alias("rank"), "vmin", "vmax", "n"))
@@ -81,20 +101,19 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str = "value
              .select(*keys, "rank", F.col("vmin").alias("lo"), F.col("vmax").alias("hi"),
                      F.lit(0).cast("long").alias("below"), F.col("n").alias("cnt"),
                      F.when(F.col("vmin") == F.col("vmax"), F.col("vmin")).alias("val")))
-    ranks = materialize(ranks)
 
     for _ in range(max_rounds):
         open_ranks = ranks.where(F.col("val").isNull())
-        if open_ranks.limit(1).count() == 0:
+        if _ > 0 and open_ranks.limit(1).count() == 0:
             break
         done = ranks.where(F.col("val").isNotNull())
-        brackets = materialize(open_ranks.select(*keys, "lo", "hi", "below", "cnt").distinct()
-                               .withColumn("_collect", F.col("cnt") <= collect_limit))
+        brackets = (open_ranks.select(*keys, "lo", "hi", "below", "cnt").distinct()
+                    .withColumn("_collect", F.col("cnt") <= collect_limit))
         half_w = F.col("hi") / 2 - F.col("lo") / 2
         bucket = (F.when(F.col("_collect") | (F.col("hi") == F.col("lo")), F.lit(0))
                   .otherwise(F.least(F.lit(bins - 1),
                                      F.floor((F.col("_v") / 2 - F.col("lo") / 2) / half_w * bins).cast("int"))))
-        routed = keyed_join(data, _small(brackets).drop("cnt"), keys)
+        routed = keyed_join(data, _small(brackets, max_brackets).drop("cnt"), keys)
         hist = (routed.where((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
                 .withColumn("bucket", bucket)
                 .groupBy(*keys, "lo", "hi", "below", "_collect", "bucket")
@@ -103,7 +122,6 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str = "value
         w = (Window.partitionBy(*keys, "lo", "hi").orderBy("bucket")
              .rowsBetween(Window.unboundedPreceding, -1))
         hist = hist.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)).cast("long"))
-        hist = materialize(hist)
 
         joined = keyed_join(open_ranks.select(*keys, "rank", "lo", "hi", "below"),
                             hist.drop("below"), keys, extra=["lo", "hi"])

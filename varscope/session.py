@@ -64,8 +64,10 @@ def materialize(df: DataFrame) -> DataFrame:
     Without a checkpoint folder the result is cached and counted instead.
     """
     spark = df.sparkSession
+    cached = df.cache()  # the eager checkpoint then writes from the cache, not a recompute
     if ensure_checkpoint_dir(spark):
-        return df.checkpoint(eager=True)
-    cached = df.cache()
+        out = cached.checkpoint(eager=True)
+        cached.unpersist(blocking=False)
+        return out
     cached.count()
     return cached
