@@ -10,10 +10,13 @@ from __future__ import annotations
 
 def sig(expr: str, digits: int = 8) -> str:
     """Round to ``digits`` significant digits (same arithmetic as ``plans.queries.sig``)."""
-    e = f"floor(log10(abs({expr})))"
-    return (f"(CASE WHEN {expr} IS NULL OR isnan({expr}) OR isinf({expr}) THEN {expr} "
-            f"WHEN {expr} = 0 THEN 0.0 "
-            f"ELSE round(({expr}) / power(10.0, {e}), {digits - 1}) * power(10.0, {e}) END)")
+    x = f"({expr})"
+    sc = f"({digits - 1} - floor(log10(abs{x})))"
+    k = (f"round(CASE WHEN {sc} >= 0 THEN {x} * power(10.0, {sc}) "
+         f"ELSE {x} / power(10.0, -{sc}) END)")
+    return (f"(CASE WHEN {x} IS NULL OR isnan({x}) OR isinf({x}) THEN {x} "
+            f"WHEN abs{x} < 1e-15 THEN 0.0 "
+            f"WHEN {sc} >= 0 THEN {k} / power(10.0, {sc}) ELSE {k} * power(10.0, -{sc}) END)")
 
 
 def incbeta_cte(source: str, name: str = "ibeta") -> str:

@@ -28,11 +28,17 @@ def register(name: str, sql: str | None = None):
 
 
 def sig(c: str | Column, digits: int = 8) -> Column:
+    """Round to ``digits`` significant digits with engine-independent arithmetic:
+    scale by an exact power of ten (<= 1e22), round to an integer, scale back.
+    Magnitudes below 1e-15 become 0."""
     x = F.col(c) if isinstance(c, str) else c
-    e = F.floor(F.log10(F.abs(x)))
-    scaled = F.round(x / F.pow(F.lit(10.0), e), digits - 1) * F.pow(F.lit(10.0), e)
+    s = F.lit(digits - 1) - F.floor(F.log10(F.abs(x)))
+    p_up = F.pow(F.lit(10.0), s)
+    p_dn = F.pow(F.lit(10.0), -s)
+    k = F.round(F.when(s >= 0, x * p_up).otherwise(x / p_dn), 0)
+    scaled = F.when(s >= 0, k / p_up).otherwise(k * p_dn)
     return (F.when(x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), x)
-            .when(x == 0, F.lit(0.0)).otherwise(scaled))
+            .when(F.abs(x) < 1e-15, F.lit(0.0)).otherwise(scaled))
 
 
 def rounded(df: DataFrame, cols: Sequence[str], digits: int = 8) -> DataFrame:
@@ -44,4 +50,4 @@ def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 # Import the query modules so that their @register decorators run.
-from . import q_association, q_profile  # noqa: E402,F401
+from . import q_anova, q_association, q_profile  # noqa: E402,F401
