@@ -38,6 +38,10 @@ def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     """Join on ``keys`` with NULL-safe equality (segments may be NULL) plus
     plain equality on ``extra``; the right-hand key copies are dropped."""
     keys, extra = list(keys), list(extra)
+    if not keys and not extra:
+        # no segment: the right side is a global (one-row) aggregate -> broadcast equi-join on a constant
+        one = F.lit(1).alias("__one")
+        return left.select("*", one).join(F.broadcast(right.select("*", one)), "__one", how).drop("__one")
     ren = {c: f"__r_{i}" for i, c in enumerate(keys + extra)}
     r = right.select(*[F.col(c).alias(ren[c]) if c in ren else F.col(c) for c in right.columns])
     conds = ([F.col(c).eqNullSafe(F.col(ren[c])) for c in keys]
@@ -134,7 +138,7 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str = "value
             F.when(F.col("_collect"),
                    F.element_at(F.array_sort("vals"), (F.col("rank") - start + 1).cast("int")))
              .when(F.col("mn") == F.col("mx"), F.col("mn")).alias("val"))
-        ranks = materialize(done.unionByName(moved))
+        ranks = materialize(done.unionByName(moved), max_brackets)
 
     ri = ranks.select(*keys, F.col("rank").alias("ri"), F.col("val").alias("xi"))
     rj = ranks.select(*keys, F.col("rank").alias("rj"), F.col("val").alias("xj"))

@@ -56,14 +56,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     return None
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Cut the lineage of a (small, aggregated) intermediate result.
 
+    ``max_rows`` (an upper bound of the row count) sizes the partition count,
+    so iterative state built with ``union`` does not pile up partitions.
+
     Reliable ``checkpoint`` into the shared checkpoint folder, so a lost
     executor does not force the whole iterative history to be recomputed.
     Without a checkpoint folder the result is cached and counted instead.
     """
     spark = df.sparkSession
+    if max_rows is not None:
+        df = df.coalesce(max(1, -(-max_rows // 250_000)))
     cached = df.cache()  # the eager checkpoint then writes from the cache, not a recompute
     if ensure_checkpoint_dir(spark):
         out = cached.checkpoint(eager=True)
