@@ -147,24 +147,36 @@ def confounders(df: DataFrame, target: str, feature: str, threshold: float = LAR
                 keep_all: bool = False) -> DataFrame:
     """Columns (text of any cardinality, or <= 10 distinct values) that
     explain both the target and the feature (reliable, p <= 0.05, eta^2 >= threshold)."""
+    return confounders_for_pairs(df, [(target, feature)], threshold, min_group_size, by, keep_all)
+
+
+def confounders_for_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], threshold: float = LARGE_EFFECT,
+                          min_group_size: int = 5, by: Sequence[str] | None = None,
+                          keep_all: bool = False) -> DataFrame:
+    """A13 for several (target, feature) pairs with ONE grouped ANOVA job over
+    every numeric column involved x every candidate grouping column."""
     by = as_list(by)
-    others = [c for c in df.columns if c not in {target, feature} | set(by)]
+    pairs = [(a, b) for a, b in pairs]
+    involved = sorted({c for p in pairs for c in p})
+    others = [c for c in df.columns if c not in set(by)]
     non_text = [c for c in others if not is_text(df, c)]
     counts = _level_counts(df, non_text)
     cands = [c for c in others if is_text(df, c) or counts[c] <= MAX_LEVELS]
-    eta = eta_squared(df, [target, feature], cands, by, min_group_size)
+    eta = eta_squared(df, involved, cands, by, min_group_size)
     strong = F.col("reliable") & (F.col("p_value") <= SIGNIFICANCE) & (F.col("eta_squared") >= threshold)
-    piv = eta.groupBy(*by, "group_col").agg(
-        F.max(F.when(F.col("target") == target, F.col("eta_squared"))).alias("eta_target"),
-        F.max(F.when(F.col("target") == target, F.col("p_value"))).alias("p_target"),
-        F.max(F.when(F.col("target") == feature, F.col("eta_squared"))).alias("eta_feature"),
-        F.max(F.when(F.col("target") == feature, F.col("p_value"))).alias("p_feature"),
-        F.bool_and(strong).alias("is_confounder"),
-        F.count(F.lit(1)).alias("_k"))
-    piv = piv.withColumn("is_confounder", F.col("is_confounder") & (F.col("_k") == 2)).drop("_k")
-    piv = piv.select(*by, F.lit(target).alias("target"), F.lit(feature).alias("feature"),
-                     F.col("group_col").alias("column"), "eta_target", "p_target", "eta_feature",
-                     "p_feature", "is_confounder")
+    eta = eta.select(*by, "group_col", "target", "eta_squared", "p_value", strong.alias("strong"))
+    pair_df = df.sparkSession.createDataFrame(pairs, "p_target string, p_feature string")
+    et = eta.select(*by, "group_col", F.col("target").alias("p_target"), F.col("eta_squared").alias("eta_target"),
+                    F.col("p_value").alias("p_target_value"), F.col("strong").alias("s_t"))
+    ef = eta.select(*by, "group_col", F.col("target").alias("p_feature"), F.col("eta_squared").alias("eta_feature"),
+                    F.col("p_value").alias("p_feature_value"), F.col("strong").alias("s_f"))
+    j = et.join(F.broadcast(pair_df), "p_target")
+    j = keyed_join(j, ef, by + ["group_col", "p_feature"])
+    j = j.where((F.col("group_col") != F.col("p_target")) & (F.col("group_col") != F.col("p_feature")))
+    piv = j.select(*by, F.col("p_target").alias("target"), F.col("p_feature").alias("feature"),
+                   F.col("group_col").alias("column"), "eta_target", F.col("p_target_value").alias("p_target"),
+                   "eta_feature", F.col("p_feature_value").alias("p_feature"),
+                   (F.col("s_t") & F.col("s_f")).alias("is_confounder"))
     return piv if keep_all else piv.where("is_confounder")
 
 
