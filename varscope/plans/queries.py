@@ -50,4 +50,4 @@ def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 # Import the query modules so that their @register decorators run.
-from . import q_anova, q_association, q_model, q_profile, q_report, q_shape  # noqa: E402,F401
+from . import q_anova, q_association, q_ingest, q_model, q_profile, q_report, q_shape  # noqa: E402,F401
