@@ -27,6 +27,9 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Column-level Python call-site capture costs several Py4J round trips per
+        # expression; operators here build hundreds of expressions per plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("VARSCOPE_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
