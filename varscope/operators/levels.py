@@ -24,7 +24,7 @@ WITHIN_RATIO = 0.60
 
 
 def level_flag(max_unique: int = MAX_LEVELS):
-    gap = (F.col("vmax") - F.col("vmin")) / (F.col("n_distinct") - 1)
+    gap = F.try_divide(F.col("vmax") - F.col("vmin"), F.col("n_distinct") - 1)
     return ((F.col("n") >= 10) & ~F.coalesce(count_data_flag(), F.lit(False))
             & (F.col("n_distinct") >= 2) & (F.col("n_distinct") <= max_unique)
             & (F.col("std") > 0) & (F.col("n") / F.col("n_distinct") >= 2) & (gap >= 0.1 * F.col("std")))
@@ -35,9 +35,13 @@ def level_features(df: DataFrame, cols: Sequence[str] | None = None, by: Sequenc
     """``by..., column, n, n_distinct, std, mean_gap, is_level_feature``."""
     by = as_list(by)
     cols = [c for c in (cols or df.columns) if c not in by and is_numeric(df, c)]
+    if not cols:
+        extra = "".join(f"`{b}` {df.schema[b].dataType.simpleString()}, " for b in by)
+        return df.sparkSession.createDataFrame(
+            [], extra + "column string, n long, n_distinct long, std double, mean_gap double, is_level_feature boolean")
     p = column_profile(df, cols, by, probs=(0.5,))
     return p.select(*by, "column", "n", "n_distinct", "std",
-                    ((F.col("vmax") - F.col("vmin")) / (F.col("n_distinct") - 1)).alias("mean_gap"),
+                    F.try_divide(F.col("vmax") - F.col("vmin"), F.col("n_distinct") - 1).alias("mean_gap"),
                     F.coalesce(level_flag(max_unique), F.lit(False)).alias("is_level_feature"))
 
 
@@ -54,7 +58,7 @@ def level_feature_for_simulation(df: DataFrame, feature: str, target: str | None
         F.avg(F.sqrt(F.col("var_pop") * F.col("n") / (F.col("n") - 1))).alias("mean_within_std"))
     glob = df.groupBy(*by).agg(F.stddev_samp(num(target)).alias("global_std"))
     out = keyed_join(keyed_join(lf, within, by, "left"), glob, by, "left")
-    ratio = F.col("mean_within_std") / F.col("global_std")
+    ratio = F.try_divide(F.col("mean_within_std"), F.col("global_std"))
     checked = F.col("mean_within_std").isNotNull() & (F.col("global_std") > 0)
     return (out.withColumn("within_ratio", F.when(checked, ratio))
                .withColumn("is_level_feature",

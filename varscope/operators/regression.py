@@ -179,7 +179,7 @@ def ols_multi(df: DataFrame, target: str, features: Sequence[str], by: Sequence[
 # --------------------------------------------------------------------------- logistic
 
 def logistic(df: DataFrame, target: str, feature: str, by: Sequence[str] | None = None,
-             max_iter: int = 60, tol: float = 1e-10) -> DataFrame:
+             max_iter: int = 40, tol: float = 1e-10) -> DataFrame:
     """One-feature logistic regression per segment, parameters bounded to [-10, 10].
 
     Newton-Raphson on the log-likelihood; every iteration is one grouped
@@ -202,8 +202,9 @@ def logistic(df: DataFrame, target: str, feature: str, by: Sequence[str] | None
     data = keyed_join(base, levels.select(*seg, "y_low", "y_high"), seg).select(
         *seg, "_x", F.when(F.col("_y0") == F.col("y_high"), 1.0).otherwise(0.0).alias("_y")
     ).persist()
+    # a one-class segment has no finite optimum: it is not iterated (status single_class)
     params = levels.select(*seg, F.lit(0.0).alias("b0"), F.lit(0.0).alias("b1"),
-                           F.lit(False).alias("done"), F.lit(0).alias("it"))
+                           (F.col("y_low") == F.col("y_high")).alias("done"), F.lit(0).alias("it"))
     params = materialize(params, n_seg)
     B = LOGISTIC_BOUND
     for it in range(max_iter):
@@ -217,8 +218,8 @@ def logistic(df: DataFrame, target: str, feature: str, by: Sequence[str] | None
             F.sum(w * F.col("_x") * F.col("_x")).alias("h11"))
         st = keyed_join(act, g, seg, "left")
         det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
-        d0 = (F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1")) / det
-        d1 = (F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0")) / det
+        d0 = F.try_divide(F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1"), det)
+        d1 = F.try_divide(F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0"), det)
         n0 = F.col("b0") + F.coalesce(d0, F.lit(0.0))
         n1 = F.col("b1") + F.coalesce(d1, F.lit(0.0))
         # box: if a coordinate leaves [-B, B], clamp it and take a 1-D Newton step on the other
@@ -226,9 +227,9 @@ def logistic(df: DataFrame, target: str, feature: str, by: Sequence[str] | None
         c0 = F.least(F.lit(B), F.greatest(F.lit(-B), n0))
         out1 = F.abs(n1) > B
         out0 = F.abs(n0) > B
-        nb0 = (F.when(out1 & ~out0, F.least(F.lit(B), F.greatest(F.lit(-B), F.col("b0") + F.col("g0") / F.col("h00"))))
+        nb0 = (F.when(out1 & ~out0, F.least(F.lit(B), F.greatest(F.lit(-B), F.col("b0") + F.coalesce(F.try_divide(F.col("g0"), F.col("h00")), F.lit(0.0)))))
                .otherwise(c0))
-        nb1 = (F.when(out0 & ~out1, F.least(F.lit(B), F.greatest(F.lit(-B), F.col("b1") + F.col("g1") / F.col("h11"))))
+        nb1 = (F.when(out0 & ~out1, F.least(F.lit(B), F.greatest(F.lit(-B), F.col("b1") + F.coalesce(F.try_divide(F.col("g1"), F.col("h11")), F.lit(0.0)))))
                .otherwise(c1))
         step = F.greatest(F.abs(nb0 - F.col("b0")), F.abs(nb1 - F.col("b1")))
         upd = st.select(*seg, nb0.alias("b0"), nb1.alias("b1"),
@@ -249,11 +250,15 @@ def logistic(df: DataFrame, target: str, feature: str, by: Sequence[str] | None
         F.stddev_pop(y - p).alias("resid_std"))
     out = keyed_join(keyed_join(levels, params, seg), fin, seg, "left")
     ll_null = F.col("n") * (F.col("ybar") * F.log("ybar") + (1 - F.col("ybar")) * F.log(1 - F.col("ybar")))
-    r2 = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col("ll_model") / ll_null))
+    r2 = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.try_divide(F.col("ll_model"), ll_null)))
     res = out.select(*by, F.lit(target).alias("target"), F.lit(feature).alias("feature"), "n",
                      F.col("b0").alias("intercept"), F.col("b1").alias("coefficient"),
                      r2.alias("r_squared"), "log_loss", "calibration_error", "resid_std",
-                     F.col("it").alias("iterations"), F.col("done").alias("converged"), "y_low", "y_high")
+                     F.col("it").alias("iterations"),
+                     (F.col("done") & (F.col("y_low") != F.col("y_high"))).alias("converged"),
+                     F.when(F.col("y_low") == F.col("y_high"), F.lit("single_class"))
+                      .when(F.col("n") < MIN_ROWS_FOR_REGRESSION, F.lit("insufficient_rows"))
+                      .otherwise(F.lit("ok")).alias("status"), "y_low", "y_high")
     data.unpersist(blocking=False)
     return res
 

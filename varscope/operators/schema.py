@@ -55,7 +55,7 @@ def _column_aggs(df: DataFrame, name: str, i: int, approx_distinct: bool) -> lis
 
 def _role(df: DataFrame, name: str, i: int) -> tuple[Column, Column]:
     n, d = F.col(f"n_{i}"), F.col(f"d_{i}")
-    ratio = d / n
+    ratio = F.try_divide(d, n)
     tail = (F.when((ratio > 0.9) & (n > 3), F.lit("identifier"))
             .when(ratio <= 0.5, F.lit("categorical")).otherwise(F.lit("text_free")))
     if is_numeric(df, name):

@@ -76,30 +76,31 @@ def quadratic_patterns(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequ
     n = F.col("n").cast("double")
     s1, s2, s3, s4 = (F.col(f"s{p}") for p in (1, 2, 3, 4))
     sy, syy, szy, szzy = F.col("sy"), F.col("syy"), F.col("szy"), F.col("szzy")
-    sst = syy - sy * sy / n
+    dv = F.try_divide
+    sst = syy - dv(sy * sy, n)
     # linear
-    cxx = s2 - s1 * s1 / n
-    cxy = szy - s1 * sy / n
-    sse_lin = sst - cxy * cxy / cxx
-    r2_lin = F.when(sst > 0, 1 - sse_lin / sst).otherwise(F.lit(0.0))
+    cxx = s2 - dv(s1 * s1, n)
+    cxy = szy - dv(s1 * sy, n)
+    sse_lin = sst - dv(cxy * cxy, cxx)
+    r2_lin = F.when(sst > 0, 1 - dv(sse_lin, sst)).otherwise(F.lit(0.0))
     # quadratic: normal matrix A = [[n,s1,s2],[s1,s2,s3],[s2,s3,s4]], rhs [sy, szy, szzy]
     det = n * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2)
     da = sy * (s2 * s4 - s3 * s3) - s1 * (szy * s4 - s3 * szzy) + s2 * (szy * s3 - s2 * szzy)
     db = n * (szy * s4 - szzy * s3) - sy * (s1 * s4 - s3 * s2) + s2 * (s1 * szzy - szy * s2)
     dc = n * (s2 * szzy - s3 * szy) - s1 * (s1 * szzy - s3 * sy) + sy * (s1 * s3 - s2 * s2)
-    a, b, c = da / det, db / det, dc / det
+    a, b, c = dv(da, det), dv(db, det), dv(dc, det)
     sse_q = F.greatest(F.lit(0.0), syy - (a * sy + b * szy + c * szzy))
-    r2_q = F.when(sst > 0, 1 - sse_q / sst).otherwise(F.lit(0.0))
-    r2l_adj = 1 - (1 - r2_lin) * (n - 1) / (n - 2)
-    r2q_adj = 1 - (1 - r2_q) * (n - 1) / (n - 3)
-    mse = sse_q / (n - 3)
-    var_c = mse * (n * s2 - s1 * s1) / det
+    r2_q = F.when(sst > 0, 1 - dv(sse_q, sst)).otherwise(F.lit(0.0))
+    r2l_adj = 1 - dv((1 - r2_lin) * (n - 1), n - 2)
+    r2q_adj = 1 - dv((1 - r2_q) * (n - 1), n - 3)
+    mse = dv(sse_q, n - 3)
+    var_c = dv(mse * (n * s2 - s1 * s1), det)
     se = F.sqrt(F.greatest(var_c, F.lit(0.0)))
-    tstat = F.when(se > 0, c / se)
-    pval = F.when(se > 0, t_pvalue(c / se, n - 3)).when(c != 0, F.lit(0.0)).otherwise(F.lit(1.0))
+    tstat = F.when(se > 0, dv(c, se))
+    pval = F.when(se > 0, t_pvalue(dv(c, se), n - 3)).when(c != 0, F.lit(0.0)).otherwise(F.lit(1.0))
     res = st.select(*by, "target", "feature", "n",
                     r2l_adj.alias("r2_linear_adj"), r2q_adj.alias("r2_quadratic_adj"),
-                    (c / (F.col("sd") * F.col("sd"))).alias("quadratic_coefficient"),
+                    dv(c, F.col("sd") * F.col("sd")).alias("quadratic_coefficient"),
                     tstat.alias("t_statistic"), pval.alias("p_value"),
                     ((F.col("n") >= MIN_ROWS_FOR_NONLINEARITY) & (cxx > 0) & (det != 0)).alias("_valid"))
     res = res.withColumn("improvement", F.col("r2_quadratic_adj") - F.col("r2_linear_adj"))

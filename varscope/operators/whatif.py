@@ -92,7 +92,7 @@ def simulate(df: DataFrame, target: str, feature: str, scenarios: DataFrame,
                           (F.abs("baseline") >= NEAR_ZERO_BASELINE_RATIO * F.col("target_std")))
     g = g.withColumn("change_pct_reliable", F.coalesce(reliable, F.lit(False)))
     g = g.withColumn("change_pct_result", F.when(F.col("change_pct_reliable"),
-                                                 (F.col("simulated") - F.col("baseline")) / F.col("baseline") * 100))
+                                                 F.try_divide(F.col("simulated") - F.col("baseline"), F.col("baseline")) * 100))
     g = g.withColumn("change_absolute", F.col("simulated") - F.col("baseline"))
     g = g.withColumn("change_percentage_points", F.when(is_log, F.col("change_absolute") * 100))
     g = g.withColumn("non_actionable_reason",

@@ -38,9 +38,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """Utf-8 unless some line fails to decode (replacement character), then cp1252."""
-    bad = spark.read.text(path).agg(F.max(F.instr("value", "\ufffd") > 0).alias("bad")).first()["bad"]
-    return "cp1252" if bad else "utf-8"
+    """Utf-8 unless some line is not valid UTF-8 (checked on every line), then cp1252."""
+    ok = spark.read.text(path).agg(F.min(F.expr("is_valid_utf8(value)")).alias("ok")).first()["ok"]
+    return "utf-8" if ok is None or ok else "cp1252"
 
 
 def detect_delimiter(spark: SparkSession, path: str, encoding: str = "utf-8") -> str:
