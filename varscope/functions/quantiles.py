@@ -71,7 +71,7 @@ def _single_pass(data: DataFrame, keys: list[str], probs: list[float]) -> DataFr
 
 def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str = "value",
                     probs: Sequence[float] = (0.5,), *, stats: DataFrame | None = None,
-                    bins: int = 4096, collect_limit: int = 250_000,
+                    bins: int = 4096, collect_limit: int = 1_000_000,
                     max_rounds: int = 24) -> DataFrame:
     """Return ``keys..., n, quantiles`` where ``quantiles[i]`` matches ``probs[i]``.
 

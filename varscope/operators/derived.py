@@ -42,14 +42,17 @@ def derived_counters(df: DataFrame, cols: Sequence[str] | None = None,
     trip = _triples(cols)
     clean = df.select(*[num(c).alias(f"_c{i}") for i, c in enumerate(cols)])
     if len(trip) * 5 <= WIDE_AGG_LIMIT:
+        # conditional counts written as SQL expressions: one JVM call per aggregate
         aggs = []
+        forms_sql = ("{a} * {b}", "{a} + {b}", "{a} - {b}", "{b} - {a}")
         for k, (t, a, b) in enumerate(trip):
-            tv, av, bv = F.col(f"_c{t}"), F.col(f"_c{a}"), F.col(f"_c{b}")
-            valid = tv.isNotNull() & av.isNotNull() & bv.isNotNull()
-            scale = F.greatest(F.abs(tv), F.lit(1e-9))
-            aggs.append(F.count(F.when(valid, 1)).alias(f"k{k}_valid"))
-            for name, pred in zip(FORMS, (av * bv, av + bv, av - bv, bv - av)):
-                aggs.append(F.count(F.when(valid & (F.abs(tv - pred) / scale < RELATIVE_TOLERANCE), 1))
+            tv, av, bv = f"`_c{t}`", f"`_c{a}`", f"`_c{b}`"
+            valid = f"{tv} IS NOT NULL AND {av} IS NOT NULL AND {bv} IS NOT NULL"
+            aggs.append(F.expr(f"count(CASE WHEN {valid} THEN 1 END)").alias(f"k{k}_valid"))
+            for name, form in zip(FORMS, forms_sql):
+                pred = form.format(a=av, b=bv)
+                aggs.append(F.expr(f"count(CASE WHEN {valid} AND abs({tv} - ({pred})) / "
+                                   f"greatest(abs({tv}), 1e-9) < {RELATIVE_TOLERANCE} THEN 1 END)")
                             .alias(f"k{k}_{name}"))
         wide = clean.agg(*aggs)
         entries = F.array(*[F.struct(F.lit(cols[t]).alias("target"), F.lit(cols[a]).alias("col_a"),

@@ -30,9 +30,15 @@ ROLES = ("numeric_continuous", "numeric_discrete", "categorical", "boolean", "da
          "identifier", "text_free", "unknown")
 
 
+# Only strings shaped like one of DATE_FORMATS reach the (costly) parsers.
+DATE_SHAPE = (r"^([0-9]{1,4}[-/.][0-9]{1,2}([-/.][0-9]{1,4})?([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2})?)?"
+              r"|[0-9]{8}|([0-9]{1,2} )?[A-Za-z]{3,9}\.? [0-9]{4})$")
+
+
 def parses_as_date(c: Column) -> Column:
     s = F.trim(c)
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in DATE_FORMATS]).isNotNull()
+    parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in DATE_FORMATS]).isNotNull()
+    return F.when(s.rlike(DATE_SHAPE), parsed).otherwise(F.lit(False))
 
 
 def _column_aggs(df: DataFrame, name: str, i: int, approx_distinct: bool) -> list[Column]:

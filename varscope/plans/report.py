@@ -34,8 +34,16 @@ ASYM_TOP = 3
 def generate_report(df: DataFrame, target: str | None = None, feature: str | None = None,
                     change_pct: float | None = None, baseline_feature_value: float | None = None,
                     bounds: tuple[float, float] | None = None, iqr_k: float = 1.5,
-                    key_cols: Sequence[str] | None = None) -> dict[str, DataFrame]:
+                    key_cols: Sequence[str] | None = None,
+                    persist_input: bool = True) -> dict[str, DataFrame]:
+    """All diagnostics of one table. The report scans its input about thirty
+    times, so by default the input is persisted (MEMORY_AND_DISK: it spills
+    rather than fails at scale, and is recomputed from lineage if an executor
+    is lost); pass ``persist_input=False`` to rescan the source instead."""
     spark = df.sparkSession
+    if persist_input:
+        from pyspark import StorageLevel
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     if iqr_k <= 0:
         raise ValueError("iqr_k must be strictly positive")
     types = column_types(df).cache()
@@ -129,9 +137,10 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
             parts.append(FD.finding(seasonal, "SEASONAL_RISK", "medium", "saisonnalite",
                                     F.array(*[F.lit(c) for c in sorted(temporal)]), F.abs("r")))
         # non-linearity: scenario pair first, then every tested pair in one direction (a -> b)
+        # (untested pairs - fewer than 10 complete rows or a constant side - drop out inside the scan)
         pair_list = [(target, feature)] if target and feature else []
-        pair_list += [(r["column_b"], r["column_a"]) for r in
-                      pairs.orderBy("idx_a", "idx_b").select("column_a", "column_b").collect()]
+        pair_list += [(b, a) for i, a in enumerate(numeric[:MAX_COLUMNS_FOR_CORRELATION])
+                      for b in numeric[i + 1:MAX_COLUMNS_FOR_CORRELATION]]
         seen, nl_pairs = set(), []
         for p in pair_list:
             if p not in seen:
