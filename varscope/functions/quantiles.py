@@ -44,10 +44,11 @@ def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
         return left.select("*", one).join(F.broadcast(right.select("*", one)), "__one", how).drop("__one")
     ren = {c: f"__r_{i}" for i, c in enumerate(keys + extra)}
     r = right.select(*[F.col(c).alias(ren[c]) if c in ren else F.col(c) for c in right.columns])
-    conds = ([F.col(c).eqNullSafe(F.col(ren[c])) for c in keys]
-             + [F.col(c) == F.col(ren[c]) for c in extra])
+    conds = ([left[c].eqNullSafe(r[ren[c]]) for c in keys]
+             + [left[c] == r[ren[c]] for c in extra])
     cond = reduce(lambda a, b: a & b, conds) if conds else F.lit(True)
-    return left.join(r, cond, how).drop(*ren.values())
+    out = left.join(r, cond, how)
+    return out if how in ("left_semi", "semi", "leftsemi", "left_anti", "anti", "leftanti") else out.drop(*ren.values())
 
 
 def _small(df: DataFrame, max_rows: int) -> DataFrame:

@@ -99,3 +99,15 @@ def q_segment_rates(spark, sf):
     """A5: labelled-quality rate per language (source has 20 levels, over the limit of 10)."""
     d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id")
     return rounded(segment_rates(d, "quality", ["lang", "source"]), ["rate"])
+
+
+@register("segments", """
+SELECT o_orderstatus, o_orderpriority, count(*) AS n_rows,
+       concat_ws('_', o_orderstatus, o_orderpriority) AS segment
+FROM orders GROUP BY ALL HAVING count(*) >= 3""")
+def q_segments(spark, sf):
+    """A25 bookkeeping: (status, priority) segments with at least 3 rows."""
+    from ..operators.segments import eligible_segments, segment_sizes
+    o = t(spark, sf, "orders")
+    return segment_sizes(eligible_segments(o, ["o_orderstatus", "o_orderpriority"]),
+                         ["o_orderstatus", "o_orderpriority"])
