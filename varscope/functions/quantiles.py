@@ -115,21 +115,37 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str = "value
         brackets = (open_ranks.select(*keys, "lo", "hi", "below", "cnt").distinct()
                     .withColumn("_collect", F.col("cnt") <= collect_limit))
         half_w = F.col("hi") / 2 - F.col("lo") / 2
-        bucket = (F.when(F.col("_collect") | (F.col("hi") == F.col("lo")), F.lit(0))
+        bucket = (F.when(F.col("hi") == F.col("lo"), F.lit(0))
                   .otherwise(F.least(F.lit(bins - 1),
                                      F.floor((F.col("_v") / 2 - F.col("lo") / 2) / half_w * bins).cast("int"))))
-        routed = keyed_join(data, _small(brackets, max_brackets).drop("cnt"), keys)
-        hist = (routed.where((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
-                .withColumn("bucket", bucket)
-                .groupBy(*keys, "lo", "hi", "below", "_collect", "bucket")
-                .agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("mn"), F.max("_v").alias("mx"),
-                     F.collect_list(F.when(F.col("_collect"), F.col("_v"))).alias("vals")))
+        kinds = {r["_collect"] for r in brackets.select("_collect").distinct().collect()}
+        parts = []
+        if False in kinds:
+            # split: a plain (codegen'd) count/min/max per bucket, no value lists
+            b = brackets.where(~F.col("_collect")).drop("cnt")
+            routed = keyed_join(data, _small(b, max_brackets), keys)
+            parts.append(routed.where((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
+                         .withColumn("bucket", bucket)
+                         .groupBy(*keys, "lo", "hi", "bucket")
+                         .agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("mn"), F.max("_v").alias("mx"))
+                         .withColumn("vals", F.lit(None).cast("array<double>"))
+                         .withColumn("_collect", F.lit(False)))
+        if True in kinds:
+            # collect: brackets proven to hold at most collect_limit values
+            b = brackets.where(F.col("_collect")).drop("cnt")
+            routed = keyed_join(data, _small(b, max_brackets), keys)
+            parts.append(routed.where((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
+                         .groupBy(*keys, "lo", "hi")
+                         .agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("mn"), F.max("_v").alias("mx"),
+                              F.array_sort(F.collect_list("_v")).alias("vals"))
+                         .withColumn("bucket", F.lit(0)).withColumn("_collect", F.lit(True)))
+        hist = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         w = (Window.partitionBy(*keys, "lo", "hi").orderBy("bucket")
              .rowsBetween(Window.unboundedPreceding, -1))
         hist = hist.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)).cast("long"))
 
         joined = keyed_join(open_ranks.select(*keys, "rank", "lo", "hi", "below"),
-                            hist.drop("below"), keys, extra=["lo", "hi"])
+                            hist, keys, extra=["lo", "hi"])
         start = F.col("below") + F.col("before")
         inside = (F.col("rank") >= start) & (F.col("rank") < start + F.col("c"))
         moved = joined.where(inside).select(
@@ -137,7 +153,7 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str = "value
             F.col("mn").alias("lo"), F.col("mx").alias("hi"), start.alias("below"),
             F.col("c").alias("cnt"),
             F.when(F.col("_collect"),
-                   F.element_at(F.array_sort("vals"), (F.col("rank") - start + 1).cast("int")))
+                   F.element_at("vals", (F.col("rank") - start + 1).cast("int")))
              .when(F.col("mn") == F.col("mx"), F.col("mn")).alias("val"))
         ranks = materialize(done.unionByName(moved), max_brackets)
 

@@ -90,8 +90,14 @@ def eta_from_levels(levels: DataFrame, by: Sequence[str] | None = None, min_grou
 
 def eta_squared(df: DataFrame, targets: str | Sequence[str], group_cols: str | Sequence[str],
                 by: Sequence[str] | None = None, min_group_size: int = 5) -> DataFrame:
-    """A10 for every (target, grouping column) pair, optionally per segment."""
-    return eta_from_levels(level_stats(df, targets, group_cols, by), by, min_group_size)
+    """A10 for every (target, grouping column) pair, optionally per segment.
+
+    The level table (one row per level) is persisted: SSB needs it twice
+    (grand mean, then the weighted squared deviations), the raw data is
+    scanned once."""
+    from pyspark import StorageLevel
+    levels = level_stats(df, targets, group_cols, by).persist(StorageLevel.MEMORY_AND_DISK)
+    return eta_from_levels(levels, by, min_group_size)
 
 
 def eta_squared_only(df: DataFrame, targets, group_cols, by=None) -> DataFrame:
