@@ -77,3 +77,20 @@ def test_subgroups_confounders_and_rates(spark):
     assert sub == {"confounder"}
     rates = segment_rates(df.withColumn("flag", (df.y > 3).cast("int")), "flag", ["confounder"]).collect()
     assert [r["level"] for r in sorted(rates, key=lambda r: r["rank"])][0] == "g3"
+
+
+def test_gram_path_equals_aggregate_path(spark):
+    rng = np.random.default_rng(8)
+    data = rng.normal(size=(300, 6)) * [1, 10, 100, 1e3, 1e4, 1e5] + [0, 5, -50, 1e6, 0, 1]
+    data[:, 1] += data[:, 0] * 3
+    data[rng.uniform(size=data.shape) < 0.1] = np.nan
+    seg = rng.choice(["a", "b"], 300)
+    rows = [(str(s), *[None if np.isnan(v) else float(v) for v in r]) for s, r in zip(seg, data)]
+    df = spark.createDataFrame(rows, ["seg"] + [f"c{i}" for i in range(6)])
+    cols = [f"c{i}" for i in range(6)]
+    a = {(r["seg"], r["column_a"], r["column_b"]): r for r in correlation_pvalues(df, cols, by=["seg"], method="agg").collect()}
+    g = {(r["seg"], r["column_a"], r["column_b"]): r for r in correlation_pvalues(df, cols, by=["seg"], method="gram").collect()}
+    assert a.keys() == g.keys()
+    for key in a:
+        assert a[key]["n"] == g[key]["n"] and abs(a[key]["r"] - g[key]["r"]) < 1e-9
+        assert abs(a[key]["p_value_adjusted"] - g[key]["p_value_adjusted"]) < 1e-7

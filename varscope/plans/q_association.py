@@ -91,3 +91,15 @@ def q_corr_pairs(spark, sf):
     """Pairwise-complete n and r (A7 in pair form) on orders."""
     ps = pair_stats(t(spark, sf, "orders"), ORD_COLS)
     return rounded(ps.select("column_a", "column_b", "n", "r"), ["r"])
+
+
+LI_ALL = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+          "l_discount", "l_tax", "net"]
+LI_ALL_SRC = ("(SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, "
+              "l_discount, l_tax, l_extendedprice * (1 - l_discount) AS net FROM lineitem)")
+
+
+@register("corr_gram", corr_oracle(LI_ALL_SRC, LI_ALL))
+def q_corr_gram(spark, sf):
+    """A8/A9 through the wide-table path: masked Gram matrices per Arrow batch, one scan."""
+    return _finish(correlation_pvalues(_lineitem(spark, sf), LI_ALL, method="gram"))
