@@ -103,3 +103,23 @@ LI_ALL_SRC = ("(SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantit
 def q_corr_gram(spark, sf):
     """A8/A9 through the wide-table path: masked Gram matrices per Arrow batch, one scan."""
     return _finish(correlation_pvalues(_lineitem(spark, sf), LI_ALL, method="gram"))
+
+
+def _matrix_sql() -> str:
+    cols = ["o_totalprice", "o_custkey", "o_orderkey"]
+    parts = []
+    for a in cols:
+        for b in cols:
+            if a == b:
+                parts.append(f"SELECT '{a}' AS column_a, '{b}' AS column_b, 1.0 AS r")
+            else:
+                parts.append(f"SELECT '{a}' AS column_a, '{b}' AS column_b, {O.sig(f'corr({a}, {b})')} AS r FROM orders")
+    return " UNION ALL ".join(parts)
+
+
+@register("corr_matrix", _matrix_sql())
+def q_corr_matrix(spark, sf):
+    """The square Pearson matrix in long form (both orders and the diagonal)."""
+    from ..operators.association import correlation_matrix
+    m = correlation_matrix(t(spark, sf, "orders"), ORD_COLS)
+    return rounded(m, ["r"])

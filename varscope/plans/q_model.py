@@ -243,3 +243,13 @@ def q_one_hot(spark, sf):
     """Status and priority become 0/1 columns, first sorted level dropped."""
     o = t(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
     return one_hot(o)
+
+
+@register("interval_logistic")
+def q_interval_logistic(spark, sf):
+    """R8 for a 0/1 target: logistic projection, interval clipped to [0, 1], percentage points."""
+    sc = scenario_table(spark, [-0.5, 0.5])
+    r = simulate(_labelled(spark, sf), "quality", "n_chars", sc, with_levels=False)
+    return rounded(r.select("scenario_id", "model_type", "baseline", "simulated", "change_percentage_points",
+                            "change_pct_reliable", "interval_lower", "interval_upper"),
+                   ["baseline", "simulated", "change_percentage_points", "interval_lower", "interval_upper"], 6)
