@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_list, is_text, num
+from ..functions.columns import as_list, distinct_counts, is_text, num
 from ..functions.quantiles import keyed_join
 from ..functions.special import f_sf
 
@@ -110,21 +110,22 @@ def _level_counts(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
     """Exact distinct non-null counts for a few columns (one aggregated row)."""
     if not cols:
         return {}
-    row = df.agg(*[F.count_distinct(c).alias(f"_d{i}") for i, c in enumerate(cols)]).first()
-    return {c: row[f"_d{i}"] for i, c in enumerate(cols)}
+    got = {r["column"]: r["n_distinct"] for r in distinct_counts(df, cols).collect()}
+    return {c: got.get(c, 0) for c in cols}
 
 
 def significant_subgroups(df: DataFrame, targets: str | Sequence[str], threshold: float = LARGE_EFFECT,
                           min_group_size: int = 2, by: Sequence[str] | None = None,
                           group_cols: Sequence[str] | None = None, max_levels: int = MAX_LEVELS,
-                          keep_all: bool = False) -> DataFrame:
+                          keep_all: bool = False, level_counts: dict[str, int] | None = None) -> DataFrame:
     """Text columns with 2..``max_levels`` levels whose ANOVA on the target
     is reliable, p <= 0.05 and eta^2 >= ``threshold``; with the per-level means
     as a map and the A14 ``deterministic`` flag."""
     by, targets = as_list(by), as_list(targets)
     cands = list(group_cols) if group_cols is not None else [
         c for c in df.columns if is_text(df, c) and c not in set(targets) | set(by)]
-    counts = _level_counts(df, cands)
+    known = level_counts or {}
+    counts = {**_level_counts(df, [c for c in cands if c not in known]), **known}
     cands = [c for c in cands if 1 < counts[c] <= max_levels]
     if not cands:
         return df.sparkSession.createDataFrame([], _subgroup_schema(df, by))
@@ -158,7 +159,7 @@ def confounders(df: DataFrame, target: str, feature: str, threshold: float = LAR
 
 def confounders_for_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], threshold: float = LARGE_EFFECT,
                           min_group_size: int = 5, by: Sequence[str] | None = None,
-                          keep_all: bool = False) -> DataFrame:
+                          keep_all: bool = False, level_counts: dict[str, int] | None = None) -> DataFrame:
     """A13 for several (target, feature) pairs with ONE grouped ANOVA job over
     every numeric column involved x every candidate grouping column."""
     by = as_list(by)
@@ -166,7 +167,8 @@ def confounders_for_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], thres
     involved = sorted({c for p in pairs for c in p})
     others = [c for c in df.columns if c not in set(by)]
     non_text = [c for c in others if not is_text(df, c)]
-    counts = _level_counts(df, non_text)
+    known = level_counts or {}
+    counts = {**_level_counts(df, [c for c in non_text if c not in known]), **known}
     cands = [c for c in others if is_text(df, c) or counts[c] <= MAX_LEVELS]
     eta = eta_squared(df, involved, cands, by, min_group_size)
     strong = F.col("reliable") & (F.col("p_value") <= SIGNIFICANCE) & (F.col("eta_squared") >= threshold)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_integral, is_numeric, is_temporal, is_text, num
+from ..functions.columns import distinct_counts, is_integral, is_numeric, is_temporal, is_text, num
 
 # Fixed values that must equal the reference's behaviour.
 # Two-valued text columns whose trimmed, lower-cased values are one of these pairs are boolean.
@@ -43,19 +43,18 @@ def parses_as_date(c: Column) -> Column:
 
 def _column_aggs(df: DataFrame, name: str, i: int, approx_distinct: bool) -> list[Column]:
     c = F.col(name)
-    distinct = F.approx_count_distinct if approx_distinct else F.count_distinct
     aggs = [F.count(c).alias(f"n_{i}")]
+    if approx_distinct:
+        aggs.append(F.approx_count_distinct(num(name) if is_numeric(df, name) else c).alias(f"d_{i}"))
     if is_numeric(df, name):
         x = num(name)
-        aggs += [distinct(x).alias(f"d_{i}"), F.count(x).alias(f"nv_{i}"),
+        aggs += [F.count(x).alias(f"nv_{i}"),
                  F.min(x).alias(f"mn_{i}"), F.max(x).alias(f"mx_{i}"),
                  F.bool_and(F.when(x.isNotNull(), x % 1 == 0)).alias(f"int_{i}")]
     elif is_text(df, name):
         low = F.lower(F.trim(c))
-        aggs += [distinct(c).alias(f"d_{i}"), F.min(low).alias(f"lmn_{i}"), F.max(low).alias(f"lmx_{i}"),
+        aggs += [F.min(low).alias(f"lmn_{i}"), F.max(low).alias(f"lmx_{i}"),
                  F.bool_and(F.when(c.isNotNull(), parses_as_date(c))).alias(f"date_{i}")]
-    else:
-        aggs += [distinct(c).alias(f"d_{i}")]
     return aggs
 
 
@@ -93,6 +92,12 @@ def column_types(df: DataFrame, cols: Sequence[str] | None = None, approx_distin
     cols = list(cols) if cols is not None else df.columns
     aggs = [a for i, c in enumerate(cols) for a in _column_aggs(df, c, i, approx_distinct)]
     wide = df.agg(*aggs)
+    if not approx_distinct:
+        # exact distinct counts come from their own long-form job, pivoted into the one row
+        dc = distinct_counts(df, cols).groupBy().pivot("column", cols).agg(F.first("n_distinct"))
+        from ..functions.quantiles import keyed_join
+        wide = keyed_join(wide, dc.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias(f"d_{i}")
+                                            for i, c in enumerate(cols)]), [])
     entries = []
     for i, c in enumerate(cols):
         role, seq = _role(df, c, i)

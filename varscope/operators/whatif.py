@@ -49,14 +49,16 @@ def _grid(fits: DataFrame, scenarios: DataFrame, by: list[str]) -> DataFrame:
 
 
 def simulate(df: DataFrame, target: str, feature: str, scenarios: DataFrame,
-             by: Sequence[str] | None = None, with_levels: bool = True) -> DataFrame:
+             by: Sequence[str] | None = None, with_levels: bool = True,
+             binary: bool | None = None) -> DataFrame:
     """``by..., scenario_id, change_pct, model_type, r_squared,
     reference_value, baseline, simulated, bounds_applied, change_pct_result,
     change_pct_reliable, change_absolute, change_percentage_points, actionable,
     non_actionable_reason, interval_lower, interval_upper``."""
     _check_numeric(df, [target, feature])
     by = as_list(by)
-    binary = df.agg(F.count_distinct(num(target))).first()[0] == 2
+    if binary is None:  # decided on the whole target column, as the reference does
+        binary = df.agg(F.count_distinct(num(target))).first()[0] == 2
     margins = df.groupBy(*by).agg(F.avg(num(feature)).alias("feature_mean"),
                                   F.stddev_samp(num(target)).alias("target_std"))
     if binary:

@@ -41,6 +41,15 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
     rather than fails at scale, and is recomputed from lineage if an executor
     is lost); pass ``persist_input=False`` to rescan the source instead."""
     spark = df.sparkSession
+    import os
+    import time
+    t0 = [time.time()]
+
+    def mark(label: str) -> None:  # VARSCOPE_TRACE=1 prints the build time per section
+        if os.environ.get("VARSCOPE_TRACE"):
+            now = time.time()
+            print(f"[report] {label}: {now - t0[0]:.1f}s", flush=True)
+            t0[0] = now
     if persist_input:
         from pyspark import StorageLevel
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -52,6 +61,7 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
     numeric = [r["column"] for r in meta if is_numeric(df, r["column"]) and r["column"] not in ids]
     texts = [r["column"] for r in meta if is_text(df, r["column"])]
     distinct = {r["column"]: r["n_distinct"] for r in meta}
+    mark("types")
     out: dict[str, DataFrame] = {"column_types": types}
     parts: list[DataFrame] = []
 
@@ -66,6 +76,7 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
     if len(numeric) > MAX_COLUMNS_FOR_CORRELATION:
         parts.append(FD.finding(one, "WIDE_TABLE", "low", "correlation", F.array(), F.lit(len(numeric))))
 
+    mark("validation")
     if numeric:
         prof = column_profile(df, numeric, probs=(0.25, 0.5, 0.75, 0.95)).cache()
         out["profile"] = prof
@@ -108,6 +119,7 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
             asym = asym.orderBy(F.col("asymmetry").desc(), "column").limit(ASYM_TOP)
         parts.append(FD.finding(asym, "ASYMMETRY", "low", "distribution", F.array("column"), F.col("asymmetry")))
 
+    mark("profile/anomalies/distribution")
     if len(numeric) >= 2:
         pairs = correlation_pvalues(df, numeric).cache()
         derived = derived_pairs(df, numeric).cache()
@@ -127,10 +139,11 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
         top3 = [(r["column_b"], r["column_a"]) for r in
                 top.where(F.col("rank") <= 3).select("column_a", "column_b").collect()]
         if top3:
-            conf = confounders_for_pairs(df, top3).cache()
+            conf = confounders_for_pairs(df, top3, level_counts=distinct).cache()
             out["confounders"] = conf
             parts.append(FD.finding(conf, "CONFOUNDER", "high", "correlation",
                                     F.array("column", "target", "feature"), F.col("eta_target")))
+        mark("pairs/derived/confounders")
         temporal = set(temporal_columns(df, distinct))
         seasonal = pairs.where(F.col("significant") & (F.abs("r") >= 0.6)).limit(1)
         if temporal:
@@ -152,8 +165,10 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
                                 .otherwise(F.lit("NONLINEAR_STEP")), "medium", "non_linearity",
                                 F.array("feature", "target"), F.col("gain")))
 
+    mark("nonlinearity")
     if texts and numeric:
-        sub = significant_subgroups(df, [target] if target in numeric else numeric).cache()
+        sub = significant_subgroups(df, [target] if target in numeric else numeric,
+                                    level_counts=distinct).cache()
         out["subgroups"] = sub
         parts.append(FD.finding(sub.where("deterministic"), "DETERMINISTIC", "medium", "correlation",
                                 F.array("group_col", "target"), F.col("eta_squared")))
@@ -175,11 +190,12 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
             parts.append(FD.finding(rates.where(F.col("rank") == 1), "SEGMENT_RATE", "low", "segments",
                                     F.array("group_col", F.lit(rate_target)), F.col("rate")))
 
+    mark("subgroups")
     r2_col, act_col = F.lit(None).cast("double"), F.lit(None).cast("boolean")
     sim = None
     if target and feature and change_pct is not None:
         sc = scenario_table(spark, [change_pct], baseline_feature_value, bounds)
-        sim = simulate(df, target, feature, sc).cache()
+        sim = simulate(df, target, feature, sc, binary=distinct.get(target) == 2).cache()
         cv = cross_validation(df, target, feature, key_cols=key_cols)
         out["simulation"] = sim
         out["cross_validation"] = cv
@@ -209,6 +225,7 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
         first = sim.select("r_squared", "actionable")
         r2_col, act_col = F.col("r_squared"), F.col("actionable")
 
+    mark("simulation")
     findings = FD.dedupe_codes(FD.union_findings(spark, parts)).cache()
     out["findings"] = findings
     counts = findings.agg(F.count(F.lit(1)).alias("n_findings"))
@@ -220,4 +237,5 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
     s, level = FD.score(F.col("n_rows"), F.col("n_findings"), F.col("n_anomaly_cols"), r2_col, act_col)
     out["score"] = base.select("n_rows", "n_findings", "n_anomaly_cols", s.alias("score"), level.alias("level"))
     out["main_insight"] = FD.main_insight(findings, [c for c in (target, feature) if c])
+    mark("findings")
     return out
