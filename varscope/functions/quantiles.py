@@ -29,28 +29,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .joins import keyed_join
 
 BROADCAST_MAX_ROWS = 1_000_000
 
 
-def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
-               extra: Sequence[str] = ()) -> DataFrame:
-    """Join on ``keys`` with NULL-safe equality (segments may be NULL) plus
-    plain equality on ``extra``; the right-hand key copies are dropped."""
-    keys, extra = list(keys), list(extra)
-    if not keys and not extra:
-        # no segment: the right side is a global (one-row) aggregate -> broadcast equi-join on a constant
-        one = F.lit(1).alias("__one")
-        return left.select("*", one).join(F.broadcast(right.select("*", one)), "__one", how).drop("__one")
-    ren = {c: f"__r_{i}" for i, c in enumerate(keys + extra)}
-    r = right.select(*[F.col(c).alias(ren[c]) if c in ren else F.col(c) for c in right.columns])
-    conds = ([left[c].eqNullSafe(r[ren[c]]) for c in keys]
-             + [left[c] == r[ren[c]] for c in extra])
-    cond = reduce(lambda a, b: a & b, conds) if conds else F.lit(True)
-    out = left.join(r, cond, how)
-    return out if how in ("left_semi", "semi", "leftsemi", "left_anti", "anti", "leftanti") else out.drop(*ren.values())
-
-
 def _small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast an aggregated side only when its row count is proven small."""
     return F.broadcast(df) if max_rows <= BROADCAST_MAX_ROWS else df

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_list, long_numeric, num, numeric_columns
-from ..functions.quantiles import exact_quantiles, keyed_join
+from ..functions.joins import keyed_join
+from ..functions.quantiles import exact_quantiles
 
 MIN_RELIABLE_SAMPLE_SIZE = 30
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_list, distinct_counts, is_text, num
-from ..functions.quantiles import keyed_join
+from ..functions.joins import keyed_join
 from ..functions.special import f_sf
 
 SIGNIFICANCE = 0.05

@@ -74,7 +74,7 @@ def _gram_pair_stats(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame
     xs = [f"_c{i}" for i in range(k)]
     clean = df.select(*by, *[num(c).alias(x) for c, x in zip(cols, xs)])
     centres = clean.groupBy(*by).agg(*[F.avg(x).alias(f"_m{i}") for i, x in enumerate(xs)])
-    from ..functions.quantiles import keyed_join
+    from ..functions.joins import keyed_join
     rows = keyed_join(clean, centres, by)
     rows = rows.select(*by, *[(F.col(x) - F.col(f"_m{i}")).alias(x) for i, x in enumerate(xs)])
     iu, ju = np.triu_indices(k, 1)

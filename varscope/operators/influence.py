@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_list, num
-from ..functions.quantiles import keyed_join
+from ..functions.joins import keyed_join
 from .regression import _check_numeric, ols_from_stats, simple_fit_stats
 
 DEFAULT_THRESHOLD_RATIO = 4.0

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_list, is_numeric, num
-from ..functions.quantiles import keyed_join
+from ..functions.joins import keyed_join
 from .anova import level_stats
 from .distribution import count_data_flag
 from .profile import column_profile

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_numeric
-from ..functions.quantiles import keyed_join
+from ..functions.joins import keyed_join
 
 
 def _is_missing(df: DataFrame, c: str):

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_list, is_numeric, is_text, num
-from ..functions.quantiles import keyed_join
+from ..functions.joins import keyed_join
 from ..session import materialize
 
 MIN_ROWS_FOR_REGRESSION = 3

@@ -95,7 +95,7 @@ def column_types(df: DataFrame, cols: Sequence[str] | None = None, approx_distin
     if not approx_distinct:
         # exact distinct counts come from their own long-form job, pivoted into the one row
         dc = distinct_counts(df, cols).groupBy().pivot("column", cols).agg(F.first("n_distinct"))
-        from ..functions.quantiles import keyed_join
+        from ..functions.joins import keyed_join
         wide = keyed_join(wide, dc.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias(f"d_{i}")
                                             for i, c in enumerate(cols)]), [])
     entries = []

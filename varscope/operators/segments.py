@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_list
-from ..functions.quantiles import keyed_join
+from ..functions.joins import keyed_join
 
 MIN_GROUP_SIZE = 3
 

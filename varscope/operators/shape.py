@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import as_list, num
 from ..functions.fdr import bh_adjust
-from ..functions.quantiles import exact_quantiles, keyed_join
+from ..functions.joins import keyed_join
+from ..functions.quantiles import exact_quantiles
 from ..functions.special import t_pvalue
 from .anova import eta_from_levels
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import as_list, num
-from ..functions.quantiles import keyed_join
+from ..functions.joins import keyed_join
 from .levels import level_feature_for_simulation
 from .regression import _check_numeric, logistic, ols_from_stats, simple_fit_stats
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_numeric, is_text, long_numeric
-from ..functions.quantiles import keyed_join
+from ..functions.joins import keyed_join
 from ..operators import findings as FD
 from ..operators.anova import confounders_for_pairs, segment_rates, significant_subgroups
 from ..operators.association import MAX_COLUMNS_FOR_CORRELATION, correlation_pvalues, top_pairs
