@@ -51,7 +51,8 @@ def pair_stats(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[st
         a, b = F.col(f"_c{i}"), F.col(f"_c{j}")
         aggs.append(F.count(F.when(a.isNotNull() & b.isNotNull(), 1)).alias(f"n_{i}_{j}"))
         aggs.append(F.corr(a, b).alias(f"r_{i}_{j}"))
-    wide = clean.groupBy(*by).agg(*aggs) if by else clean.agg(*aggs)
+    from ..functions.joins import wide_agg
+    wide = wide_agg(clean, by, aggs)
     entries = F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
                                  F.lit(i).alias("idx_a"), F.lit(j).alias("idx_b"),
                                  F.col(f"n_{i}_{j}").alias("n"), F.col(f"r_{i}_{j}").alias("r"))

@@ -57,11 +57,8 @@ def derived_counters(df: DataFrame, cols: Sequence[str] | None = None,
                             .alias(f"k{k}_{name}"))
         # whole-stage codegen stops at 100 output fields: aggregate in chunks of 90
         # (one-row results, joined on a constant key) instead of one interpreted aggregate
-        from ..functions.joins import keyed_join
-        chunks = [aggs[i:i + CODEGEN_FIELDS] for i in range(0, len(aggs), CODEGEN_FIELDS)]
-        wide = clean.agg(*chunks[0])
-        for ch in chunks[1:]:
-            wide = keyed_join(wide, clean.agg(*ch), [])
+        from ..functions.joins import wide_agg
+        wide = wide_agg(clean, [], aggs, CODEGEN_FIELDS)
         entries = F.array(*[F.struct(F.lit(cols[t]).alias("target"), F.lit(cols[a]).alias("col_a"),
                                      F.lit(cols[b]).alias("col_b"), F.col(f"k{k}_valid").alias("valid"),
                                      *[F.col(f"k{k}_{f}").alias(f) for f in FORMS])

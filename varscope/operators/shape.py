@@ -66,7 +66,8 @@ def quadratic_patterns(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequ
             aggs.append(F.sum(z ** pw).alias(f"p{k}_z{pw}"))
         aggs += [F.sum(y).alias(f"p{k}_y"), F.sum(y * y).alias(f"p{k}_yy"), F.sum(z * y).alias(f"p{k}_zy"),
                  F.sum(z * z * y).alias(f"p{k}_zzy"), F.first(F.col(f"sd{i}")).alias(f"p{k}_sd")]
-    wide = rows.groupBy(*by).agg(*aggs)
+    from ..functions.joins import wide_agg
+    wide = wide_agg(rows, by, aggs)
     entries = F.array(*[F.struct(
         F.lit(tg).alias("target"), F.lit(ft).alias("feature"), F.col(f"p{k}_n").alias("n"),
         *[F.col(f"p{k}_z{pw}").alias(f"s{pw}") for pw in (1, 2, 3, 4)],
