@@ -100,7 +100,8 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
                 .withColumn("is_count", F.coalesce(count_data_flag(), F.lit(False)))
                 .withColumn("is_zero", F.coalesce(zero_inflation_flag(), F.lit(False)))
                 .withColumn("is_heavy", F.coalesce(heavy_tail_flag(), F.lit(False)))
-                .withColumn("asymmetry", F.when(F.col("std") > 0, F.abs(F.col("mean") - F.col("median")) / F.col("std"))))
+                .withColumn("asymmetry", F.when(F.col("std") > 0, F.abs(F.col("mean") - F.col("median")) / F.col("std")))
+                ).cache()
         out["distribution"] = dist
         parts.append(FD.finding(dist.where("is_count"), "DISTRIBUTION_COUNT", "medium", "distribution",
                                 F.array("column"), F.col("mean")))
@@ -129,7 +130,7 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
         kept = pairs.withColumn("_lo", F.least("column_a", "column_b")).withColumn("_hi", F.greatest("column_a", "column_b")) \
             .join(derived.select(F.col("column_a").alias("_lo"), F.col("column_b").alias("_hi")), ["_lo", "_hi"],
                   "left_anti").drop("_lo", "_hi")
-        mt = kept.agg(F.count(F.lit(1)).alias("m"), F.count(F.when(F.col("significant"), 1)).alias("s"))
+        mt = kept.agg(F.count(F.lit(1)).alias("m"), F.count(F.when(F.col("significant"), 1)).alias("s")).cache()
         parts.append(FD.finding(mt.where((F.col("m") >= 6) & (F.col("s") < F.col("m"))), "MULTIPLE_TESTING",
                                 "medium", "correlation", F.array(), F.col("m").cast("double")))
         top = top_pairs(pairs, 5, exclude=derived).cache()
@@ -174,7 +175,7 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
                                 F.array("group_col", "target"), F.col("eta_squared")))
         best = (sub.where(~F.col("deterministic")).groupBy("group_col")
                 .agg(F.max_by(F.struct("eta_squared", "target"), "eta_squared").alias("b"))
-                .select("group_col", "b.*").orderBy(F.col("eta_squared").desc(), "group_col").limit(5))
+                .select("group_col", "b.*").orderBy(F.col("eta_squared").desc(), "group_col").limit(5)).cache()
         temporal = set(temporal_columns(df, distinct))
         sev = F.when(F.col("eta_squared") >= 0.7, "high").otherwise("medium")
         code = F.when(F.col("eta_squared") >= 0.5, F.lit("SUBGROUP_DOMINANT_STRONG")).otherwise(F.lit("SUBGROUP_DOMINANT"))
@@ -185,7 +186,7 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
         binary = [r["column"] for r in meta if r["role"] == "boolean" and r["column"] in numeric]
         rate_target = target if target in binary else (binary[0] if binary else None)
         if rate_target:
-            rates = segment_rates(df, rate_target, [c for c in texts if c != rate_target][:2])
+            rates = segment_rates(df, rate_target, [c for c in texts if c != rate_target][:2]).cache()
             out["segment_rates"] = rates
             parts.append(FD.finding(rates.where(F.col("rank") == 1), "SEGMENT_RATE", "low", "segments",
                                     F.array("group_col", F.lit(rate_target)), F.col("rate")))
@@ -215,6 +216,7 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
                                 F.col("n").cast("double")))
         if key_cols:
             _, infl = influential_points(df, feature, target, key_cols)
+            infl = infl.cache()
             out["influence"] = infl
             parts.append(FD.finding(infl.where(F.col("n_influential") > 0), "INFLUENTIAL", "medium", "simulation",
                                     F.array(F.lit(feature), F.lit(target)), F.col("max_distance")))
