@@ -161,19 +161,26 @@ def step_patterns(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[
 
 
 def nonlinearity_scan(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] | None = None,
-                      top_k: int = 3, max_pairs: int = MAX_NONLINEAR_PAIRS) -> DataFrame:
+                      top_k: int = 3, max_pairs: int = MAX_NONLINEAR_PAIRS,
+                      exclude: DataFrame | None = None) -> DataFrame:
     """Quadratic + step on each pair; BH over the quadratic p-values of
     detected patterns (kept at <= 0.10); a kept quadratic hides the step
-    result of the same pair; ranked by gain, then p. ``shown`` marks the top k."""
+    result of the same pair; ranked by gain, then p. ``shown`` marks the top k.
+    ``exclude`` (``target, feature``) drops pairs before BH (pairs explained
+    by a strong confounder)."""
     by = as_list(by)
     pairs = _pairs(pairs)[:max_pairs]
     quad = quadratic_patterns(df, pairs, by)
+    step_all = step_patterns(df, pairs, by)
+    if exclude is not None:
+        ex = exclude.select("target", "feature").distinct()
+        quad = quad.join(ex, ["target", "feature"], "left_anti")
+        step_all = step_all.join(ex, ["target", "feature"], "left_anti")
     quad = bh_adjust(quad, "p_value", "p_value_adjusted", partition_by=by, tie_break=["target", "feature"])
     quad = quad.where(F.col("p_value_adjusted") <= QUADRATIC_P_VALUE_THRESHOLD)
     q_out = quad.select(*by, "target", "feature", F.lit("quadratic").alias("kind"), "pattern_type",
                         F.col("improvement").alias("gain"), "p_value")
-    step = step_patterns(df, pairs, by)
-    s_out = step.select(*by, "target", "feature", F.lit("step").alias("kind"), F.lit("step").alias("pattern_type"),
+    s_out = step_all.select(*by, "target", "feature", F.lit("step").alias("kind"), F.lit("step").alias("pattern_type"),
                         (F.col("eta_squared_binned") - F.col("r2_linear")).alias("gain"), "p_value")
     s_out = s_out.join(q_out.select(*by, "target", "feature"), by + ["target", "feature"], "left_anti")
     allp = q_out.unionByName(s_out)

@@ -121,6 +121,32 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
         parts.append(FD.finding(asym, "ASYMMETRY", "low", "distribution", F.array("column"), F.col("asymmetry")))
 
     mark("profile/anomalies/distribution")
+    best = None
+    if texts and numeric:
+        sub = significant_subgroups(df, [target] if target in numeric else numeric,
+                                    level_counts=distinct).cache()
+        out["subgroups"] = sub
+        parts.append(FD.finding(sub.where("deterministic"), "DETERMINISTIC", "medium", "correlation",
+                                F.array("group_col", "target"), F.col("eta_squared")))
+        best = (sub.where(~F.col("deterministic")).groupBy("group_col")
+                .agg(F.max_by(F.struct("eta_squared", "target"), "eta_squared").alias("b"))
+                .select("group_col", "b.*").orderBy(F.col("eta_squared").desc(), "group_col").limit(5)).cache()
+        temporal = set(temporal_columns(df, distinct))
+        sev = F.when(F.col("eta_squared") >= 0.7, "high").otherwise("medium")
+        code = F.when(F.col("eta_squared") >= 0.5, F.lit("SUBGROUP_DOMINANT_STRONG")).otherwise(F.lit("SUBGROUP_DOMINANT"))
+        parts.append(FD.finding(best, code, sev, "correlation", F.array("group_col", "target"), F.col("eta_squared")))
+        if temporal:
+            parts.append(FD.finding(best.where(F.col("group_col").isin(*temporal)), "SAISONNALITE", sev,
+                                    "saisonnalite", F.array("group_col", "target"), F.col("eta_squared")))
+        binary = [r["column"] for r in meta if r["role"] == "boolean" and r["column"] in numeric]
+        rate_target = target if target in binary else (binary[0] if binary else None)
+        if rate_target:
+            rates = segment_rates(df, rate_target, [c for c in texts if c != rate_target][:2]).cache()
+            out["segment_rates"] = rates
+            parts.append(FD.finding(rates.where(F.col("rank") == 1), "SEGMENT_RATE", "low", "segments",
+                                    F.array("group_col", F.lit(rate_target)), F.col("rate")))
+
+    mark("subgroups")
     if len(numeric) >= 2:
         pairs = correlation_pvalues(df, numeric).cache()
         derived = derived_pairs(df, numeric).cache()
@@ -137,13 +163,6 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
         out["top_pairs"] = top
         parts.append(FD.finding(top.where("significant"), "TOP_PAIR", "low", "correlation",
                                 F.array("column_a", "column_b"), F.abs("r")))
-        top3 = [(r["column_b"], r["column_a"]) for r in
-                top.where(F.col("rank") <= 3).select("column_a", "column_b").collect()]
-        if top3:
-            conf = confounders_for_pairs(df, top3, level_counts=distinct).cache()
-            out["confounders"] = conf
-            parts.append(FD.finding(conf, "CONFOUNDER", "high", "correlation",
-                                    F.array("column", "target", "feature"), F.col("eta_target")))
         mark("pairs/derived/confounders")
         temporal = set(temporal_columns(df, distinct))
         seasonal = pairs.where(F.col("significant") & (F.abs("r") >= 0.6)).limit(1)
@@ -160,38 +179,27 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
             if p not in seen:
                 seen.add(p)
                 nl_pairs.append(p)
-        nl = nonlinearity_scan(df, nl_pairs).cache()
+        # A13 for every candidate pair in ONE grouped ANOVA job: the top-3 pairs give the
+        # CONFOUNDER findings, and pairs whose confounder is also a strong subgroup
+        # (eta^2 > 0.5) are left out of the non-linearity scan.
+        conf_all = confounders_for_pairs(df, nl_pairs, level_counts=distinct).cache()
+        top3 = top.where(F.col("rank") <= 3).select(F.col("column_b").alias("target"),
+                                                     F.col("column_a").alias("feature"))
+        conf = conf_all.join(top3, ["target", "feature"], "left_semi")
+        out["confounders"] = conf
+        parts.append(FD.finding(conf, "CONFOUNDER", "high", "correlation",
+                                F.array("column", "target", "feature"), F.col("eta_target")))
+        exclude = None
+        if best is not None:
+            strong_sub = best.where(F.col("eta_squared") > 0.5).select(F.col("group_col").alias("column"))
+            exclude = conf_all.join(strong_sub, "column", "left_semi").select("target", "feature")
+        nl = nonlinearity_scan(df, nl_pairs, exclude=exclude).cache()
         out["nonlinearity"] = nl
         parts.append(FD.finding(nl.where("shown"), F.when(F.col("kind") == "quadratic", F.lit("NONLINEAR_QUAD"))
                                 .otherwise(F.lit("NONLINEAR_STEP")), "medium", "non_linearity",
                                 F.array("feature", "target"), F.col("gain")))
 
     mark("nonlinearity")
-    if texts and numeric:
-        sub = significant_subgroups(df, [target] if target in numeric else numeric,
-                                    level_counts=distinct).cache()
-        out["subgroups"] = sub
-        parts.append(FD.finding(sub.where("deterministic"), "DETERMINISTIC", "medium", "correlation",
-                                F.array("group_col", "target"), F.col("eta_squared")))
-        best = (sub.where(~F.col("deterministic")).groupBy("group_col")
-                .agg(F.max_by(F.struct("eta_squared", "target"), "eta_squared").alias("b"))
-                .select("group_col", "b.*").orderBy(F.col("eta_squared").desc(), "group_col").limit(5)).cache()
-        temporal = set(temporal_columns(df, distinct))
-        sev = F.when(F.col("eta_squared") >= 0.7, "high").otherwise("medium")
-        code = F.when(F.col("eta_squared") >= 0.5, F.lit("SUBGROUP_DOMINANT_STRONG")).otherwise(F.lit("SUBGROUP_DOMINANT"))
-        parts.append(FD.finding(best, code, sev, "correlation", F.array("group_col", "target"), F.col("eta_squared")))
-        if temporal:
-            parts.append(FD.finding(best.where(F.col("group_col").isin(*temporal)), "SAISONNALITE", sev,
-                                    "saisonnalite", F.array("group_col", "target"), F.col("eta_squared")))
-        binary = [r["column"] for r in meta if r["role"] == "boolean" and r["column"] in numeric]
-        rate_target = target if target in binary else (binary[0] if binary else None)
-        if rate_target:
-            rates = segment_rates(df, rate_target, [c for c in texts if c != rate_target][:2]).cache()
-            out["segment_rates"] = rates
-            parts.append(FD.finding(rates.where(F.col("rank") == 1), "SEGMENT_RATE", "low", "segments",
-                                    F.array("group_col", F.lit(rate_target)), F.col("rate")))
-
-    mark("subgroups")
     r2_col, act_col = F.lit(None).cast("double"), F.lit(None).cast("boolean")
     sim = None
     if target and feature and change_pct is not None:
@@ -228,7 +236,10 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
         r2_col, act_col = F.col("r_squared"), F.col("actionable")
 
     mark("simulation")
-    findings = FD.dedupe_codes(FD.union_findings(spark, parts)).cache()
+    # the rule union spans every operator's plan: evaluate it once and cut the lineage,
+    # so de-duplication, score and main insight work on a small table
+    from ..session import materialize
+    findings = FD.dedupe_codes(materialize(FD.union_findings(spark, parts))).cache()
     out["findings"] = findings
     counts = findings.agg(F.count(F.lit(1)).alias("n_findings"))
     anom_n = out["anomalies"].agg(F.count(F.lit(1)).alias("n_anomaly_cols")) if "anomalies" in out else \
