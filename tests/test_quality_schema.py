@@ -53,3 +53,15 @@ def test_temporal_columns(spark):
     df = frame(spark, {"Mois": [1, 2, 3], "DateVente": ["a", "b", "c"], "Prix_Jour": [1.5, 2.5, 3.5],
                        "semaine": [1, 2, 3], "Autre": [1, 2, 3]})
     assert temporal_columns(df) == ["Mois", "DateVente", "semaine"]
+
+
+def test_sequential_in_order_across_partitions(spark):
+    from varscope.operators.schema import sequential_in_order
+    rows = [("a", k, 1000 - k) for k in range(200)] + [("b", k, k * 2) for k in range(50)]
+    df = spark.createDataFrame(rows, "seg string, k long, x long").repartition(5)
+    got = {r["seg"]: r["is_sequential"] for r in sequential_in_order(df, "x", "k", by=["seg"], n_partitions=7).collect()}
+    assert got == {"a": True, "b": False}
+    broken = spark.createDataFrame([(k, k if k != 30 else 99) for k in range(60)], "k long, x long")
+    assert sequential_in_order(broken, "x", "k", n_partitions=4).first()["is_sequential"] is False
+    ties = spark.createDataFrame([(k // 2, k) for k in range(10)], "k long, x long")
+    assert sequential_in_order(ties, "x", "k").first()["is_sequential"] is False

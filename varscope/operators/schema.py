@@ -148,3 +148,45 @@ def temporal_columns(df: DataFrame, distinct_counts: dict[str, int] | None = Non
                 continue
         out.append(f.name)
     return out
+
+
+def sequential_in_order(df: DataFrame, col: str, order_by: str, by: Sequence[str] | None = None,
+                        n_partitions: int | None = None) -> DataFrame:
+    """W1/P4 with a row order: are the consecutive differences of ``col`` (rows
+    sorted by ``order_by``) all the same step of +1 or -1? (n >= 4, integers.)
+
+    A global ``lag`` would put every row in one task. Instead the rows are
+    range-partitioned on (segment, order key); each Spark partition checks its
+    own consecutive differences with a window bounded by that partition, and a
+    small per-(partition, segment) table checks the boundaries between
+    neighbouring partitions. Ties in the order key make the order ambiguous:
+    they count as not sequential.
+    """
+    by = list(by or [])
+    spark = df.sparkSession
+    parts = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    x, k = num(col), F.col(order_by)
+    rows = (df.select(*by, k.alias("_k"), x.alias("_x")).where(F.col("_k").isNotNull() & F.col("_x").isNotNull())
+            .repartitionByRange(parts, *[F.col(b) for b in by], "_k")
+            .withColumn("_pid", F.spark_partition_id()))
+    from pyspark.sql import Window
+    w = Window.partitionBy("_pid", *by).orderBy("_k")
+    d = rows.withColumn("_d", F.col("_x") - F.lag("_x").over(w)).withColumn("_dk", F.col("_k") == F.lag("_k").over(w))
+    per = d.groupBy("_pid", *by).agg(
+        F.count(F.lit(1)).alias("n"), F.min("_d").alias("dmin"), F.max("_d").alias("dmax"),
+        F.bool_or(F.coalesce("_dk", F.lit(False))).alias("ties"),
+        F.bool_and(F.abs(F.col("_x") - F.round("_x")) == 0).alias("ints"),
+        F.min_by("_x", "_k").alias("x_first"), F.max_by("_x", "_k").alias("x_last"),
+        F.min("_k").alias("k_first"), F.max("_k").alias("k_last"))
+    wb = Window.partitionBy(*by).orderBy("_pid")
+    per = (per.withColumn("_bd", F.col("x_first") - F.lag("x_last").over(wb))
+              .withColumn("_bk", F.col("k_first") == F.lag("k_last").over(wb)))
+    steps = F.array_compact(F.array("dmin", "dmax", "_bd"))
+    agg = per.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.bool_and("ints").alias("ints"),
+        F.bool_or(F.col("ties") | F.coalesce("_bk", F.lit(False))).alias("ties"),
+        F.min(F.array_min(steps)).alias("smin"), F.max(F.array_max(steps)).alias("smax"))
+    seq = ((F.col("n") >= 4) & F.col("ints") & ~F.col("ties") & (F.col("smin") == F.col("smax"))
+           & (F.abs(F.col("smin")) == 1))
+    return agg.select(*by, F.lit(col).alias("column"), F.lit(order_by).alias("order_by"), "n",
+                      F.coalesce(seq, F.lit(False)).alias("is_sequential"))

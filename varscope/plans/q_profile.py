@@ -185,3 +185,24 @@ def q_iqr_outliers(spark, sf):
     """The outlying events themselves, fences per event_type."""
     o = iqr_outliers(t(spark, sf, "events"), "value", by=["event_type"], key_cols=["event_id"])
     return o.select("event_id", "event_type", "value")
+
+
+@register("sequential_in_order", """
+SELECT "column", order_by, n, (n >= 4 AND min(d) = max(d) AND abs(min(d)) = 1) AS is_sequential FROM (
+  SELECT 'o_orderkey' AS "column", 'o_orderkey' AS order_by, count(*) OVER () AS n,
+         o_orderkey - lag(o_orderkey) OVER (ORDER BY o_orderkey) AS d FROM orders
+  UNION ALL
+  SELECT 'o_orderkey', 'o_totalprice', count(*) OVER (),
+         o_orderkey - lag(o_orderkey) OVER (ORDER BY o_totalprice) FROM orders
+  UNION ALL
+  SELECT 'o_custkey', 'o_orderkey', count(*) OVER (),
+         o_custkey - lag(o_custkey) OVER (ORDER BY o_orderkey) FROM orders)
+GROUP BY "column", order_by, n""")
+def q_sequential_in_order(spark, sf):
+    """W1/P4 in row order: the order key is sequential in its own order, not in price order."""
+    from ..operators.schema import sequential_in_order
+    o = t(spark, sf, "orders")
+    a = sequential_in_order(o, "o_orderkey", "o_orderkey")
+    b = sequential_in_order(o, "o_orderkey", "o_totalprice")
+    c = sequential_in_order(o, "o_custkey", "o_orderkey")
+    return a.unionByName(b).unionByName(c)
