@@ -24,7 +24,7 @@ def _attach(rows: DataFrame, fit: DataFrame, by: list[str]) -> DataFrame:
 
 
 def cooks_distance(df: DataFrame, feature: str, target: str, by: Sequence[str] | None = None,
-                   key_cols: Sequence[str] | None = None) -> DataFrame:
+                   key_cols: Sequence[str] | None = None, fit_stats: DataFrame | None = None) -> DataFrame:
     """``key_cols..., by..., x, y, residual, leverage, cooks_d, n`` for every complete row.
 
     p = 2; mse = SSE/(n-2); mse close to 0 (|mse| <= 1e-8) gives zeros; a
@@ -32,7 +32,7 @@ def cooks_distance(df: DataFrame, feature: str, target: str, by: Sequence[str] |
     """
     _check_numeric(df, [feature, target])
     by, keys = as_list(by), as_list(key_cols)
-    st = ols_from_stats(simple_fit_stats(df, target, feature, by))
+    st = ols_from_stats(fit_stats if fit_stats is not None else simple_fit_stats(df, target, feature, by))
     st = st.withColumn("mse", F.try_divide(F.col("sse"), F.col("n") - 2))
     rows = df.select(*keys, *[b for b in by if b not in keys], num(feature).alias("x"), num(target).alias("y"))
     rows = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull())
@@ -47,11 +47,12 @@ def cooks_distance(df: DataFrame, feature: str, target: str, by: Sequence[str] |
 
 def influential_points(df: DataFrame, feature: str, target: str, key_cols: Sequence[str],
                        by: Sequence[str] | None = None,
-                       threshold_ratio: float = DEFAULT_THRESHOLD_RATIO) -> tuple[DataFrame, DataFrame]:
+                       threshold_ratio: float = DEFAULT_THRESHOLD_RATIO,
+                       fit_stats: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows with D > ratio/n, summary per segment: n, threshold, max_distance,
     max_distance_key, n_influential)."""
     by, keys = as_list(by), as_list(key_cols)
-    cd = cooks_distance(df, feature, target, by, keys).withColumn("threshold", threshold_ratio / F.col("n"))
+    cd = cooks_distance(df, feature, target, by, keys, fit_stats).withColumn("threshold", threshold_ratio / F.col("n"))
     rows = cd.where(F.col("cooks_d") > F.col("threshold"))
     key = F.struct(*keys) if len(keys) > 1 else F.col(keys[0])
     summary = cd.groupBy(*by).agg(

@@ -31,26 +31,30 @@ def level_flag(max_unique: int = MAX_LEVELS):
 
 
 def level_features(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] | None = None,
-                   max_unique: int = MAX_LEVELS) -> DataFrame:
-    """``by..., column, n, n_distinct, std, mean_gap, is_level_feature``."""
+                   max_unique: int = MAX_LEVELS, profile: DataFrame | None = None) -> DataFrame:
+    """``by..., column, n, n_distinct, std, mean_gap, is_level_feature``.
+
+    ``profile`` (a ``column_profile`` result covering ``cols``) avoids a second profile job."""
     by = as_list(by)
     cols = [c for c in (cols or df.columns) if c not in by and is_numeric(df, c)]
     if not cols:
         extra = "".join(f"`{b}` {df.schema[b].dataType.simpleString()}, " for b in by)
         return df.sparkSession.createDataFrame(
             [], extra + "column string, n long, n_distinct long, std double, mean_gap double, is_level_feature boolean")
-    p = column_profile(df, cols, by, probs=(0.5,))
+    p = (profile.where(F.col("column").isin(*cols)) if profile is not None
+         else column_profile(df, cols, by, probs=(0.5,)))
     return p.select(*by, "column", "n", "n_distinct", "std",
                     F.try_divide(F.col("vmax") - F.col("vmin"), F.col("n_distinct") - 1).alias("mean_gap"),
                     F.coalesce(level_flag(max_unique), F.lit(False)).alias("is_level_feature"))
 
 
 def level_feature_for_simulation(df: DataFrame, feature: str, target: str | None = None,
-                                 by: Sequence[str] | None = None, max_unique: int = MAX_LEVELS) -> DataFrame:
+                                 by: Sequence[str] | None = None, max_unique: int = MAX_LEVELS,
+                                 profile: DataFrame | None = None) -> DataFrame:
     """A22 on the feature, and (with a target) the mean within-level sample
     std of the target must be <= 0.60 x its global std (levels with one row ignored)."""
     by = as_list(by)
-    lf = level_features(df, [feature], by, max_unique).drop("column")
+    lf = level_features(df, [feature], by, max_unique, profile).drop("column")
     if target is None or not is_numeric(df, target):
         return lf.withColumn("within_ratio", F.lit(None).cast("double"))
     lv = level_stats(df, [target], [feature], by).where(F.col("n") >= 2)

@@ -50,7 +50,8 @@ def _grid(fits: DataFrame, scenarios: DataFrame, by: list[str]) -> DataFrame:
 
 def simulate(df: DataFrame, target: str, feature: str, scenarios: DataFrame,
              by: Sequence[str] | None = None, with_levels: bool = True,
-             binary: bool | None = None) -> DataFrame:
+             binary: bool | None = None, fit_stats: DataFrame | None = None,
+             profile: DataFrame | None = None) -> DataFrame:
     """``by..., scenario_id, change_pct, model_type, r_squared,
     reference_value, baseline, simulated, bounds_applied, change_pct_result,
     change_pct_reliable, change_absolute, change_percentage_points, actionable,
@@ -66,12 +67,12 @@ def simulate(df: DataFrame, target: str, feature: str, scenarios: DataFrame,
         fits = lg.select(*by, F.lit("logistic").alias("model_type"), "r_squared",
                          F.col("intercept").alias("a"), F.col("coefficient").alias("b"), "resid_std", "n")
     else:
-        st = ols_from_stats(simple_fit_stats(df, target, feature, by))
+        st = ols_from_stats(fit_stats if fit_stats is not None else simple_fit_stats(df, target, feature, by))
         fits = st.select(*by, F.lit("linear").alias("model_type"), "r_squared",
                          F.col("intercept").alias("a"), F.col("slope").alias("b"), "resid_std", "n")
     fits = keyed_join(fits, margins, by, "left")
     if with_levels:
-        lv = level_feature_for_simulation(df, feature, target, by).select(*by, "is_level_feature")
+        lv = level_feature_for_simulation(df, feature, target, by, profile=profile).select(*by, "is_level_feature")
         fits = keyed_join(fits, lv, by, "left")
     else:
         fits = fits.withColumn("is_level_feature", F.lit(False))
@@ -119,7 +120,7 @@ def fold_of(cols: Sequence[str], n_folds: int = N_FOLDS):
 
 def cross_validation(df: DataFrame, target: str, feature: str, by: Sequence[str] | None = None,
                      fold_col: str | None = None, key_cols: Sequence[str] | None = None,
-                     n_folds: int = N_FOLDS) -> DataFrame:
+                     n_folds: int = N_FOLDS, fit_stats: DataFrame | None = None) -> DataFrame:
     """K-fold test R^2 of the linear fit from per-fold centred sums.
 
     Train sums = segment total - fold sums; test residuals are expanded from
@@ -130,7 +131,7 @@ def cross_validation(df: DataFrame, target: str, feature: str, by: Sequence[str]
     """
     _check_numeric(df, [target, feature])
     by = as_list(by)
-    fit = ols_from_stats(simple_fit_stats(df, target, feature, by)).select(
+    fit = ols_from_stats(fit_stats if fit_stats is not None else simple_fit_stats(df, target, feature, by)).select(
         *by, "n", "mean_x", "mean_y", "slope", "intercept")
     rows = df.select(*by, num(feature).alias("x"), num(target).alias("y"),
                      *([F.col(fold_col).alias("_fold")] if fold_col else []),

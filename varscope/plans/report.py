@@ -204,8 +204,12 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
     sim = None
     if target and feature and change_pct is not None:
         sc = scenario_table(spark, [change_pct], baseline_feature_value, bounds)
-        sim = simulate(df, target, feature, sc, binary=distinct.get(target) == 2).cache()
-        cv = cross_validation(df, target, feature, key_cols=key_cols)
+        from ..operators.regression import simple_fit_stats
+        fs = simple_fit_stats(df, target, feature).cache()      # shared by simulation, CV and Cook
+        prof_ok = "profile" in out and feature in numeric
+        sim = simulate(df, target, feature, sc, binary=distinct.get(target) == 2, fit_stats=fs,
+                       profile=out["profile"] if prof_ok else None).cache()
+        cv = cross_validation(df, target, feature, key_cols=key_cols, fit_stats=fs)
         out["simulation"] = sim
         out["cross_validation"] = cv
         parts.append(FD.finding(sim.where(F.col("non_actionable_reason") == "low_r2"),
@@ -223,7 +227,7 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
                                 "EFFECTIVE_SAMPLE", "medium", "simulation", F.array(F.lit(feature), F.lit(target)),
                                 F.col("n").cast("double")))
         if key_cols:
-            _, infl = influential_points(df, feature, target, key_cols)
+            _, infl = influential_points(df, feature, target, key_cols, fit_stats=fs)
             infl = infl.cache()
             out["influence"] = infl
             parts.append(FD.finding(infl.where(F.col("n_influential") > 0), "INFLUENTIAL", "medium", "simulation",
