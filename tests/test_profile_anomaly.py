@@ -39,3 +39,16 @@ def test_iqr_counts_nulls_in_n(spark):
     df = spark.createDataFrame([(float(i),) for i in range(28)] + [(None,), (None,)], "v double")
     b = iqr_bounds(df, ["v"]).first()
     assert b["n"] == 30 and b["n_valid"] == 28 and b["reliable"] is True
+
+
+def test_describe_approx_switch(spark):
+    rng = np.random.default_rng(4)
+    x = rng.exponential(5, 5000)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    approx = describe(df, accuracy="approx").first()
+    exact = describe(df).first()
+    assert abs(exact["median"] - np.median(x)) < 1e-12
+    # percentile_approx: rank error within n / accuracy
+    rank = (x < approx["median"]).mean()
+    assert abs(rank - 0.5) <= 1 / 10_000 + 1 / len(x)
+    assert approx["n"] == exact["n"] == 5000

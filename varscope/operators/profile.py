@@ -21,7 +21,7 @@ DEFAULT_PROBS = (0.25, 0.5, 0.75, 0.95)
 
 
 def moments(long_df: DataFrame, keys: Sequence[str], approx_distinct: bool = False,
-            with_distinct: bool = True) -> DataFrame:
+            with_distinct: bool = True, extra: Sequence | None = None) -> DataFrame:
     """Per key: n, mean, std (sample), var, min, max, distinct, zeros, positives,
     integer-likeness, population skewness and excess kurtosis."""
     v = F.col("value")
@@ -41,18 +41,31 @@ def moments(long_df: DataFrame, keys: Sequence[str], approx_distinct: bool = Fal
         F.skewness(v).alias("skewness"),
         F.kurtosis(v).alias("kurtosis"),
         F.avg(F.when(v != 0, v)).alias("nonzero_mean"),
+        *(extra or []),
     )
 
 
 def column_profile(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] | None = None,
                    probs: Sequence[float] = DEFAULT_PROBS, approx_distinct: bool = False,
-                   with_distinct: bool = True) -> DataFrame:
+                   with_distinct: bool = True, accuracy: str = "exact",
+                   approx_accuracy: int = 10_000) -> DataFrame:
     """``by..., column, n, mean, std, variance, vmin, vmax, n_distinct, n_zero,
-    n_positive, integer_like, skewness, kurtosis, nonzero_mean, zero_ratio, quantiles``."""
+    n_positive, integer_like, skewness, kurtosis, nonzero_mean, zero_ratio, quantiles``.
+
+    ``accuracy="exact"`` (default) gives linear-interpolation quantiles by
+    distributed selection; ``accuracy="approx"`` computes ``percentile_approx``
+    (rank error <= n / ``approx_accuracy``) inside the same single aggregate.
+    """
+    if accuracy not in ("exact", "approx"):
+        raise ValueError("accuracy must be 'exact' or 'approx'")
     by = as_list(by)
     cols = list(cols) if cols is not None else numeric_columns(df, exclude=by)
     keys = by + ["column"]
     long_df = long_numeric(df, cols, by)
+    if accuracy == "approx":
+        extra = [F.percentile_approx("value", [float(p) for p in probs], approx_accuracy).alias("quantiles")]
+        mom = moments(long_df, keys, approx_distinct, with_distinct, extra)
+        return mom.withColumn("zero_ratio", F.col("n_zero") / F.col("n"))
     mom = moments(long_df, keys, approx_distinct, with_distinct)
     mom = mom.cache()  # one scan of lineage; reused by the quantile step and the output
     q = exact_quantiles(long_df, keys, "value", probs, stats=mom.select(*keys, "n", "vmin", "vmax"))
@@ -60,9 +73,10 @@ def column_profile(df: DataFrame, cols: Sequence[str] | None = None, by: Sequenc
     return out.withColumn("zero_ratio", F.col("n_zero") / F.col("n"))
 
 
-def describe(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] | None = None) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] | None = None,
+             accuracy: str = "exact") -> DataFrame:
     """A3: n, mean, sample std, min, max, median per column (and segment)."""
     by = as_list(by)
-    prof = column_profile(df, cols, by, probs=(0.5,), with_distinct=False)
+    prof = column_profile(df, cols, by, probs=(0.5,), with_distinct=False, accuracy=accuracy)
     return prof.select(*by, "column", "n", "mean", "std", F.col("vmin").alias("min"),
                        F.col("vmax").alias("max"), F.col("quantiles")[0].alias("median"))
