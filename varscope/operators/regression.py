@@ -276,8 +276,9 @@ def one_hot(df: DataFrame, max_cardinality: int = 10, drop_original: bool = True
     cands = list(cols) if cols is not None else [c for c in df.columns if is_text(df, c)]
     if not cands:
         return df
-    counts = df.agg(*[F.count_distinct(c).alias(f"_d{i}") for i, c in enumerate(cands)]).first()
-    chosen = [c for i, c in enumerate(cands) if 1 < counts[f"_d{i}"] <= max_cardinality]
+    from ..functions.columns import distinct_counts
+    counts = {r["column"]: r["n_distinct"] for r in distinct_counts(df, cands).collect()}
+    chosen = [c for c in cands if 1 < counts.get(c, 0) <= max_cardinality]
     if not chosen:
         return df
     lv = df.agg(*[F.array_sort(F.collect_set(c)).alias(f"_l{i}") for i, c in enumerate(chosen)]).first()
