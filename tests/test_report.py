@@ -27,3 +27,13 @@ def test_report_finds_planted_issues(spark):
     s = rep["score"].first()
     assert 0 <= s["score"] <= 100 and s["level"] in {"green", "orange", "red"}
     assert rep["main_insight"].count() == 1
+
+
+def test_report_flags_nonlinear_scenario(spark):
+    rng = np.random.default_rng(5)
+    x = np.linspace(-10, 10, 60)
+    y = 50 - x ** 2 + rng.normal(size=60)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id long, x double, y double")
+    rep = generate_report(df, target="y", feature="x", change_pct=0.1, key_cols=["id"])
+    codes = {r["code"] for r in rep["findings"].collect()}
+    assert "SCENARIO_NONLINEAR" in codes and "NONLINEAR_QUAD" in codes

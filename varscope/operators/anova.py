@@ -32,6 +32,11 @@ def level_stats(df: DataFrame, targets: Sequence[str], group_cols: Sequence[str]
     (pandas ``groupby`` drops them); ``n`` counts rows with a non-null target.
     """
     by, targets, group_cols = as_list(by), as_list(targets), as_list(group_cols)
+    if not group_cols or not targets:  # nothing to group: an empty level table
+        seg = "".join(f"`{b}` {df.schema[b].dataType.simpleString()}, " for b in by)
+        return df.sparkSession.createDataFrame(
+            [], seg + "group_col string, level string, n_rows long, target string, n long, mean double, "
+                      "var_pop double, vmin double, vmax double")
     tc = [f"_t{i}" for i in range(len(targets))]
     base = df.select(*by, *[F.col(g).cast("string").alias(g) for g in group_cols],
                      *[num(t).alias(c) for t, c in zip(targets, tc)])

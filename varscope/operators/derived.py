@@ -41,6 +41,10 @@ def derived_counters(df: DataFrame, cols: Sequence[str] | None = None,
     cols = list(cols) if cols is not None else numeric_columns(df)
     cols = cols[:max_columns]
     trip = _triples(cols)
+    if not trip:  # fewer than three columns: nothing can be derived
+        return df.sparkSession.createDataFrame(
+            [], "target string, col_a string, col_b string, valid long, product long, sum long, "
+                "difference long, reverse_difference long")
     clean = df.select(*[num(c).alias(f"_c{i}") for i, c in enumerate(cols)])
     if len(trip) * 5 <= WIDE_AGG_LIMIT:
         # conditional counts written as SQL expressions: one JVM call per aggregate

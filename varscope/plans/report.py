@@ -195,6 +195,10 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
             exclude = conf_all.join(strong_sub, "column", "left_semi").select("target", "feature")
         nl = nonlinearity_scan(df, nl_pairs, exclude=exclude).cache()
         out["nonlinearity"] = nl
+        if target and feature:
+            parts.append(FD.finding(nl.where((F.col("target") == target) & (F.col("feature") == feature)),
+                                    "SCENARIO_NONLINEAR", "medium", "simulation",
+                                    F.array(F.lit(feature), F.lit(target)), F.col("gain")))
         parts.append(FD.finding(nl.where("shown"), F.when(F.col("kind") == "quadratic", F.lit("NONLINEAR_QUAD"))
                                 .otherwise(F.lit("NONLINEAR_STEP")), "medium", "non_linearity",
                                 F.array("feature", "target"), F.col("gain")))
