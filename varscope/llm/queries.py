@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_mincut, mixing, packing, quality_rules, substring_dedup, token_files
+from . import html_mincut, mixing, packing, quality_rules, substring_dedup, suffix_dedup, token_files
 from .common import table
 from .tokens import tokenizer_path
 
@@ -76,6 +76,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+@register("op6_suffix_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), keep_bytes=False)
+
+
 @register("op8_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), keep_ids=False)
