@@ -27,7 +27,7 @@ ANSWER = "block int, hashes binary, hot binary"
 
 
 def in_blocks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep_row: bool = False) -> tuple[DataFrame, int]:
-    """(block, doc_id, text) dealt by block, and how many buckets to use. Null ids: :data:`NULL_ID`.
+    """(block, doc_id, text, th: their hash) dealt by block, and how many buckets to use. Null ids: :data:`NULL_ID`.
     ``keep_row``: also ``row``, a struct of all columns but the text."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
@@ -35,7 +35,8 @@ def in_blocks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep_
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row")] if keep_row else []
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"),
                     F.coalesce(F.col(text), F.lit("")).alias("text"), *row)
-    d = d.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int").alias("block"), *d.columns)
+    d = d.withColumn("th", F.xxhash64("doc_id", "text"))
+    d = d.select(F.pmod("th", F.lit(count)).cast("int").alias("block"), *d.columns)
     return d.repartition(n, "block"), count
 
 

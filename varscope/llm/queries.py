@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_mincut, mixing, packing, quality_rules, substring_dedup, suffix_dedup, token_files
+from . import html_mincut, mixing, ngram_join, packing, quality_rules, substring_dedup, suffix_dedup, token_files
 from .common import table
 from .tokens import tokenizer_path
 
@@ -81,6 +81,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), keep_bytes=False)
 
 
+@register("op7_ngram_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_join.similarity_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 @register("op8_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), keep_ids=False)
