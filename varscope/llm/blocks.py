@@ -31,7 +31,7 @@ def in_blocks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep_
     ``keep_row``: also ``row``, a struct of all columns but the text."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
-    count = max(2 * n, -(-text_bytes(docs, text) // BLOCK_BYTES))
+    count = max(n, -(-text_bytes(docs, text) // BLOCK_BYTES))
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row")] if keep_row else []
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"),
                     F.coalesce(F.col(text), F.lit("")).alias("text"), *row)
