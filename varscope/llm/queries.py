@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_mincut, mixing, ngram_join, packing, quality_rules, substring_dedup, suffix_dedup, token_files
+from . import embedding_index, html_mincut, mixing, ngram_join, packing, quality_rules
+from . import substring_dedup, suffix_dedup, token_files, toxicity
 from .common import table
 from .tokens import tokenizer_path
 
@@ -90,3 +91,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), keep_ids=False)
+
+
+@register("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@register("op10_embedding_index")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_index.near_duplicates(table(spark, sf_dir, "embeddings"))
