@@ -17,8 +17,11 @@ import numpy as np
 CACHE_PIECES = 1_000_000
 CACHE_CHARS = 48
 _CODECS: dict[tuple[str, str], "Codec"] = {}
-#: A blank beside other white space: here a blank may not open the next piece.
-UNSURE = re.compile(r"\s | \s")
+#: Two white space characters in a row: here a blank may not open the next piece.
+UNSURE = re.compile(r"\s\s")
+INNER = re.compile(r"\s")
+#: New pieces that are encoded in one text.
+JOINED = 2_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -37,33 +40,61 @@ class Codec:
         self.cut = cut
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() < 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
+        # stands between new pieces that are encoded together; must be one id
+        self.mark = "\n" if cut == "byte" else "\x02"
+        mark = self.tok.encode(self.mark, add_special_tokens=False).ids
+        self.mark_id = mark[0] if len(mark) == 1 else None
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         kind = "H" if self.dtype.itemsize == 2 else "I"
         return [array(kind, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_new(self, texts: list[str]) -> list[bytes]:
+        """Like :meth:`_encode` for many short pieces: in one text, told apart by the mark's id."""
+        if self.cut == "byte":
+            plain = [t != " " and t != "" and not INNER.search(t, 1) and t[0] != "\n" for t in texts]
+        else:
+            plain = [self.mark not in t for t in texts]
+        out: list[bytes] = [b""] * len(texts)
+        rest = [k for k, x in enumerate(plain) if not x or self.mark_id is None]
+        good = [k for k, x in enumerate(plain) if x and self.mark_id is not None]
+        groups = [good[i:i + JOINED] for i in range(0, len(good), JOINED)]
+        glue = self.mark if self.cut == "byte" else f" {self.mark} "
+        size = self.dtype.itemsize
+        for g, data in zip(groups, self._encode([glue.join(texts[k] for k in g) for g in groups])):
+            cuts = np.flatnonzero(np.frombuffer(data, self.dtype) == self.mark_id)
+            if len(cuts) != len(g) - 1:
+                rest += g
+                continue
+            begin = [0, *((cuts + 1) * size).tolist()]
+            for k, lo, hi in zip(g, begin, [*(cuts * size).tolist(), len(data)]):
+                out[k] = data[lo:hi]
+        for k, data in zip(rest, self._encode([texts[k] for k in rest])):
+            out[k] = data
+        return out
+
     def pieces(self, text: str) -> list[str]:
-        """Keys of :attr:`known`; after NUL a piece stands as it is, other pieces follow a blank."""
+        """Keys of :attr:`known`; after NUL a piece stands as it is, a line end is its own, others follow a blank."""
         if self.cut == "space":
             return text.replace("\n", " ").split(" ")
         if "\0" in text or UNSURE.search(text):
             return ["\0" + text]
-        parts = text.split(" ")
-        parts[0] = "\0" + parts[0]
-        return parts
+        return ("\0" + text).replace("\n", " \n \0").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``dtype``."""
+        known = self.known
         cut = [self.pieces(t) for t in texts]
-        new = list(set().union(*cut) - self.known.keys())
-        plain = new if self.cut == "space" else [p[1:] if p[:1] == "\0" else " " + p for p in new]
-        local = dict(zip(new, self._encode(plain)))
-        known, room = self.known, CACHE_PIECES - len(self.known)
-        known.update(local)
+        new = list({w for p in cut for w in p if w not in known})
+        plain = new if self.cut == "space" else [p[1:] if p[:1] == "\0" else p if p == "\n" else " " + p for p in new]
+        room = CACHE_PIECES - len(known)
+        known.update(zip(new, self._encode_new(plain)))
         out = [b"".join(map(known.__getitem__, p)) for p in cut]
-        for k in new if room < len(new) else [k for k in new if len(k) > CACHE_CHARS]:
-            if len(known) > CACHE_PIECES or len(k) > CACHE_CHARS:
-                del known[k]
+        for k in new[max(room, 0):] if room < len(new) else []:
+            del known[k]
+        for k in new:
+            if len(k) > CACHE_CHARS:
+                known.pop(k, None)
         return out
 
 

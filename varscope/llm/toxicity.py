@@ -1,16 +1,16 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained: one on ordinary text, one on toxic text (what toxic
-documents hold far more often than ordinary ones, by character 5-grams). A window of words is
+documents hold far more often than ordinary ones). A window of words is
 compressed with the ordinary dictionary alone and with the toxic one put before it; how many
 bytes the toxic dictionary saves is the window's distance. Thresholds on the distance give
 counts and shares of windows, and a logistic regression calibrates them to a probability.
 
 The model is fitted on the driver from at most :data:`MAX_TOXIC` and :data:`MAX_ORDINARY`
 labelled documents, the first of each class by a hash of their id, :data:`MAX_CHARS` characters
-of each: a bounded sample, whatever the input. Two thirds train the dictionaries, the rest the
-calibration, weighted to the class shares of all labelled rows that may be learnt from. Scoring
-takes whole texts and nothing but texts.
+of each: a bounded sample, whatever the input. The calibration sees each text through
+dictionaries of the other folds, weighted to the class shares of all labelled rows that may be
+learnt from; scoring uses dictionaries of all folds, takes whole texts and nothing but texts.
 
 Defined results: null and empty texts get the score of a text without windows; without toxic or
 without ordinary labels the score is the share of toxic labels for all (0 without labels);
@@ -35,8 +35,11 @@ from .common import batch
 
 MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 2000, 4000, 20_000
 TOXIC_BYTES, ORDINARY_BYTES = 4096, 8192
+FOLDS, MAX_WINDOWS = 3, 40_000
 WINDOW = 8
-GRAM, RATIO, SHARE = 5, 30, 0.005
+GRAM, LONGEST, RATIO = 5, 7, 30
+#: Share of toxic texts that must hold a stretch of GRAM bytes, and a longer beginning of a word.
+SHARE, LONG_SHARE = 0.005, 0.02
 STEPS = (1, 2, 3, 5)
 THRESHOLD = 0.3
 
@@ -45,8 +48,10 @@ def _words(text: str) -> list[bytes]:
     return text.lower().encode().split()
 
 
-def _grams(word: bytes) -> set[bytes]:
-    return {word[i:i + GRAM] for i in range(max(1, len(word) - GRAM + 1))}
+def _grams(word: bytes) -> dict[bytes, int]:
+    """Where in a word its stretches of :data:`GRAM` bytes are, and its longer beginnings."""
+    out = {word[i:i + GRAM]: i for i in range(max(1, len(word) - GRAM + 1))}
+    return out | {word[:n]: 0 for n in range(GRAM + 1, min(len(word), LONGEST) + 1)}
 
 
 def _windows(text: str) -> list[bytes]:
@@ -55,7 +60,7 @@ def _windows(text: str) -> list[bytes]:
 
 
 def marked(toxic: list[str], ordinary: list[str]) -> set[bytes]:
-    """5-grams of words that toxic texts hold :data:`RATIO` times as often as ordinary ones."""
+    """Stretches of words that toxic texts hold :data:`RATIO` times as often as ordinary ones."""
     seen = []
     for texts in (toxic, ordinary):
         c: Counter = Counter()
@@ -63,32 +68,41 @@ def marked(toxic: list[str], ordinary: list[str]) -> set[bytes]:
             c.update(set().union(*(_grams(b" " + w + b" ") for w in set(_words(t)))))
         seen.append(c)
     a, b = seen
-    return {g for g, n in a.items() if n >= max(3, SHARE * len(toxic)) and n / len(toxic) > RATIO * (b[g] + 0.5) / len(ordinary)}
+    least = {n: max(3, (SHARE if n <= GRAM else LONG_SHARE) * len(toxic)) for n in range(LONGEST + 1)}
+    return {g for g, n in a.items() if n >= least[len(g)] and n / len(toxic) > RATIO * (b[g] + 0.5) / len(ordinary)}
 
 
 def toxic_stretches(texts: list[str], grams: set[bytes]) -> list[bytes]:
-    """The parts of words that marked 5-grams cover."""
+    """The parts of words that marked stretches cover."""
     out = []
     for t in texts:
         for w in _words(t):
             w = b" " + w + b" "
-            hit = [i for i in range(len(w) - GRAM + 1) if w[i:i + GRAM] in grams]
-            for k, i in enumerate(hit):
-                if k and i < end:
-                    out[-1] += w[end:i + GRAM]
+            end = -1
+            for i, g in sorted((i, g) for g, i in _grams(w).items() if g in grams):
+                if i <= end:
+                    out[-1] += w[end:i + len(g)]
                 else:
-                    out.append(w[i:i + GRAM])
-                end = i + GRAM
+                    out.append(g)
+                end = max(end, i + len(g))
     return out
 
 
 def trained(samples: list[bytes], size: int) -> bytes:
-    """The content of a zstandard dictionary; too few samples are their own dictionary."""
+    """The content of a zstandard dictionary. The trainer leaves out much of few samples: what room
+    it leaves is filled with the most frequent samples that it left out."""
     try:
         data = zstandard.train_dictionary(size, samples).as_bytes()
-        return data[max(data.find(b" ", 120), 0):]       # without its header and entropy tables
+        data = data[max(data.find(b" ", 120), 0):]       # without its header and entropy tables
     except zstandard.ZstdError:
-        return b"".join(samples)[:size]
+        data = b""
+    more = []
+    for s, _ in Counter(samples).most_common():
+        if len(data) + sum(map(len, more)) + len(s) > size:
+            break
+        if s not in data:
+            more.append(s)
+    return b"".join(more) + data
 
 
 @dataclass
@@ -131,6 +145,15 @@ def features(texts: list[str], compressors: tuple) -> np.ndarray:
     return out
 
 
+def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary."""
+    stretches = toxic_stretches(toxic, marked(toxic, ordinary))
+    windows = [w for t in ordinary for w in _windows(t)]
+    for s in (stretches, windows):
+        random.Random(7).shuffle(s)
+    return trained(windows[:MAX_WINDOWS], ORDINARY_BYTES), trained(stretches, TOXIC_BYTES)
+
+
 def fit(rows: list[tuple[str, int]], share: float) -> Model:
     """``share``: of toxic ones among all labelled rows that may be learnt from."""
     rows = sorted(rows, key=lambda r: (r[1], r[0]))
@@ -138,15 +161,15 @@ def fit(rows: list[tuple[str, int]], share: float) -> Model:
     toxic, ordinary = ([t for t, y in rows if y == k] for k in (1, 0))
     if not toxic or not ordinary:
         return Model(base=share)
-    cut = [(v[: -(-2 * len(v) // 3)], v[-(-2 * len(v) // 3):] or v) for v in (toxic, ordinary)]
-    stretches = toxic_stretches(cut[0][0], marked(cut[0][0], cut[1][0]))
-    windows = [w for t in cut[1][0] for w in _windows(t)]
-    for s in (stretches, windows):
-        random.Random(7).shuffle(s)
-    model = Model(share, trained(windows[:100_000], ORDINARY_BYTES), trained(stretches, TOXIC_BYTES))
-    texts = cut[0][1] + cut[1][1]
-    y = np.repeat([1.0, 0.0], [len(cut[0][1]), len(cut[1][1])])
-    x = features(texts, model.compressors())
+    x, y = [], []
+    for k in range(FOLDS):                                       # features of texts that their dictionaries don't know
+        kept = [[t for i, t in enumerate(v) if i % FOLDS != k or len(v) < FOLDS] for v in (toxic, ordinary)]
+        left = [[t for i, t in enumerate(v) if i % FOLDS == k] for v in (toxic, ordinary)]
+        part = Model(share, *dictionaries(*kept))
+        x.append(features(left[0] + left[1], part.compressors()))
+        y += [1.0] * len(left[0]) + [0.0] * len(left[1])
+    x, y = np.concatenate(x), np.array(y)
+    model = Model(share, *dictionaries(toxic, ordinary))
     model.mean, model.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     design = np.column_stack([np.ones(len(x)), (x - model.mean) / model.scale])
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
