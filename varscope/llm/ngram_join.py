@@ -12,8 +12,9 @@ signatures of its own band and of the bands that larger partners can be in.
 
 1. Blocks of documents ask which signatures are shared by different sets.
 2. Sets with a shared signature ask which of their shingles occur in another such set. A set
-   with less than ``threshold`` of its shingles in others links with nothing. This takes the
-   many variants of one text apart without looking at their pairs.
+   with less than ``threshold`` of its shingles in others links with nothing, and two sets of
+   which one has too few such shingles for their sizes don't link. This takes the many variants
+   of one text apart without comparing them.
 3. The sets that are left are compared exactly: first each with the least set of each of its
    signatures; then, for signatures whose sets are not yet in one component, all pairs between
    different components. Pairs within a component need no look, so no link is lost.
@@ -202,7 +203,8 @@ def _live_sets(docs: DataFrame, id_col: str, text: str, n: int, num: int, den: i
         own, back, count = np.unique(sets.hash, return_inverse=True, return_counts=True)
         local = np.bincount(back[one[sets.text]], minlength=len(own))
         common = (member(own, told(reply)) | (local > 1))[back]
-        live = one & (den * np.bincount(sets.text[common], minlength=len(sets.size)) >= num * sets.size)
+        in_others = np.bincount(sets.text[common], minlength=len(sets.size))
+        live = one & (den * in_others >= num * sets.size)
         row, sig = sets.signatures(np.flatnonzero(live), num, den)
         sig = sig[np.argsort(row, kind="stable")]
         n_sig = np.bincount(row, minlength=len(sets.size))
@@ -210,6 +212,7 @@ def _live_sets(docs: DataFrame, id_col: str, text: str, n: int, num: int, den: i
         return pa.table({
             "doc_id": pa.array(ids), "th": t["th"], "n_shingles": pa.array(sets.size.astype(np.int64)),
             "k1": pa.array(sets.k1.view(np.int64)), "k2": pa.array(sets.k2.view(np.int64)), "live": pa.array(live),
+            "common": pa.array(in_others.astype(np.int64)),
             "hashes": binaries(sets.hash[mine].view(np.uint8), 8 * np.concatenate([[0], np.cumsum(sets.size * live)])),
             "signatures": binaries(sig.view(np.uint8), 8 * np.concatenate([[0], np.cumsum(n_sig)]))})
 
@@ -217,7 +220,7 @@ def _live_sets(docs: DataFrame, id_col: str, text: str, n: int, num: int, den: i
     asked = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(ask_shingles, MESSAGE)
     common = shared(asked, hot=1 << 62)
     return written(blocks.groupBy("block").cogroup(common.groupBy("block")).applyInArrow(
-        tell, "doc_id long, th long, n_shingles long, k1 long, k2 long, live boolean, hashes binary, signatures binary"), "sets")
+        tell, "doc_id long, th long, n_shingles long, k1 long, k2 long, live boolean, common long, hashes binary, signatures binary"), "sets")
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -246,22 +249,26 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text: str = "
     that links reach; similarity num / den or more is a link."""
     sets = _live_sets(docs, id_col, text, n, num, den)
     classes = sets.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
-    live = sets.filter("live").groupBy("k1", "k2").agg(F.first("hashes").alias("hashes"), F.first("signatures").alias("signatures"))
-    nodes = written(live.join(classes, ["k1", "k2"]).select("node", "hashes", "signatures"), "nodes")
+    live = sets.filter("live").groupBy("k1", "k2").agg(F.first("hashes").alias("hashes"),
+                                                            F.first("signatures").alias("signatures"), F.max("common").alias("common"))
+    nodes = written(live.join(classes, ["k1", "k2"]).select("node", "common", "hashes", "signatures"), "nodes")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sig, off = raw(b.column("signatures"))
             count = np.diff(off) // 8
-            yield batch(["sig", "node", "size"], [sig.view(np.int64), np.repeat(b.column("node").to_numpy(), count),
-                                                  np.repeat(b.column("size").to_numpy(), count)])
-
-    signed = written(nodes.select("node", "signatures", (F.octet_length("hashes") / 8).cast("long").alias("size"))
-                     .mapInArrow(explode, "sig long, node long, size long"), "signatures")
-    close = (F.least("size", "size_b") * den >= F.greatest("size", "size_b") * num)
-    hubs = (signed.groupBy("sig").agg(F.min(F.struct("node", "size")).alias("hub"), F.max("node").alias("last"))
+            yield batch(["sig", "node", "size", "common"], [sig.view(np.int64), *(np.repeat(b.column(c).to_numpy(), count)
+                                                                                  for c in ("node", "size", "common"))])
+
+    signed = written(nodes.select("node", "common", "signatures", (F.octet_length("hashes") / 8).cast("long").alias("size"))
+                     .mapInArrow(explode, "sig long, node long, size long, common long"), "signatures")
+    # shingles that no other set has are in no intersection, so both sets must have enough of the others
+    enough = num * (F.col("size") + F.col("size_b"))
+    close = ((F.least("size", "size_b") * den >= F.greatest("size", "size_b") * num)
+             & (F.least("common", "common_b") * (den + num) >= enough))
+    hubs = (signed.groupBy("sig").agg(F.min(F.struct("node", "size", "common")).alias("hub"), F.max("node").alias("last"))
             .filter(F.col("hub.node") != F.col("last"))
-            .select(F.col("sig").alias("_s"), F.col("hub.node").alias("b"), F.col("hub.size").alias("size_b")))
+            .select(F.col("sig").alias("_s"), F.col("hub.node").alias("b"), F.col("hub.size").alias("size_b"), F.col("hub.common").alias("common_b")))
     stars = (signed.join(hubs, F.col("sig") == F.col("_s")).filter((F.col("node") != F.col("b")) & close)
              .select(F.col("node").alias("a"), "b").distinct())
     stars = written(stars, "stars")
@@ -269,11 +276,11 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text: str = "
     labels = written(components(links), "labels")
 
     named = (signed.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
-             .select("sig", "node", "size", F.coalesce("label", "node").alias("label")))
+             .select("sig", "node", "size", "common", F.coalesce("label", "node").alias("label")))
     mixed = (named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
              .select(F.col("sig").alias("_s")))
     open_ = written(named.join(mixed, F.col("sig") == F.col("_s")).drop("_s"), "open")
-    other = open_.select(F.col("sig").alias("_s"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
+    other = open_.select(F.col("sig").alias("_s"), F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("size", "common", "label")])
     cross = (open_.join(other, (F.col("sig") == F.col("_s")) & (F.col("label") != F.col("label_b")) & (F.col("node") > F.col("b")) & close)
              .select(F.col("node").alias("a"), "b").distinct())
     more = _verify(cross.join(stars, ["a", "b"], "left_anti"), nodes, num, den)
