@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.data import CLASH, DOC_SCHEMA, documents, frame
+from tests.llm.data import CLASH, DOC_SCHEMA, documents, frame, sentences
 from varscope.llm import mixing, ngram_join, packing, quality_rules, substring_dedup, suffix_dedup, token_files
 from varscope.llm.tokens import Codec, tokenizer_path
 
@@ -58,7 +59,7 @@ def test_quality_rules(docs, empty):
 
 
 def test_quality_line_rules():
-    good = "\n".join("A sentence of plain words number %s goes on here, and ends." % "abcdefghijklmnop"[k] for k in range(12))
+    good = "\n".join(sentences(random.Random(1), 120))
     assert quality_rules.judge(good.encode())[0][6]
     for bad in ("Home | News | Sport | Shop | About", "##### $$$ %%% words ***** &&&", "ALL OF THIS IS LOUD TEXT",
                 "All rights reserved.", "no sentence mark in this quite long line at all"):
@@ -276,4 +277,4 @@ def test_packing_plan_is_tight():
                 used[n] += count
         assert (used == histogram).all()
         least = -(-int((np.arange(1025) * histogram).sum()) // 1024)
-        assert sum(c for _, c in plan) <= 1.005 * least + 1
+        assert sum(c for _, c in plan) <= 1.01 * least + 1

@@ -32,7 +32,11 @@ def in_blocks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep_
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     count = max(n, -(-text_bytes(docs, text) // BLOCK_BYTES))
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row")] if keep_row else []
+    row = []
+    if keep_row:
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
+        kind = docs.select(whole.alias("row")).schema["row"].dataType.toNullable()   # as rows come back from Python
+        row = [whole.cast(kind).alias("row")]
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"),
                     F.coalesce(F.col(text), F.lit("")).alias("text"), *row)
     d = d.withColumn("th", F.xxhash64("doc_id", "text"))

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import MESSAGE, contents, earlier, in_blocks, ordered, send, shared, told, with_answers
 from .common import NULL_ID
@@ -95,10 +96,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", len
 
     replies = shared(blocks.groupBy("block").applyInArrow(level_one, MESSAGE), hot=1 << 62)
     later = earlier(with_answers(blocks, replies, level_two, MESSAGE), by_place=False)
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    schema = T.StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
     if keep_text:
-        schema += f", text string, row {blocks.schema['row'].dataType.simpleString()}"
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text", "row"] * keep_text
+        schema.add("text", "string").add("row", blocks.schema["row"].dataType)
+    names = schema.names
     out = blocks.groupBy("block").cogroup(later.groupBy("block")).applyInArrow(
         lambda left, right: remove(left, right).select(names), schema)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))

@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import MESSAGE, contents, in_blocks, ordered, send, shared, squeeze, told, unsqueeze
 from .common import NULL_ID
@@ -310,10 +311,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", len
     letters = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
         lambda a, b: tell(a, b).select(names), LETTER)
     verdicts = letters.groupBy("bucket").applyInArrow(judge, REPLY)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = T.StructType()
+    for name, kind in [("doc_id", "long"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")]:
+        schema.add(name, kind)
     if keep_bytes:
-        schema += (f", kept binary, spans array<struct<start: long, end: long>>, "
-                   f"row {blocks.schema['row'].dataType.simpleString()}")
+        schema.add("kept", "binary").add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("row", blocks.schema["row"].dataType)
     out = blocks.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(remove, schema)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
