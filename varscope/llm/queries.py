@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_index, html_mincut, mixing, ngram_join, packing, quality_rules
-from . import substring_dedup, suffix_dedup, token_files, toxicity
+from . import embedding_index, html_mincut, mixing, ngram_join, oracles, packing
+from . import quality_rules, substring_dedup, suffix_dedup, token_files, toxicity
 from .common import table
 from .tokens import tokenizer_path
 
@@ -28,34 +28,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_mincut.extract_pages(table(spark, sf_dir, "pages"))
 
 
-OP2_SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]+')) AS runs,
-         (CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
-  FROM documents),
-k AS (SELECT *, -ln(u) / greatest(1.0::DOUBLE - runs / greatest(size, 1)::DOUBLE, 0.05::DOUBLE) AS key FROM d),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
-r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rk FROM s),
-w AS (SELECT *, [5.0, 2.0, 1.0][((rk - 1) % 3 + 1)::INT]::DOUBLE AS w, source_size * 3.0::DOUBLE AS cap FROM r),
-l AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-             / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lev FROM w),
-f AS (SELECT *, cap <= lev * w AS is_full FROM l),
-g AS (SELECT arg_min(lev, rk_fill) AS lev FROM (SELECT *, row_number() OVER (ORDER BY cap / w, rk) AS rk_fill FROM f) WHERE NOT is_full),
-t AS (SELECT source, source_size, CASE WHEN is_full THEN cap ELSE g.lev * w END AS target FROM f LEFT JOIN g ON true),
-e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
-b AS (SELECT k.doc_id, k.size, k.key, e.source, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
-             sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key) AS cum
-      FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source),
-o AS (SELECT source, min(cum) FILTER (cum > rest) AS over_end, coalesce(max(cum) FILTER (cum <= rest), 0) AS under_end FROM b GROUP BY source)
-SELECT b.doc_id, b.size, b.source_size, b.target,
-       (b.size * (b.epochs + CASE WHEN b.rest > 0 AND (b.cum <= b.rest OR (b.cum = o.over_end AND o.over_end - b.rest < b.rest - o.under_end))
-                                  THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM b JOIN o ON b.source IS NOT DISTINCT FROM o.source
-"""
-
-
-@register("op2_mixing", OP2_SQL)
+@register("op2_mixing", oracles.MIXING)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -67,12 +40,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, files, ids=False)
 
 
-@register("op4_quality_rules")
+@register("op4_quality_rules", oracles.QUALITY)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.assess(table(spark, sf_dir, "documents"))
+    return quality_rules.assess(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-@register("op5_substring_dedup")
+@register("op5_substring_dedup", oracles.SUBSTRINGS)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(table(spark, sf_dir, "documents"), keep_text=False)
 
@@ -82,7 +56,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), keep_bytes=False)
 
 
-@register("op7_ngram_join")
+@register("op7_ngram_join", oracles.NGRAMS)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ngram_join.similarity_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
     return out.select("doc_id", "n_shingles", "component_id")
@@ -99,6 +73,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-@register("op10_embedding_index")
+@register("op10_embedding_index", oracles.EMBEDDINGS)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_index.near_duplicates(table(spark, sf_dir, "embeddings"))
