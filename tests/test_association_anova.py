@@ -1,8 +1,9 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from conftest import frame
 from varscope.operators.anova import (confounders, eta_squared, segment_rates, significant_subgroups)
-from varscope.operators.association import correlation_pvalues, top_pairs
+from varscope.operators.association import correlation_matrix, correlation_pvalues, pair_stats, top_pairs
 
 
 def test_pairwise_complete_correlation_matches_numpy(spark):
@@ -79,18 +80,33 @@ def test_subgroups_confounders_and_rates(spark):
     assert [r["level"] for r in sorted(rates, key=lambda r: r["rank"])][0] == "g3"
 
 
-def test_gram_path_equals_aggregate_path(spark):
+def test_pairs_with_gaps_by_segment(spark):
     rng = np.random.default_rng(8)
-    data = rng.normal(size=(300, 6)) * [1, 10, 100, 1e3, 1e4, 1e5] + [0, 5, -50, 1e6, 0, 1]
+    data = rng.normal(size=(300, 18)) * np.logspace(0, 6, 18) + np.arange(18) ** 3
     data[:, 1] += data[:, 0] * 3
     data[rng.uniform(size=data.shape) < 0.1] = np.nan
+    data[:, 5] = 0.1                                                    # constant everywhere
     seg = rng.choice(["a", "b"], 300)
+    data[seg == "b", 7] = 3.3                                           # constant in one segment
     rows = [(str(s), *[None if np.isnan(v) else float(v) for v in r]) for s, r in zip(seg, data)]
-    df = spark.createDataFrame(rows, ["seg"] + [f"c{i}" for i in range(6)])
-    cols = [f"c{i}" for i in range(6)]
-    a = {(r["seg"], r["column_a"], r["column_b"]): r for r in correlation_pvalues(df, cols, by=["seg"], method="agg").collect()}
-    g = {(r["seg"], r["column_a"], r["column_b"]): r for r in correlation_pvalues(df, cols, by=["seg"], method="gram").collect()}
-    assert a.keys() == g.keys()
-    for key in a:
-        assert a[key]["n"] == g[key]["n"] and abs(a[key]["r"] - g[key]["r"]) < 1e-9
-        assert abs(a[key]["p_value_adjusted"] - g[key]["p_value_adjusted"]) < 1e-7
+    cols = [f"c{i}" for i in range(18)]
+    df = spark.createDataFrame(rows, ["seg", *cols])
+    got = {(r["seg"], r["idx_a"], r["idx_b"]): r for r in pair_stats(df, cols, by=["seg"]).collect()}
+    assert len(got) == 2 * 18 * 17 // 2
+    for (s, i, j), r in got.items():
+        x, y = data[seg == s][:, i], data[seg == s][:, j]
+        ok = ~np.isnan(x) & ~np.isnan(y)
+        assert r["n"] == ok.sum()
+        if x[ok].std() < 1e-12 * abs(x[ok]).max() or y[ok].std() < 1e-12 * abs(y[ok]).max():
+            assert r["r"] is None
+        else:
+            assert abs(r["r"] - np.corrcoef(x[ok], y[ok])[0, 1]) < 1e-9
+    tested = correlation_pvalues(df, cols).collect()
+    assert len(tested) == 17 * 16 // 2 and all("c5" not in (r["column_a"], r["column_b"]) for r in tested)
+    square = correlation_matrix(df, cols)
+    assert square.count() == 18 * 18
+
+
+def test_many_columns_are_all_paired(spark):
+    df = spark.range(40).select(*[(F.col("id") * (i + 1) + F.col("id") % (i + 2)).cast("double").alias(f"c{i}") for i in range(55)])
+    assert correlation_pvalues(df).count() == 55 * 54 // 2

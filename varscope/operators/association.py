@@ -1,10 +1,9 @@
 """A7-A9, T1, T3 - pairwise Pearson association with multiple-testing control.
 
-One scan: a single grouped aggregate holds, for every column pair, the
-pairwise-complete count and ``corr`` (Spark's stable co-moment aggregate,
-which skips rows where either side is NULL). Partial aggregates are combined
-map-side, so only one small buffer per (partition, segment) is shuffled.
-p-values, BH and ranking run on the aggregated pair rows.
+One scan and one implementation for any number of columns: each row is expanded to
+its column pairs inside the scan stage and aggregated there by (segment, pair) with
+Spark's stable co-moment aggregates, so only one small buffer per (partition,
+segment, pair) is shuffled. p-values, BH and ranking run on the aggregated pair rows.
 """
 
 from __future__ import annotations
@@ -12,8 +11,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,111 +18,43 @@ from ..functions.columns import as_list, num, numeric_columns
 from ..functions.fdr import bh_adjust
 from ..functions.special import pearson_pvalue
 
-MAX_COLUMNS_FOR_CORRELATION = 50
 FDR_SIGNIFICANCE_LEVEL = 0.05
-GRAM_MIN_PAIRS = 120
 
 
-def _pairs(cols: Sequence[str]) -> list[tuple[int, int, str, str]]:
-    return [(i, j, a, b) for (i, a), (j, b) in combinations(list(enumerate(cols)), 2)]
-
-
-def pair_stats(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] | None = None,
-               max_columns: int = MAX_COLUMNS_FOR_CORRELATION, method: str = "auto") -> DataFrame:
+def pair_stats(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] | None = None) -> DataFrame:
     """``by..., column_a, column_b, idx_a, idx_b, n, r`` for every pair of ``cols``.
 
     ``n`` counts rows where both columns are present; ``r`` is NULL when fewer
     than 3 such rows exist or one side is constant on them (pair not tested).
-    ``method``: ``"agg"`` (one JVM aggregate of ``corr`` per pair), ``"gram"``
-    (Arrow-batched masked Gram matrices, for many columns) or ``"auto"``.
+    A constant is told by its least and greatest value: its co-moments are only close to 0.
     """
     by = as_list(by)
     cols = list(cols) if cols is not None else numeric_columns(df, exclude=by)
-    cols = cols[:max_columns]
-    pairs = _pairs(cols)
-    if method == "gram" or (method == "auto" and len(pairs) > GRAM_MIN_PAIRS):
-        return _gram_pair_stats(df, cols, by)
-    clean = df.select(*by, *[num(c).alias(f"_c{i}") for i, c in enumerate(cols)])
-    aggs = []
-    for i, j, _, _ in pairs:
-        a, b = F.col(f"_c{i}"), F.col(f"_c{j}")
-        aggs.append(F.count(F.when(a.isNotNull() & b.isNotNull(), 1)).alias(f"n_{i}_{j}"))
-        aggs.append(F.corr(a, b).alias(f"r_{i}_{j}"))
-    from ..functions.joins import wide_agg
-    wide = wide_agg(clean, by, aggs)
-    entries = F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                                 F.lit(i).alias("idx_a"), F.lit(j).alias("idx_b"),
-                                 F.col(f"n_{i}_{j}").alias("n"), F.col(f"r_{i}_{j}").alias("r"))
-                        for i, j, a, b in pairs])
-    out = wide.select(*by, F.explode(entries).alias("_p")).select(*by, "_p.*")
-    valid = (F.col("n") >= 3) & ~F.isnan("r")
-    return out.withColumn("r", F.when(valid, F.col("r")))
-
-
-def _gram_pair_stats(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
-    """Pairwise-complete sums for all pairs in one scan.
-
-    Values are centred by their segment mean (one cheap aggregate, joined
-    back) for numerical stability; each Arrow batch adds, per segment, the
-    masked Gram products N = M'M, S = X'M, Q = (X^2)'M, P = X'X (X zero where
-    missing, M the presence mask); a ``groupBy(segment, i, j)`` sums the
-    partial matrices. Only k(k-1)/2 rows per (partition, segment) shuffle.
-    """
-    k = len(cols)
-    xs = [f"_c{i}" for i in range(k)]
-    clean = df.select(*by, *[num(c).alias(x) for c, x in zip(cols, xs)])
-    centres = clean.groupBy(*by).agg(*[F.avg(x).alias(f"_m{i}") for i, x in enumerate(xs)])
-    from ..functions.joins import keyed_join
-    rows = keyed_join(clean, centres, by)
-    rows = rows.select(*by, *[(F.col(x) - F.col(f"_m{i}")).alias(x) for i, x in enumerate(xs)])
-    iu, ju = np.triu_indices(k, 1)
-    seg_schema = "".join(f"`{b}` {df.schema[b].dataType.simpleString()}, " for b in by)
-    schema = seg_schema + "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
-
-    def partial(batches):
-        acc: dict = {}
-        for pdf in batches:
-            groups = pdf.groupby(by, dropna=False, sort=False) if by else [((), pdf)]
-            for key, g in groups:
-                x = g[xs].to_numpy(dtype=float)
-                m = ~np.isnan(x)
-                x0 = np.where(m, x, 0.0)
-                mf = m.astype(float)
-                mats = (mf.T @ mf, x0.T @ mf, (x0 * x0).T @ mf, x0.T @ x0)
-                key = key if isinstance(key, tuple) else (key,)
-                if key in acc:
-                    acc[key] = tuple(a + b for a, b in zip(acc[key], mats))
-                else:
-                    acc[key] = mats
-        for key, (nn, ss, qq, pp) in acc.items():
-            out = pd.DataFrame({"i": iu.astype("int32"), "j": ju.astype("int32"), "n": nn[iu, ju],
-                                "sx": ss[iu, ju], "sy": ss[ju, iu], "sxx": qq[iu, ju], "syy": qq[ju, iu],
-                                "sxy": pp[iu, ju]})
-            for b, v in zip(by, key):
-                out.insert(0, b, v)
-            yield out[[*by, "i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"]]
-
-    sums = (rows.mapInPandas(partial, schema)
-            .groupBy(*by, "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]))
-    n = F.col("n")
-    cxx = F.col("sxx") - F.col("sx") * F.col("sx") / n
-    cyy = F.col("syy") - F.col("sy") * F.col("sy") / n
-    cxy = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    pairs = list(combinations(range(len(cols)), 2))
+    if not pairs:
+        kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
+        return df.sparkSession.createDataFrame([], kinds + "column_a string, column_b string, idx_a int, idx_b int, n long, r double")
+    index = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs]))
+    rows = df.select(*by, F.array(*[num(c) for c in cols]).alias("_v")).select(*by, "_v", index.alias("_p"))
+    rows = rows.select(*by, F.col("_p.i").alias("idx_a"), F.col("_p.j").alias("idx_b"),
+                       F.col("_v")[F.col("_p.i")].alias("_x"), F.col("_v")[F.col("_p.j")].alias("_y"))
+    st = rows.groupBy(*by, "idx_a", "idx_b").agg(
+        F.regr_count("_y", "_x").alias("n"), F.regr_sxx("_y", "_x").alias("sxx"),
+        F.regr_syy("_y", "_x").alias("syy"), F.regr_sxy("_y", "_x").alias("sxy"),
+        *[f(F.when(F.col(o).isNotNull(), F.col(c))).alias(f"{k}{c}")
+          for c, o in (("_x", "_y"), ("_y", "_x")) for k, f in (("lo", F.min), ("hi", F.max))])
+    varied = (F.col("lo_x") < F.col("hi_x")) & (F.col("lo_y") < F.col("hi_y"))
+    r = F.try_divide("sxy", F.sqrt("sxx") * F.sqrt("syy"))
     names = F.array(*[F.lit(c) for c in cols])
-    valid = (n >= 3) & (cxx > 0) & (cyy > 0)
-    return sums.select(*by, F.element_at(names, F.col("i") + 1).alias("column_a"),
-                       F.element_at(names, F.col("j") + 1).alias("column_b"),
-                       F.col("i").alias("idx_a"), F.col("j").alias("idx_b"), n.cast("long").alias("n"),
-                       F.when(valid, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cxy / F.sqrt(cxx * cyy))))
-                       .alias("r"))
+    return st.select(*by, names[F.col("idx_a")].alias("column_a"), names[F.col("idx_b")].alias("column_b"), "idx_a", "idx_b", "n",
+                     F.when((F.col("n") >= 3) & varied, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r))).alias("r"))
 
 
 def correlation_pvalues(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] | None = None,
-                        alpha: float = FDR_SIGNIFICANCE_LEVEL,
-                        max_columns: int = MAX_COLUMNS_FOR_CORRELATION, method: str = "auto") -> DataFrame:
+                        alpha: float = FDR_SIGNIFICANCE_LEVEL) -> DataFrame:
     """A8+A9: r, two-sided p, BH-adjusted p and significance for each tested pair."""
     by = as_list(by)
-    stats = pair_stats(df, cols, by, max_columns, method).where(F.col("r").isNotNull())
+    stats = pair_stats(df, cols, by).where(F.col("r").isNotNull())
     stats = stats.withColumn("p_value", pearson_pvalue(F.col("r"), F.col("n")))
     out = bh_adjust(stats, "p_value", "p_value_adjusted", partition_by=by, tie_break=["idx_a", "idx_b"])
     return out.withColumn("significant", F.col("p_value_adjusted") < alpha)
