@@ -10,7 +10,7 @@ selection:
 2. every needed rank starts in the bracket [min, max];
 3. each round is ONE scan: rows are routed to the open bracket of their key,
    brackets still larger than ``collect_limit`` rows are split into ``bins``
-   equal-width buckets (only (bucket, count, min, max) is shuffled), brackets
+   buckets (only (bucket, count, min, max) is shuffled), brackets
    at most ``collect_limit`` rows are collected and sorted;
 4. a rank moves to the bucket that holds it; a bucket whose min equals its
    max resolves all its ranks at once (heavy ties resolve immediately).
@@ -25,7 +25,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -53,10 +53,27 @@ def _single_pass(data: DataFrame, keys: list[str], probs: list[float]) -> DataFr
     return g.select(*keys, n.cast("long").alias("n"), F.array(*qs).alias("quantiles"))
 
 
+def _magnitude(c: Column) -> Column:
+    """A monotone map of the doubles onto [-1456, 1456]: sign times the log of the size above the least double."""
+    size = F.ln(F.greatest(F.abs(c), F.lit(5e-324))) + F.lit(746.0)
+    return F.when(c == 0, F.lit(0.0)).otherwise(F.signum(c) * size)
+
+
+def _bucket(bins: int) -> Column:
+    """The bucket of ``_v`` in its bracket [lo, hi]: by magnitude while the bracket spans more than a
+    decade, which takes one round, then by value, of whose 52 bits each round settles 12. The ends
+    of a bracket never share a bucket, so every round splits it and few rounds are needed."""
+    v, lo, hi = F.col("_v"), F.col("lo"), F.col("hi")
+    wide = (F.signum(lo) != F.signum(hi)) | (F.greatest(F.abs(lo), F.abs(hi)) / 10 > F.least(F.abs(lo), F.abs(hi)))
+    by_value = F.try_divide(v / 2 - lo / 2, hi / 2 - lo / 2)
+    by_size = F.try_divide(_magnitude(v) - _magnitude(lo), _magnitude(hi) - _magnitude(lo))
+    share = F.coalesce(F.when(wide, by_size).otherwise(by_value), F.when(v == hi, F.lit(1.0)).otherwise(F.lit(0.0)))
+    return F.when(hi == lo, F.lit(0)).otherwise(F.least(F.lit(bins - 1), F.floor(share * bins).cast("int")))
+
+
 def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str = "value",
                     probs: Sequence[float] = (0.5,), *, stats: DataFrame | None = None,
-                    bins: int = 4096, collect_limit: int = 1_000_000,
-                    max_rounds: int = 24) -> DataFrame:
+                    bins: int = 4096, collect_limit: int = 1_000_000) -> DataFrame:
     """Return ``keys..., n, quantiles`` where ``quantiles[i]`` matches ``probs[i]``.
 
     ``stats`` (optional) must hold ``keys, n, vmin, vmax`` for the non-null values.
@@ -90,17 +107,16 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str = "value
                      F.lit(0).cast("long").alias("below"), F.col("n").alias("cnt"),
                      F.when(F.col("vmin") == F.col("vmax"), F.col("vmin")).alias("val")))
 
-    for _ in range(max_rounds):
+    rounds = 0
+    while True:
         open_ranks = ranks.where(F.col("val").isNull())
-        if _ > 0 and open_ranks.limit(1).count() == 0:
+        if rounds and open_ranks.limit(1).count() == 0:
             break
+        rounds += 1
         done = ranks.where(F.col("val").isNotNull())
         brackets = (open_ranks.select(*keys, "lo", "hi", "below", "cnt").distinct()
                     .withColumn("_collect", F.col("cnt") <= collect_limit))
-        half_w = F.col("hi") / 2 - F.col("lo") / 2
-        bucket = (F.when(F.col("hi") == F.col("lo"), F.lit(0))
-                  .otherwise(F.least(F.lit(bins - 1),
-                                     F.floor((F.col("_v") / 2 - F.col("lo") / 2) / half_w * bins).cast("int"))))
+        bucket = _bucket(bins)
         kinds = {r["_collect"] for r in brackets.select("_collect").distinct().collect()}
         parts = []
         if False in kinds:
