@@ -1,9 +1,9 @@
 """A24 - derived columns: t = a*b, a+b, a-b or b-a (within 2 %) on > 95 % of rows.
 
-Every (target, pair, form) counter is a conditional count in ONE aggregate
-(JVM, whole-stage codegen) for moderate column counts; for wide tables the
-same counters are summed per Arrow batch in ``mapInPandas`` and combined by
-a small ``groupBy``. Either way it is one scan.
+One implementation for any number of columns, in one scan: each row is expanded to its
+(target, pair) candidates inside the scan stage and the matches are counted there, so only one
+small buffer per (partition, candidate) is shuffled. The candidates are cubic in the columns;
+those that no row can match are left out beforehand by the columns' ranges (exact).
 """
 
 from __future__ import annotations
@@ -11,106 +11,77 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import num, numeric_columns
 
 RELATIVE_TOLERANCE = 0.02
-MAX_COLUMNS_FOR_DERIVED_DETECTION = 30
 MIN_VALID_ROWS = 3
 MATCH_SHARE = 0.95
 FORMS = ("product", "sum", "difference", "reverse_difference")
-WIDE_AGG_LIMIT = 3000
-CODEGEN_FIELDS = 90
 
 
-def _triples(cols: list[str]) -> list[tuple[int, int, int]]:
+def _reachable(ranges: list[tuple[float, float] | None]) -> list[tuple[int, int, int]]:
+    """(target, a, b) of which some form of a and b can come within the tolerance of the target's range."""
     out = []
-    for ti, _ in enumerate(cols):
-        others = [i for i in range(len(cols)) if i != ti]
-        out += [(ti, a, b) for a, b in combinations(others, 2)]
+    for t, span in enumerate(ranges):
+        if span is None:
+            continue
+        lo, hi = span
+        slack = RELATIVE_TOLERANCE * max(abs(lo), abs(hi)) + 1e-9
+        for i, j in combinations([k for k in range(len(ranges)) if k != t], 2):
+            if ranges[i] is None or ranges[j] is None:
+                continue
+            (a0, a1), (b0, b1) = ranges[i], ranges[j]
+            products = (a0 * b0, a0 * b1, a1 * b0, a1 * b1)
+            spans = [(min(products), max(products)), (a0 + b0, a1 + b1), (a0 - b1, a1 - b0), (b0 - a1, b1 - a0)]
+            if any(s0 <= hi + slack and s1 >= lo - slack for s0, s1 in spans):
+                out.append((t, i, j))
     return out
 
 
-def derived_counters(df: DataFrame, cols: Sequence[str] | None = None,
-                     max_columns: int = MAX_COLUMNS_FOR_DERIVED_DETECTION) -> DataFrame:
-    """``target, col_a, col_b, valid, product, sum, difference, reverse_difference`` counts."""
+def derived_counters(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """``target, col_a, col_b, valid, product, sum, difference, reverse_difference`` counts of the
+    candidates that the ranges allow; the others match on no row."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    cols = cols[:max_columns]
-    trip = _triples(cols)
-    if not trip:  # fewer than three columns: nothing can be derived
+    clean = df.select(*[num(c).alias(f"_c{i}") for i, c in enumerate(cols)])
+    ends = clean.agg(*[f(f"_c{i}").alias(f"{k}{i}") for i in range(len(cols)) for k, f in (("lo", F.min), ("hi", F.max))]).first() \
+        if cols else None
+    trip = _reachable([(ends[f"lo{i}"], ends[f"hi{i}"]) if ends[f"lo{i}"] is not None else None for i in range(len(cols))])
+    if not trip:
         return df.sparkSession.createDataFrame(
             [], "target string, col_a string, col_b string, valid long, product long, sum long, "
                 "difference long, reverse_difference long")
-    clean = df.select(*[num(c).alias(f"_c{i}") for i, c in enumerate(cols)])
-    if len(trip) * 5 <= WIDE_AGG_LIMIT:
-        # conditional counts written as SQL expressions: one JVM call per aggregate
-        aggs = []
-        forms_sql = ("{a} * {b}", "{a} + {b}", "{a} - {b}", "{b} - {a}")
-        for k, (t, a, b) in enumerate(trip):
-            tv, av, bv = f"`_c{t}`", f"`_c{a}`", f"`_c{b}`"
-            valid = f"{tv} IS NOT NULL AND {av} IS NOT NULL AND {bv} IS NOT NULL"
-            aggs.append(F.expr(f"count(CASE WHEN {valid} THEN 1 END)").alias(f"k{k}_valid"))
-            for name, form in zip(FORMS, forms_sql):
-                pred = form.format(a=av, b=bv)
-                aggs.append(F.expr(f"count(CASE WHEN {valid} AND abs({tv} - ({pred})) / "
-                                   f"greatest(abs({tv}), 1e-9) < {RELATIVE_TOLERANCE} THEN 1 END)")
-                            .alias(f"k{k}_{name}"))
-        # whole-stage codegen stops at 100 output fields: aggregate in chunks of 90
-        # (one-row results, joined on a constant key) instead of one interpreted aggregate
-        from ..functions.joins import wide_agg
-        wide = wide_agg(clean, [], aggs, CODEGEN_FIELDS)
-        entries = F.array(*[F.struct(F.lit(cols[t]).alias("target"), F.lit(cols[a]).alias("col_a"),
-                                     F.lit(cols[b]).alias("col_b"), F.col(f"k{k}_valid").alias("valid"),
-                                     *[F.col(f"k{k}_{f}").alias(f) for f in FORMS])
-                            for k, (t, a, b) in enumerate(trip)])
-        return wide.select(F.explode(entries).alias("_e")).select("_e.*")
-    ti = np.array([t for t, _, _ in trip])
-    ai = np.array([a for _, a, _ in trip])
-    bi = np.array([b for _, _, b in trip])
-    schema = "k long, valid long, product long, sum long, difference long, reverse_difference long"
-
-    def count_batch(batches):
-        acc = np.zeros((len(trip), 5), dtype=np.int64)
-        for pdf in batches:
-            x = pdf.to_numpy(dtype=float)
-            tv, av, bv = x[:, ti], x[:, ai], x[:, bi]
-            valid = ~(np.isnan(tv) | np.isnan(av) | np.isnan(bv))
-            scale = np.maximum(np.abs(tv), 1e-9)
-            acc[:, 0] += valid.sum(axis=0)
-            with np.errstate(invalid="ignore", over="ignore"):
-                for f, pred in enumerate((av * bv, av + bv, av - bv, bv - av), start=1):
-                    acc[:, f] += (valid & (np.abs(tv - pred) / scale < RELATIVE_TOLERANCE)).sum(axis=0)
-        yield pd.DataFrame({"k": np.arange(len(trip)), "valid": acc[:, 0], "product": acc[:, 1],
-                            "sum": acc[:, 2], "difference": acc[:, 3], "reverse_difference": acc[:, 4]})
-
-    part = clean.mapInPandas(count_batch, schema)
-    tot = part.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("valid",) + FORMS])
-    names = df.sparkSession.createDataFrame(
-        [(k, cols[t], cols[a], cols[b]) for k, (t, a, b) in enumerate(trip)], "k long, target string, col_a string, col_b string")
-    return tot.join(F.broadcast(names), "k").drop("k")
-
-
-def derived_relationships(df: DataFrame, cols: Sequence[str] | None = None,
-                          max_columns: int = MAX_COLUMNS_FOR_DERIVED_DETECTION) -> DataFrame:
+    index = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(i).alias("a"), F.lit(j).alias("b")) for t, i, j in trip]))
+    rows = clean.select(F.array(*clean.columns).alias("_v")).select("_v", index.alias("_p"))
+    v = F.col("_v")
+    rows = rows.select("_p.*", v[F.col("_p.t")].alias("_t"), v[F.col("_p.a")].alias("_a"), v[F.col("_p.b")].alias("_b"))
+    scale = F.greatest(F.abs("_t"), F.lit(1e-9))
+    forms = (F.col("_a") * F.col("_b"), F.col("_a") + F.col("_b"), F.col("_a") - F.col("_b"), F.col("_b") - F.col("_a"))
+    counts = rows.where("_t IS NOT NULL AND _a IS NOT NULL AND _b IS NOT NULL").groupBy("t", "a", "b").agg(
+        F.count(F.lit(1)).alias("valid"),
+        *[F.count(F.when(F.abs(F.col("_t") - x) / scale < RELATIVE_TOLERANCE, 1)).alias(f) for f, x in zip(FORMS, forms)])
+    names = F.array(*[F.lit(c) for c in cols])
+    return counts.select(names[F.col("t")].alias("target"), names[F.col("a")].alias("col_a"), names[F.col("b")].alias("col_b"),
+                         "valid", *FORMS)
+
+
+def derived_relationships(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Matching (target, a, b, form) rows and the derived pairs they imply.
 
     Returns ``target, col_a, col_b, form, match_share`` for every form that
     matches; ``derived_pairs`` turns it into the unordered pair set.
     """
-    c = derived_counters(df, cols, max_columns)
+    c = derived_counters(df, cols)
     forms = F.array(*[F.struct(F.lit(f).alias("form"), (F.col(f) / F.col("valid")).alias("match_share"))
                       for f in FORMS])
     out = c.where(F.col("valid") >= MIN_VALID_ROWS).select("target", "col_a", "col_b", F.explode(forms).alias("_f"))
     return out.select("target", "col_a", "col_b", "_f.form", "_f.match_share").where(F.col("match_share") > MATCH_SHARE)
 
 
-def derived_pairs(df: DataFrame, cols: Sequence[str] | None = None,
-                  max_columns: int = MAX_COLUMNS_FOR_DERIVED_DETECTION) -> DataFrame:
+def derived_pairs(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Unordered pairs {target, a} and {target, b} (``column_a < column_b``)."""
-    rel = derived_relationships(df, cols, max_columns).select("target", "col_a", "col_b").distinct()
+    rel = derived_relationships(df, cols).select("target", "col_a", "col_b").distinct()
     p = rel.select("target", F.col("col_a").alias("o")).unionByName(rel.select("target", F.col("col_b").alias("o")))
     return p.select(F.least("target", "o").alias("column_a"), F.greatest("target", "o").alias("column_b")).distinct()

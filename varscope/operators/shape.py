@@ -30,7 +30,6 @@ QUADRATIC_IMPROVEMENT_THRESHOLD = 0.04
 QUADRATIC_P_VALUE_THRESHOLD = 0.10
 ETA_SQUARED_IMPROVEMENT_THRESHOLD = 0.02
 STEP_P_VALUE_THRESHOLD = 0.05
-MAX_NONLINEAR_PAIRS = 300
 
 
 def _pairs(pairs) -> list[tuple[str, str]]:
@@ -161,15 +160,14 @@ def step_patterns(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[
 
 
 def nonlinearity_scan(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] | None = None,
-                      top_k: int = 3, max_pairs: int = MAX_NONLINEAR_PAIRS,
-                      exclude: DataFrame | None = None) -> DataFrame:
+                      top_k: int = 3, exclude: DataFrame | None = None) -> DataFrame:
     """Quadratic + step on each pair; BH over the quadratic p-values of
     detected patterns (kept at <= 0.10); a kept quadratic hides the step
     result of the same pair; ranked by gain, then p. ``shown`` marks the top k.
     ``exclude`` (``target, feature``) drops pairs before BH (pairs explained
     by a strong confounder)."""
     by = as_list(by)
-    pairs = _pairs(pairs)[:max_pairs]
+    pairs = _pairs(pairs)
     quad = quadratic_patterns(df, pairs, by)
     step_all = step_patterns(df, pairs, by)
     if exclude is not None:
