@@ -55,5 +55,5 @@ def test_cross_validation(spark):
     lv = rng.integers(1, 6, 115).astype(float)
     sal = frame(spark, {"k": list(range(115)), "x": list(map(float, lv)), "y": list(map(float, 2000 + 500 * lv + rng.normal(size=115) * 100))})
     assert cross_validation(sal, "y", "x", key_cols=["k"]).first()["cv_r2_mean"] > 0.5
-    small = frame(spark, {"x": list(map(float, range(18))), "y": list(map(float, range(18)))})
-    assert cross_validation(small, "y", "x").first()["cv_r2_mean"] is None
+    small = frame(spark, {"x": list(map(float, range(18))), "y": list(map(float, range(18))), "k": list(range(18))})
+    assert cross_validation(small, "y", "x", key_cols=["k"]).first()["cv_r2_mean"] is None

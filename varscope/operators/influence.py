@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import as_list, num
 from ..functions.joins import keyed_join
-from .regression import _check_numeric, ols_from_stats, simple_fit_stats
+from .regression import _check_numeric, ols_from_stats, simple_fit_stats, two_valued
 
 DEFAULT_THRESHOLD_RATIO = 4.0
 
@@ -34,13 +34,14 @@ def cooks_distance(df: DataFrame, feature: str, target: str, by: Sequence[str] |
     by, keys = as_list(by), as_list(key_cols)
     st = ols_from_stats(fit_stats if fit_stats is not None else simple_fit_stats(df, target, feature, by))
     st = st.withColumn("mse", F.try_divide(F.col("sse"), F.col("n") - 2))
+    st = keyed_join(st, two_valued(df, target, by), by, "left")
     rows = df.select(*keys, *[b for b in by if b not in keys], num(feature).alias("x"), num(target).alias("y"))
     rows = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    j = _attach(rows, st.select(*by, "n", "slope", "intercept", "mean_x", "sxx", "mse", "n_target_levels"), by)
+    j = _attach(rows, st.select(*by, "n", "slope", "intercept", "mean_x", "sxx", "mse", "two_valued"), by)
     e = F.col("y") - (F.col("intercept") + F.col("slope") * F.col("x"))
     h = 1 / F.col("n") + F.try_divide((F.col("x") - F.col("mean_x")) ** 2, F.col("sxx"))
     d = F.try_divide(e * e, 2 * F.col("mse")) * F.try_divide(h, (1 - h) ** 2)
-    zero = (F.col("n_target_levels") == 2) | F.col("slope").isNull() | (F.abs(F.col("mse")) <= 1e-8)
+    zero = F.coalesce("two_valued", F.lit(False)) | F.col("slope").isNull() | (F.abs(F.col("mse")) <= 1e-8)
     return j.select(*keys, *[b for b in by if b not in keys], "x", "y", e.alias("residual"), h.alias("leverage"),
                     F.when(zero, F.lit(0.0)).otherwise(d).alias("cooks_d"), "n")
 

@@ -41,10 +41,22 @@ def _check_numeric(df: DataFrame, cols: Sequence[str]) -> None:
             raise TypeError(f"column '{c}' must be numeric for a regression")
 
 
-def _segment_key(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    if by:
-        return df, list(by)
-    return df.withColumn("_seg", F.lit(0)), ["_seg"]
+def two_valued(df: DataFrame, col: str, by: Sequence[str] | None = None) -> DataFrame:
+    """``by..., two_valued``: exactly two distinct non-null values. The two can only be the least and
+    the greatest, so no value is shuffled: a second scan asks for one in between."""
+    by = as_list(by)
+    x = num(col) if is_numeric(df, col) else F.col(col)
+    rows = df.select(*by, x.alias("_t")).where(F.col("_t").isNotNull())
+    ends = rows.groupBy(*by).agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
+    inner = keyed_join(rows, materialize(ends), by)
+    out = inner.groupBy(*by).agg((F.bool_and((F.col("_t") == F.col("_lo")) | (F.col("_t") == F.col("_hi")))
+                                  & (F.min("_lo") < F.max("_hi"))).alias("two_valued"))
+    return out.withColumn("two_valued", F.coalesce("two_valued", F.lit(False)))
+
+
+def is_two_valued(df: DataFrame, col: str) -> bool:
+    row = two_valued(df, col).first()
+    return bool(row and row["two_valued"])
 
 
 def status_col(n: Column, sxx: Column, syy: Column) -> Column:
@@ -59,8 +71,7 @@ def simple_fit_stats(df: DataFrame, target: str, feature: str, by: Sequence[str]
     y, x = num(target), num(feature)
     return df.groupBy(*by).agg(
         F.regr_count(y, x).alias("n"), F.regr_avgx(y, x).alias("mean_x"), F.regr_avgy(y, x).alias("mean_y"),
-        F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"),
-        F.count_distinct(y).alias("n_target_levels"))
+        F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"))
 
 
 def ols_from_stats(st: DataFrame) -> DataFrame:
@@ -83,13 +94,13 @@ def ols_simple(df: DataFrame, target: str, feature: str, by: Sequence[str] | Non
     fit = ols_from_stats(simple_fit_stats(df, target, feature, by))
     return fit.select(*by, F.lit(target).alias("target"), F.lit(feature).alias("feature"), "n",
                       "slope", "intercept", "r_squared", "status", "mean_x", "mean_y", "sxx", "syy", "sxy",
-                      "resid_std", "n_target_levels")
+                      "resid_std")
 
 
 def is_binary_target(df: DataFrame, col: str, by: Sequence[str] | None = None) -> DataFrame:
     """Exactly two distinct non-null values (per segment)."""
     by = as_list(by)
-    return df.groupBy(*by).agg((F.count_distinct(col) == 2).alias("is_binary"))
+    return two_valued(df, col, by).withColumnRenamed("two_valued", "is_binary")
 
 
 def fit_simple_regression(df: DataFrame, target: str, feature: str, by: Sequence[str] | None = None,
@@ -101,8 +112,7 @@ def fit_simple_regression(df: DataFrame, target: str, feature: str, by: Sequence
     if encode_categorical:
         df = one_hot(df)
     _check_numeric(df, [target, feature])
-    binary = df.agg(F.count_distinct(num(target))).first()[0] == 2
-    if binary:
+    if is_two_valued(df, target):
         return logistic(df, target, feature, by).withColumn("model_type", F.lit("logistic"))
     return ols_simple(df, target, feature, by).withColumn("model_type", F.lit("linear"))
 
@@ -171,8 +181,7 @@ def ols_multi(df: DataFrame, target: str, features: Sequence[str], by: Sequence[
         return pd.DataFrame(rows, columns=[*by, "n", "intercept", "coefficients", "r_squared",
                                            "condition_number", "multicollinearity_warning", "status"])
 
-    m2, seg = _segment_key(moments, by)
-    res = m2.groupBy(*seg).applyInPandas(lambda p: solve(p), schema)
+    res = moments.mapInPandas(lambda batches: (solve(p) for p in batches), schema)   # one row a segment
     return res.select(*by, F.lit(target).alias("target"), *[c for c in res.columns if c not in by])
 
 
@@ -193,7 +202,8 @@ def logistic(df: DataFrame, target: str, feature: str, by: Sequence[str] | None
     """
     _check_numeric(df, [target, feature])
     by = as_list(by)
-    base, seg = _segment_key(df.select(*by, num(target).alias("_y0"), num(feature).alias("_x")), by)
+    seg = by
+    base = df.select(*by, num(target).alias("_y0"), num(feature).alias("_x"))
     base = base.where(F.col("_y0").isNotNull() & F.col("_x").isNotNull())
     levels = base.groupBy(*seg).agg(F.min("_y0").alias("y_low"), F.max("_y0").alias("y_high"),
                                     F.count(F.lit(1)).alias("n"))

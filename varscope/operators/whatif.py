@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions.columns import as_list, num
 from ..functions.joins import keyed_join
 from .levels import level_feature_for_simulation
-from .regression import _check_numeric, logistic, ols_from_stats, simple_fit_stats
+from .regression import _check_numeric, is_two_valued, logistic, ols_from_stats, simple_fit_stats
 
 NEAR_ZERO_BASELINE_RATIO = 0.1
 INTERVAL_Z = 1.28
@@ -59,7 +59,7 @@ def simulate(df: DataFrame, target: str, feature: str, scenarios: DataFrame,
     _check_numeric(df, [target, feature])
     by = as_list(by)
     if binary is None:  # decided on the whole target column, as the reference does
-        binary = df.agg(F.count_distinct(num(target))).first()[0] == 2
+        binary = is_two_valued(df, target)
     margins = df.groupBy(*by).agg(F.avg(num(feature)).alias("feature_mean"),
                                   F.stddev_samp(num(target)).alias("target_std"))
     if binary:
@@ -126,9 +126,12 @@ def cross_validation(df: DataFrame, target: str, feature: str, by: Sequence[str]
     Train sums = segment total - fold sums; test residuals are expanded from
     the fold's own sums, so each fold costs no pass over the data. MAE/RMSE
     are of the full-data model on all rows (named ``train_mae``/``train_rmse``).
-    Folds come from ``fold_col`` or a hash of ``key_cols`` (default: the pair).
-    Segments with fewer than 20 complete rows get NULL.
+    Folds come from ``fold_col`` or a hash of ``key_cols``, one of which must be given: a hash of
+    the values would put equal rows into one fold. Segments with fewer than 20 complete rows get NULL,
+    and so does the test R^2 of a segment whose rows are all in one fold.
     """
+    if not fold_col and not as_list(key_cols):
+        raise ValueError("cross_validation needs fold_col or key_cols")
     _check_numeric(df, [target, feature])
     by = as_list(by)
     fit = ols_from_stats(fit_stats if fit_stats is not None else simple_fit_stats(df, target, feature, by)).select(
@@ -138,8 +141,7 @@ def cross_validation(df: DataFrame, target: str, feature: str, by: Sequence[str]
                      *[F.col(k).alias(f"_k{i}") for i, k in enumerate(as_list(key_cols))])
     rows = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull())
     if not fold_col:
-        kc = [f"_k{i}" for i in range(len(as_list(key_cols)))] or ["x", "y"]
-        rows = rows.withColumn("_fold", fold_of(kc, n_folds))
+        rows = rows.withColumn("_fold", fold_of([f"_k{i}" for i in range(len(as_list(key_cols)))], n_folds))
     j = keyed_join(rows, fit, by)
     xc, yc = F.col("x") - F.col("mean_x"), F.col("y") - F.col("mean_y")
     err = F.col("y") - (F.col("intercept") + F.col("slope") * F.col("x"))
@@ -153,16 +155,16 @@ def cross_validation(df: DataFrame, target: str, feature: str, by: Sequence[str]
     tm = F.col("t_m") - F.col("m")
     tsx, tsy = F.col("t_sx") - F.col("sx"), F.col("t_sy") - F.col("sy")
     tsxx, tsxy = F.col("t_sxx") - F.col("sxx"), F.col("t_sxy") - F.col("sxy")
-    mx, my = tsx / tm, tsy / tm
+    mx, my = F.try_divide(tsx, tm), F.try_divide(tsy, tm)
     cxx = tsxx - tm * mx * mx
     cxy = tsxy - tm * mx * my
-    b = cxy / cxx
+    b = F.try_divide(cxy, cxx)
     a = my - b * mx
     m = F.col("m")
     ss_res = (F.col("syy") - 2 * a * F.col("sy") - 2 * b * F.col("sxy") + m * a * a
               + 2 * a * b * F.col("sx") + b * b * F.col("sxx"))
-    ss_tot = F.col("syy") - F.col("sy") * F.col("sy") / m
-    r2 = F.when(ss_tot > 0, 1 - ss_res / ss_tot).otherwise(F.lit(0.0))
+    ss_tot = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), m)
+    r2 = F.when(ss_tot > 0, 1 - F.try_divide(ss_res, ss_tot)).otherwise(F.lit(0.0))
     usable = (tm >= 3) & (m >= 2) & (cxx > 0)
     per = f.withColumn("r2", F.when(usable, r2))
     out = per.groupBy(*by).agg(
