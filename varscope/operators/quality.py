@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_numeric
@@ -45,14 +45,22 @@ def duplicate_count(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 def duplicate_rows(df: DataFrame, cols: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """Rows that repeat an earlier row on ``cols`` ("keep first" by ``order_by``).
 
-    The first occurrence per value combination is an aggregate (``min`` of the
-    ordering struct), joined back; no window holds a hot group in one task and
-    AQE splits a skewed join side.
+    The first occurrence per value combination is an aggregate (``min`` of the ordering struct),
+    joined back; no window holds a hot group in one task and AQE splits a skewed join side. Rows
+    that tie with the first one are repeats but for one of them: each tie is counted, and of its
+    rows, which agree on ``cols`` and ``order_by``, the first of a row number stays.
     """
     cols, order_by = list(cols), list(order_by)
-    first = df.groupBy(*cols).agg(F.min(F.struct(*order_by)).alias("_first"))
+    at = F.struct(*order_by)
+    first = df.groupBy(*cols).agg(F.min(at).alias("_first"))
     j = keyed_join(df, first, cols)
-    return j.where(F.struct(*order_by) != F.col("_first")).drop("_first")
+    later = j.where(at != F.col("_first")).drop("_first")
+    heads = j.where(at == F.col("_first")).drop("_first")
+    tied = (df.groupBy(*cols, *[c for c in order_by if c not in cols]).count().where("count > 1")
+            .select(*cols, *[c for c in order_by if c not in cols]))
+    ties = keyed_join(heads, tied, tied.columns, "left_semi")
+    w = Window.partitionBy(*tied.columns).orderBy(F.xxhash64(*df.columns))
+    return later.unionByName(ties.withColumn("_r", F.row_number().over(w)).where("_r > 1").drop("_r"))
 
 
 def validate_dataset(df: DataFrame, identifier_cols: Sequence[str] | None = None) -> DataFrame:

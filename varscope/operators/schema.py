@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import distinct_counts, is_integral, is_numeric, is_temporal, is_text, num
 
@@ -24,7 +25,10 @@ TEMPORAL_KEYWORDS = ["date", "semaine", "week", "mois", "month", "saison", "seas
 # Date layouts accepted when recognising text dates (pandas "mixed" parsing covers these and more).
 DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm",
                 "yyyy/MM/dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "yyyy-MM",
-                "dd/MM/yyyy HH:mm", "dd/MM/yyyy HH:mm:ss", "MMM yyyy", "d MMM yyyy", "MMMM yyyy"]
+                "dd/MM/yyyy HH:mm", "dd/MM/yyyy HH:mm:ss", "MMM yyyy", "d MMM yyyy", "MMMM yyyy", "d MMMM yyyy",
+                "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy"]
+# ISO date-times may end in a fraction of a second and a zone; both are cut before parsing.
+ISO_TAIL = r"(?<=:[0-9]{2})(\.[0-9]{1,9})?(Z|z| ?[+-][0-9]{2}:?[0-9]{2})?$"
 
 ROLES = ("numeric_continuous", "numeric_discrete", "categorical", "boolean", "datetime",
          "identifier", "text_free", "unknown")
@@ -32,11 +36,11 @@ ROLES = ("numeric_continuous", "numeric_discrete", "categorical", "boolean", "da
 
 # Only strings shaped like one of DATE_FORMATS reach the (costly) parsers.
 DATE_SHAPE = (r"^([0-9]{1,4}[-/.][0-9]{1,2}([-/.][0-9]{1,4})?([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2})?)?"
-              r"|[0-9]{8}|([0-9]{1,2} )?[A-Za-z]{3,9}\.? [0-9]{4})$")
+              r"|[0-9]{8}|([0-9]{1,2} )?[A-Za-z]{3,9}\.? [0-9]{4}|[A-Za-z]{3,9} [0-9]{1,2},? [0-9]{4})$")
 
 
 def parses_as_date(c: Column) -> Column:
-    s = F.trim(c)
+    s = F.regexp_replace(F.trim(c), ISO_TAIL, "")
     parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in DATE_FORMATS]).isNotNull()
     return F.when(s.rlike(DATE_SHAPE), parsed).otherwise(F.lit(False))
 
@@ -71,6 +75,8 @@ def _role(df: DataFrame, name: str, i: int) -> tuple[Column, Column]:
                 .when(ints, F.lit("numeric_discrete")).otherwise(F.lit("numeric_continuous")))
         sequential = (nv >= 4) & ints & (nv == d) & ((mx - mn) == (nv - 1))
         return role, sequential
+    if isinstance(df.schema[name].dataType, T.BooleanType):   # a 0/1 column: one value alone is discrete
+        return F.when(n == 0, F.lit("unknown")).when(d == 2, F.lit("boolean")).otherwise(F.lit("numeric_discrete")), F.lit(False)
     if is_temporal(df, name):
         return F.when(n == 0, F.lit("unknown")).otherwise(F.lit("datetime")), F.lit(False)
     if is_text(df, name):

@@ -93,16 +93,19 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, sep: s
     for i, c in enumerate(cols):
         v = F.trim(F.col(c))
         aggs += [F.count(F.col(c)).alias(f"n{i}"),
-                 F.count(F.when(v.rlike(INT_RE), 1)).alias(f"i{i}"),
+                 F.count(F.when(v.rlike(INT_RE), v.try_cast("bigint"))).alias(f"i{i}"),
                  F.count(F.when(v.rlike(FLOAT_RE), 1)).alias(f"f{i}"),
+                 F.count(F.when(v.rlike(INT_RE), 1)).alias(f"g{i}"),
                  F.count(F.when(F.trim(_normalized(c)).rlike(FLOAT_RE), 1)).alias(f"d{i}")]
     st = df.agg(*aggs).first()
     out = []
     for i, c in enumerate(cols):
-        n, ni, nf, nd = st[f"n{i}"], st[f"i{i}"], st[f"f{i}"], st[f"d{i}"]
+        n, ni, nf, nd, digits = st[f"n{i}"], st[f"i{i}"], st[f"f{i}"], st[f"d{i}"], st[f"g{i}"]
         v = F.trim(F.col(c))
         if n and ni == n:
             out.append(v.cast("bigint").alias(c))                           # S7 integer
+        elif n and digits == n:
+            out.append(F.col(c))                                            # whole numbers beyond 64 bits stay text
         elif n and nf == n:
             out.append(v.cast("double").alias(c))                           # S7 float
         elif n and nd / n >= NUMERIC_SHARE:                                 # S6 decimal comma
