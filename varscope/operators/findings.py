@@ -21,12 +21,15 @@ PRIORITY = {
     "CONFOUNDER": 2,
     "SUBGROUP_DOMINANT_STRONG": 3,
     "NONLINEAR_QUAD": 4, "NONLINEAR_STEP": 4,
-    "ASYMMETRY": 5, "DISTRIBUTION_HEAVY": 5, "DISTRIBUTION_ZERO": 5,
+    "ASYMMETRY": 5, "DISTRIBUTION_COUNT": 5, "DISTRIBUTION_HEAVY": 5, "DISTRIBUTION_ZERO": 5, "ASYMMETRY_SUBGROUP": 5,
     "SAISONNALITE": 6, "SEASONAL_RISK": 6,
     "TOP_PAIR": 7,
 }
 DEFAULT_PRIORITY = 8
+# Thresholds of the rules.
 SMALL_SAMPLE_THRESHOLD = 30
+WIDE_TABLE_COLUMNS = 50
+DISTRIBUTION_SUMMARY_COLUMNS = 4
 LOW_R_SQUARED_THRESHOLD = 0.3
 
 

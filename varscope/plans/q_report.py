@@ -13,24 +13,12 @@ from .report import generate_report
 
 
 def _orders_customer(spark, sf):
-    o = t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    o = t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     c = t(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal", "c_mktsegment")
     return o.join(c, "o_custkey")
 
 
-_MEMO: dict = {}
-
-
 def _report(spark, sf):
-    """One report per (session, data folder): findings, score and main insight share it."""
-    key = (id(spark), sf)
-    if key not in _MEMO:
-        _MEMO.clear()
-        _MEMO[key] = _build(spark, sf)
-    return _MEMO[key]
-
-
-def _build(spark, sf):
     return generate_report(_orders_customer(spark, sf), target="o_totalprice", feature="c_acctbal",
                            change_pct=0.10, key_cols=["o_orderkey"])
 

@@ -18,7 +18,7 @@ from ..functions.columns import is_numeric, is_text, long_numeric
 from ..functions.joins import keyed_join
 from ..operators import findings as FD
 from ..operators.anova import confounders_for_pairs, segment_rates, significant_subgroups
-from ..operators.association import MAX_COLUMNS_FOR_CORRELATION, correlation_pvalues, top_pairs
+from ..operators.association import correlation_pvalues, top_pairs
 from ..operators.derived import derived_pairs
 from ..operators.distribution import count_data_flag, heavy_tail_flag, zero_inflation_flag
 from ..operators.influence import influential_points
@@ -35,11 +35,11 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
                     change_pct: float | None = None, baseline_feature_value: float | None = None,
                     bounds: tuple[float, float] | None = None, iqr_k: float = 1.5,
                     key_cols: Sequence[str] | None = None,
-                    persist_input: bool = True) -> dict[str, DataFrame]:
-    """All diagnostics of one table. The report scans its input about thirty
-    times, so by default the input is persisted (MEMORY_AND_DISK: it spills
-    rather than fails at scale, and is recomputed from lineage if an executor
-    is lost); pass ``persist_input=False`` to rescan the source instead."""
+                    persist_input: bool = False) -> dict[str, DataFrame]:
+    """All diagnostics of one table: every numeric column, every pair, every text column.
+
+    The report scans its input about thirty times; ``persist_input=True`` keeps the input
+    (MEMORY_AND_DISK) for a source that is costly to read again."""
     spark = df.sparkSession
     import os
     import time
@@ -73,7 +73,7 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
     one = spark.range(1)
     if not numeric:
         parts.append(FD.finding(one, "NO_NUMERIC", "high", "quality", F.array()))
-    if len(numeric) > MAX_COLUMNS_FOR_CORRELATION:
+    if len(numeric) > FD.WIDE_TABLE_COLUMNS:      # all columns are compared all the same
         parts.append(FD.finding(one, "WIDE_TABLE", "low", "correlation", F.array(), F.lit(len(numeric))))
 
     mark("validation")
@@ -93,7 +93,9 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
                      .transform(lambda d: keyed_join(d, n_rows, []))
                      .where((F.col("n_outliers") > 0) & (F.col("n_rows") >= FD.SMALL_SAMPLE_THRESHOLD))).cache()
         out["anomalies"] = anomalies
-        parts.append(FD.finding(anomalies, "ANOMALY", "medium", "quality", F.array("column"), F.col("n_outliers")))
+        every_anomaly = anomalies.agg(F.array_sort(F.collect_list("column")).alias("columns"), F.sum("n_outliers").alias("total"))
+        parts.append(FD.finding(every_anomaly.where(F.size("columns") > 0), "ANOMALY", "medium", "quality",
+                                F.col("columns"), F.col("total")))
 
         dist = (prof.withColumn("median", F.col("quantiles")[1]).withColumn("p95", F.col("quantiles")[3])
                 .withColumn("tail_ratio", F.when(F.col("median") > 0, F.col("p95") / F.col("median")).otherwise(0.0))
@@ -103,14 +105,16 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
                 .withColumn("asymmetry", F.when(F.col("std") > 0, F.abs(F.col("mean") - F.col("median")) / F.col("std")))
                 ).cache()
         out["distribution"] = dist
-        parts.append(FD.finding(dist.where("is_count"), "DISTRIBUTION_COUNT", "medium", "distribution",
+        flagged_n = dist.agg(F.count(F.when(F.col("is_count") | F.col("is_zero") | F.col("is_heavy"), 1)).alias("k"))
+        many = F.col("k") > FD.DISTRIBUTION_SUMMARY_COLUMNS
+        single = keyed_join(dist, flagged_n, []).where(~many)          # the summary replaces the single rows
+        parts.append(FD.finding(single.where("is_count"), "DISTRIBUTION_COUNT", "medium", "distribution",
                                 F.array("column"), F.col("mean")))
-        parts.append(FD.finding(dist.where("is_zero"), "DISTRIBUTION_ZERO", "medium", "distribution",
+        parts.append(FD.finding(single.where("is_zero AND NOT is_count"), "DISTRIBUTION_ZERO", "medium", "distribution",
                                 F.array("column"), F.col("zero_ratio")))
-        parts.append(FD.finding(dist.where("is_heavy"), "DISTRIBUTION_HEAVY", "medium", "distribution",
+        parts.append(FD.finding(single.where("is_heavy"), "DISTRIBUTION_HEAVY", "medium", "distribution",
                                 F.array("column"), F.col("tail_ratio")))
-        flagged_n = dist.agg(F.count(F.when(F.col("is_count") | F.col("is_zero") | F.col("is_heavy"), 1)).alias("k"))
-        parts.append(FD.finding(flagged_n.where(F.col("k") > 4), "DISTRIBUTION_SUMMARY", "medium", "distribution",
+        parts.append(FD.finding(flagged_n.where(many), "DISTRIBUTION_SUMMARY", "medium", "distribution",
                                 F.array(), F.col("k")))
         scope = [c for c in (target, feature) if c] or None
         asym = dist.where(~F.col("is_count") & ~F.col("is_zero") & (F.col("asymmetry") > 0.4))
@@ -118,10 +122,11 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
             asym = asym.where(F.col("column").isin(*scope))
         else:
             asym = asym.orderBy(F.col("asymmetry").desc(), "column").limit(ASYM_TOP)
+        asym = asym.cache()
         parts.append(FD.finding(asym, "ASYMMETRY", "low", "distribution", F.array("column"), F.col("asymmetry")))
 
     mark("profile/anomalies/distribution")
-    best = None
+    best, signal = None, FD.empty_findings(spark)
     if texts and numeric:
         sub = significant_subgroups(df, [target] if target in numeric else numeric,
                                     level_counts=distinct).cache()
@@ -134,14 +139,19 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
         temporal = set(temporal_columns(df, distinct))
         sev = F.when(F.col("eta_squared") >= 0.7, "high").otherwise("medium")
         code = F.when(F.col("eta_squared") >= 0.5, F.lit("SUBGROUP_DOMINANT_STRONG")).otherwise(F.lit("SUBGROUP_DOMINANT"))
-        parts.append(FD.finding(best, code, sev, "correlation", F.array("group_col", "target"), F.col("eta_squared")))
-        if temporal:
-            parts.append(FD.finding(best.where(F.col("group_col").isin(*temporal)), "SAISONNALITE", sev,
-                                    "saisonnalite", F.array("group_col", "target"), F.col("eta_squared")))
+        seasonal_group = F.col("group_col").isin(*temporal) if temporal else F.lit(False)
+        parts.append(FD.finding(best.where(~seasonal_group), code, sev, "correlation", F.array("group_col", "target"),
+                                F.col("eta_squared")))
+        parts.append(FD.finding(best.where(seasonal_group), "SAISONNALITE", sev, "saisonnalite",
+                                F.array("group_col", "target"), F.col("eta_squared")))
+        # asymmetric columns: one hint at the strongest subgroup
+        strongest = best.orderBy(F.col("eta_squared").desc(), "group_col").limit(1)
+        hint = keyed_join(strongest, asym.agg(F.count(F.lit(1)).alias("n_asymmetric")), []).where("n_asymmetric > 0")
+        parts.append(FD.finding(hint, "ASYMMETRY_SUBGROUP", "low", "distribution", F.array("group_col"), F.col("n_asymmetric")))
         binary = [r["column"] for r in meta if r["role"] == "boolean" and r["column"] in numeric]
-        rate_target = target if target in binary else (binary[0] if binary else None)
+        rate_target = (target if target in binary else None) if target else (binary[0] if binary else None)
         if rate_target:
-            rates = segment_rates(df, rate_target, [c for c in texts if c != rate_target][:2]).cache()
+            rates = segment_rates(df, rate_target, [c for c in texts if c != rate_target]).cache()
             out["segment_rates"] = rates
             parts.append(FD.finding(rates.where(F.col("rank") == 1), "SEGMENT_RATE", "low", "segments",
                                     F.array("group_col", F.lit(rate_target)), F.col("rate")))
@@ -152,7 +162,9 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
         derived = derived_pairs(df, numeric).cache()
         out["correlations"] = pairs
         out["derived_pairs"] = derived
-        parts.append(FD.finding(derived, "DERIVED", "low", "correlation", F.array("column_a", "column_b")))
+        every_derived = derived.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("column_a", "column_b"))))).alias("columns"),
+                                    F.count(F.lit(1)).alias("k"))
+        parts.append(FD.finding(every_derived.where("k > 0"), "DERIVED", "low", "correlation", F.col("columns"), F.col("k")))
         kept = pairs.withColumn("_lo", F.least("column_a", "column_b")).withColumn("_hi", F.greatest("column_a", "column_b")) \
             .join(derived.select(F.col("column_a").alias("_lo"), F.col("column_b").alias("_hi")), ["_lo", "_hi"],
                   "left_anti").drop("_lo", "_hi")
@@ -161,19 +173,19 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
                                 "medium", "correlation", F.array(), F.col("m").cast("double")))
         top = top_pairs(pairs, 5, exclude=derived).cache()
         out["top_pairs"] = top
-        parts.append(FD.finding(top.where("significant"), "TOP_PAIR", "low", "correlation",
-                                F.array("column_a", "column_b"), F.abs("r")))
+        # no finding, but what the main insight falls back on
+        signal = FD.finding(top.where("significant"), "TOP_PAIR", "low", "correlation", F.array("column_a", "column_b"), F.abs("r"))
         mark("pairs/derived/confounders")
         temporal = set(temporal_columns(df, distinct))
-        seasonal = pairs.where(F.col("significant") & (F.abs("r") >= 0.6)).limit(1)
+        seasonal = (kept.where(F.col("significant") & (F.abs("r") >= 0.6))
+                    .orderBy(F.abs("r").desc(), "idx_a", "idx_b").limit(1))
         if temporal:
             parts.append(FD.finding(seasonal, "SEASONAL_RISK", "medium", "saisonnalite",
                                     F.array(*[F.lit(c) for c in sorted(temporal)]), F.abs("r")))
         # non-linearity: scenario pair first, then every tested pair in one direction (a -> b)
         # (untested pairs - fewer than 10 complete rows or a constant side - drop out inside the scan)
         pair_list = [(target, feature)] if target and feature else []
-        pair_list += [(b, a) for i, a in enumerate(numeric[:MAX_COLUMNS_FOR_CORRELATION])
-                      for b in numeric[i + 1:MAX_COLUMNS_FOR_CORRELATION]]
+        pair_list += [(b, a) for i, a in enumerate(numeric) for b in numeric[i + 1:]]
         seen, nl_pairs = set(), []
         for p in pair_list:
             if p not in seen:
@@ -187,18 +199,22 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
                                                      F.col("column_a").alias("feature"))
         conf = conf_all.join(top3, ["target", "feature"], "left_semi")
         out["confounders"] = conf
-        parts.append(FD.finding(conf, "CONFOUNDER", "high", "correlation",
-                                F.array("column", "target", "feature"), F.col("eta_target")))
-        exclude = None
+        by_pair = conf.groupBy("target", "feature").agg(F.array_sort(F.collect_set("column")).alias("columns"),
+                                                        F.max("eta_target").alias("eta_target"))
+        parts.append(FD.finding(by_pair, "CONFOUNDER", "high", "correlation",
+                                F.concat(F.array("feature", "target"), F.col("columns")), F.col("eta_target")))
+        # pairs that one column derives from another are no news: not scanned
+        d = derived.select(F.col("column_a").alias("target"), F.col("column_b").alias("feature"))
+        d = d.unionByName(d.select(F.col("feature").alias("target"), F.col("target").alias("feature")))
+        exclude = d
         if best is not None:
             strong_sub = best.where(F.col("eta_squared") > 0.5).select(F.col("group_col").alias("column"))
-            exclude = conf_all.join(strong_sub, "column", "left_semi").select("target", "feature")
+            exclude = exclude.unionByName(conf_all.join(strong_sub, "column", "left_semi").select("target", "feature"))
         nl = nonlinearity_scan(df, nl_pairs, exclude=exclude).cache()
         out["nonlinearity"] = nl
         if target and feature:
-            parts.append(FD.finding(nl.where((F.col("target") == target) & (F.col("feature") == feature)),
-                                    "SCENARIO_NONLINEAR", "medium", "simulation",
-                                    F.array(F.lit(feature), F.lit(target)), F.col("gain")))
+            parts.append(FD.finding(nl.where("shown").where(F.col("feature") == feature), "SCENARIO_NONLINEAR", "medium",
+                                    "simulation", F.array("feature", "target"), F.col("gain")))
         parts.append(FD.finding(nl.where("shown"), F.when(F.col("kind") == "quadratic", F.lit("NONLINEAR_QUAD"))
                                 .otherwise(F.lit("NONLINEAR_STEP")), "medium", "non_linearity",
                                 F.array("feature", "target"), F.col("gain")))
@@ -213,9 +229,9 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
         prof_ok = "profile" in out and feature in numeric
         sim = simulate(df, target, feature, sc, binary=distinct.get(target) == 2, fit_stats=fs,
                        profile=out["profile"] if prof_ok else None).cache()
-        cv = cross_validation(df, target, feature, key_cols=key_cols, fit_stats=fs)
         out["simulation"] = sim
-        out["cross_validation"] = cv
+        if key_cols:
+            out["cross_validation"] = cross_validation(df, target, feature, key_cols=key_cols, fit_stats=fs)
         parts.append(FD.finding(sim.where(F.col("non_actionable_reason") == "low_r2"),
                                 "SIMULATION_NON_ACTIONABLE_R2", "high", "simulation",
                                 F.array(F.lit(feature), F.lit(target)), F.col("r_squared")))
@@ -257,6 +273,6 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
         base = keyed_join(base, first, [])
     s, level = FD.score(F.col("n_rows"), F.col("n_findings"), F.col("n_anomaly_cols"), r2_col, act_col)
     out["score"] = base.select("n_rows", "n_findings", "n_anomaly_cols", s.alias("score"), level.alias("level"))
-    out["main_insight"] = FD.main_insight(findings, [c for c in (target, feature) if c])
+    out["main_insight"] = FD.main_insight(findings.unionByName(signal), [c for c in (target, feature) if c])
     mark("findings")
     return out
