@@ -1,6 +1,6 @@
 """Questions about all texts, asked and answered by block.
 
-Texts are dealt once by a hash into blocks of some MB; every later step works on whole blocks.
+Texts are dealt once by a hash into blocks of about 2 MB; every later step works on whole blocks.
 A block sends one message to a bucket: the distinct hashes it holds that belong there. So a
 hash that millions of documents share reaches its bucket once a block, not once a document, and
 its bucket answers once a block. All plans below use one and the same exchange of the texts.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, longs, raw, shuffle_partitions, text_bytes
 from .hashing import member
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 U = np.uint64
 MESSAGE = "bucket int, block int, hashes binary, firsts binary"
 ANSWER = "block int, hashes binary, hot binary"
