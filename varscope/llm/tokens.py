@@ -14,12 +14,14 @@ from array import array
 import numpy as np
 
 #: Pieces that a worker remembers at most, and the longest one that it remembers.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 500_000
 CACHE_CHARS = 48
 _CODECS: dict[tuple[str, str], "Codec"] = {}
 #: Two white space characters in a row: here a blank may not open the next piece.
 UNSURE = re.compile(r"\s\s")
 INNER = re.compile(r"\s")
+#: A lone mark between a letter or digit and white space: always cut from the word by the tokenizers.
+MARK = re.compile(r"(?<=[^\W_])[.,](?=\s|\Z)")
 #: New pieces that are encoded in one text.
 JOINED = 2_000
 
@@ -74,28 +76,34 @@ class Codec:
         return out
 
     def pieces(self, text: str) -> list[str]:
-        """Keys of :attr:`known`; after NUL a piece stands as it is, a line end is its own, others follow a blank."""
+        """Keys of :attr:`known`; after NUL a piece stands as it is, a line end is its own, others follow a
+        blank. A mark that ends a word is a piece of its own, so that the word is known with any mark."""
         if self.cut == "space":
-            return text.replace("\n", " ").split(" ")
+            return MARK.sub(r" \g<0>", text.replace("\n", " ")).split(" ")
         if "\0" in text or UNSURE.search(text):
             return ["\0" + text]
-        return ("\0" + text).replace("\n", " \n \0").split(" ")
+        return ("\0" + MARK.sub(" \0\\g<0>", text).replace("\n", " \n \0")).split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``dtype``."""
-        known = self.known
+        known, get = self.known, self.known.get
         cut = [self.pieces(t) for t in texts]
-        new = list({w for p in cut for w in p if w not in known})
+        found = [list(map(get, p)) for p in cut]
+        places, words = [], []
+        for p, v in zip(cut, found):
+            i = -1
+            for _ in range(v.count(None)):
+                i = v.index(None, i + 1)
+                places.append((v, i))
+                words.append(p[i])
+        new = list(dict.fromkeys(words))
         plain = new if self.cut == "space" else [p[1:] if p[:1] == "\0" else p if p == "\n" else " " + p for p in new]
+        local = dict(zip(new, self._encode_new(plain)))
+        for (v, i), w in zip(places, words):
+            v[i] = local[w]
         room = CACHE_PIECES - len(known)
-        known.update(zip(new, self._encode_new(plain)))
-        out = [b"".join(map(known.__getitem__, p)) for p in cut]
-        for k in new[max(room, 0):] if room < len(new) else []:
-            del known[k]
-        for k in new:
-            if len(k) > CACHE_CHARS:
-                known.pop(k, None)
-        return out
+        known.update((w, local[w]) for w in new[:max(room, 0)] if len(w) <= CACHE_CHARS)
+        return [b"".join(v) for v in found]
 
 
 def codec(path: str, cut: str) -> Codec:
