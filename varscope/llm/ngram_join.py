@@ -10,14 +10,18 @@ neighbours, as one segment must differ by at most one shingle. The cheaper alloc
 for each band, by the number of signatures and the collisions to expect. A set sends the
 signatures of its own band and of the bands that larger partners can be in.
 
-1. Blocks of documents ask which signatures are shared by different sets.
+1. Blocks of documents ask which signatures occur more than once.
 2. Sets with a shared signature ask which of their shingles occur in another such set. A set
    with less than ``threshold`` of its shingles in others links with nothing, and two sets of
    which one has too few such shingles for their sizes don't link. This takes the many variants
    of one text apart without comparing them.
-3. The sets that are left are compared exactly: first each with the least set of each of its
-   signatures; then, for signatures whose sets are not yet in one component, all pairs between
-   different components. Pairs within a component need no look, so no link is lost.
+3. The sets that are left are compared exactly: first each with the least set, the hub, of each
+   of its signatures. Pairs within a component need no further look. For signatures whose sets
+   are not yet in one component, sets are told apart by how they differ from the hub T. Let d(x)
+   be the symmetric difference of x and T, and a(x) = |d(x)| - (1-t)/(1+t) |x|. Two sets x, z link
+   only if d(x) and d(z) share at least (a(x) + a(z)) / 2 elements, which is above 0 if one of
+   them doesn't link with T. So a prefix filter over d, rarest elements first, finds all pairs
+   that may link: variants of one text with changes of their own share next to nothing in d.
 
 Equal sets are one node (128-bit sums of shingle hashes); copies never make pairs.
 
@@ -38,8 +42,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .blocks import ANSWER, MESSAGE, answers, contents, in_blocks, ordered, send, shared, told, unsqueeze
+from .blocks import MESSAGE, contents, in_blocks, ordered, send, shared, told
 from .common import NULL_ID, binaries, batch, raw, written
 from .components import components
 from .hashing import Prefix, Words, member, mix
@@ -68,7 +73,8 @@ def bands(num: int, den: int, largest: int) -> tuple[Band, ...]:
         high = max(low, math.ceil(low * (den / num) ** BAND_STEPS) - 1)
         diff = (den - num) * 2 * high // (den + num)
         lam = low * num / den / (diff + 1)
-        empty = 0 if not diff else math.ceil(3 * (diff + 1) * math.exp(-lam))
+        mean = (diff + 1) * math.exp(-lam)
+        empty = 0 if not diff else math.ceil(mean + 2 * math.sqrt(mean))
         whole = diff + 1 + empty
         half = -(-(diff + 1) // 2)
         cost = whole * (1 + COLLISION * math.exp(-low / whole))
@@ -155,22 +161,6 @@ class Sets:
         return texts[row[send_]], mix(acc[send_] + name[send_])
 
 
-def _different(messages: DataFrame) -> DataFrame:
-    """To each block those of its signatures that different sets have; ``firsts``: how many sets of
-    the block have each (255 at most) and the key of one."""
-    def run(t: pa.Table) -> pa.Table:
-        blocks = t["block"].to_pylist()
-        hs = [np.frombuffer(x, U) for x in t["hashes"].to_pylist()]
-        keys = np.concatenate([np.frombuffer(unsqueeze(x), U) for x in t["firsts"].to_pylist()])
-        every = np.concatenate(hs)
-        order = np.lexsort((keys, every))
-        s, k = every[order], keys[order]
-        twice = np.unique(s[1:][(s[1:] == s[:-1]) & (k[1:] != k[:-1])])
-        return answers([(b, h[member(h, twice)], h[:0]) for b, h in zip(blocks, hs)])
-
-    return messages.groupBy("bucket").applyInArrow(run, ANSWER)
-
-
 def _live_sets(docs: DataFrame, id_col: str, text: str, n: int, num: int, den: int) -> DataFrame:
     """One row per document: doc_id, th, n_shingles, k1, k2 and, for one document of a block with a
     set that may have links, hashes (8 bytes each, sorted) and signatures."""
@@ -179,9 +169,8 @@ def _live_sets(docs: DataFrame, id_col: str, text: str, n: int, num: int, den: i
     def ask_signatures(t: pa.Table) -> pa.Table:
         block, _, data, off = contents(ordered(t))
         sets = Sets(data, off, n)
-        row, sig = sets.signatures(sets.distinct(), num, den)
-        h, k = np.unique(sig, return_index=True)
-        return send(block, h, buckets, (sets.k1 ^ mix(sets.k2))[row[k]])
+        h, c = np.unique(sets.signatures(sets.distinct(), num, den)[1], return_counts=True)
+        return send(block, h, buckets, np.minimum(c, 255).astype(np.uint8))
 
     def ask_shingles(t: pa.Table, reply: pa.Table) -> pa.Table:
         block, _, data, off = contents(ordered(t))
@@ -216,7 +205,7 @@ def _live_sets(docs: DataFrame, id_col: str, text: str, n: int, num: int, den: i
             "hashes": binaries(sets.hash[mine].view(np.uint8), 8 * np.concatenate([[0], np.cumsum(sets.size * live)])),
             "signatures": binaries(sig.view(np.uint8), 8 * np.concatenate([[0], np.cumsum(n_sig)]))})
 
-    replies = _different(blocks.groupBy("block").applyInArrow(ask_signatures, MESSAGE))
+    replies = shared(blocks.groupBy("block").applyInArrow(ask_signatures, MESSAGE), hot=1 << 62)
     asked = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(ask_shingles, MESSAGE)
     common = shared(asked, hot=1 << 62)
     return written(blocks.groupBy("block").cogroup(common.groupBy("block")).applyInArrow(
@@ -243,6 +232,62 @@ def _verify(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _cross_candidates(signed: DataFrame, labels: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b), a > b, of different components that share a signature and may link."""
+    named = (signed.select("sig", "node").join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+             .select("sig", "node", F.coalesce("label", "node").alias("label")))
+    mixed = (named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
+                                      F.min(F.struct("node", "label")).alias("hub")).filter("lo != hi")
+             .select(F.col("sig").alias("_s"), F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label")))
+    arms = written(named.join(mixed, F.col("sig") == F.col("_s")).filter("node != hub")
+                   .select("hub", "node", "label", "hub_label").distinct(), "arms")
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, xo = raw(b.column("x"))
+            y, yo = raw(b.column("y"))
+            x, y, xo, yo = x.view(U), y.view(U), xo // 8, yo // 8
+            parts = []
+            for k in range(b.num_rows):
+                p, q = x[xo[k]:xo[k + 1]], y[yo[k]:yo[k + 1]]
+                parts.append(np.concatenate([p[~member(p, q)], q[~member(q, p)]]))
+            n = np.array([len(d) for d in parts])
+            size = np.diff(xo)
+            excess = n * (num + den) - (den - num) * size                    # a(x), times num + den
+            row = pa.array(np.repeat(np.arange(b.num_rows), n))
+            yield batch(["hub", "node", "label", "hub_label", "size", "n", "excess", "g"],
+                        [b.column(c).take(row) for c in ("hub", "node", "label", "hub_label")]
+                        + [np.repeat(v, n) for v in (size, n, excess)]
+                        + [np.concatenate(parts).view(np.int64) if len(parts) else np.zeros(0, np.int64)])
+
+    x = nodes.select(F.col("node").alias("_a"), F.col("hashes").alias("x"))
+    y = nodes.select(F.col("node").alias("_b"), F.col("hashes").alias("y"))
+    both = (arms.join(x, F.col("node") == F.col("_a")).drop("_a").join(y, F.col("hub") == F.col("_b"))
+            .select("hub", "node", "label", "hub_label", "x", "y"))
+    parts = written(both.mapInArrow(differ, "hub long, node long, label long, hub_label long, size long, n long, excess long, g long"),
+                    "differences")
+    apart = F.col("label") != F.col("hub_label")
+    least = parts.groupBy("hub").agg(F.min("excess").alias("least"), F.min(F.when(apart, F.col("excess"))).alias("least_apart"))
+    often = (parts.groupBy("hub", "g").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+             .select(F.col("hub").alias("_h"), F.col("g").alias("_g"), "times"))
+    common = (parts.join(often, (F.col("hub") == F.col("_h")) & (F.col("g") == F.col("_g"))).drop("_h", "_g")
+              .join(least.withColumnRenamed("hub", "_h"), F.col("hub") == F.col("_h")).drop("_h"))
+    # elements that one set alone has come first in the order; they are counted, not listed
+    own = W.partitionBy("hub", "node")
+    need = F.ceil((F.col("excess") + F.when(apart, F.col("least")).otherwise(F.col("least_apart"))) / F.lit(2 * (num + den)))
+    prefix = F.count(F.lit(1)).over(own) - F.greatest(need, F.lit(1)) + 1
+    index = written(common.withColumn("prefix", prefix).withColumn("listed", F.count(F.lit(1)).over(own))
+                    .withColumn("nth", F.row_number().over(own.orderBy("times", "g")))
+                    .filter("nth <= prefix").select("hub", "g", "node", "label", "size", "excess", "listed"), "prefixes")
+    other = index.select(F.col("hub").alias("_h"), F.col("g").alias("_g"), F.col("node").alias("b"), F.col("label").alias("label_b"),
+                         *[F.col(c).alias(f"{c}_b") for c in ("size", "excess", "listed")])
+    close = ((F.least("size", "size_b") * den >= F.greatest("size", "size_b") * num)
+             & (F.least("listed", "listed_b") * (2 * (num + den)) >= F.col("excess") + F.col("excess_b")))
+    return (index.join(other, (F.col("hub") == F.col("_h")) & (F.col("g") == F.col("_g")) & (F.col("label") != F.col("label_b"))
+                       & (F.col("node") > F.col("b")) & close)
+            .select(F.col("node").alias("a"), "b").distinct())
+
+
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, num: int = 80,
                           den: int = 100) -> DataFrame:
     """One row per document: doc_id, th (hash of id and text), n_shingles and component_id, the least doc_id
@@ -275,14 +320,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text: str = "
     links = written(_verify(stars, nodes, num, den), "links")
     labels = written(components(links), "labels")
 
-    named = (signed.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
-             .select("sig", "node", "size", "common", F.coalesce("label", "node").alias("label")))
-    mixed = (named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
-             .select(F.col("sig").alias("_s")))
-    open_ = written(named.join(mixed, F.col("sig") == F.col("_s")).drop("_s"), "open")
-    other = open_.select(F.col("sig").alias("_s"), F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("size", "common", "label")])
-    cross = (open_.join(other, (F.col("sig") == F.col("_s")) & (F.col("label") != F.col("label_b")) & (F.col("node") > F.col("b")) & close)
-             .select(F.col("node").alias("a"), "b").distinct())
+    cross = written(_cross_candidates(signed, labels, nodes, num, den), "cross")
     more = _verify(cross.join(stars, ["a", "b"], "left_anti"), nodes, num, den)
     final = components(written(links.union(more), "links"))
     final = classes.join(final.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left") \
