@@ -23,7 +23,7 @@ INNER = re.compile(r"\s")
 #: A lone mark between a letter or digit and white space: always cut from the word by the tokenizers.
 MARK = re.compile(r"(?<=[^\W_])[.,](?=\s|\Z)")
 #: New pieces that are encoded in one text.
-JOINED = 2_000
+JOINED = 50
 
 
 def tokenizer_path(name: str) -> str:
