@@ -57,3 +57,13 @@ def test_cross_validation(spark):
     assert cross_validation(sal, "y", "x", key_cols=["k"]).first()["cv_r2_mean"] > 0.5
     small = frame(spark, {"x": list(map(float, range(18))), "y": list(map(float, range(18))), "k": list(range(18))})
     assert cross_validation(small, "y", "x", key_cols=["k"]).first()["cv_r2_mean"] is None
+
+
+def test_cross_validation_of_one_fold_and_without_key(spark):
+    import pytest
+    df = frame(spark, {"g": ["a"] * 30 + ["b"] * 30, "x": [float(i % 11) for i in range(60)],
+                       "y": [float(i % 7) for i in range(60)], "f": [0] * 30 + [i % 5 for i in range(30)]})
+    got = {r["g"]: r for r in cross_validation(df, "y", "x", by=["g"], fold_col="f").collect()}
+    assert got["a"]["cv_r2_mean"] is None and got["b"]["cv_r2_mean"] is not None
+    with pytest.raises(ValueError):
+        cross_validation(df, "y", "x")

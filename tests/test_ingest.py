@@ -45,3 +45,10 @@ def test_errors(spark, tmp_path):
     p = _write(str(tmp_path), "f.xyz", "a\n1\n")
     with pytest.raises(UnsupportedFileFormatError):
         import_file(spark, p)
+
+
+def test_long_digit_strings_stay_text(spark, tmp_path):
+    p = _write(str(tmp_path), "long.csv", "id,n\n12345678901234567890123,1\n98765432109876543210987,9223372036854775807\n")
+    df = import_file(spark, p)
+    assert dict(df.dtypes) == {"id": "string", "n": "bigint"}
+    assert {r["id"] for r in df.collect()} == {"12345678901234567890123", "98765432109876543210987"}

@@ -21,14 +21,16 @@ def test_describe_matches_numpy(spark):
 
 
 def test_iqr_known_answer_and_reliability(spark):
-    vals = [98, 101, 99, 102, 100, 97, 103, 100, 101, 900]
-    df = frame(spark, {"id": list(range(10)), "v": [float(v) for v in vals]})
-    b = iqr_bounds(df, ["v"]).first()
-    assert b["n_outliers"] == 1 and b["reliable"] is False
-    rows = iqr_outliers(df, "v", key_cols=["id"]).collect()
-    assert [r["value"] for r in rows] == [900.0]
+    rng = np.random.default_rng(17)
+    vals = np.append(rng.normal(40, 3, 23).round(2), 412.5)
+    df = frame(spark, {"id": list(range(24)), "v": [float(v) for v in vals]})
     q1, q3 = np.percentile(vals, [25, 75])
-    assert abs(b["lower_bound"] - (q1 - 1.5 * (q3 - q1))) < 1e-12
+    low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    out = [float(v) for v in vals if v < low or v > high]
+    b = iqr_bounds(df, ["v"]).first()
+    assert 412.5 in out and b["n_outliers"] == len(out) and b["reliable"] is False
+    assert sorted(r["value"] for r in iqr_outliers(df, "v", key_cols=["id"]).collect()) == sorted(out)
+    assert abs(b["lower_bound"] - low) < 1e-9
     big = frame(spark, {"v": [float(i % 13) for i in range(50)]})
     assert iqr_bounds(big, ["v"]).first()["reliable"] is True
     with pytest.raises(ValueError):
@@ -52,3 +54,16 @@ def test_describe_approx_switch(spark):
     rank = (x < approx["median"]).mean()
     assert abs(rank - 0.5) <= 1 / 10_000 + 1 / len(x)
     assert approx["n"] == exact["n"] == 5000
+
+
+def test_quantiles_of_extreme_ranges(spark):
+    from varscope.functions.quantiles import exact_quantiles
+    rng = np.random.default_rng(6)
+    v = np.concatenate([10.0 ** rng.uniform(-300, 300, 1500), -(10.0 ** rng.uniform(-300, 300, 1400)), np.zeros(100), [5e-324, 1e308]])
+    df = spark.createDataFrame([("a", float(x)) for x in v], "k string, value double")
+    got = exact_quantiles(df, ["k"], "value", [0.0, 0.1, 0.25, 0.5, 0.9, 1.0], collect_limit=100).first()["quantiles"]
+    s = np.sort(v)
+    for p, g in zip([0.0, 0.1, 0.25, 0.5, 0.9, 1.0], got):
+        h = (len(s) - 1) * p
+        want = s[int(h)] + (h - int(h)) * (s[min(int(h) + 1, len(s) - 1)] - s[int(h)])
+        assert g is not None and (g == want or abs(g - want) <= 1e-9 * abs(want))

@@ -25,6 +25,14 @@ def test_duplicates_with_identifier_and_all_identifier_table(spark):
     assert [r["Identifiant"] for r in duplicate_rows(df, ["a", "b"], ["Identifiant"]).collect()] == [3]
 
 
+def test_duplicate_rows_with_ties(spark):
+    df = spark.createDataFrame([(1, "x", 1.0), (1, "x", 1.0), (2, "x", 2.0), (1, "y", 3.0), (None, "z", 1.0), (None, "z", 2.0)],
+                               "k int, g string, v double")
+    rows = duplicate_rows(df, ["g"], ["k"]).collect()
+    assert len(rows) == duplicate_count(df, ["g"]).first()["duplicates_count"] == 3
+    assert sorted(r["g"] for r in rows) == ["x", "x", "z"]
+
+
 def test_column_roles(spark):
     df = frame(spark, {
         "Ventes": [10, 12, 15, 11, 9, 14, 13, 12, 10, 11],
@@ -42,17 +50,26 @@ def test_column_roles(spark):
                      "Date": "datetime", "Note": "text_free"}
 
 
+def test_boolean_columns_and_text_dates(spark):
+    df = spark.createDataFrame(
+        [(bool(i % 2), True, f"{m} {i + 1}, 2024", f"2024-01-{i + 1:02d}T10:00:0{i}.25Z", f"2024-03-0{i + 1} 08:30:00+02:00")
+         for i, m in enumerate(["January", "March", "May", "June", "July", "August"])],
+        "flag boolean, always boolean, named string, iso string, zoned string")
+    roles = {r["column"]: r["role"] for r in column_types(df).collect()}
+    assert roles == {"flag": "boolean", "always": "numeric_discrete", "named": "datetime", "iso": "datetime", "zoned": "datetime"}
+
+
 def test_identifiers_excluded_from_legitimate_numeric(spark):
     n = 30
-    df = frame(spark, {"seq": list(range(1, n + 1)), "seq2": list(range(1001, 1001 + n)),
+    df = frame(spark, {"seq": list(range(1, n + 1)), "seq2": list(range(-12, n - 12)),
                        "smooth": [15 + 0.3 * i for i in range(n)], "y": [float(i % 7) for i in range(n)]})
     assert legitimate_numeric_columns(df) == ["smooth", "y"]
 
 
 def test_temporal_columns(spark):
-    df = frame(spark, {"Mois": [1, 2, 3], "DateVente": ["a", "b", "c"], "Prix_Jour": [1.5, 2.5, 3.5],
+    df = frame(spark, {"Mois": [1, 2, 3], "orderDate": ["a", "b", "c"], "Prix_Jour": [1.5, 2.5, 3.5],
                        "semaine": [1, 2, 3], "Autre": [1, 2, 3]})
-    assert temporal_columns(df) == ["Mois", "DateVente", "semaine"]
+    assert temporal_columns(df) == ["Mois", "orderDate", "semaine"]
 
 
 def test_sequential_in_order_across_partitions(spark):

@@ -37,3 +37,19 @@ def test_report_flags_nonlinear_scenario(spark):
     rep = generate_report(df, target="y", feature="x", change_pct=0.1, key_cols=["id"])
     codes = {r["code"] for r in rep["findings"].collect()}
     assert "SCENARIO_NONLINEAR" in codes and "NONLINEAR_QUAD" in codes
+
+
+def test_report_of_constant_columns_and_rules_that_replace(spark):
+    rng = np.random.default_rng(30)
+    n = 60
+    q = rng.uniform(1, 9, n)
+    price = rng.uniform(2, 5, n)
+    df = spark.createDataFrame([(float(a), float(b), float(a * b), 4.5) for a, b in zip(q, price)], "q double, price double, total double, fixed double")
+    rep = generate_report(df)
+    found = rep["findings"].collect()
+    codes = [r["code"] for r in found]
+    assert codes.count("DERIVED") == 1 and "TOP_PAIR" not in codes
+    assert sorted(next(r["columns"] for r in found if r["code"] == "DERIVED")) == ["price", "q", "total"]
+    assert not any(set(r["columns"]) == {"q", "total"} for r in found if r["code"].startswith("NONLINEAR"))
+    assert all("fixed" not in (r["column_a"], r["column_b"]) for r in rep["correlations"].collect())
+    assert rep["score"].first()["n_findings"] == len(found)

@@ -13,11 +13,11 @@ def _df(spark, **cols):
 
 
 def test_quadratic_u_curve_and_optimum(spark):
-    rng = np.random.default_rng(0)
-    x = np.linspace(-10, 10, 30)
-    y_u = 2 + 0.5 * x + 0.1 * x ** 2 + rng.normal(size=30) * 0.5
-    y_o = 100 - 0.5 * x ** 2 + rng.normal(size=30)
-    df = _df(spark, x=x, yu=y_u, yo=y_o, line=3 * x + 1 + rng.normal(size=30) * 0.1)
+    rng = np.random.default_rng(40)
+    x = np.sort(rng.uniform(-7, 9, 37))
+    y_u = 4 - 0.3 * x + 0.2 * x ** 2 + rng.normal(size=37) * 0.4
+    y_o = 30 + x - 0.8 * x ** 2 + rng.normal(size=37)
+    df = _df(spark, x=x, yu=y_u, yo=y_o, line=2 * x - 5 + rng.normal(size=37) * 0.1)
     res = {r["target"]: r for r in quadratic_patterns(df, [("yu", "x"), ("yo", "x"), ("line", "x")]).collect()}
     assert res["yu"]["pattern_type"] == "u_curve" and res["yo"]["pattern_type"] == "optimum"
     assert "line" not in res
@@ -36,18 +36,19 @@ def test_step_pattern_found(spark):
 
 
 def test_distribution_detectors(spark):
-    counts = [0, 1, 0, 2, 1, 3, 2, 1, 0, 2]
-    zeros = [0, 0, 0, 1, 0, 2, 0, 0, 3, 0, 0, 4]
-    heavy = [1, 1, 2, 2, 3, 3, 2, 1, 1, 50, 100, 200]
-    rows = [(float(counts[i]) if i < len(counts) else None, float(zeros[i]), float(heavy[i])) for i in range(12)]
-    df = spark.createDataFrame(rows, "counts double, zeros double, heavy double")
-    got = {r["column"]: r for r in distribution_profile(df).collect()}
-    assert got["counts"]["is_count_data"] and got["counts"]["n_distinct"] == 4 and abs(got["counts"]["zero_ratio"] - 0.3) < 1e-12
-    assert got["zeros"]["is_zero_inflated"] and abs(got["zeros"]["zero_ratio"] - 2 / 3) < 1e-12 and got["zeros"]["n_distinct"] == 5
-    assert got["heavy"]["is_heavy_tail"]
-    h = np.array(heavy, dtype=float)
-    m2 = ((h - h.mean()) ** 2).mean()
-    assert abs(got["heavy"]["skewness"] - ((h - h.mean()) ** 3).mean() / m2 ** 1.5) < 1e-9
+    rng = np.random.default_rng(41)
+    n = 80
+    counts = rng.poisson(1.4, n).astype(float)
+    zeros = np.where(rng.uniform(size=n) < 0.7, 0.0, rng.uniform(5, 40, n).round(2))
+    heavy = rng.pareto(1.1, n) + 1
+    got = {r["column"]: r for r in distribution_profile(_df(spark, counts=counts, zeros=zeros, heavy=heavy)).collect()}
+    for name, v in (("counts", counts), ("zeros", zeros), ("heavy", heavy)):
+        assert got[name]["n_distinct"] == len(np.unique(v)) and abs(got[name]["zero_ratio"] - (v == 0).mean()) < 1e-12
+    assert got["counts"]["is_count_data"] and not got["heavy"]["is_count_data"]
+    assert got["zeros"]["is_zero_inflated"] and not got["heavy"]["is_zero_inflated"]
+    assert got["heavy"]["is_heavy_tail"] and not got["counts"]["is_heavy_tail"]
+    m2 = ((heavy - heavy.mean()) ** 2).mean()
+    assert abs(got["heavy"]["skewness"] - ((heavy - heavy.mean()) ** 3).mean() / m2 ** 1.5) < 1e-9
 
 
 def test_level_features(spark):
@@ -84,3 +85,11 @@ def test_derived_columns(spark):
     sums = _df(spark, a=price, b=qty, s=price + qty, d=price - qty)
     got = {(r["column_a"], r["column_b"]) for r in derived_pairs(sums).collect()}
     assert ("a", "s") in got and ("b", "s") in got and ("a", "d") in got
+
+
+def test_derived_columns_beyond_thirty(spark):
+    rng = np.random.default_rng(9)
+    cols = {f"c{i:02d}": rng.uniform(10 * i + 1, 10 * i + 40, 60) for i in range(34)}
+    cols["z_total"] = cols["c02"] * cols["c33"]
+    got = {(r["column_a"], r["column_b"]) for r in derived_pairs(_df(spark, **cols)).collect()}
+    assert ("c02", "z_total") in got and ("c33", "z_total") in got
