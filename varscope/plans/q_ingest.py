@@ -17,7 +17,9 @@ def _export(spark, sf) -> str:
     """Write customer as a French-style export: ';' separator, decimal comma,
     'N/D' for the balance of every seventh customer. Written under the shared
     checkpoint folder (a fresh sub-folder per run)."""
-    base = ensure_checkpoint_dir(spark) or "."
+    base = ensure_checkpoint_dir(spark)
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}/customer.csv"
     c = t(spark, sf, "customer")
     bal = F.when(F.col("c_custkey") % 7 == 0, F.lit("N/D")).otherwise(
