@@ -48,8 +48,24 @@ def q_csv_ingest(spark, sf):
     return rounded(d.select("column", "n", "mean", "std", "min", "max", "median"), ["mean", "std", "median"])
 
 
-@register("csv_types")
+def _types_sql() -> str:
+    def row(c, pos, dtype, expr, role):
+        seq = f"count(DISTINCT {expr}) = count({expr}) AND count({expr}) >= 4 AND max({expr}) - min({expr}) = count({expr}) - 1"
+        ident = seq if dtype == "bigint" else f"({role}) = 'identifier'"
+        return (f"SELECT '{c}' AS \"column\", {pos} AS position, '{dtype}' AS dtype, count({expr}) AS n, "
+                f"count(DISTINCT {expr}) AS n_distinct, {role} AS role, {ident} AS is_identifier FROM x")
+    text = ("CASE WHEN count(DISTINCT {0}) > 0.9 * count({0}) AND count({0}) > 3 THEN 'identifier' "
+            "WHEN count(DISTINCT {0}) <= 0.5 * count({0}) THEN 'categorical' ELSE 'text_free' END")
+    parts = [row("c_custkey", 0, "bigint", "c_custkey", "'numeric_discrete'"), row("c_name", 1, "string", "c_name", text.format("c_name")),
+             row("c_nationkey", 2, "bigint", "c_nationkey", "'numeric_discrete'"),
+             row("c_acctbal", 3, "double", "b", "CASE WHEN bool_and(b = round(b)) THEN 'numeric_discrete' ELSE 'numeric_continuous' END"),
+             row("c_mktsegment", 4, "string", "c_mktsegment", text.format("c_mktsegment"))]
+    return ("WITH x AS (SELECT *, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE round(c_acctbal, 2) END AS b FROM customer) "
+            + " UNION ALL ".join(parts))
+
+
+@register("csv_types", _types_sql())
 def q_csv_types(spark, sf):
-    """Physical types and roles after ingest (rows-only)."""
+    """Physical types and roles after ingest."""
     from ..operators.schema import column_types
     return column_types(import_file(spark, _export(spark, sf)))
