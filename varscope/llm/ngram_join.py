@@ -10,8 +10,9 @@ neighbours, as one segment must differ by at most one shingle. The cheaper alloc
 for each band, by the number of signatures and the collisions to expect. A set sends the
 signatures of its own band and of the bands that larger partners can be in.
 
-1. Blocks of documents ask which signatures occur more than once.
-2. Sets with a shared signature ask which of their shingles occur in another such set. A set
+1. Blocks of documents ask which signatures occur more than once. A set in a band must share
+   as many as the e + 1 equal segments leave beside its own empty ones.
+2. Sets with enough shared signatures ask which of their shingles occur in another such set. A set
    with less than ``threshold`` of its shingles in others links with nothing, and two sets of
    which one has too few such shingles for their sizes don't link. This takes the many variants
    of one text apart without comparing them.
@@ -52,6 +53,8 @@ from .hashing import Prefix, Words, member, mix
 U = np.uint64
 #: Width of a size band in steps of the threshold.
 BAND_STEPS = 3
+#: Segments beyond those that empty ones need: so many more signatures must agree.
+SPARE = 4
 #: What a signature that collides by chance costs, in signatures.
 COLLISION = 20.0
 
@@ -74,7 +77,7 @@ def bands(num: int, den: int, largest: int) -> tuple[Band, ...]:
         diff = (den - num) * 2 * high // (den + num)
         lam = low * num / den / (diff + 1)
         mean = (diff + 1) * math.exp(-lam)
-        empty = 0 if not diff else math.ceil(mean + 2 * math.sqrt(mean))
+        empty = 0 if not diff else math.ceil(mean + 2 * math.sqrt(mean)) + SPARE
         whole = diff + 1 + empty
         half = -(-(diff + 1) // 2)
         cost = whole * (1 + COLLISION * math.exp(-low / whole))
@@ -117,27 +120,29 @@ class Sets:
         key = self.k1[k] ^ mix(self.k2[k])
         return np.sort(k[np.unique(key, return_index=True)[1]])
 
-    def signatures(self, texts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-        """(text, signature) of the given texts."""
+    def signatures(self, texts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, signature, group) of the given texts; a group is a text in a band, and the last array
+        has how many signatures of a group must agree with those of a partner."""
         size = self.size[texts]
         if not len(texts):
-            return np.zeros(0, np.int64), np.zeros(0, U)
+            return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
         table = bands(num, den, 1 << int(int(size.max()) * den // num).bit_length())
         low = np.array([b.low for b in table])
         own = np.searchsorted(low, size, side="right") - 1
         top = np.searchsorted(low, size * den // num, side="right") - 1     # the last band of a larger partner
-        rows, sigs = [], []
+        rows, sigs, groups, needs = [], [], [], []
         for step in range(int((top - own).max()) + 1):
             use = np.flatnonzero(own + step <= top)
             band = (own + step)[use]
             for deletions in (False, True):
                 part = np.array([table[b].deletions == deletions for b in band], bool)
                 if part.any():
-                    r, s = self._segment(texts[use[part]], band[part], table, deletions)
-                    rows.append(r), sigs.append(s)
-        return np.concatenate(rows), np.concatenate(sigs)
+                    r, s, need = self._segment(texts[use[part]], band[part], table, deletions)
+                    groups.append(r + sum(map(len, needs)))
+                    rows.append(texts[use[part]][r]), sigs.append(s), needs.append(need)
+        return np.concatenate(rows), np.concatenate(sigs), np.concatenate(groups), np.concatenate(needs)
 
-    def _segment(self, texts: np.ndarray, band: np.ndarray, table: tuple, deletions: bool) -> tuple[np.ndarray, np.ndarray]:
+    def _segment(self, texts: np.ndarray, band: np.ndarray, table: tuple, deletions: bool) -> tuple[np.ndarray, ...]:
         m = np.array([table[b].segments for b in band])
         size = self.size[texts]
         owner = np.repeat(np.arange(len(texts)), size)
@@ -152,13 +157,15 @@ class Sets:
         row = np.repeat(np.arange(len(texts)), m)
         name = mix(((band[row].astype(U) << U(40)) | (np.arange(len(acc)) - base[row]).astype(U)) + U(1))
         if deletions:
-            return (np.concatenate([texts[row], texts[owner]]),
-                    np.concatenate([mix(acc + name), mix(acc[slot] - value + name[slot])]))
+            return (np.concatenate([row, owner]), np.concatenate([mix(acc + name), mix(acc[slot] - value + name[slot])]),
+                    np.ones(len(texts), np.int64))
         bare = filled == 0
         allowed = np.array([table[b].empty for b in band])
-        many = np.bincount(row[bare], minlength=len(texts)) > allowed
+        count = np.bincount(row[bare], minlength=len(texts))
+        many = count > allowed
         send_ = ~bare | many[row]
-        return texts[row[send_]], mix(acc[send_] + name[send_])
+        # of the allowed + 1 segments that a partner has alike, all but the empty ones are sent by both
+        return row[send_], mix(acc[send_] + name[send_]), allowed + 1 - np.minimum(count, allowed)
 
 
 def _live_sets(docs: DataFrame, id_col: str, text: str, n: int, num: int, den: int) -> DataFrame:
@@ -175,10 +182,11 @@ def _live_sets(docs: DataFrame, id_col: str, text: str, n: int, num: int, den: i
     def ask_shingles(t: pa.Table, reply: pa.Table) -> pa.Table:
         block, _, data, off = contents(ordered(t))
         sets = Sets(data, off, n)
-        row, sig = sets.signatures(sets.distinct(), num, den)
+        row, sig, group, need = sets.signatures(sets.distinct(), num, den)
         own, back, count = np.unique(sig, return_inverse=True, return_counts=True)
+        alike = np.bincount(group[(member(own, told(reply)) | (count > 1))[back]], minlength=len(need))
         some = np.zeros(len(sets.size), bool)
-        some[row[(member(own, told(reply)) | (count > 1))[back]]] = True
+        some[row[(alike >= need)[group]]] = True
         h, c = np.unique(sets.hash[some[sets.text]], return_counts=True)
         return send(block, h, buckets, np.minimum(c, 255).astype(np.uint8))
 
@@ -194,7 +202,7 @@ def _live_sets(docs: DataFrame, id_col: str, text: str, n: int, num: int, den: i
         common = (member(own, told(reply)) | (local > 1))[back]
         in_others = np.bincount(sets.text[common], minlength=len(sets.size))
         live = one & (den * in_others >= num * sets.size)
-        row, sig = sets.signatures(np.flatnonzero(live), num, den)
+        row, sig, _, _ = sets.signatures(np.flatnonzero(live), num, den)
         sig = sig[np.argsort(row, kind="stable")]
         n_sig = np.bincount(row, minlength=len(sets.size))
         mine = live[sets.text]
