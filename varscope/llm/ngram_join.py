@@ -53,6 +53,8 @@ from .hashing import Prefix, Words, member, mix
 U = np.uint64
 #: Width of a size band in steps of the threshold.
 BAND_STEPS = 3
+#: Differing elements that a task holds at once.
+ELEMENTS = 200_000
 #: Segments beyond those that empty ones need: so many more signatures must agree.
 SPARE = 4
 #: What a signature that collides by chance costs, in signatures.
@@ -255,18 +257,20 @@ def _cross_candidates(signed: DataFrame, labels: DataFrame, nodes: DataFrame, nu
             x, xo = raw(b.column("x"))
             y, yo = raw(b.column("y"))
             x, y, xo, yo = x.view(U), y.view(U), xo // 8, yo // 8
-            parts = []
+            parts, first, held = [], 0, 0
             for k in range(b.num_rows):
                 p, q = x[xo[k]:xo[k + 1]], y[yo[k]:yo[k + 1]]
                 parts.append(np.concatenate([p[~member(p, q)], q[~member(q, p)]]))
-            n = np.array([len(d) for d in parts])
-            size = np.diff(xo)
-            excess = n * (num + den) - (den - num) * size                    # a(x), times num + den
-            row = pa.array(np.repeat(np.arange(b.num_rows), n))
-            yield batch(["hub", "node", "label", "hub_label", "size", "n", "excess", "g"],
-                        [b.column(c).take(row) for c in ("hub", "node", "label", "hub_label")]
-                        + [np.repeat(v, n) for v in (size, n, excess)]
-                        + [np.concatenate(parts).view(np.int64) if len(parts) else np.zeros(0, np.int64)])
+                held += len(parts[-1])
+                if held >= ELEMENTS or k == b.num_rows - 1:              # a batch out holds about so many
+                    n = np.array([len(d) for d in parts])
+                    size = np.diff(xo)[first:k + 1]
+                    excess = n * (num + den) - (den - num) * size        # a(x), times num + den
+                    row = pa.array(np.repeat(np.arange(first, k + 1), n))
+                    yield batch(["hub", "node", "label", "hub_label", "size", "n", "excess", "g"],
+                                [b.column(c).take(row) for c in ("hub", "node", "label", "hub_label")]
+                                + [np.repeat(v, n) for v in (size, n, excess)] + [np.concatenate(parts).view(np.int64)])
+                    parts, first, held = [], k + 1, 0
 
     x = nodes.select(F.col("node").alias("_a"), F.col("hashes").alias("x"))
     y = nodes.select(F.col("node").alias("_b"), F.col("hashes").alias("y"))
