@@ -40,6 +40,27 @@ def test_extract():
     assert html_mincut.extract("<article><p>a&#65;&amp;lt; b</p></article>")[0] == "aA&lt; b"
 
 
+@pytest.mark.parametrize("tag", [
+    '<svg class="icon" viewBox="0 0 1 1"/>', "<math/>", "<video src=a.mp4>", "<object data=x>", "<canvas id=c>", "<select name=s>",
+    "<button>", "<iframe src=y>", "<template>", "<noscript>", "<video-js id=v></video-js>", "<button-group></button-group>",
+    "<select-box></select-box>", "<object-view></object-view>", "<title-card></title-card>", "<svg><path/></svg>"])
+@pytest.mark.parametrize("later", ["", "<video src=b.mp4>no video</video><button>Send</button>"])
+def test_opaque_element_keeps_the_rest(tag, later):
+    first, rest = "The first paragraph of the article has a fair number of words.", "The last one has about as many words as it."
+    if tag == "<video src=a.mp4>" and later:
+        return                                              # then it has an end tag, and holds what is before it
+    page = f"<article><p>{first}</p>{tag}<p>{rest}</p>{later}</article>"
+    assert html_mincut.extract(page)[0] == f"{first} {rest}"
+
+
+def test_raw_text_without_end_holds_the_rest():
+    for tag in html_mincut.RAW_TEXT:
+        assert html_mincut.extract(f"<article><p>All the text that is kept.</p><{tag}><p>Not a paragraph of the page.</p>")[0] \
+            == "All the text that is kept."
+    many = "<article>" + "<svg><button>" * 20_000 + "<p>One line of text.</p></article>"
+    assert html_mincut.extract(many)[0] == "One line of text."
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(2)
     for _ in range(150):

@@ -12,7 +12,8 @@ what is then left goes through the flow.
 
 Defined results: null or empty html gives an empty text; character references are decoded,
 also without a semicolon where HTML allows it; white space inside a block is one space;
-a page without any block gives an empty text; rows with equal ids are extracted one by one;
+a page without any block gives an empty text; an opaque element without an end tag is skipped alone,
+unless it is raw text (script, style, textarea, title), which then holds the rest of the page; rows with equal ids are extracted one by one;
 an empty table gives an empty table; other columns are not read.
 """
 
@@ -30,10 +31,18 @@ from pyspark.sql import DataFrame
 from .common import batch
 
 _ATTRS = r"""(?:[^>"']++|"[^"]*"|'[^']*')*+"""
-#: Elements that are skipped with all they hold.
-OPAQUE = "script|style|noscript|title|template|svg|math|iframe|object|canvas|audio|video|select|textarea|button|datalist"
-TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<({OPAQUE})\b{_ATTRS}>.*?(?:</\1\s*>|$)"
+#: Elements that are skipped with all they hold, if they have an end tag.
+OPAQUE = {"script", "style", "noscript", "title", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video",
+          "select", "textarea", "button", "datalist"}
+#: Those of them whose text is never markup: without an end tag they hold the rest of the page.
+RAW_TEXT = {"script", "style", "textarea", "title"}
+#: Those of them that a slash at the end of the tag closes.
+SELF_CLOSED = {"svg", "math"}
+#: Those of them that cannot hold one of their own kind: the next start tag ends them.
+UNNESTED = {"button", "select"}
+TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)"
                    rf"|<(/?)([a-zA-Z][^\s/>]*)({_ATTRS}|[^>]*)>|<[!?/][^>]*>", re.S | re.I)
+END_OF = {tag: re.compile(rf"<{'/?' if tag in UNNESTED else '/'}{tag}(?=[\s/>])[^>]*>", re.I) for tag in OPAQUE}
 ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|style)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -102,6 +111,19 @@ class Node:
         return False
 
 
+def after_opaque(html: str, tag: str, attrs: str, at: int, ends: dict[str, int]) -> int:
+    """Where the page goes on after an opaque start tag that ends at ``at``. ``ends`` remembers from where on
+    a name has no end tag, so that many start tags without one are not searched to the end each."""
+    if tag in SELF_CLOSED and attrs.endswith("/"):
+        return at
+    end = END_OF[tag].search(html, at) if at < ends.get(tag, len(html)) else None
+    if end and end[0][1] == "/":
+        return end.end()
+    if not end:
+        ends[tag] = min(at, ends.get(tag, at))
+    return len(html) if tag in RAW_TEXT else at
+
+
 def blocks(html: str) -> list[tuple[str, Node, float, str]]:
     """(text, parent, share of it in links, innermost tag) of the text blocks in page order."""
     root = Node("html", None, "")
@@ -127,14 +149,17 @@ def blocks(html: str) -> list[tuple[str, Node, float, str]]:
                     place = place.parent
             own.append((text, here.link))
 
-    at = 0
-    for m in TOKEN.finditer(html):
+    at, ends = 0, {}
+    while m := TOKEN.search(html, at):
         add(html[at:m.start()])
         at = m.end()
-        tag = m[3]
+        tag = m[2]
         if not tag:
             continue
         tag = tag.lower()
+        if tag in OPAQUE and not m[1]:
+            at = after_opaque(html, tag, m[3], at, ends)
+            continue
         block = tag not in INLINE
         if tag == "br" or tag == "hr":
             if own:
@@ -143,7 +168,7 @@ def blocks(html: str) -> list[tuple[str, Node, float, str]]:
                 continue
         if block:
             flush()
-        if m[2]:
+        if m[1]:
             n = here
             while n.parent and n.tag != tag:
                 if not block and n.tag not in INLINE:
@@ -152,7 +177,7 @@ def blocks(html: str) -> list[tuple[str, Node, float, str]]:
                 n = n.parent
             if n.parent:
                 here = n.parent
-        elif tag not in VOID and not m[4].endswith("/"):
+        elif tag not in VOID and not m[3].endswith("/"):
             if block:                  # what HTML closes by itself
                 closes = {"p", *HEADINGS} if tag not in ("li", "dt", "dd", "tr", "td", "th", "option") else {"p", tag}
                 n = here
@@ -160,7 +185,7 @@ def blocks(html: str) -> list[tuple[str, Node, float, str]]:
                     n = n.parent
                 if n.parent and n.tag in closes:
                     here = n.parent
-            here = Node(tag, here, m[4])
+            here = Node(tag, here, m[3])
     add(html[at:])
     flush()
     return out
