@@ -53,6 +53,27 @@ def test_opaque_element_keeps_the_rest(tag, later):
     assert html_mincut.extract(page)[0] == f"{first} {rest}"
 
 
+@pytest.mark.parametrize("attrs", [
+    'class="entry-content no-sidebar"', 'class="post-content has-share"', 'class="has-sidebar"', 'class="content with-related-posts"',
+    'class="story hasComments"', 'class="post-content layout--without-sidebar"', 'class="entry-content share"',
+    'id="content" class="post sidebar-right"'])
+@pytest.mark.parametrize("outer", ["<article>%s</article>", "<main class=no-comments>%s</main>", "<article class='post has-related'>%s</article>"])
+def test_layout_words_do_not_drop_the_article(attrs, outer):
+    first = "The first paragraph of the article has a fair number of words, as paragraphs do."
+    rest = "The last one has about as many words as it, and ends the article here."
+    aside = "<div class='sidebar no-content'><p>Another story that you may like, with some text of its own.</p></div>"
+    page = outer % f"<div {attrs}><p>{first}</p><p>{rest}</p></div>" + aside
+    assert html_mincut.extract(page)[0] == f"{first} {rest}"
+
+
+@pytest.mark.parametrize("attrs", [
+    'class="post-comments"', 'class="content-sidebar widget"', 'class="comment-body"', 'id="related" class="story-teaser"',
+    'class="share no-sidebar"', 'class="entry comment"', 'id="footer" class="main share"'])
+def test_bad_names_stay_boilerplate(attrs):
+    page = f"<article><p>The only paragraph of the article has a fair number of words.</p></article><div {attrs}><p>Short text beside it.</p></div>"
+    assert html_mincut.extract(page)[0] == "The only paragraph of the article has a fair number of words."
+
+
 def test_raw_text_without_end_holds_the_rest():
     for tag in html_mincut.RAW_TEXT:
         assert html_mincut.extract(f"<article><p>All the text that is kept.</p><{tag}><p>Not a paragraph of the page.</p>")[0] \

@@ -20,6 +20,7 @@ an empty table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 import html as html_entities
+import itertools
 import math
 import re
 from collections import deque
@@ -60,6 +61,8 @@ BAD_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertis
              "recommendations", "widget", "comment", "comments", "commentlist", "reply", "replies", "respond", "disqus",
              "login", "signup", "signin", "register", "search", "copyright", "legal", "pagination", "pager", "toolbar", "alert",
              "disclaimer", "teaser", "trending", "form", "skip"}
+#: What follows one of these in a class or id says how the page is laid out, not what the element is.
+LAYOUT_WORDS = {"has", "no", "with", "without"}
 GOOD_WORDS = {"article", "content", "post", "entry", "story", "main", "body", "text", "articlebody"}
 #: The only words that turn an article or main element into boilerplate.
 BAD_ARTICLES = {"comment", "comments", "reply", "ad", "ads", "advert", "promo", "sponsored", "related", "teaser"}
@@ -70,6 +73,12 @@ BAD, GOOD, OUTER = -8.0, 4.0, 0.25
 ADJACENT, SIBLING, REACH = 1.2, 1.0, 3.0
 
 
+def _name_words(name: str) -> set[str]:
+    """The words of a class or id up to the first of :data:`LAYOUT_WORDS`."""
+    words = [w.lower() for w in WORDS.findall(name)]
+    return set(itertools.takewhile(lambda w: w not in LAYOUT_WORDS, words))
+
+
 class Node:
     __slots__ = ("tag", "parent", "depth", "hint", "link")
 
@@ -81,7 +90,7 @@ class Node:
 
     def _hint(self, attrs: str) -> float:
         """What this element alone says of the blocks in it."""
-        words: set[str] = set()
+        names: list[set[str]] = []
         role = ""
         if attrs and self.tag not in ("body", "html"):
             for name, value in ATTR.findall(attrs):
@@ -91,14 +100,18 @@ class Node:
                 elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                     return BAD
                 elif name in ("class", "id", "itemprop"):
-                    words.update(w.lower() for w in WORDS.findall(value))
+                    names += map(_name_words, value.split())
         if self.tag in ("article", "main"):
-            return BAD if words & BAD_ARTICLES else GOOD
-        if self.tag in BAD_TAGS or role in BAD_ROLES or words & BAD_WORDS:
+            return BAD if any(w & BAD_ARTICLES for w in names) else GOOD
+        if self.tag in BAD_TAGS or role in BAD_ROLES or self.tag == "header" and not self._in_article():
             return BAD
+        bad = sum(bool(w & BAD_WORDS) for w in names)
+        good = len(set().union(*(w & GOOD_WORDS for w in names if not w & BAD_WORDS)))
+        if bad:                        # a name with both, like post-comments, is a bad one
+            return max(BAD, min(BAD * bad + GOOD * good, GOOD / 2))
         if self.tag == "header":
-            return 0.0 if self._in_article() else BAD
-        if words & GOOD_WORDS or role in ("main", "article"):
+            return 0.0
+        if good or role in ("main", "article"):
             return GOOD / 2
         return 0.0
 
