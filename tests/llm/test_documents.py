@@ -244,6 +244,29 @@ def test_codec_equals_tokenizer(name, cut):
         assert codec.encode(texts) == codec._encode(texts)
 
 
+@pytest.mark.parametrize("name,cut,ends", [("word_bpe_49k.json", "space", 49407), ("byte_bpe_50k.json", "byte", 50256)])
+def test_added_tokens_as_the_library_has_them(spark, name, cut, ends):
+    from tokenizers import Tokenizer
+    path = tokenizer_path(name)
+    plain = Tokenizer.from_file(path)                       # nothing set on it
+    mark = "<|endoftext|>"
+    texts = [mark, f"a {mark}", f"{mark}b", f"one. {mark} two\nthree", f"x{mark}{mark}y", f" {mark} ", "<|endof text|>", "<|ENDOFTEXT|>", "<|endoftext|",
+             "<|startoftext|> go", f"{mark} " * 1500, "no mark at all", *(t or "" for _, t, *_ in documents())]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [ends]
+    codec = Codec(path, cut)
+    for _ in range(2):
+        assert [np.frombuffer(x, codec.dtype).tolist() for x in codec.encode(texts)] == want
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    files = token_files.write_token_files(docs, path, cut)
+    got = token_files.read_token_files(spark, files).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: [*x, 2] for i, x in enumerate(want)}
+    pieces = defaultdict(list)
+    for r in sorted(packing.pack(docs, path, cut).collect(), key=lambda r: r["piece"]):
+        pieces[r["doc_id"]] += r["ids"]
+    assert pieces == {i: [*x, 2] for i, x in enumerate(want)}
+
+
 def test_packing(docs, empty):
     path = tokenizer_path("byte_bpe_50k.json")
     tok = Codec(path, "byte").tok

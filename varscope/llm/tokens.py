@@ -2,7 +2,8 @@
 
 Both tokenizers cut a text before they merge, and never merge across the cuts, so a text
 may be encoded piece by piece and equal pieces once. Texts are cut only where the cut of
-the tokenizer is certain; a text with any other white space goes to it whole.
+the tokenizer is certain; a text with any other white space goes to it whole, and so does one
+with the string of an added token (<|endoftext|>), which is one id as the library has it.
 """
 
 from __future__ import annotations
@@ -38,7 +39,11 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        # the library gives an added token's string one id, so a text that holds one goes to it whole
+        added = self.tok.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        if self.tok.normalizer and any(t.normalized for t in added):
+            self.added = [""]          # told only after normalizing: every text goes whole
         self.cut = cut
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() < 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
@@ -86,6 +91,14 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``dtype``."""
+        whole = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not whole:
+            return self._encode_cut(texts)
+        ids = dict(zip(whole, self._encode([texts[k] for k in whole])))
+        others = iter(self._encode_cut([t for k, t in enumerate(texts) if k not in ids]))
+        return [ids[k] if k in ids else next(others) for k in range(len(texts))]
+
+    def _encode_cut(self, texts: list[str]) -> list[bytes]:
         known, get = self.known, self.known.get
         cut = [self.pieces(t) for t in texts]
         found = [list(map(get, p)) for p in cut]
