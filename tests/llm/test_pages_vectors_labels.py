@@ -154,6 +154,37 @@ def test_embedding_near_duplicates(spark):
     assert len(nothing) == 7 and all(r["kept"] and r["n_links"] == 0 for r in nothing)
 
 
+def test_embeddings_of_several_lengths(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for width, n in ((16, 700), (8, 400), (6, 3), (2, 2), (1, 1)):      # with an index, with another, without
+        base = rng.normal(size=(n, width))
+        rows += [(len(rows) + k, [float(v) for v in x]) for k, x in enumerate(base)]
+        rows += [(len(rows) + k, [float(v) for v in base[k % n] * 2 + rng.normal(size=width) * 0.01]) for k in range(60 if n > 3 else 1)]
+    rows += [(9000 + k, rows[k][1]) for k in (2, 765, 1225)]
+    ids = np.array([i for i, _ in rows])
+    linked = np.zeros((len(rows), len(rows)), bool)
+    for width in {len(v) for _, v in rows}:
+        at = np.array([k for k, (_, v) in enumerate(rows) if len(v) == width])
+        x = np.array([np.float32(rows[k][1]) for k in at], float)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        linked[np.ix_(at, at)] = x @ x.T >= 0.95
+    np.fill_diagonal(linked, False)
+    label = ids.copy()
+    while True:
+        new = np.array([min([label[k], *label[linked[k]]]) for k in range(len(rows))])
+        if (new == label).all():
+            break
+        label = new
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = sorted(tuple(r) for r in embedding_index.near_duplicates(df, recall=1.0).collect())
+    assert got == sorted((int(i), int(n), int(c), bool(i == c)) for i, n, c in zip(ids, linked.sum(axis=1), label))
+    rare = [g for g, (_, v) in zip(got, sorted(rows)) if len(v) != 16]
+    assert sum(n > 0 for _, n, _, _ in rare) > 100
+    few = embedding_index.near_duplicates(df.filter("size(embedding) = 6")).collect()
+    assert sorted(r["n_links"] for r in few)[-2:] == [1, 1]
+
+
 def test_multi_index_recall_and_order():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 16))

@@ -12,16 +12,17 @@ A cell and its visitors are compared in blocks of :data:`BLOCK` by :data:`BLOCK`
 there are. A block returns no pairs: how many links each vector has in it, and one edge for each
 vector to the least vector of its component in the block. Equal vectors are one entry with a count.
 
-Defined results: vectors that are null, empty, zero, of another length than most of the sample,
-or hold null or non-finite components link with nothing; a null vec_id sorts before all others;
+Vectors of different lengths do not link. Each length has an index and a sample of its own; of a length
+with at most :data:`PER_CELL` different vectors all are in one cell.
+
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with
+nothing; a null vec_id sorts before all others;
 rows of one id are counted one by one; an empty table gives an empty table; other columns are
 not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +36,8 @@ TRIALS = 2_000
 #: Vectors that a cell should hold on average, which sets the size of the codebooks.
 PER_CELL = 200
 MAX_CODES = 1024
+#: Cells that an index has at most.
+CELLS = MAX_CODES ** 2
 RECALL = 0.99
 BLOCK = 2_000
 ROUNDS = 12
@@ -116,34 +119,49 @@ def vectors(table: DataFrame, id_col: str, vector: str) -> DataFrame:
     return table.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), vector).mapInArrow(run, "id long, blob binary")
 
 
+def _index(same: DataFrame, width: int, n: int, threshold: float, recall: float) -> MultiIndex:
+    """The index of ``n`` vectors of ``width`` bytes."""
+    sample = same.orderBy(F.xxhash64("blob")).select("blob").limit(SAMPLE).collect()
+    x = np.frombuffer(b"".join(r["blob"] for r in sample), "<f8").reshape(-1, width // 8)
+    codes = int(np.clip(round((n / PER_CELL) ** 0.5), 2, MAX_CODES))
+    return MultiIndex(x / np.linalg.norm(x, axis=1, keepdims=True), threshold, codes, recall)
+
+
 def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = 0.95,
                     recall: float = RECALL) -> DataFrame:
     """One row per vector: id, n_links, component_id (least id that links reach), kept."""
     every = written(vectors(table, id_col, vector), "vectors")
     classes = written(every.filter("blob is not null").groupBy("blob").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("times")),
                       "distinct-vectors")
-    sample = classes.orderBy(F.xxhash64("blob")).select("blob").limit(SAMPLE).collect()
-    common = Counter(len(r["blob"]) for r in sample).most_common(1)
+    widths = {r["w"]: r["n"] for r in classes.groupBy(F.octet_length("blob").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+              .orderBy("w").collect()}                                        # a row a length
     null = F.lit(NULL_ID)
-    if not common:
+    if not widths:
         return every.select(F.nullif("id", null).alias(id_col), F.lit(0).cast("long").alias("n_links"),
                             F.nullif("id", null).alias("component_id"), F.lit(True).alias("kept"))
-    width = common[0][0]
-    same = classes.filter(F.octet_length("blob") == width)
-    x = np.frombuffer(b"".join(r["blob"] for r in sample if len(r["blob"]) == width), "<f8").reshape(-1, width // 8)
-    codes = int(np.clip(round((same.count() / PER_CELL) ** 0.5), 2, MAX_CODES))
-    index = MultiIndex(x / np.linalg.norm(x, axis=1, keepdims=True), threshold, codes, recall)
+    indexes = {w: _index(classes.filter(F.octet_length("blob") == w), w, n, threshold, recall)
+               for w, n in widths.items() if n > PER_CELL}
 
     def place(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             blobs, off = raw(b.column("blob"))
-            u = _units(blobs, off)
-            own = index.cells(u)
-            row, cell = index.visited(u)
-            later = cell > own[row]
-            row, cell = row[later], cell[later]
+            width = np.diff(off)
+            own, rows, cells = np.empty(len(width), np.int64), [], []
+            for w in np.unique(width).tolist():
+                at = np.flatnonzero(width == w)
+                own[at] = w * CELLS                       # cells of different lengths have different numbers
+                if w not in indexes:                      # few vectors: all in one cell
+                    continue
+                u = _units(*raw(b.column("blob").take(pa.array(at))))
+                own[at] += indexes[w].cells(u)
+                row, cell = indexes[w].visited(u)
+                row, cell = at[row], w * CELLS + cell
+                later = cell > own[row]
+                rows.append(row[later])
+                cells.append(cell[later])
+            row, cell = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (rows, cells))
             pick = np.concatenate([np.arange(len(own)), np.arange(len(own)), row])
             kind = np.repeat([0, 1, 2], [len(own), len(own), len(row)]).astype(np.int8)   # member, own visitor, visitor
             yield pa.RecordBatch.from_arrays(
@@ -151,7 +169,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector: str = "emb
                  b.column("times").take(pa.array(pick)), b.column("blob").take(pa.array(pick))],
                 ["cell", "kind", "node", "times", "blob"])
 
-    placed = same.select("node", "times", "blob").mapInArrow(place, "cell long, kind byte, node long, times long, blob binary")
+    placed = classes.select("node", "times", "blob").mapInArrow(place, "cell long, kind byte, node long, times long, blob binary")
     sizes = written(placed.groupBy("cell").agg(F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).alias("members"),
                                                F.sum(F.when(F.col("kind") > 0, 1).otherwise(0)).alias("visitors"))
                     .filter("members > 0")                                    # a row a cell
