@@ -22,6 +22,21 @@ def test_pairwise_complete_correlation_matches_numpy(spark):
     assert abs(got[("a", "c")]["r"] - np.corrcoef(a, c)[0, 1]) < 1e-12
 
 
+def test_wide_query_returns_every_pair(spark, tmp_path):
+    from varscope.plans.q_association import WIDE, q_corr_wide
+    rng = np.random.default_rng(7)
+    cols = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    data = rng.uniform(0.01, 1, size=(80, 4)) * (50, 1000, 0.1, 0.08)
+    spark.createDataFrame([tuple(map(float, r)) for r in data], ", ".join(f"{c} double" for c in cols)) \
+        .write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r["column_a"], r["column_b"]): r for r in q_corr_wide(spark, str(tmp_path)).collect()}
+    want = np.corrcoef([data[:, cols.index(c)] ** e for c, e in WIDE.values()])
+    names = list(WIDE)
+    assert set(got) == {(a, b) for i, a in enumerate(names) for b in names[i + 1:]} and len(got) == 1770
+    for (a, b), r in got.items():
+        assert r["n"] == 80 and abs(r["r"] - want[names.index(a), names.index(b)]) < 1e-5
+
+
 def test_false_discoveries_on_noise_are_rare(spark):
     rng = np.random.default_rng(11)
     data = rng.normal(size=(30, 15))
