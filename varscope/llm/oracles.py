@@ -92,3 +92,22 @@ reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a,
 SELECT m.vec_id, coalesce(l.n, 0)::BIGINT AS n_links, m.c AS component_id, m.vec_id = m.c AS kept
 FROM (SELECT a AS vec_id, min(b) AS c FROM reach GROUP BY a) m LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) l USING (vec_id)
 """
+
+RANKED = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+s AS (SELECT count(*)::HUGEINT AS n_docs, sum(len(ts))::HUGEINT AS n_terms FROM d WHERE len(ts) > 0),
+t AS (SELECT row_id, doc_id, len(ts) AS n, unnest(ts) AS term FROM d WHERE len(ts) > 0),
+f AS (SELECT row_id, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM t GROUP BY row_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs)::DOUBLE + 2) / (2 * count(*)::DOUBLE + 1)))::BIGINT AS w FROM f, s GROUP BY term),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+r AS (SELECT i.item_id, f.row_id, any_value(f.doc_id) AS doc_id,
+             sum(w.w * ((1000000000 * f.tf::HUGEINT) // (1000 * f.tf + 8 * (10 + (90 * f.n * s.n_docs) // s.n_terms))))::BIGINT AS score
+      FROM i JOIN f ON i.term = f.term JOIN w ON w.term = f.term, s GROUP BY i.item_id, f.row_id)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM r WHERE score > 0)
+WHERE rank <= 10
+"""
