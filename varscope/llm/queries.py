@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_index, html_mincut, mixing, ngram_join, oracles, packing
-from . import quality_rules, substring_dedup, suffix_dedup, token_files, toxicity
+from . import bpe, embedding_index, html_mincut, mixing, ngram_join, oracles, packing
+from . import quality_rules, ranked_search, substring_dedup, suffix_dedup, token_files, toxicity, whitening
 from .common import table
 from .tokens import tokenizer_path
 
@@ -76,3 +76,22 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_embedding_index", oracles.EMBEDDINGS)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@register("op11_bpe")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
+    return bpe.decode(ids, path).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@register("op12_ranked_search", oracles.RANKED)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
