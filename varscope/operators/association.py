@@ -1,9 +1,11 @@
 """A7-A9, T1, T3 - pairwise Pearson association with multiple-testing control.
 
-One scan and one implementation for any number of columns: each row is expanded to
-its column pairs inside the scan stage and aggregated there by (segment, pair) with
-Spark's stable co-moment aggregates, so only one small buffer per (partition,
-segment, pair) is shuffled. p-values, BH and ranking run on the aggregated pair rows.
+Up to :data:`DIRECT_COLUMNS` columns each row is expanded to its column pairs inside the
+scan stage and aggregated there by (segment, pair) with Spark's stable co-moment
+aggregates. Wider tables use masked co-moment tiles (``functions.tiles``): matrix products
+over the rows, so that a row isn't multiplied by the number of pairs. Both give every pair;
+only one small buffer per (partition, segment, pair) is shuffled. p-values, BH and ranking
+run on the aggregated pair rows.
 """
 
 from __future__ import annotations
@@ -11,14 +13,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import tiles
 from ..functions.columns import as_list, num, numeric_columns
 from ..functions.fdr import bh_adjust
+from ..functions.joins import keyed_join
 from ..functions.special import pearson_pvalue
+from ..session import materialize
 
 FDR_SIGNIFICANCE_LEVEL = 0.05
+#: Columns up to which rows are expanded to pairs (at most 45 of them).
+DIRECT_COLUMNS = 10
+#: A centred sum of squares below this share of the raw one has lost digits that r needs.
+LOST_DIGITS = 1e-3
 
 
 def pair_stats(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] | None = None) -> DataFrame:
@@ -30,10 +39,16 @@ def pair_stats(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[st
     """
     by = as_list(by)
     cols = list(cols) if cols is not None else numeric_columns(df, exclude=by)
-    pairs = list(combinations(range(len(cols)), 2))
+    names = F.array(*[F.lit(c) for c in cols])
+    st = _tile_stats(df, cols, by) if len(cols) > DIRECT_COLUMNS else _direct_stats(df, cols, by, list(combinations(range(len(cols)), 2)))
+    return st.select(*by, names[F.col("idx_a")].alias("column_a"), names[F.col("idx_b")].alias("column_b"), "idx_a", "idx_b", "n", "r")
+
+
+def _direct_stats(df: DataFrame, cols: list[str], by: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
+    """``by..., idx_a, idx_b, n, r`` of the listed pairs: a row is expanded to its pairs in the scan stage."""
     if not pairs:
         kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
-        return df.sparkSession.createDataFrame([], kinds + "column_a string, column_b string, idx_a int, idx_b int, n long, r double")
+        return df.sparkSession.createDataFrame([], kinds + "idx_a int, idx_b int, n long, r double")
     index = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs]))
     rows = df.select(*by, F.array(*[num(c) for c in cols]).alias("_v")).select(*by, "_v", index.alias("_p"))
     rows = rows.select(*by, F.col("_p.i").alias("idx_a"), F.col("_p.j").alias("idx_b"),
@@ -44,10 +59,42 @@ def pair_stats(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[st
         *[f(F.when(F.col(o).isNotNull(), F.col(c))).alias(f"{k}{c}")
           for c, o in (("_x", "_y"), ("_y", "_x")) for k, f in (("lo", F.min), ("hi", F.max))])
     varied = (F.col("lo_x") < F.col("hi_x")) & (F.col("lo_y") < F.col("hi_y"))
-    r = F.try_divide("sxy", F.sqrt("sxx") * F.sqrt("syy"))
-    names = F.array(*[F.lit(c) for c in cols])
-    return st.select(*by, names[F.col("idx_a")].alias("column_a"), names[F.col("idx_b")].alias("column_b"), "idx_a", "idx_b", "n",
-                     F.when((F.col("n") >= 3) & varied, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r))).alias("r"))
+    return st.select(*by, "idx_a", "idx_b", "n", F.when((F.col("n") >= 3) & varied, _bounded_r("sxy", "sxx", "syy")).alias("r"))
+
+
+def _bounded_r(sxy: str, sxx: str, syy: str) -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.try_divide(F.col(sxy), F.sqrt(sxx) * F.sqrt(syy))))
+
+
+def _tile_stats(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    """As :func:`_direct_stats` for all pairs, by matrix products over the rows (``functions.tiles``).
+
+    Where the rows that a pair has in common lie far from a column's mean, or its values there are (nearly) constant, the
+    sums lose digits: these few pairs are computed again one by one.
+    """
+    centre = materialize(tiles.centres(df, cols, by))
+    sums = tiles.pair_sums(tiles.standardised(df, cols, by, centre), len(cols), by)
+    sums = keyed_join(sums, centre.select(*by, "_sd"), by)
+    n = F.col("n").cast("double")
+    sums = materialize(sums.select(
+        *by, F.col("k0").alias("idx_a"), F.col("k1").alias("idx_b"), "n", "a2", "b2",
+        (F.col("a2") - F.col("a1") ** 2 / n).alias("sxx"), (F.col("b2") - F.col("b1") ** 2 / n).alias("syy"),
+        (F.col("ab") - F.col("a1") * F.col("b1") / n).alias("sxy"),
+        ((F.col("_sd")[F.col("k0")] > 0) & (F.col("_sd")[F.col("k1")] > 0)).alias("varied")))
+    odd = F.col("varied") & (F.col("n") >= 3) & ((F.col("sxx") < LOST_DIGITS * F.col("a2")) | (F.col("syy") < LOST_DIGITS * F.col("b2"))
+                                                 | (F.col("a2") == 0) | (F.col("b2") == 0))
+    sums = sums.withColumn("odd", odd)
+    r = F.when((F.col("n") >= 3) & F.col("varied"), _bounded_r("sxy", "sxx", "syy"))
+    fine = sums.where(~F.col("odd")).select(*by, "idx_a", "idx_b", "n", r.alias("r"))
+    again = [(x["idx_a"], x["idx_b"]) for x in sums.where("odd").select("idx_a", "idx_b").distinct().collect()]  # pairs of columns
+    if again:
+        keys = [*by, "idx_a", "idx_b"]
+        fine = fine.unionByName(keyed_join(_direct_stats(df, cols, by, again), sums.where("odd").select(*keys), keys, "left_semi"))
+    # pairs without a common row are pairs all the same
+    every = centre.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("idx_a"), F.lit(j).alias("idx_b"))
+                                                   for i, j in combinations(range(len(cols)), 2)])).alias("_p")).select(*by, "_p.*")
+    out = keyed_join(every, fine, [*by, "idx_a", "idx_b"], "left")
+    return out.withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def correlation_pvalues(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] | None = None,
