@@ -111,3 +111,34 @@ def test_empty_table_and_no_pairs(spark):
     assert shape.quadratic_patterns(df, []).count() == 0
     assert association.pair_stats(none, cols, ["seg"]).count() == 0
     assert all(r["r"] is None and r["n"] == 0 for r in association.pair_stats(none, cols).collect())
+
+
+def test_derived_of_many_columns(spark, monkeypatch):
+    from varscope.operators import derived
+    rng = np.random.default_rng(8)
+    n = 500
+    base = rng.uniform(1, 9, (n, 9))
+    full = np.concatenate([base, base[:, [0]] * base[:, [1]], base[:, [2]] + base[:, [3]], base[:, [4]] - base[:, [5]]], 1)
+    full[:20, 9] += 3                                    # 4 % of the rows differ: still derived
+    full[:30, 10] += 3                                   # 6 %: not
+    rows = [(("a", "b", "c")[i % 3], *[None if rng.random() < 0.02 else float(x) for x in r]) for i, r in enumerate(full)]
+    cols = [f"c{i}" for i in range(12)]
+    df = spark.createDataFrame(rows, "seg string, " + ", ".join(f"{c} double" for c in cols)).repartition(3)
+    keys = ["target", "col_a", "col_b"]
+    clean, trip = derived._candidates(df, cols, [])
+    assert len(trip) > derived.REFUTE_FROM
+    names = [(cols[t], cols[a], cols[b]) for t, a, b in trip]
+    wide, direct = (keyed(f(clean, cols, [], trip), ["t", "a", "b"]) for f in (derived._counted_wide, derived._counted_rows))
+    assert wide == direct and len(wide) == len(names)
+    kept = derived._survivors(clean, cols, trip)
+    assert len(kept) < len(trip) / 4
+    got = keyed(derived.derived_relationships(df, cols), [*keys, "form"])
+    monkeypatch.setattr(derived, "REFUTE_FROM", 10**9)
+    close(got, keyed(derived.derived_relationships(df, cols), [*keys, "form"]))
+    assert {("c9", "c0", "c1", "product"), ("c11", "c4", "c5", "difference")} <= set(got)
+    assert not any(k[:3] == ("c10", "c2", "c3") for k in got)
+    monkeypatch.undo()
+    by_segment = keyed(derived.derived_relationships(df, cols, ["seg"]), ["seg", *keys, "form"])
+    for seg in "abc":
+        one = keyed(derived.derived_relationships(df.where(F.col("seg") == seg), cols), [*keys, "form"])
+        close({k[1:]: v for k, v in by_segment.items() if k[0] == seg}, one)

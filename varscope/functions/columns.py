@@ -81,28 +81,28 @@ def long_numeric(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
     return out
 
 
-def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Exact non-null distinct counts ``column, n_distinct`` for many columns.
+def distinct_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Exact non-null distinct counts ``by..., column, n_distinct`` for many columns.
 
-    Long form + two-level ``groupBy`` (distinct (column, value) pairs, then a
+    Long form + two-level ``groupBy`` (distinct (segment, column, value) triples, then a
     count per column): one shuffle of distinct pairs, instead of the
     row-multiplying ``Expand`` that several ``count(DISTINCT ...)`` in one
     aggregate produce. Numeric columns are compared as cleaned doubles
     (NaN is missing; -0.0 equals 0.0), other columns as strings.
     """
-    cols = list(cols)
+    cols, by = list(cols), list(by)
     nums = [c for c in cols if is_numeric(df, c)]
     others = [c for c in cols if c not in set(nums)]
     parts = []
     if nums:
-        ln = (df.select(*[(num(c) + F.lit(0.0)).alias(c) for c in nums])
-              .unpivot([], nums, "column", "value").where(F.col("value").isNotNull()))
-        parts.append(ln.select("column", "value").distinct()
-                     .groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct")))
+        ln = (df.select(*by, *[(num(c) + F.lit(0.0)).alias(c) for c in nums])
+              .unpivot(by, nums, "column", "value").where(F.col("value").isNotNull()))
+        parts.append(ln.select(*by, "column", "value").distinct()
+                     .groupBy(*by, "column").agg(F.count(F.lit(1)).alias("n_distinct")))
     if others:
-        lo = (df.select(*[F.col(c).cast("string").alias(c) for c in others])
-              .unpivot([], others, "column", "value").where(F.col("value").isNotNull()))
-        parts.append(lo.select("column", "value").distinct()
-                     .groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct")))
+        lo = (df.select(*by, *[F.col(c).cast("string").alias(c) for c in others])
+              .unpivot(by, others, "column", "value").where(F.col("value").isNotNull()))
+        parts.append(lo.select(*by, "column", "value").distinct()
+                     .groupBy(*by, "column").agg(F.count(F.lit(1)).alias("n_distinct")))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return out

@@ -122,11 +122,15 @@ def _level_counts(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
 def significant_subgroups(df: DataFrame, targets: str | Sequence[str], threshold: float = LARGE_EFFECT,
                           min_group_size: int = 2, by: Sequence[str] | None = None,
                           group_cols: Sequence[str] | None = None, max_levels: int = MAX_LEVELS,
-                          keep_all: bool = False, level_counts: dict[str, int] | None = None) -> DataFrame:
+                          keep_all: bool = False, level_counts: dict[str, int] | None = None,
+                          segment_levels: DataFrame | None = None) -> DataFrame:
     """Text columns with 2..``max_levels`` levels whose ANOVA on the target
     is reliable, p <= 0.05 and eta^2 >= ``threshold``; with the per-level means
-    as a map and the A14 ``deterministic`` flag."""
+    as a map and the A14 ``deterministic`` flag. ``segment_levels`` (``by..., column, n_distinct``)
+    counts the levels of each segment for itself; else the whole table's count decides for all segments."""
     by, targets = as_list(by), as_list(targets)
+    if segment_levels is not None:
+        return _segment_subgroups(df, targets, threshold, min_group_size, by, max_levels, keep_all, segment_levels)
     cands = list(group_cols) if group_cols is not None else [
         c for c in df.columns if is_text(df, c) and c not in set(targets) | set(by)]
     known = level_counts or {}
@@ -135,18 +139,39 @@ def significant_subgroups(df: DataFrame, targets: str | Sequence[str], threshold
     if not cands:
         return df.sparkSession.createDataFrame([], _subgroup_schema(df, by))
     levels = level_stats(df, targets, cands, by).cache()
-    eta = eta_from_levels(levels, by, min_group_size)
+    out = _eta_with_means(levels, by, min_group_size).withColumn(
+        "n_levels_total", F.element_at(F.create_map(*[x for c in cands for x in (F.lit(c), F.lit(counts[c]))]),
+                                       F.col("group_col")))
+    return _significant(out, threshold, keep_all)
+
+
+def _eta_with_means(levels: DataFrame, by: list[str], min_group_size: int) -> DataFrame:
     keys = by + ["target", "group_col"]
     means = levels.where(F.col("n") > 0).groupBy(*keys).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("level", "mean")))).alias("group_means"))
-    out = keyed_join(eta, means, keys, "left").withColumn(
-        "n_levels_total", F.element_at(F.create_map(*[x for c in cands for x in (F.lit(c), F.lit(counts[c]))]),
-                                       F.col("group_col")))
+    return keyed_join(eta_from_levels(levels, by, min_group_size), means, keys, "left")
+
+
+def _significant(out: DataFrame, threshold: float, keep_all: bool) -> DataFrame:
     out = out.withColumn("significant", F.col("reliable") & (F.col("p_value") <= SIGNIFICANCE)
                          & (F.col("eta_squared") >= threshold))
     return out if keep_all else out.where("significant")
 
 
+def _segment_subgroups(df: DataFrame, targets: list[str], threshold: float, min_group_size: int, by: list[str],
+                       max_levels: int, keep_all: bool, segment_levels: DataFrame) -> DataFrame:
+    """Subgroups where each segment decides which of the text columns group it; columns that group none aren't read."""
+    few = segment_levels.where(F.col("n_distinct").between(2, max_levels)).select(
+        *by, F.col("column").alias("group_col"), F.col("n_distinct").alias("n_levels_total"))
+    some = {r["group_col"] for r in few.select("group_col").distinct().collect()}    # names of columns
+    cands = [c for c in df.columns if is_text(df, c) and c in some and c not in set(targets) | set(by)]
+    if not cands:
+        return df.sparkSession.createDataFrame([], _subgroup_schema(df, by))
+    levels = keyed_join(level_stats(df, targets, cands, by), few.select(*by, "group_col"), by + ["group_col"], "left_semi").cache()
+    out = keyed_join(_eta_with_means(levels, by, min_group_size), few, by + ["group_col"])
+    return _significant(out, threshold, keep_all)
+
+
 def _subgroup_schema(df: DataFrame, by: Sequence[str]) -> str:
     extra = "".join(f"`{b}` {df.schema[b].dataType.simpleString()}, " for b in by)
     return (extra + "target string, group_col string, n long, n_groups long, n_levels long, ssb double, "
@@ -164,18 +189,27 @@ def confounders(df: DataFrame, target: str, feature: str, threshold: float = LAR
 
 def confounders_for_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], threshold: float = LARGE_EFFECT,
                           min_group_size: int = 5, by: Sequence[str] | None = None,
-                          keep_all: bool = False, level_counts: dict[str, int] | None = None) -> DataFrame:
+                          keep_all: bool = False, level_counts: dict[str, int] | None = None,
+                          segment_levels: DataFrame | None = None) -> DataFrame:
     """A13 for several (target, feature) pairs with ONE grouped ANOVA job over
-    every numeric column involved x every candidate grouping column."""
+    every numeric column involved x every candidate grouping column. ``segment_levels`` as in
+    :func:`significant_subgroups`."""
     by = as_list(by)
     pairs = [(a, b) for a, b in pairs]
     involved = sorted({c for p in pairs for c in p})
     others = [c for c in df.columns if c not in set(by)]
     non_text = [c for c in others if not is_text(df, c)]
-    known = level_counts or {}
-    counts = {**_level_counts(df, [c for c in non_text if c not in known]), **known}
-    cands = [c for c in others if is_text(df, c) or counts[c] <= MAX_LEVELS]
-    eta = eta_squared(df, involved, cands, by, min_group_size)
+    if segment_levels is None:
+        known = level_counts or {}
+        counts = {**_level_counts(df, [c for c in non_text if c not in known]), **known}
+        cands = [c for c in others if is_text(df, c) or counts[c] <= MAX_LEVELS]
+        eta = eta_squared(df, involved, cands, by, min_group_size)
+    else:
+        few = segment_levels.where(F.col("column").isin(*[c for c in others if is_text(df, c)]) | (F.col("n_distinct") <= MAX_LEVELS)) \
+            .select(*by, F.col("column").alias("group_col"))
+        some = {r["group_col"] for r in few.select("group_col").distinct().collect()}    # names of columns
+        levels = keyed_join(level_stats(df, involved, [c for c in others if c in some], by), few, by + ["group_col"], "left_semi")
+        eta = eta_from_levels(levels.cache(), by, min_group_size)
     strong = F.col("reliable") & (F.col("p_value") <= SIGNIFICANCE) & (F.col("eta_squared") >= threshold)
     eta = eta.select(*by, "group_col", "target", "eta_squared", "p_value", strong.alias("strong"))
     pair_df = df.sparkSession.createDataFrame(pairs, "p_target string, p_feature string")

@@ -34,23 +34,23 @@ LOW_R_SQUARED_THRESHOLD = 0.3
 
 
 def finding(df: DataFrame, code: str | Column, severity: str | Column, category: str,
-            columns: Column, metric: Column | None = None) -> DataFrame:
+            columns: Column, metric: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
     code_c = F.lit(code) if isinstance(code, str) else code
     sev_c = F.lit(severity) if isinstance(severity, str) else severity
     prio = F.coalesce(F.element_at(F.create_map(*[x for k, v in PRIORITY.items() for x in (F.lit(k), F.lit(v))]),
                                    code_c), F.lit(DEFAULT_PRIORITY))
-    return df.select(code_c.alias("code"), sev_c.alias("severity"), F.lit(category).alias("category"),
+    return df.select(*by, code_c.alias("code"), sev_c.alias("severity"), F.lit(category).alias("category"),
                      columns.cast("array<string>").alias("columns"),
                      (metric if metric is not None else F.lit(None)).cast("double").alias("metric"),
                      prio.cast("int").alias("priority"))
 
 
-def empty_findings(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], FINDING_SCHEMA)
+def empty_findings(spark: SparkSession, segment_schema: str = "") -> DataFrame:
+    return spark.createDataFrame([], segment_schema + FINDING_SCHEMA)
 
 
-def union_findings(spark: SparkSession, parts: Sequence[DataFrame]) -> DataFrame:
-    out = empty_findings(spark)
+def union_findings(spark: SparkSession, parts: Sequence[DataFrame], segment_schema: str = "") -> DataFrame:
+    out = empty_findings(spark, segment_schema)
     for p in parts:
         out = out.unionByName(p)
     return out
@@ -58,9 +58,10 @@ def union_findings(spark: SparkSession, parts: Sequence[DataFrame]) -> DataFrame
 
 def dedupe_codes(findings: DataFrame, unique_codes: Sequence[str] = ("MULTIPLE_TESTING", "WIDE_TABLE",
                                                                     "SMALL_SAMPLE", "NO_NUMERIC",
-                                                                    "DISTRIBUTION_SUMMARY")) -> DataFrame:
-    """One row for codes that must appear once (first by priority, then metric)."""
-    w = Window.partitionBy("code").orderBy("priority", F.col("metric").desc_nulls_last(), "columns")
+                                                                    "DISTRIBUTION_SUMMARY"),
+                 by: Sequence[str] = ()) -> DataFrame:
+    """One row a segment for codes that must appear once (first by priority, then metric)."""
+    w = Window.partitionBy(*by, "code").orderBy("priority", F.col("metric").desc_nulls_last(), "columns")
     keep = F.col("code").isin(*unique_codes)
     return (findings.withColumn("_r", F.row_number().over(w))
             .where(~keep | (F.col("_r") == 1)).drop("_r"))
@@ -82,9 +83,9 @@ def score(n_rows: Column, n_findings: Column, n_anomaly_cols: Column,
     return s.cast("int"), level
 
 
-def main_insight(findings: DataFrame, scenario_cols: Sequence[str] = ()) -> DataFrame:
-    """the single most important finding (scenario columns first within a priority)."""
+def main_insight(findings: DataFrame, scenario_cols: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+    """the single most important finding of a segment (scenario columns first within a priority)."""
     touches = (F.arrays_overlap(F.col("columns"), F.array(*[F.lit(c) for c in scenario_cols]))
                if scenario_cols else F.lit(False))
-    w = Window.orderBy("priority", touches.desc(), F.col("metric").desc_nulls_last(), "code", "columns")
+    w = Window.partitionBy(*by).orderBy("priority", touches.desc(), F.col("metric").desc_nulls_last(), "code", "columns")
     return findings.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import distinct_counts, is_integral, is_numeric, is_temporal, is_text, num
+from ..functions.columns import as_list, distinct_counts, is_integral, is_numeric, is_temporal, is_text, num
+from ..functions.joins import keyed_join
 
 # Fixed values that must equal the reference's behaviour.
 # Two-valued text columns whose trimmed, lower-cased values are one of these pairs are boolean.
@@ -93,17 +94,19 @@ def _role(df: DataFrame, name: str, i: int) -> tuple[Column, Column]:
     return F.when(n == 0, F.lit("unknown")).otherwise(tail), F.lit(False)
 
 
-def column_types(df: DataFrame, cols: Sequence[str] | None = None, approx_distinct: bool = False) -> DataFrame:
-    """``column, position, dtype, n, n_distinct, role, is_identifier``."""
-    cols = list(cols) if cols is not None else df.columns
+def column_types(df: DataFrame, cols: Sequence[str] | None = None, approx_distinct: bool = False,
+                 by: Sequence[str] | None = None) -> DataFrame:
+    """``by..., column, position, dtype, n, n_distinct, role, is_identifier``."""
+    by = as_list(by)
+    cols = list(cols) if cols is not None else [c for c in df.columns if c not in by]
     aggs = [a for i, c in enumerate(cols) for a in _column_aggs(df, c, i, approx_distinct)]
-    wide = df.agg(*aggs)
+    wide = df.groupBy(*by).agg(*aggs)
     if not approx_distinct:
-        # exact distinct counts come from their own long-form job, pivoted into the one row
-        dc = distinct_counts(df, cols).groupBy().pivot("column", cols).agg(F.first("n_distinct"))
-        from ..functions.joins import keyed_join
-        wide = keyed_join(wide, dc.select(*[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias(f"d_{i}")
-                                            for i, c in enumerate(cols)]), [])
+        # exact distinct counts come from their own long-form job, turned into one row a segment
+        dc = distinct_counts(df, cols, by).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("column", "n_distinct"))).alias("_of"))
+        wide = keyed_join(wide, dc.select(*by, *[F.coalesce(F.element_at("_of", F.lit(c)), F.lit(0)).cast("long").alias(f"d_{i}")
+                                                 for i, c in enumerate(cols)]), by, "left")
+        wide = wide.fillna(0, [f"d_{i}" for i in range(len(cols))])
     entries = []
     for i, c in enumerate(cols):
         role, seq = _role(df, c, i)
@@ -111,7 +114,7 @@ def column_types(df: DataFrame, cols: Sequence[str] | None = None, approx_distin
                                 F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
                                 F.col(f"n_{i}").alias("n"), F.col(f"d_{i}").alias("n_distinct"),
                                 role.alias("role"), ((role == "identifier") | seq).alias("is_identifier")))
-    return wide.select(F.explode(F.array(*entries)).alias("_t")).select("_t.*")
+    return wide.select(*by, F.explode(F.array(*entries)).alias("_t")).select(*by, "_t.*")
 
 
 def identifier_columns(df: DataFrame, cols: Sequence[str] | None = None) -> list[str]:
@@ -156,6 +159,14 @@ def temporal_columns(df: DataFrame, distinct_counts: dict[str, int] | None = Non
     return out
 
 
+def temporal_flags(df: DataFrame, types: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
+    """P9 by segment: ``by..., column`` of the temporal columns of each segment, from :func:`column_types`."""
+    sure = temporal_columns(df, {f.name: 0 for f in df.schema.fields})
+    counted = [c for c in sure if is_integral(df, c)]        # temporal up to 52 distinct values
+    return types.where(F.col("column").isin(*sure) & (~F.col("column").isin(*counted) | (F.col("n_distinct") <= 52))) \
+        .select(*as_list(by), "column")
+
+
 def sequential_in_order(df: DataFrame, col: str, order_by: str, by: Sequence[str] | None = None,
                         n_partitions: int | None = None) -> DataFrame:
     """W1/P4 with a row order: are the consecutive differences of ``col`` (rows
