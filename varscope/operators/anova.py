@@ -236,14 +236,22 @@ def deterministic_rules(df: DataFrame, targets, group_cols, by=None) -> DataFram
         F.count(F.lit(1)).alias("n_groups"))
 
 
-def segment_rates(df: DataFrame, target: str, group_cols, by=None, max_levels: int = MAX_LEVELS) -> DataFrame:
+def segment_rates(df: DataFrame, target: str, group_cols, by=None, max_levels: int = MAX_LEVELS,
+                  segment_levels: DataFrame | None = None) -> DataFrame:
     """Mean of the target per level (a rate for a 0/1 target), ranked
     descending, for grouping columns with 2..``max_levels`` levels (so the
-    ranking window only ever holds a bounded level list)."""
+    ranking window only ever holds a bounded level list). ``segment_levels`` as in
+    :func:`significant_subgroups`."""
     by = as_list(by)
-    counts = _level_counts(df, as_list(group_cols))
-    group_cols = [c for c in as_list(group_cols) if 1 < counts[c] <= max_levels]
-    lv = level_stats(df, [target], group_cols, by).where(F.col("n") > 0)
+    if segment_levels is None:
+        counts = _level_counts(df, as_list(group_cols))
+        group_cols = [c for c in as_list(group_cols) if 1 < counts[c] <= max_levels]
+        lv = level_stats(df, [target], group_cols, by)
+    else:
+        few = segment_levels.where(F.col("n_distinct").between(2, max_levels)).select(*by, F.col("column").alias("group_col"))
+        some = {r["group_col"] for r in few.select("group_col").distinct().collect()}    # names of columns
+        lv = keyed_join(level_stats(df, [target], [c for c in as_list(group_cols) if c in some], by), few, by + ["group_col"], "left_semi")
+    lv = lv.where(F.col("n") > 0)
     w = Window.partitionBy(*by, "group_col").orderBy(F.col("rate").desc(), F.col("level"))
     return (lv.select(*by, "group_col", "level", "n", F.col("mean").alias("rate"))
             .withColumn("rank", F.row_number().over(w)))

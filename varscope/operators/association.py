@@ -98,10 +98,13 @@ def _tile_stats(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
 
 
 def correlation_pvalues(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] | None = None,
-                        alpha: float = FDR_SIGNIFICANCE_LEVEL) -> DataFrame:
-    """A8+A9: r, two-sided p, BH-adjusted p and significance for each tested pair."""
+                        alpha: float = FDR_SIGNIFICANCE_LEVEL, among: DataFrame | None = None) -> DataFrame:
+    """A8+A9: r, two-sided p, BH-adjusted p and significance for each tested pair. ``among`` (``by..., column``)
+    lists the columns that each segment tests."""
     by = as_list(by)
     stats = pair_stats(df, cols, by).where(F.col("r").isNotNull())
+    for side in ("column_a", "column_b") if among is not None else ():
+        stats = keyed_join(stats, among.select(*by, F.col("column").alias(side)), by + [side], "left_semi")
     stats = stats.withColumn("p_value", pearson_pvalue(F.col("r"), F.col("n")))
     out = bh_adjust(stats, "p_value", "p_value_adjusted", partition_by=by, tie_break=["idx_a", "idx_b"])
     return out.withColumn("significant", F.col("p_value_adjusted") < alpha)
@@ -126,10 +129,9 @@ def top_pairs(pvals: DataFrame, k: int = 5, by: Sequence[str] | None = None,
     dropping pairs listed in ``exclude`` (``column_a, column_b``, any order)."""
     by = as_list(by)
     if exclude is not None:
-        ex = exclude.select(F.least("column_a", "column_b").alias("_lo"),
+        ex = exclude.select(*[b for b in by if b in exclude.columns], F.least("column_a", "column_b").alias("_lo"),
                             F.greatest("column_a", "column_b").alias("_hi")).distinct()
-        pvals = (pvals.withColumn("_lo", F.least("column_a", "column_b"))
-                 .withColumn("_hi", F.greatest("column_a", "column_b"))
-                 .join(ex, ["_lo", "_hi"], "left_anti").drop("_lo", "_hi"))
+        pvals = keyed_join(pvals.withColumn("_lo", F.least("column_a", "column_b")).withColumn("_hi", F.greatest("column_a", "column_b")),
+                           ex, [*(b for b in by if b in ex.columns), "_lo", "_hi"], "left_anti").drop("_lo", "_hi")
     w = Window.partitionBy(*by).orderBy(F.abs("r").desc(), "idx_a", "idx_b")
     return pvals.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

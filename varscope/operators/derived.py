@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tiles
 from ..functions.columns import as_list, num, numeric_columns
+from ..functions.joins import keyed_join
 
 RELATIVE_TOLERANCE = 0.02
 MIN_VALID_ROWS = 3
@@ -175,9 +176,13 @@ def _counted_wide(clean: DataFrame, cols: list[str], by: list[str], trip: list[t
                       *[F.col(c).cast("long").alias(c) for c in ("valid", *FORMS)])
 
 
-def derived_pairs(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] | None = None) -> DataFrame:
-    """Unordered pairs {target, a} and {target, b} (``column_a < column_b``), by segment."""
+def derived_pairs(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] | None = None,
+                  among: DataFrame | None = None) -> DataFrame:
+    """Unordered pairs {target, a} and {target, b} (``column_a < column_b``), by segment. ``among`` (``by..., column``)
+    lists the columns that each segment looks at."""
     by = as_list(by)
     rel = derived_relationships(df, cols, by).select(*by, "target", "col_a", "col_b").distinct()
+    for side in ("target", "col_a", "col_b") if among is not None else ():
+        rel = keyed_join(rel, among.select(*by, F.col("column").alias(side)), by + [side], "left_semi")
     p = rel.select(*by, "target", F.col("col_a").alias("o")).unionByName(rel.select(*by, "target", F.col("col_b").alias("o")))
     return p.select(*by, F.least("target", "o").alias("column_a"), F.greatest("target", "o").alias("column_b")).distinct()

@@ -32,6 +32,8 @@ QUADRATIC_IMPROVEMENT_THRESHOLD = 0.04
 QUADRATIC_P_VALUE_THRESHOLD = 0.10
 ETA_SQUARED_IMPROVEMENT_THRESHOLD = 0.02
 STEP_P_VALUE_THRESHOLD = 0.05
+#: Pairs up to which every sum is an aggregate of its own (whole-stage code generation ends at 100 fields).
+DIRECT_AGGREGATES = 8
 #: Pairs up to which rows are expanded to pairs.
 DIRECT_PAIRS = 24
 #: A centred sum of squares below this share of the raw one has lost digits.
@@ -68,6 +70,26 @@ def _both_ways(sums: DataFrame, by: list[str], fourth: bool) -> DataFrame:
     return ways[0].unionByName(ways[1])
 
 
+def _direct_quadratic_sums(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]], by: list[str]) -> DataFrame:
+    """As :func:`_quadratic_sums` for a few pairs: eleven aggregates a pair in one scan."""
+    idx = {c: i for i, c in enumerate(cols)}
+    cen = df.groupBy(*by).agg(*[f(num(c)).alias(f"{k}{i}") for i, c in enumerate(cols) for k, f in (("mu", F.avg), ("sd", F.stddev_samp))])
+    rows = keyed_join(df.select(*by, *[num(c).alias(f"v{idx[c]}") for c in cols]), cen, by)
+    aggs = []
+    for k, (tg, ft) in enumerate(pairs):
+        i, j = idx[ft], idx[tg]
+        ok = F.col(f"v{i}").isNotNull() & F.col(f"v{j}").isNotNull() & (F.col(f"sd{i}") > 0)
+        z = F.when(ok, (F.col(f"v{i}") - F.col(f"mu{i}")) / F.col(f"sd{i}"))
+        y = F.when(ok, F.col(f"v{j}") - F.col(f"mu{j}"))
+        aggs += [F.count(z).alias(f"p{k}_n"), *[F.sum(z ** p).alias(f"p{k}_s{p}") for p in (1, 2, 3, 4)],
+                 F.sum(y).alias(f"p{k}_sy"), F.sum(y * y).alias(f"p{k}_syy"), F.sum(z * y).alias(f"p{k}_szy"),
+                 F.sum(z * z * y).alias(f"p{k}_szzy"), F.first(F.col(f"sd{i}")).alias(f"p{k}_sd")]
+    names = ("n", "s1", "s2", "s3", "s4", "sy", "syy", "szy", "szzy", "sd")
+    entries = F.array(*[F.struct(F.lit(tg).alias("target"), F.lit(ft).alias("feature"), *[F.col(f"p{k}_{c}").alias(c) for c in names])
+                        for k, (tg, ft) in enumerate(pairs)])
+    return rows.groupBy(*by).agg(*aggs).select(*by, F.explode(entries).alias("_e")).select(*by, "_e.*")
+
+
 def _quadratic_sums(df: DataFrame, cols: list[str], pairs: list[tuple[str, str]], by: list[str], centre: DataFrame) -> DataFrame:
     """``by..., target, feature, n, s1..s4, sy, syy, szy, szzy, sd``: power sums of the standardised feature and of the
     target's differences from its mean, for every pair in one scan by matrix products."""
@@ -90,8 +112,10 @@ def quadratic_patterns(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequ
     cols = sorted({c for p in pairs for c in p})
     if not pairs:
         return empty_patterns(df, by)
-    centre = materialize(tiles.centres(df, cols, by))
-    st = _quadratic_sums(df, cols, pairs, by, centre)
+    if len(pairs) > DIRECT_AGGREGATES:
+        st = _quadratic_sums(df, cols, pairs, by, materialize(tiles.centres(df, cols, by)))
+    else:
+        st = _direct_quadratic_sums(df, cols, pairs, by)
     n = F.col("n").cast("double")
     s1, s2, s3, s4 = (F.col(f"s{p}") for p in (1, 2, 3, 4))
     sy, syy, szy, szzy = F.col("sy"), F.col("syy"), F.col("szy"), F.col("szzy")
@@ -253,27 +277,31 @@ def _step_by_feature(df: DataFrame, pairs: Sequence[tuple[str, str]], by: list[s
 
 
 def nonlinearity_scan(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] | None = None,
-                      top_k: int = 3, exclude: DataFrame | None = None) -> DataFrame:
+                      top_k: int = 3, exclude: DataFrame | None = None, among: DataFrame | None = None) -> DataFrame:
     """Quadratic + step on each pair; BH over the quadratic p-values of
     detected patterns (kept at <= 0.10); a kept quadratic hides the step
     result of the same pair; ranked by gain, then p. ``shown`` marks the top k.
-    ``exclude`` (``target, feature``) drops pairs before BH (pairs explained
-    by a strong confounder)."""
+    ``exclude`` (``target, feature``, with the keys of ``by`` or for all segments) drops pairs before BH
+    (pairs explained by a strong confounder); ``among`` (``by..., column``) lists the columns that each segment scans."""
     by = as_list(by)
     pairs = _pairs(pairs)
-    quad = quadratic_patterns(df, pairs, by)
-    step_all = step_patterns(df, pairs, by)
+    # a row per pair at most; written down, so that the joins below don't copy their long expressions
+    quad = materialize(quadratic_patterns(df, pairs, by))
+    step_all = materialize(step_patterns(df, pairs, by))
     if exclude is not None:
-        ex = exclude.select("target", "feature").distinct()
-        quad = quad.join(ex, ["target", "feature"], "left_anti")
-        step_all = step_all.join(ex, ["target", "feature"], "left_anti")
+        keys = [*(b for b in by if b in exclude.columns), "target", "feature"]
+        ex = exclude.select(*keys).distinct()
+        quad, step_all = (keyed_join(x, ex, keys, "left_anti") for x in (quad, step_all))
+    for side in ("target", "feature") if among is not None else ():
+        each = among.select(*by, F.col("column").alias(side))
+        quad, step_all = (keyed_join(x, each, by + [side], "left_semi") for x in (quad, step_all))
     quad = bh_adjust(quad, "p_value", "p_value_adjusted", partition_by=by, tie_break=["target", "feature"])
     quad = quad.where(F.col("p_value_adjusted") <= QUADRATIC_P_VALUE_THRESHOLD)
     q_out = quad.select(*by, "target", "feature", F.lit("quadratic").alias("kind"), "pattern_type",
                         F.col("improvement").alias("gain"), "p_value")
     s_out = step_all.select(*by, "target", "feature", F.lit("step").alias("kind"), F.lit("step").alias("pattern_type"),
                         (F.col("eta_squared_binned") - F.col("r2_linear")).alias("gain"), "p_value")
-    s_out = s_out.join(q_out.select(*by, "target", "feature"), by + ["target", "feature"], "left_anti")
+    s_out = keyed_join(s_out, q_out.select(*by, "target", "feature"), by + ["target", "feature"], "left_anti")
     allp = q_out.unionByName(s_out)
     w = Window.partitionBy(*by).orderBy(F.col("gain").desc(), F.col("p_value").asc(), "target", "feature")
     return allp.withColumn("rank", F.row_number().over(w)).withColumn("shown", F.col("rank") <= top_k)
