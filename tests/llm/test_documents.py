@@ -8,12 +8,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.data import CLASH, DOC_SCHEMA, documents, frame, sentences
-from varscope.llm import mixing, ngram_join, packing, quality_rules, substring_dedup, suffix_dedup, token_files
+from varscope.llm import mixing, ngram_join, oracles, packing, quality_rules, substring_dedup, suffix_dedup, token_files
+from varscope.llm.queries import REGISTRY
 from varscope.llm.tokens import Codec, tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -301,3 +303,30 @@ def test_packing_plan_is_tight():
         assert (used == histogram).all()
         least = -(-int((np.arange(1025) * histogram).sum()) // 1024)
         assert sum(c for _, c in plan) <= 1.01 * least + 1
+
+
+def test_mixing_keeps_the_order_of_keys_of_any_weight(spark, tmp_path):
+    """Texts of symbols (least weight) give large keys: the order and the cells must hold there too."""
+    rows = [(i, "# $ % &" if i % 3 else "plain words here", "en", f"s{i % 2}", 7) for i in range(6000)]
+    spark.createDataFrame(rows, DOC_SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["taken"] for r in REGISTRY["op2_mixing"][0](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == dict(con.sql(f"SELECT doc_id, taken FROM ({oracles.MIXING})").fetchall())
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    place = mixing.with_keys(docs, "doc_id", "text", "source", None).select("_source", "_place.*")
+    cells = place.groupBy("_source", "d1", "d2").count().agg(F.max("count")).first()[0]
+    assert cells <= 30                                            # 1 % of a source
+    rows = place.orderBy("_source", "key").collect()
+    assert all((a["d1"], a["d2"]) <= (b["d1"], b["d2"]) for a, b in zip(rows, rows[1:]) if a["_source"] == b["_source"])
+
+
+def test_mixing_of_rows_without_an_id_and_with_clashing_columns(spark):
+    rows = [(None, f"text {i} of some words", "en", f"s{i % 2}", 7, f"own {i}", 1, 2) for i in range(2000)]
+    docs = spark.createDataFrame(rows, DOC_SCHEMA + ", _source string, _key int, _id int")
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert all(r["_source"].startswith("own") and r["_key"] == 1 and r["_id"] == 2 for r in rows)
+    taken = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("target")).collect()
+    assert all(abs(r["t"] - r["target"]) <= 5 for r in taken) and len(rows) * 5 == sum(r["t"] for r in taken)

@@ -8,14 +8,17 @@ the target is sampled. Documents are taken whole; the one in which the budget en
 taken if that brings the source nearer to its target.
 
 The order by key is never one task's work. Keys are cut into two digits of
-:data:`FANOUT`; sizes are summed by (source, digit), the digit that holds the end of the
+:data:`FANOUT`, the first of the key's logarithm, the second of its place between that
+digit's ends; sizes are summed by (source, digit), the digit that holds the end of the
 budget is found from at most ``FANOUT`` rows a source, then the same is done inside it.
-Only documents of that one cell, about 1 / ``FANOUT``^2 of the source, are sorted by key.
+Only documents of that one cell are sorted by key. A quality weight moves the logarithm and
+leaves its spread, so whatever the weights a first digit holds at most about 2 % of the keys
+and a cell 1 / ``FANOUT`` of that.
 
 Defined results: null text has size 0; a null source is a source of its own, ranked last;
-documents of size 0 take 0; rows with equal key and size are all in or all out, so equal
+documents of size 0 take 0; rows with equal key, size and text are all in or all out, so equal
 rows are interchangeable; an empty table gives an empty table; a null id draws the key of
-an empty string.
+an empty string, and rows without an id follow each other by size and a hash of the text.
 """
 
 from __future__ import annotations
@@ -30,7 +33,9 @@ WORDS = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]+"
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-FANOUT = 250
+FANOUT = 1000
+#: Logarithms of keys that first digits tell apart; what lies beyond is in the first or the last.
+LOGS = (-40.0, 10.0)
 
 
 def words(text: Column) -> Column:
@@ -55,13 +60,14 @@ def with_keys(docs: DataFrame, id_col: str, text: str, source: str, quality: Col
     df = docs.withColumn("_source", F.col(source).cast("string")).withColumn("_size", words(body))
     q = quality if quality is not None else quality_weight(body, F.col("_size"))
     key = -F.ln(uniform(F.col(id_col))) / q
-    # 1 - exp(-key) grows with the key within (0, 1): its digits deal documents out over cells
-    df = df.withColumn("_key", key).withColumn("_at", (F.lit(1.0) - F.exp(-F.col("_key"))) * FANOUT)
-    d1 = F.least(F.floor("_at"), F.lit(FANOUT - 1)).cast("int")
-    d2 = F.least(F.floor((F.col("_at") - F.floor("_at")) * FANOUT), F.lit(FANOUT - 1)).cast("int")
-    return (df.withColumn("_place", F.struct(d1.alias("d1"), d2.alias("d2"), F.col("_key").alias("key"),
-                                             F.xxhash64(id_col).alias("tie"), F.col("_size").alias("size")))
-            .drop("_key", "_at"))
+    digit = lambda share: F.greatest(F.lit(0), F.least(F.lit(FANOUT - 1), F.floor(share * FANOUT))).cast("int")
+    lo, wide = LOGS[0], (LOGS[1] - LOGS[0]) / FANOUT
+    df = df.withColumn("_key", key).withColumn("_d", digit((F.ln("_key") - lo) / (LOGS[1] - lo)))
+    start, end = F.exp(lo + F.col("_d") * wide), F.exp(lo + (F.col("_d") + 1) * wide)
+    return (df.withColumn("_place", F.struct(F.col("_d").alias("d1"), digit((F.col("_key") - start) / (end - start)).alias("d2"),
+                                             F.col("_key").alias("key"), F.xxhash64(id_col).alias("tie"),
+                                             F.col("_size").alias("size"), F.xxhash64(body).alias("body")))
+            .drop("_key", "_d"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_repeats: float = MAX_REPEATS) -> DataFrame:
@@ -124,7 +130,7 @@ def decisions(sized: DataFrame, weights: tuple = WEIGHTS, max_repeats: float = M
         F.first("left_d2").alias("left"), F.first("cut_d1").alias("d1"), F.first("cut_d2").alias("d2"))
     below = F.col("left") - F.coalesce(F.col("inner.end"), F.lit(0))
     none = F.struct(F.col("d1").alias("d1"), F.col("d2").alias("d2"), F.lit(0.0).alias("key"),
-                    F.lit(0).cast("long").alias("tie"), F.lit(0).cast("long").alias("size"))
+                    F.lit(0).cast("long").alias("tie"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("body"))
     last = F.when(F.col("over.end") - F.col("left") < below, F.col("over.place")).otherwise(F.coalesce(F.col("inner.place"), none))
     ends = ends.select("source", last.alias("last"))
     return written(on_source(targets, ends, "left").select("source", "source_size", "target", "epochs", "last"), "mix-plan")
@@ -154,7 +160,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source",
                     weights: tuple = WEIGHTS, max_repeats: float = MAX_REPEATS, quality: Column | None = None) -> DataFrame:
     """The documents of the mix with all their columns, each as often as it is taken."""
-    keyed = with_keys(docs, id_col, text, source, quality)
+    if quality is not None:
+        docs = docs.withColumn(" quality", quality)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])     # the documents' own columns can have any names
+    keyed = with_keys(docs.select(row.alias("_row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"),
+                                  F.col(f"`{source}`").alias("source")), "id", "text", "source",
+                      F.col("_row")[" quality"] if quality is not None else None).drop("id", "text", "source")
     sized = written(keyed.select(F.col("_source").alias("source"), F.col("_size").alias("size"),
                                  F.col("_place").alias("place")), "mix-sized")
     plan = _open(decisions(sized, weights, max_repeats)).withColumnRenamed("source", "_s")
@@ -162,4 +173,4 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     joined = keyed.join(plan, F.col("_source").eqNullSafe(F.col("_s")), "left")
     n = F.col("_epochs") + F.when(F.col("_rest_open") & (F.col("_place") <= F.col("_last")), 1).otherwise(0)
     return (joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), n.cast("int"))))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+            .select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != " quality"]))
