@@ -99,8 +99,12 @@ class MultiIndex:
 
 
 def _units(blobs: np.ndarray, off: np.ndarray) -> np.ndarray:
-    n = len(off) - 1
-    x = blobs.view("<f8").reshape(n, -1)
+    return _scaled(blobs.view("<f8").reshape(len(off) - 1, -1))
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by their largest component first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -111,9 +115,7 @@ def vectors(table: DataFrame, id_col: str, vector: str) -> DataFrame:
             out = []
             for v in b.column(1).to_pylist():
                 x = np.array([np.nan if e is None else e for e in v], "<f8") if v else np.zeros(0)
-                with np.errstate(over="ignore"):
-                    size = np.linalg.norm(x) if len(x) else 0.0
-                out.append(x.tobytes() if np.isfinite(size) and size > 0 and np.isfinite(x).all() else None)
+                out.append(x.tobytes() if len(x) and np.isfinite(x).all() and x.any() else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "blob"])
 
     return table.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), vector).mapInArrow(run, "id long, blob binary")
@@ -124,7 +126,7 @@ def _index(same: DataFrame, width: int, n: int, threshold: float, recall: float)
     sample = same.orderBy(F.xxhash64("blob")).select("blob").limit(SAMPLE).collect()
     x = np.frombuffer(b"".join(r["blob"] for r in sample), "<f8").reshape(-1, width // 8)
     codes = int(np.clip(round((n / PER_CELL) ** 0.5), 2, MAX_CODES))
-    return MultiIndex(x / np.linalg.norm(x, axis=1, keepdims=True), threshold, codes, recall)
+    return MultiIndex(_scaled(x), threshold, codes, recall)
 
 
 def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = 0.95,
