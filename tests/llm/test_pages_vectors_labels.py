@@ -234,3 +234,31 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
     bare = toxicity.score(docs, toxicity.train(docs, labels.limit(0)))
     assert {r["score"] for r in bare.collect()} == {0.0}
+
+
+def test_attributes_are_read_one_by_one():
+    words = "<p>" + "This is a long article paragraph, with many words and some sense in it. " * 6 + "</p>"
+    wraps = ['<p title="hidden gems">x</p>%s', '<div title="The hidden city">%s</div>', '<div aria-hidden="false">%s</div>',
+             '<div data-x="overflow hidden">%s</div>', '<div data-id="comments-12">%s</div>']
+    for w in wraps:
+        text = html_mincut.extract("<body><nav><a href=x>Home</a></nav><article>" + w % (words * 3) + "</article></body>")[0]
+        assert text.count("long article") == 18, w
+    hidden = html_mincut.extract(f"<body><article>{words * 3}<div hidden>{words.replace('long', 'short')}</div></article></body>")[0]
+    assert "short article" not in hidden and hidden.count("long article") == 18
+
+
+def test_broken_pages_take_linear_time():
+    import time
+    began = time.process_time()
+    for page in ('<a "' * 100_000, '<a "' * 100_000 + ">", "<p>x</p><!-- x " + "<b>" * 100_000, "<" * 100_000):
+        html_mincut.extract(page)
+    assert time.process_time() - began < 5
+    assert html_mincut.extract("<p>one two</p><!-- never > ended")[0] == html_mincut.extract("<p>one two</p>")[0]
+
+
+def test_norms_neither_overflow_nor_vanish(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1e200]), (3, [2e200, 2e200]), (4, [1e-170, 0.0]), (5, [2e-170, 0.0]), (6, [0.0, 0.0]),
+            (7, [1e200, -1e200])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_index.near_duplicates(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (0, 7)}

@@ -43,8 +43,11 @@ SELF_CLOSED = {"svg", "math"}
 UNNESTED = {"button", "select"}
 TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)"
                    rf"|<(/?)([a-zA-Z][^\s/>]*)({_ATTRS}|[^>]*)>|<[!?/][^>]*>", re.S | re.I)
+#: A comment or section without an end takes the rest of the page.
+UNENDED = re.compile(r"<!--|<!\[CDATA\[", re.I)
 END_OF = {tag: re.compile(rf"<{'/?' if tag in UNNESTED else '/'}{tag}(?=[\s/>])[^>]*>", re.I) for tag in OPAQUE}
-ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|style)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: One attribute after the other, so that no name is found inside a value or a longer name.
+ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'|.""", re.S)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img",
@@ -95,9 +98,10 @@ class Node:
         if attrs and self.tag not in ("body", "html"):
             for name, value in ATTR.findall(attrs):
                 name, value = name.lower(), value.strip("\"'")
+                value = html_entities.unescape(value) if "&" in value else value
                 if name == "role":
                     role = value.lower()
-                elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+                elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                     return BAD
                 elif name in ("class", "id", "itemprop"):
                     names += map(_name_words, value.split())
@@ -163,9 +167,12 @@ def blocks(html: str) -> list[tuple[str, Node, float, str]]:
             own.append((text, here.link))
 
     at, ends = 0, {}
-    while m := TOKEN.search(html, at):
+    last = html.rfind(">") + 1                # no tag ends behind it: what looks like one isn't searched to the end each time
+    while m := TOKEN.search(html, at, last):
         add(html[at:m.start()])
         at = m.end()
+        if at == last and UNENDED.match(m[0]) and not m[0].endswith(("-->", "]]>")):
+            at = len(html)
         tag = m[2]
         if not tag:
             continue
@@ -199,7 +206,8 @@ def blocks(html: str) -> list[tuple[str, Node, float, str]]:
                 if n.parent and n.tag in closes:
                     here = n.parent
             here = Node(tag, here, m[3])
-    add(html[at:])
+    unended = UNENDED.search(html, at)
+    add(html[at:unended.start() if unended else len(html)])
     flush()
     return out
 
