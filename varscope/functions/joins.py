@@ -27,6 +27,30 @@ def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return out if how in ("left_semi", "semi", "leftsemi", "left_anti", "anti", "leftanti") else out.drop(*ren.values())
 
 
+#: Bytes of a per-segment table up to which it is broadcast to the raw rows.
+LOOKUP_BYTES = 32 << 20
+#: Copies of a larger table's rows, over which the rows of a hot segment are spread.
+SALTS = 16
+
+
+def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """Inner join of raw ``rows`` with an aggregated ``table`` (one row a key) that leaves the rows where they are.
+
+    The table is written down and measured; up to :data:`LOOKUP_BYTES` it is broadcast and no row moves. A larger one
+    is joined on the keys and a salt, so that a key with a third of all rows is met by several tasks.
+    """
+    from ..session import materialize
+    keys, extra = list(keys), list(extra)
+    if not keys and not extra:
+        return keyed_join(rows, table, keys)
+    table = materialize(table)
+    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct(*table.columns))))).first()[0] or 0
+    if size <= LOOKUP_BYTES:
+        return keyed_join(rows, F.broadcast(table), keys, extra=extra)
+    salted = table.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return keyed_join(rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))), salted, keys, extra=[*extra, "_salt"]).drop("_salt")
+
+
 CODEGEN_FIELDS = 90
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import long_numeric, num
-from .joins import keyed_join
+from .joins import lookup_join
 
 #: Bytes of sums that a task holds before it hands them on.
 HELD_BYTES = 64 << 20
@@ -40,7 +40,7 @@ def centres(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataF
 
 def standardised(df: DataFrame, cols: Sequence[str], by: Sequence[str], centre: DataFrame, *extra: Column) -> DataFrame:
     """``by..., _z`` (and ``extra``): (value - mean) / deviation of each column; 0 for a constant column, null for missing."""
-    rows = keyed_join(df.select(*by, *[num(c).alias(f"_x{i}") for i, c in enumerate(cols)]), centre, by)
+    rows = lookup_join(df.select(*by, *[num(c).alias(f"_x{i}") for i, c in enumerate(cols)]), centre, by)
     z = [F.when(F.col(f"_x{i}").isNotNull(), F.coalesce(F.try_divide(F.col(f"_x{i}") - F.col("_mu")[i], F.col("_sd")[i]), F.lit(0.0)))
          for i in range(len(cols))]
     return rows.select(*by, F.array(*z).alias("_z"), *extra)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_list, long_numeric, num, numeric_columns
-from ..functions.joins import keyed_join
+from ..functions.joins import keyed_join, lookup_join
 from ..functions.quantiles import exact_quantiles
 
 MIN_RELIABLE_SAMPLE_SIZE = 30
@@ -42,7 +42,7 @@ def iqr_bounds(df: DataFrame, cols: Sequence[str] | None = None, k: float = 1.5,
          .withColumn("upper_bound", F.col("q3") + k * (F.col("q3") - F.col("q1")))
          .drop("quantiles"))
     b = b.cache()
-    flagged = (keyed_join(valid, b.select(*keys, "lower_bound", "upper_bound"), keys)
+    flagged = (lookup_join(valid, b.select(*keys, "lower_bound", "upper_bound"), keys)
                .where((F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound")))
                .groupBy(*keys).agg(F.count(F.lit(1)).alias("n_outliers")))
     out = keyed_join(b, flagged, keys, "left")
@@ -58,7 +58,7 @@ def iqr_outliers(df: DataFrame, col: str, k: float = 1.5, by: Sequence[str] | No
     bounds = iqr_bounds(df, [col], k, by).select(*by, "lower_bound", "upper_bound")
     rows = df.select(*keys_out, *[c for c in by if c not in keys_out], num(col).alias("value"))
     if by:
-        j = keyed_join(rows, bounds, by)
+        j = lookup_join(rows, bounds, by)
     else:  # one bounds row: a broadcast equi-join on a constant key
         j = rows.withColumn("_one", F.lit(1)).join(F.broadcast(bounds.withColumn("_one", F.lit(1))), "_one")
     return j.where((F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound")))

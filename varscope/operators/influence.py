@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_list, num
-from ..functions.joins import keyed_join
+from ..functions.joins import keyed_join, lookup_join
 from .regression import _check_numeric, ols_from_stats, simple_fit_stats, two_valued
 
 DEFAULT_THRESHOLD_RATIO = 4.0
 
 
 def _attach(rows: DataFrame, fit: DataFrame, by: list[str]) -> DataFrame:
-    return keyed_join(rows, fit, by)
+    return lookup_join(rows, fit, by)
 
 
 def cooks_distance(df: DataFrame, feature: str, target: str, by: Sequence[str] | None = None,

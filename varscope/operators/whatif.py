@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import as_list, num
-from ..functions.joins import keyed_join
+from ..functions.joins import keyed_join, lookup_join
 from .levels import level_feature_for_simulation
 from .regression import _check_numeric, is_two_valued, logistic, ols_from_stats, simple_fit_stats
 
@@ -142,7 +142,7 @@ def cross_validation(df: DataFrame, target: str, feature: str, by: Sequence[str]
     rows = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull())
     if not fold_col:
         rows = rows.withColumn("_fold", fold_of([f"_k{i}" for i in range(len(as_list(key_cols)))], n_folds))
-    j = keyed_join(rows, fit, by)
+    j = lookup_join(rows, fit, by)
     xc, yc = F.col("x") - F.col("mean_x"), F.col("y") - F.col("mean_y")
     err = F.col("y") - (F.col("intercept") + F.col("slope") * F.col("x"))
     folds = j.groupBy(*by, "_fold").agg(
