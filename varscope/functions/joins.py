@@ -49,31 +49,3 @@ def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], extra: S
         return keyed_join(rows, F.broadcast(table), keys, extra=extra)
     salted = table.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     return keyed_join(rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))), salted, keys, extra=[*extra, "_salt"]).drop("_salt")
-
-
-CODEGEN_FIELDS = 90
-
-
-def wide_agg(df: DataFrame, by: Sequence[str], aggs: list, chunk: int = CODEGEN_FIELDS,
-             max_scans: int = 3) -> DataFrame:
-    """``df.groupBy(*by).agg(*aggs)`` split into chunks of at most ``chunk``
-    aggregates, joined back on ``by``.
-
-    Whole-stage code generation stops at 100 output fields; one huge
-    aggregate then runs interpreted. Each chunk is a codegen'd aggregate over
-    the same (pruned) scan. Every chunk is one more scan of the input, so
-    chunking stops at ``max_scans``: beyond it one interpreted scan is cheaper
-    at scale than many codegen'd ones.
-    """
-    by = list(by)
-    parts = [aggs[i:i + chunk] for i in range(0, len(aggs), chunk)] or [[]]
-    if len(parts) > max_scans:
-        parts = [aggs]
-
-    def one(part):
-        return df.groupBy(*by).agg(*part) if by else df.agg(*part)
-
-    out = one(parts[0])
-    for p in parts[1:]:
-        out = keyed_join(out, one(p), by)
-    return out
