@@ -286,8 +286,8 @@ def nonlinearity_scan(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Seque
     by = as_list(by)
     pairs = _pairs(pairs)
     # a row per pair at most; written down, so that the joins below don't copy their long expressions
-    quad = materialize(quadratic_patterns(df, pairs, by))
-    step_all = materialize(step_patterns(df, pairs, by))
+    quad = materialize(quadratic_patterns(df, pairs, by), None if by else 1)
+    step_all = materialize(step_patterns(df, pairs, by), None if by else 1)
     if exclude is not None:
         keys = [*(b for b in by if b in exclude.columns), "target", "feature"]
         ex = exclude.select(*keys).distinct()

@@ -92,12 +92,16 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
             rows = keyed_join(rows, flags.select(*by, F.col("column").alias("_c")).withColumnRenamed("_c", c), by + [c], how)
         return rows
 
+    def small(rows: DataFrame) -> DataFrame:
+        """An aggregated table, written down; of one segment it is a matter of the columns alone and one partition."""
+        return materialize(rows, None if by else 1)
+
     if persist_input:
         from pyspark import StorageLevel
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
     if iqr_k <= 0:
         raise ValueError("iqr_k must be strictly positive")
-    types = materialize(column_types(df, by=by))
+    types = small(column_types(df, by=by))
     columns = [c for c in df.columns if c not in by]
     # names of columns that are numeric and no identifier in some segment
     legitimate = types.where(F.col("column").isin(*[c for c in columns if is_numeric(df, c)]) & ~F.col("is_identifier")).select(*by, "column")
@@ -112,9 +116,9 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
     parts: list[DataFrame] = []
 
     if by:
-        validation = materialize(validate_dataset(df, by=by, types=types))
+        validation = small(validate_dataset(df, by=by, types=types))
     else:
-        validation = materialize(validate_dataset(df, [r["column"] for r in types.where("is_identifier").collect()]))
+        validation = small(validate_dataset(df, [r["column"] for r in types.where("is_identifier").collect()]))
     out["validation"] = validation
     find(validation.where(F.col("n_rows") < FD.SMALL_SAMPLE_THRESHOLD), "SMALL_SAMPLE",
          F.when(F.col("n_rows") < 15, "high").otherwise("medium"), "quality", F.array(), F.col("n_rows"))
@@ -126,7 +130,7 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
 
     mark("validation")
     if numeric:
-        prof = materialize(within(column_profile(df, numeric, by, probs=(0.25, 0.5, 0.75, 0.95)), legitimate, "column"))
+        prof = small(within(column_profile(df, numeric, by, probs=(0.25, 0.5, 0.75, 0.95)), legitimate, "column"))
         out["profile"] = prof
         # IQR fences from the shared quartiles; one pass counts the outliers.
         q1, q3 = F.col("quantiles")[0], F.col("quantiles")[2]
@@ -180,11 +184,11 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
                                     segment_levels=levels if by else None)
         if target not in numeric or by:
             sub = within(sub, legitimate, "target")
-        sub = materialize(sub)
+        sub = small(sub)
         out["subgroups"] = sub
         find(sub.where("deterministic"), "DETERMINISTIC", "medium", "correlation",
                                 F.array("group_col", "target"), F.col("eta_squared"))
-        best = materialize(first(sub.where(~F.col("deterministic")).groupBy(*by, "group_col")
+        best = small(first(sub.where(~F.col("deterministic")).groupBy(*by, "group_col")
                      .agg(F.max_by(F.struct("eta_squared", "target"), F.struct("eta_squared", "target")).alias("b"))
                      .select(*by, "group_col", "b.*"), 5, F.col("eta_squared").desc(), "group_col"))
         sev = F.when(F.col("eta_squared") >= 0.7, "high").otherwise("medium")
@@ -209,8 +213,8 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
 
     mark("subgroups")
     if len(numeric) >= 2:
-        pairs = materialize(correlation_pvalues(df, numeric, by, among=legitimate))
-        derived = materialize(derived_pairs(df, numeric, by, among=legitimate))
+        pairs = small(correlation_pvalues(df, numeric, by, among=legitimate))
+        derived = small(derived_pairs(df, numeric, by, among=legitimate))
         out["correlations"] = pairs
         out["derived_pairs"] = derived
         every_derived = derived.groupBy(*by).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("column_a", "column_b"))))).alias("columns"),
@@ -222,7 +226,7 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
         mt = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("m"), F.count(F.when(F.col("significant"), 1)).alias("s")).cache()
         find(mt.where((F.col("m") >= 6) & (F.col("s") < F.col("m"))), "MULTIPLE_TESTING",
                                 "medium", "correlation", F.array(), F.col("m").cast("double"))
-        top = materialize(top_pairs(pairs, 5, by, exclude=derived))
+        top = small(top_pairs(pairs, 5, by, exclude=derived))
         out["top_pairs"] = top
         # no finding, but what the main insight falls back on
         signal = FD.finding(top.where("significant"), "TOP_PAIR", "low", "correlation", F.array("column_a", "column_b"), F.abs("r"), by=by)
@@ -242,7 +246,7 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
         # A13 for every candidate pair in ONE grouped ANOVA job: the top-3 pairs give the
         # CONFOUNDER findings, and pairs whose confounder is also a strong subgroup
         # (eta^2 > 0.5) are left out of the non-linearity scan.
-        conf_all = materialize(within(confounders_for_pairs(df, nl_pairs, by=by, level_counts=only, segment_levels=levels if by else None),
+        conf_all = small(within(confounders_for_pairs(df, nl_pairs, by=by, level_counts=only, segment_levels=levels if by else None),
                                       legitimate, "target", "feature"))
         top3 = top.where(F.col("rank") <= 3).select(*by, F.col("column_b").alias("target"),
                                                      F.col("column_a").alias("feature"))
@@ -258,7 +262,7 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
         if best is not None:
             strong_sub = best.where(F.col("eta_squared") > 0.5).select(*by, F.col("group_col").alias("column"))
             exclude = exclude.unionByName(keyed_join(conf_all, strong_sub, [*by, "column"], "left_semi").select(*by, "target", "feature"))
-        nl = materialize(nonlinearity_scan(df, nl_pairs, by, exclude=materialize(exclude), among=legitimate))
+        nl = small(nonlinearity_scan(df, nl_pairs, by, exclude=small(exclude), among=legitimate))
         out["nonlinearity"] = nl
         if target and feature:
             find(nl.where("shown").where(F.col("feature") == feature), "SCENARIO_NONLINEAR", "medium",
@@ -283,7 +287,7 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
             sim = keyed_join(simulate(df, target, feature, sc, by, binary=False, fit_stats=fs), two, by, "left_anti")
             if two.limit(1).count():
                 sim = sim.unionByName(simulate(keyed_join(df, two, by, "left_semi"), target, feature, sc, by, binary=True))
-            sim = materialize(sim)
+            sim = small(sim)
         out["simulation"] = sim
         if key_cols:
             out["cross_validation"] = cross_validation(df, target, feature, by, key_cols=key_cols, fit_stats=fs)
@@ -316,7 +320,7 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
     mark("simulation")
     # the rule union spans every operator's plan: evaluate it once and cut the lineage,
     # so de-duplication, score and main insight work on a small table
-    findings = FD.dedupe_codes(materialize(FD.union_findings(spark, parts, kinds)), by=by).cache()
+    findings = FD.dedupe_codes(small(FD.union_findings(spark, parts, kinds)), by=by).cache()
     out["findings"] = findings
     counts = findings.groupBy(*by).agg(F.count(F.lit(1)).alias("n_findings"))
     base = keyed_join(validation.select(*by, "n_rows"), counts, by, "left")
