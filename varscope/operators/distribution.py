@@ -16,9 +16,10 @@ from ..functions.columns import as_list
 from .profile import column_profile
 
 ASYMMETRY_THRESHOLD = 0.4
+COUNT_DATA_LEVELS = 12
 
 
-def count_data_flag(min_rows=10, max_unique=12, max_value=30.0, max_mean=10.0):
+def count_data_flag(min_rows=10, max_unique=COUNT_DATA_LEVELS, max_value=30.0, max_mean=10.0):
     return ((F.col("n") >= min_rows) & F.col("integer_like") & (F.col("vmin") >= 0)
             & (F.col("n_distinct") <= max_unique) & (F.col("vmax") <= max_value)
             & (F.col("mean") > 0) & (F.col("mean") <= max_mean)
@@ -37,12 +38,16 @@ def heavy_tail_flag(min_rows=10, skew_threshold=1.5, kurtosis_threshold=1.0, tai
 
 
 def distribution_profile(df: DataFrame, cols: Sequence[str] | None = None,
-                         by: Sequence[str] | None = None) -> DataFrame:
+                         by: Sequence[str] | None = None, count_to: int | None = None) -> DataFrame:
     """``by..., column, n, mean, variance, skewness, kurtosis, median, p95,
     tail_ratio, zero_ratio, positive_fraction, nonzero_mean, n_distinct,
-    is_count_data, is_zero_inflated, is_heavy_tail, asymmetry, is_asymmetric``."""
+    is_count_data, is_zero_inflated, is_heavy_tail, asymmetry, is_asymmetric``.
+
+    ``count_to`` (12 or more; see :func:`column_profile`): ``n_distinct`` up to that number, the flags are the same."""
+    if count_to is not None and count_to < COUNT_DATA_LEVELS:
+        raise ValueError(f"count_to must be at least {COUNT_DATA_LEVELS}")
     by = as_list(by)
-    p = column_profile(df, cols, by, probs=(0.5, 0.95))
+    p = column_profile(df, cols, by, probs=(0.5, 0.95), count_to=count_to)
     p = (p.withColumn("median", F.col("quantiles")[0]).withColumn("p95", F.col("quantiles")[1])
           .withColumn("tail_ratio", F.when(F.col("median") > 0, F.col("p95") / F.col("median")).otherwise(F.lit(0.0)))
           .withColumn("positive_fraction", F.col("n_positive") / F.col("n"))

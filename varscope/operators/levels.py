@@ -13,11 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_list, is_numeric, num
+from ..functions.columns import as_list, is_numeric, long_numeric, num
+from ..functions.distinct import few_distinct
 from ..functions.joins import keyed_join
 from .anova import level_stats
-from .distribution import count_data_flag
-from .profile import column_profile
+from .distribution import COUNT_DATA_LEVELS, count_data_flag
+from .profile import moments
 
 MAX_LEVELS = 25
 WITHIN_RATIO = 0.60
@@ -30,10 +31,20 @@ def level_flag(max_unique: int = MAX_LEVELS):
             & (F.col("std") > 0) & (F.col("n") / F.col("n_distinct") >= 2) & (gap >= 0.1 * F.col("std")))
 
 
+def _counted(df: DataFrame, cols: Sequence[str], by: list[str], limit: int) -> DataFrame:
+    """What the flag needs of each column: one aggregate, and the distinct values up to the limit."""
+    keys, rows = by + ["column"], long_numeric(df, cols, by)
+    out = keyed_join(moments(rows, keys), few_distinct(rows, keys, limit), keys, "left")
+    return out.withColumns({"n_distinct": F.when(F.col("n_distinct") <= limit, F.col("n_distinct")),
+                            "zero_ratio": F.col("n_zero") / F.col("n")})
+
+
 def level_features(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] | None = None,
-                   max_unique: int = MAX_LEVELS, profile: DataFrame | None = None) -> DataFrame:
+                   max_unique: int = MAX_LEVELS, profile: DataFrame | None = None, count_to: int = MAX_LEVELS) -> DataFrame:
     """``by..., column, n, n_distinct, std, mean_gap, is_level_feature``.
 
+    Values are counted up to ``count_to`` or ``max_unique``, the greater one; a column with more has a null
+    ``n_distinct`` and ``mean_gap``.
     ``profile`` (a ``column_profile`` result covering ``cols``) avoids a second profile job."""
     by = as_list(by)
     cols = [c for c in (cols or df.columns) if c not in by and is_numeric(df, c)]
@@ -42,7 +53,7 @@ def level_features(df: DataFrame, cols: Sequence[str] | None = None, by: Sequenc
         return df.sparkSession.createDataFrame(
             [], extra + "column string, n long, n_distinct long, std double, mean_gap double, is_level_feature boolean")
     p = (profile.where(F.col("column").isin(*cols)) if profile is not None
-         else column_profile(df, cols, by, probs=(0.5,)))
+         else _counted(df, cols, by, max(count_to, max_unique, COUNT_DATA_LEVELS)))
     return p.select(*by, "column", "n", "n_distinct", "std",
                     F.try_divide(F.col("vmax") - F.col("vmin"), F.col("n_distinct") - 1).alias("mean_gap"),
                     F.coalesce(level_flag(max_unique), F.lit(False)).alias("is_level_feature"))

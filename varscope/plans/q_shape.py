@@ -151,7 +151,7 @@ FROM (SELECT {g}{c}::DOUBLE AS v, avg({c}::DOUBLE) OVER ({part}) AS m FROM {tabl
                                   f'{S("zero_ratio")} AS zero_ratio, n_distinct, is_count_data'))
 def q_count_data(spark, sf):
     """l_linenumber (1..7) is count-like; quantity (50 levels) and tax are not."""
-    p = distribution_profile(t(spark, sf, "lineitem"), ["l_linenumber", "l_quantity", "l_tax"])
+    p = distribution_profile(t(spark, sf, "lineitem"), ["l_linenumber", "l_quantity", "l_tax"], count_to=1000)
     return rounded(p.select("column", "n", "mean", "variance", "zero_ratio", "n_distinct", "is_count_data"),
                    ["mean", "variance", "zero_ratio"])
 
@@ -178,7 +178,7 @@ def q_zero_inflation(spark, sf):
                                   f'{S("positive_fraction")} AS positive_fraction, is_heavy_tail', by="lang"))
 def q_heavy_tail(spark, sf):
     """A18 per language on document length (heavy right tail)."""
-    p = distribution_profile(t(spark, sf, "documents"), ["n_chars"], by=["lang"])
+    p = distribution_profile(t(spark, sf, "documents"), ["n_chars"], by=["lang"], count_to=12)
     p = p.select("lang", "column", "n", "skewness", "kurtosis", "median", "p95", "tail_ratio",
                  "positive_fraction", "is_heavy_tail")
     return rounded(rounded(p, ["median", "p95", "tail_ratio", "positive_fraction"]), ["skewness", "kurtosis"], 6)
@@ -189,7 +189,7 @@ def q_heavy_tail(spark, sf):
                                  f'coalesce(asymmetry > 0.4, false) AS is_asymmetric'))
 def q_asymmetry(spark, sf):
     """|mean - median| / std > 0.4 on event values and user ids."""
-    p = distribution_profile(t(spark, sf, "events"), ["value", "user_id"])
+    p = distribution_profile(t(spark, sf, "events"), ["value", "user_id"], count_to=12)
     return rounded(p.select("column", "n", "asymmetry", "is_asymmetric"), ["asymmetry"], 6)
 
 
@@ -208,7 +208,7 @@ def _level_sql() -> str:
 @register("level_feature", _level_sql())
 def q_level_feature(spark, sf):
     """Discount (11 values) and tax (9) are level-like; quantity has 50 values; linenumber is count data."""
-    lf = level_features(t(spark, sf, "lineitem"), LEVEL_COLS)
+    lf = level_features(t(spark, sf, "lineitem"), LEVEL_COLS, count_to=1000)
     return rounded(lf.select("column", "n", "n_distinct", "std", "mean_gap", "is_level_feature"), ["std", "mean_gap"])
 
 

@@ -130,7 +130,9 @@ def generate_report(df: DataFrame, target: str | None = None, feature: str | Non
 
     mark("validation")
     if numeric:
-        prof = small(within(column_profile(df, numeric, by, probs=(0.25, 0.5, 0.75, 0.95)), legitimate, "column"))
+        prof = small(within(
+            keyed_join(column_profile(df, numeric, by, probs=(0.25, 0.5, 0.75, 0.95), with_distinct=False).drop("n_distinct"),
+                       levels, [*by, "column"], "left"), legitimate, "column"))
         out["profile"] = prof
         # IQR fences from the shared quartiles; one pass counts the outliers.
         q1, q3 = F.col("quantiles")[0], F.col("quantiles")[2]
