@@ -13,14 +13,18 @@ from . import oracle_sql as O
 from .queries import register, rounded, t
 
 
-def _export(spark, sf) -> str:
-    """Write customer as a French-style export: ';' separator, decimal comma,
-    'N/D' for the balance of every seventh customer. Written under the shared
-    checkpoint folder (a fresh sub-folder per run)."""
+def _export_path(spark) -> str:
+    """A fresh sub-folder of the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}/customer.csv"
+    return f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}/customer.csv"
+
+
+def _export(spark, sf) -> str:
+    """Write customer as a French-style export: ';' separator, decimal comma,
+    'N/D' for the balance of every seventh customer."""
+    path = _export_path(spark)
     c = t(spark, sf, "customer")
     bal = F.when(F.col("c_custkey") % 7 == 0, F.lit("N/D")).otherwise(
         F.replace(F.format_number("c_acctbal", 2).cast("string"), F.lit(","), F.lit("")))
@@ -48,6 +52,21 @@ def q_csv_ingest(spark, sf):
     return rounded(d.select("column", "n", "mean", "std", "min", "max", "median"), ["mean", "std", "median"])
 
 
+@register("csv_mixed_folder", """
+SELECT c_custkey, 'Société ' || c_name || '; "' || c_mktsegment || '", ' || c_nationkey AS label, round(c_acctbal, 2) AS balance FROM customer""")
+def q_csv_mixed_folder(spark, sf):
+    """S2-S4 by file: one folder with UTF-8 files (';', decimal comma) and files of one byte a character (',', decimal
+    point); quoted labels hold both delimiters and quotes."""
+    path = _export_path(spark)
+    c = t(spark, sf, "customer")
+    label = F.concat(F.lit("Société "), "c_name", F.lit('; "'), "c_mktsegment", F.lit('", '), F.col("c_nationkey").cast("string"))
+    point = F.replace(F.format_number("c_acctbal", 2), F.lit(","), F.lit(""))
+    for rest, sep, charset, number in ((0, ";", "UTF-8", F.replace(point, F.lit("."), F.lit(","))), (1, ",", "ISO-8859-1", point)):
+        part = c.where(F.col("c_custkey") % 2 == rest).select("c_custkey", label.alias("label"), number.alias("balance"))
+        part.write.option("header", True).option("sep", sep).option("encoding", charset).option("escape", '"').mode("append").csv(path)
+    return import_file(spark, path)
+
+
 def _types_sql() -> str:
     def row(c, pos, dtype, expr, role):
         seq = f"count(DISTINCT {expr}) = count({expr}) AND count({expr}) >= 4 AND max({expr}) - min({expr}) = count({expr}) - 1"

@@ -3,13 +3,19 @@
 Every check is a Spark aggregate over all lines (not a sample):
 encoding (S2), delimiter consistency (S3/S4), missing-value tokens (S5),
 decimal comma / thousands spaces (S6) and integer/float typing (S7).
+
+A folder may hold files of different origin: encoding, delimiter and header are found for each file, in one scan, and
+files of equal answers are read together (a job a group, not a file). Columns are matched by name between groups.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values that must equal the reference's behaviour.
@@ -20,6 +26,8 @@ PANDAS_NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN"
 FRENCH_NA_TOKENS = ["N/D", "ND", "N/C", "NC", "NR", "Non renseigné", "n.d.", "n.d"]
 THOUSANDS_SEPARATORS = ["\u202f", "\xa0", " "]
 DELIMITERS = [",", ";", "\t"]
+# Bytes that have no character in cp1252.
+CP1252_UNDEFINED = ["81", "8D", "8F", "90", "9D"]
 NUMERIC_SHARE = 0.9
 
 INT_RE = r"^[+-]?[0-9]+$"
@@ -37,32 +45,70 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _fields(line: Column, delimiter: str) -> Column:
+    """Fields of a line: delimiters inside a quoted field don't count. A quote that doesn't open a field is text."""
+    plain = F.replace(line, F.lit('""'), F.lit(""))
+    bare = F.when(F.instr(line, '"') > 0, F.regexp_replace(plain, r'(^|[,;\t])"[^"]*"(?=[,;\t]|$)', "$1")).otherwise(line)
+    return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
+
+
+def file_formats(spark: SparkSession, path: str) -> DataFrame:
+    """S2-S4 for each file below ``path`` with a line that is not blank: ``file, n_lines, encoding, delimiter, header``.
+
+    One scan of all lines; a file's state is a few counts. ``encoding``: utf-8 if each line is valid, else cp1252, null if
+    a byte has no character there. ``delimiter``: the candidate that gives the header two fields or more and each line as
+    many; the one with most fields wins; ',' if no candidate divides the header; null if none is consistent. All
+    candidates are ASCII, so lines are counted before their encoding is known.
+    """
+    line = F.col("value")
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.input_file_block_start().alias("_block"),
+                                         F.monotonically_increasing_id().alias("_at")).where(F.trim(line) != "")
+    counts = [c for i, d in enumerate(DELIMITERS) for c in (F.min(_fields(line, d)).alias(f"mn{i}"), F.max(_fields(line, d)).alias(f"mx{i}"))]
+    undefined = F.expr(" OR ".join(f"contains(CAST(value AS BINARY), X'{x}')" for x in CP1252_UNDEFINED))
+    # a block of a file is read in order by one task, so its first line has the least number of the least block
+    each = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n_lines"), F.bool_and(F.expr("is_valid_utf8(value)")).alias("valid"),
+                                     F.bool_or(undefined).alias("undefined"), *counts,
+                                     F.min_by(line, F.struct("_block", "_at")).alias("header"))
+    head = [_fields(F.col("header"), d) for d in DELIMITERS]
+    fits = [F.when((n >= 2) & (F.col(f"mn{i}") == n) & (F.col(f"mx{i}") == n), F.struct(n.alias("n"), F.lit(-i).alias("i"), F.lit(d).alias("d")))
+            for i, (d, n) in enumerate(zip(DELIMITERS, head))]
+    best = F.array_max(F.array_compact(F.array(*fits)))["d"]
+    one_column = reduce(lambda x, y: x & y, [n < 2 for n in head])
+    encoding = F.when(F.col("valid"), ENCODINGS[0]).when(~F.col("undefined"), ENCODINGS[1])
+    return each.select("file", "n_lines", encoding.alias("encoding"), F.when(one_column, ",").otherwise(best).alias("delimiter"), "header")
+
+
+def _groups(spark: SparkSession, path: str, encoding: str | None, sep: str | None) -> list[tuple[str, str, list[str]]]:
+    """(encoding, delimiter, files) of files that can be read together: their header is the same too."""
+    found = file_formats(spark, path)
+    groups = found.groupBy("encoding", "delimiter", "header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    if not groups:
+        raise UnsupportedFileFormatError(f"empty file: {path}")
+    for g in groups:
+        if encoding is None and g["encoding"] is None:
+            raise UnsupportedFileFormatError(f"neither of {ENCODINGS} fits {g['files'][0]}")
+        if sep is None and g["delimiter"] is None:
+            raise UnsupportedFileFormatError(f"no consistent delimiter in {g['files'][0]}")
+    return sorted((encoding or g["encoding"], sep or g["delimiter"], [_literal(f) for f in g["files"]]) for g in groups)
+
+
+def _literal(uri: str) -> str:
+    """A file's URI as a path for a reader: no character of it is a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
+
+
 def detect_encoding(spark: SparkSession, path: str) -> str:
     """Utf-8 unless some line is not valid UTF-8 (checked on every line), then cp1252."""
     ok = spark.read.text(path).agg(F.min(F.expr("is_valid_utf8(value)")).alias("ok")).first()["ok"]
     return "utf-8" if ok is None or ok else "cp1252"
 
 
-def detect_delimiter(spark: SparkSession, path: str, encoding: str = "utf-8") -> str:
-    """The candidate whose field count is >= 2 on the header and equal on
-    every non-blank line; the highest count wins; a one-column header gives ','."""
-    lines = spark.read.option("encoding", encoding).text(path).where(F.trim("value") != "")
-    header = lines.first()
-    if header is None:
-        raise UnsupportedFileFormatError(f"empty file: {path}")
-    counts = {d: len(header["value"].split(d)) for d in DELIMITERS}
-    usable = [d for d in DELIMITERS if counts[d] >= 2]
-    if not usable:
-        return ","
-    aggs = []
-    for i, d in enumerate(usable):
-        n = F.size(F.split("value", d if d != "\t" else "\t", -1))
-        aggs += [F.min(n).alias(f"mn{i}"), F.max(n).alias(f"mx{i}")]
-    row = lines.agg(*aggs).first()
-    ok = [d for i, d in enumerate(usable) if row[f"mn{i}"] == row[f"mx{i}"] == counts[d]]
-    if not ok:
-        raise UnsupportedFileFormatError(f"no consistent delimiter in {path}")
-    return max(ok, key=lambda d: (counts[d], -DELIMITERS.index(d)))
+def detect_delimiter(spark: SparkSession, path: str) -> str:
+    """S3/S4 of a file, or of a folder whose files agree."""
+    found = {sep for _, sep, _ in _groups(spark, path, ENCODINGS[0], None)}
+    if len(found) > 1:
+        raise UnsupportedFileFormatError(f"files of different delimiters in {path}")
+    return found.pop()
 
 
 def _normalized(c):
@@ -73,17 +119,24 @@ def _normalized(c):
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, sep: str | None = None) -> DataFrame:
-    """S1 (CSV branch) + S5-S7: a typed DataFrame from a header CSV."""
-    if encoding is None:
-        encoding = detect_encoding(spark, path)
-    if encoding.lower() in ("cp1252", "windows-1252"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        encoding = "windows-1252"
-    if sep is None:
-        sep = detect_delimiter(spark, path, encoding)
-    raw = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-           .option("inferSchema", False).option("nullValue", None).option("emptyValue", "")
-           .option("mode", "PERMISSIVE").csv(path))
+    """S1 (CSV branch) + S5-S7: a typed DataFrame from a header CSV, or a folder of them.
+
+    ``encoding`` and ``sep``, where given, hold for all files; else each file has its own. Doubled quotes in a quoted
+    field are one quote. A column that a file lacks is null in its rows; types are found over all files together.
+    """
+    if encoding is not None and sep is not None:
+        groups = [(encoding, sep, path)]
+    else:
+        groups = _groups(spark, path, encoding, sep)
+    parts = []
+    for charset, delimiter, files in groups:
+        if charset.lower() in ("cp1252", "windows-1252"):
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+            charset = "windows-1252"
+        parts.append(spark.read.option("header", True).option("sep", delimiter).option("encoding", charset).option("escape", '"')
+                     .option("inferSchema", False).option("nullValue", None).option("emptyValue", "")
+                     .option("mode", "PERMISSIVE").csv(files))
+    raw = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
     na = PANDAS_NA_TOKENS + FRENCH_NA_TOKENS
     # NA tokens (compared on the stripped text, as a CSV reader does for unquoted fields)
     df = raw.select(*[F.when(F.trim(F.col(c)).isin(*na) | F.col(c).isNull(), F.lit(None).cast("string"))
