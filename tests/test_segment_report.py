@@ -7,6 +7,7 @@ from varscope.operators.derived import derived_pairs
 from varscope.operators.quality import duplicate_count, null_counts, validate_dataset
 from varscope.operators.schema import column_types, temporal_columns, temporal_flags
 from varscope.plans.report import generate_report, segment_reports
+from varscope.sources.sinks import document_schema, report_documents
 
 
 def table(spark):
@@ -32,12 +33,32 @@ def plain(rows, cols):
     return sorted(str([float(f"{r[c]:.6g}") if isinstance(r[c], float) else r[c] for c in cols]) for r in rows)
 
 
+def documents_hold_the_tables(report, found, by):
+    """The nested documents, read back from JSON, are the report's tables."""
+    docs = report_documents(report, by)
+    back = {r["segment"]: r["d"] for r in docs.select("segment", F.from_json("document", document_schema(report, by)).alias("d")).collect()}
+    assert set(back) == {r["segment"] for r in found["validation"]}
+    for section, name, one in (("validation", "validation", True), ("warnings_structured", "findings", False), ("exploitability", "score", True),
+                               ("main_insight", "main_insight", True)):
+        cols = [c for c in found[name][0].__fields__ if c not in by]
+        for segment, d in back.items():
+            want = sorted(str([r[c] for c in cols]) for r in found[name] if r["segment"] == segment)
+            got = d[section] if not one else [d[section]] if d[section] else []
+            assert sorted(str([r[c] for c in cols]) for r in got) == want
+    for segment, d in back.items():
+        types = [r for r in found["column_types"] if r["segment"] == segment]
+        assert d["dataset_summary"]["n_columns"] == len(types)
+        assert d["dataset_summary"]["numeric_columns"] == sorted(r["column"] for r in types if r["role"].startswith("numeric"))
+        assert set(d["warnings"]) == {r["code"] for r in found["findings"] if r["segment"] == segment}
+
+
 def test_segments_are_reported_as_if_alone(spark):
     df = table(spark).cache()
     options = {"target": "y", "feature": "x", "change_pct": 0.1, "key_cols": ["id"]}
     every = segment_reports(df, "seg", **options)
     found = {k: every[k].collect() for k in ("findings", "score", "main_insight", "validation", "column_types")}
     assert {r["segment"] for r in found["score"]} == {"a", "b"}               # too small a segment and null keys have none
+    documents_hold_the_tables(every, found, ["segment", "by_seg"])
     codes = {s: {r["code"] for r in found["findings"] if r["by_seg"] == s} for s in "ab"}
     assert "DERIVED" in codes["a"] and "DERIVED" not in codes["b"] and "SUBGROUP_DOMINANT_STRONG" in codes["a"]
     assert "SCENARIO_NONLINEAR" in codes["b"] and "SCENARIO_NONLINEAR" not in codes["a"]

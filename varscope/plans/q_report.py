@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.derived import derived_relationships
 from ..operators.quality import validate_dataset
 from ..operators.schema import column_types
+from ..sources.sinks import document_schema, report_documents
 from . import oracle_sql as O
 from .queries import register, rounded, t
 from .report import generate_report, segment_reports
@@ -143,3 +144,22 @@ def q_derived_by_segment(spark, sf):
     """Derived columns of each segment."""
     df = t(spark, sf, "lineitem").select("l_returnflag", *[F.expr(e.replace("::DOUBLE", "")).cast("double").alias(c) for c, e in DERIVED.items()])
     return rounded(derived_relationships(df, list(DERIVED), ["l_returnflag"]), ["match_share"])
+
+
+def _document_sql() -> str:
+    def row(c):
+        return (f"SELECT c_mktsegment AS segment, count(*) AS n_rows, '{c}' AS \"column\", count({c}) AS n, {O.sig(f'avg({c}::DOUBLE)')} AS mean, "
+                f"min({c})::DOUBLE AS vmin, max({c})::DOUBLE AS vmax, {O.sig(f'quantile_cont({c}::DOUBLE, 0.5)')} AS median FROM customer "
+                "GROUP BY c_mktsegment HAVING count(*) >= 3")
+    return " UNION ALL ".join(row(c) for c in ("c_acctbal", "c_nationkey"))
+
+
+@register("report_documents", _document_sql())
+def q_report_documents(spark, sf):
+    """A nested JSON document per market segment, read back: the profiles it holds."""
+    report = segment_reports(t(spark, sf, "customer").select("c_mktsegment", "c_acctbal", "c_nationkey"), "c_mktsegment")
+    by = ["segment", "by_c_mktsegment"]
+    docs = report_documents(report, by).select("segment", F.from_json("document", document_schema(report, by)).alias("d"))
+    rows = docs.select("segment", F.col("d.dataset_summary.n_rows").alias("n_rows"), F.explode("d.profiling").alias("p"))
+    return rounded(rows.select("segment", "n_rows", "p.column", "p.n", "p.mean", "p.vmin", "p.vmax", F.col("p.quantiles")[1].alias("median")),
+                   ["mean", "median"])
