@@ -61,6 +61,49 @@ def test_logistic_separation_stays_in_bounds(spark):
     assert abs(r["coefficient"]) <= 10 and abs(r["intercept"]) <= 10
 
 
+def box_optimum(x, y, bound=10.0):
+    """Best log-likelihood over the box: coordinate-wise convex, so nested golden sections on a wide set of values."""
+    def ll(b0, b1):
+        z = b0 + b1 * x
+        return float(np.sum(y * z - np.logaddexp(0, z)))
+
+    def golden(f):
+        lo, hi, r = -bound, bound, (5 ** 0.5 - 1) / 2
+        for _ in range(90):
+            p, q = hi - r * (hi - lo), lo + r * (hi - lo)
+            lo, hi = (p, hi) if f(p) < f(q) else (lo, q)
+        return max(f(v) for v in (lo, hi, -bound, bound))
+    return golden(lambda b1: golden(lambda b0: ll(b0, b1))), ll
+
+
+def test_logistic_box_optimum_in_few_scans(spark):
+    """Separable, unscaled, shifted, one-sided and constant data: the optimum over the box, in at most 12 scans."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=120)
+    noisy = (rng.uniform(size=120) < 1 / (1 + np.exp(-x))).astype(float)
+    line = np.arange(20.0)
+    data = {"separable": (line, (line >= 10) * 1.0), "separable_far": (line * 1e6, (line >= 10) * 1.0),
+            "unscaled": (x * 1e6, noisy), "tiny": (x * 1e-6, noisy), "shifted": (x + 1e5, noisy), "steep": (x * 1e-2, (x > 0) * 1.0),
+            "constant": (np.full(30, 4.0), (np.arange(30) < 9) * 1.0), "rare": (x, (np.arange(120) == 7) * 1.0),
+            "falling": (x, 1.0 - (x > 0.1))}
+    rows = [(k, float(a), float(b)) for k, (xs, ys) in data.items() for a, b in zip(xs, ys)]
+    rows += [("single", float(i), 1.0) for i in range(5)] + [(None, float(i % 7), float(i % 2)) for i in range(30)] + [("nulls", None, 1.0)]
+    got = {r["g"]: r for r in logistic(spark.createDataFrame(rows, "g string, x double, y double"), "y", "x", by=["g"]).collect()}
+    assert set(got) == {*data, "single", None}
+    assert got["single"]["status"] == "single_class" and not got["single"]["converged"]
+    for k, (xs, ys) in data.items():
+        r = got[k]
+        best, ll = box_optimum(xs, ys)
+        assert abs(r["intercept"]) <= 10 + 1e-9 and abs(r["coefficient"]) <= 10 + 1e-9, k
+        assert ll(r["intercept"], r["coefficient"]) >= best - 1e-9 * len(xs) - 1e-9 * abs(best), k
+        assert r["converged"] and r["iterations"] <= 12, (k, r["iterations"])
+    assert got["constant"]["coefficient"] == 0 and abs(got["constant"]["intercept"] - np.log(9 / 21)) < 1e-9
+
+
+def test_logistic_empty(spark):
+    assert logistic(spark.createDataFrame([], "g string, x double, y double"), "y", "x", by=["g"]).collect() == []
+
+
 def test_one_hot(spark):
     df = frame(spark, {"c": ["b", "a", None, "c"], "v": [1, 2, 3, 4]})
     out = one_hot(df)

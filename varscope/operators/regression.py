@@ -5,8 +5,8 @@
   ``[features, target]`` is aggregated in one scan (``covar_samp`` is a
   stable co-moment aggregate); a k x k solve then runs per segment inside
   ``applyInPandas`` on that one aggregated row, never on the data.
-* Logistic: grouped Newton-Raphson, one scan per iteration for all segments
-  at once; the parameters of each segment are a tiny table joined back.
+* Logistic: damped Newton steps over the box, one scan per iteration for all
+  segments and several trial steps at once; a segment's state is one row.
 """
 
 from __future__ import annotations
@@ -16,11 +16,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_list, is_numeric, is_text, num
-from ..functions.joins import keyed_join
+from ..functions.joins import keyed_join, lookup_join
 from ..session import materialize
 
 MIN_ROWS_FOR_REGRESSION = 3
@@ -187,90 +188,159 @@ def ols_multi(df: DataFrame, target: str, features: Sequence[str], by: Sequence[
 
 # --------------------------------------------------------------------------- logistic
 
+#: Lengths of the trial steps that one scan evaluates, in Newton steps; long ones for separable classes.
+TRIAL_STEPS = (16.0, 4.0, 1.0, 0.25, 1 / 32)
+_SUMS = ("ll", "g0", "g1", "h00", "h01", "h11")
+
+
+def _box_step(a, c, m, s, g, h, bound):
+    """The step from (a, c) that maximises the quadratic model with gradient ``g`` and curvature ``h`` over the box.
+
+    a = b0 + b1 m and c = b1 s are the parameters of the standardised feature, in which h is well scaled; the box
+    |b0|, |b1| <= bound is a parallelogram there. The maximum is the Newton point, or lies on an edge, where it is the
+    edge's own maximum cut to the edge. The step is zero exactly where the KKT conditions hold.
+    """
+    h00, h01, h11 = h
+    best, step = 0.0, (0.0, 0.0)
+
+    def offer(da, dc):
+        nonlocal best, step
+        gain = g[0] * da + g[1] * dc - 0.5 * (h00 * da * da + 2 * h01 * da * dc + h11 * dc * dc)
+        if np.isfinite(gain) and gain > best:
+            best, step = gain, (da, dc)
+
+    det = h00 * h11 - h01 * h01
+    if h11 <= 0 or det <= 1e-14 * h00 * h11:
+        da, dc = (g[0] / h00 if h00 > 0 else np.inf), 0.0
+    else:
+        da, dc = (h11 * g[0] - h01 * g[1]) / det, (h00 * g[1] - h01 * g[0]) / det
+    b1 = (c + dc) / s
+    if abs(b1) <= bound and abs(a + da - b1 * m) <= bound:
+        offer(da, dc)
+        return step, best
+    for end in (-bound, bound):
+        # (start, direction): b1 = end with b0 free, and b0 = end with b1 free
+        for (pa, pc), (va, vc) in (((end * m, end * s), (1.0, 0.0)), ((end, 0.0), (m, s))):
+            oa, oc = pa - a, pc - c
+            slope = (g[0] - h00 * oa - h01 * oc) * va + (g[1] - h01 * oa - h11 * oc) * vc
+            curve = h00 * va * va + 2 * h01 * va * vc + h11 * vc * vc
+            t = slope / curve if curve > 0 else np.sign(slope) * np.inf
+            t = min(bound, max(-bound, t))
+            offer(oa + t * va, oc + t * vc)
+    return step, best
+
+
+def _reach(a, c, da, dc, m, s, bound):
+    """How often the step fits between (a, c) and the box's border."""
+    most = np.inf
+    for at, by in ((c / s, dc / s), (a - c * m / s, da - dc * m / s)):
+        if by:
+            most = min(most, max(0.0, (bound - np.sign(by) * at) / abs(by)))
+    return most
+
+
+def _next_trials(r: dict, evaluated: list, bound: float, tol: float) -> dict:
+    """A segment's state after a scan: its best trial, and new trials along the step from there."""
+    top = max(evaluated, key=lambda e: e["ll"])
+    r["it"] += 1
+    if top["ll"] > r["ll"]:
+        r.update(a=top["a"], c=top["c"], ll=top["ll"])
+        with np.errstate(all="ignore"):
+            (da, dc), gain = _box_step(r["a"], r["c"], r["m"], r["s"], (top["g0"], top["g1"]), (top["h00"], top["h01"], top["h11"]), bound)
+        if gain <= tol * r["n"]:
+            # the last step is so short that the error after it, its square, is rounding
+            r.update(a=r["a"] + da, c=r["c"] + dc, done=True, ok=True)
+            return r
+        r.update(da=da, dc=dc)
+    else:                                   # no trial was better: rounding, or the model holds in a smaller region only
+        r.update(da=r["da"] / 1024, dc=r["dc"] / 1024)
+        if abs(r["da"]) + abs(r["dc"]) <= 1e-13 * (1 + abs(r["a"]) + abs(r["c"])):
+            r.update(done=True, ok=True)
+            return r
+    most = _reach(r["a"], r["c"], r["da"], r["dc"], r["m"], r["s"], bound)
+    steps = sorted({min(t, most) for t in TRIAL_STEPS})
+    r["trials"] = [{"a": r["a"] + t * r["da"], "c": r["c"] + t * r["dc"]} for t in steps]
+    return r
+
+
 def logistic(df: DataFrame, target: str, feature: str, by: Sequence[str] | None = None,
-             max_iter: int = 40, tol: float = 1e-10) -> DataFrame:
+             max_iter: int = 40, tol: float = 1e-14) -> DataFrame:
     """One-feature logistic regression per segment, parameters bounded to [-10, 10].
 
-    Newton-Raphson on the log-likelihood; every iteration is one grouped
-    aggregate (gradient and 2x2 Hessian per segment). A parameter that would
-    leave the box is held at the bound and the other one re-optimised
-    (exact box-constrained optimum for this convex 2-parameter problem).
+    Damped Newton: the step maximises the quadratic model over the box, so a zero step is a
+    proof of the KKT conditions; a scan evaluates the likelihood and its derivatives at several
+    lengths of that step at once, for all segments, and only a better point is taken. The feature is
+    standardised inside. A fit ends when the step can gain no more than ``tol`` a row (``converged``).
+    The raw rows stay where they are (``lookup_join``); a segment's state is one row.
     The two target values are mapped low -> 0, high -> 1.
     Output: ``by..., target, feature, n, intercept, coefficient, r_squared
     (McFadden, clipped to [0, 1]), log_loss, calibration_error, resid_std,
-    iterations, converged, y_low, y_high``.
+    iterations (scans), converged, status, y_low, y_high``. One class: parameters 0, status
+    ``single_class``. A constant feature has coefficient 0.
     """
     _check_numeric(df, [target, feature])
-    by = as_list(by)
-    seg = by
+    seg = by = as_list(by)
     base = df.select(*by, num(target).alias("_y0"), num(feature).alias("_x"))
     base = base.where(F.col("_y0").isNotNull() & F.col("_x").isNotNull())
-    levels = base.groupBy(*seg).agg(F.min("_y0").alias("y_low"), F.max("_y0").alias("y_high"),
-                                    F.count(F.lit(1)).alias("n"))
-    levels = materialize(levels)
-    n_seg = levels.count()
-    data = keyed_join(base, levels.select(*seg, "y_low", "y_high"), seg).select(
-        *seg, "_x", F.when(F.col("_y0") == F.col("y_high"), 1.0).otherwise(0.0).alias("_y")
+    levels = materialize(base.groupBy(*seg).agg(F.min("_y0").alias("y_low"), F.max("_y0").alias("y_high"), F.count(F.lit(1)).alias("n"),
+                                                F.avg("_x").alias("m"), F.stddev_pop("_x").alias("s")).where("n > 0"))
+    levels = levels.withColumn("s", F.when(F.col("s") > 0, F.col("s")).otherwise(1.0))
+    n_seg = max(1, levels.count())
+    data = lookup_join(base, levels.select(*seg, "y_high", "m", "s"), seg).select(
+        *seg, F.when(F.col("_y0") == F.col("y_high"), 1.0).otherwise(0.0).alias("_y"), ((F.col("_x") - F.col("m")) / F.col("s")).alias("_u")
     ).persist()
-    # a one-class segment has no finite optimum: it is not iterated (status single_class)
-    params = levels.select(*seg, F.lit(0.0).alias("b0"), F.lit(0.0).alias("b1"),
-                           (F.col("y_low") == F.col("y_high")).alias("done"), F.lit(0).alias("it"))
-    params = materialize(params, n_seg)
-    B = LOGISTIC_BOUND
-    for it in range(max_iter):
-        z = F.col("b0") + F.col("b1") * F.col("_x")
-        p = 1 / (1 + F.exp(-F.least(F.lit(500.0), F.greatest(F.lit(-500.0), z))))
-        w = p * (1 - p)
-        act = params.where(~F.col("done"))
-        g = keyed_join(data, act.select(*seg, "b0", "b1"), seg).groupBy(*seg).agg(
-            F.sum(F.col("_y") - p).alias("g0"), F.sum((F.col("_y") - p) * F.col("_x")).alias("g1"),
-            F.sum(w).alias("h00"), F.sum(w * F.col("_x")).alias("h01"),
-            F.sum(w * F.col("_x") * F.col("_x")).alias("h11"))
-        st = keyed_join(act, g, seg, "left")
-        det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
-        d0 = F.try_divide(F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1"), det)
-        d1 = F.try_divide(F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0"), det)
-        n0 = F.col("b0") + F.coalesce(d0, F.lit(0.0))
-        n1 = F.col("b1") + F.coalesce(d1, F.lit(0.0))
-        # box: if a coordinate leaves [-B, B], clamp it and take a 1-D Newton step on the other
-        c1 = F.least(F.lit(B), F.greatest(F.lit(-B), n1))
-        c0 = F.least(F.lit(B), F.greatest(F.lit(-B), n0))
-        out1 = F.abs(n1) > B
-        out0 = F.abs(n0) > B
-        nb0 = (F.when(out1 & ~out0, F.least(F.lit(B), F.greatest(F.lit(-B), F.col("b0") + F.coalesce(F.try_divide(F.col("g0"), F.col("h00")), F.lit(0.0)))))
-               .otherwise(c0))
-        nb1 = (F.when(out0 & ~out1, F.least(F.lit(B), F.greatest(F.lit(-B), F.col("b1") + F.coalesce(F.try_divide(F.col("g1"), F.col("h11")), F.lit(0.0)))))
-               .otherwise(c1))
-        step = F.greatest(F.abs(nb0 - F.col("b0")), F.abs(nb1 - F.col("b1")))
-        upd = st.select(*seg, nb0.alias("b0"), nb1.alias("b1"),
-                        (F.coalesce(step, F.lit(0.0)) < tol * (1 + F.abs(nb1) + F.abs(nb0))).alias("done"),
-                        F.lit(it + 1).alias("it"))
-        params = materialize(params.where("done").unionByName(upd), n_seg)
-        if params.where(~F.col("done")).limit(1).count() == 0:
+    start = F.array(F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("c")))
+    zero = {c: F.lit(0.0) for c in ("a", "c", "da", "dc")}
+    state = levels.withColumns({**zero, "ll": F.lit(float("-inf")), "done": F.col("y_low") == F.col("y_high"), "ok": F.lit(False),
+                                "it": F.lit(0), "trials": start}).drop("y_low", "y_high")
+    state = materialize(state, n_seg)
+    kinds = state.schema
+    eta = F.col("p.a") + F.col("p.c") * F.col("_u")
+    soft = F.greatest(F.lit(0.0), eta) + F.log1p(F.exp(-F.abs(eta)))
+    prob = 1 / (1 + F.exp(-eta))
+    wide = prob * (1 - prob)
+    terms = (F.col("_y") * eta - soft, F.col("_y") - prob, (F.col("_y") - prob) * F.col("_u"), wide, wide * F.col("_u"), wide * F.col("_u") * F.col("_u"))
+
+    def advance(batches):
+        for b in batches:
+            out = pa.schema([b.schema.field(c) for c in kinds.names])
+            yield pa.RecordBatch.from_pylist([_next_trials(r, r.pop("points"), LOGISTIC_BOUND, tol) for r in b.to_pylist()], out)
+
+    for _ in range(max_iter):
+        active = state.where(~F.col("done"))
+        rows = lookup_join(data, active.select(*seg, "trials"), seg)
+        sums = (rows.select(*seg, "_y", "_u", F.explode("trials").alias("p")).groupBy(*seg, F.col("p.a").alias("a"), F.col("p.c").alias("c"))
+                .agg(*[F.sum(e).alias(k) for k, e in zip(_SUMS, terms)]))
+        points = sums.groupBy(*seg).agg(F.collect_list(F.struct("a", "c", *_SUMS)).alias("points"))
+        moved = keyed_join(active, points, seg).mapInArrow(advance, kinds)
+        state = materialize(state.where("done").unionByName(moved), n_seg)
+        if state.where(~F.col("done")).isEmpty():
             break
-    z = F.col("b0") + F.col("b1") * F.col("_x")
-    p = 1 / (1 + F.exp(-F.least(F.lit(500.0), F.greatest(F.lit(-500.0), z))))
+    params = state.select(*seg, (F.col("a") - F.col("c") / F.col("s") * F.col("m")).alias("b0"), (F.col("c") / F.col("s")).alias("b1"),
+                          "a", "c", "it", "ok")
+    z = F.col("a") + F.col("c") * F.col("_u")
+    p = 1 / (1 + F.exp(-z))
     pc = F.least(F.lit(1 - 1e-15), F.greatest(F.lit(1e-15), p))
     y = F.col("_y")
-    fin = keyed_join(data, params.select(*seg, "b0", "b1"), seg).groupBy(*seg).agg(
-        F.sum(y * F.log(p) + (1 - y) * F.log(1 - p)).alias("ll_model"),
+    ll = y * z - F.greatest(F.lit(0.0), z) - F.log1p(F.exp(-F.abs(z)))
+    fin = materialize(lookup_join(data, params.select(*seg, "a", "c"), seg).groupBy(*seg).agg(
+        F.sum(ll).alias("ll_model"),
         F.avg(y).alias("ybar"),
         (-F.avg(y * F.log(pc) + (1 - y) * F.log(1 - pc))).alias("log_loss"),
         F.avg(F.abs(p - y)).alias("calibration_error"),
-        F.stddev_pop(y - p).alias("resid_std"))
+        F.stddev_pop(y - p).alias("resid_std")), n_seg)
+    data.unpersist(blocking=False)
     out = keyed_join(keyed_join(levels, params, seg), fin, seg, "left")
     ll_null = F.col("n") * (F.col("ybar") * F.log("ybar") + (1 - F.col("ybar")) * F.log(1 - F.col("ybar")))
     r2 = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.try_divide(F.col("ll_model"), ll_null)))
-    res = out.select(*by, F.lit(target).alias("target"), F.lit(feature).alias("feature"), "n",
-                     F.col("b0").alias("intercept"), F.col("b1").alias("coefficient"),
-                     r2.alias("r_squared"), "log_loss", "calibration_error", "resid_std",
-                     F.col("it").alias("iterations"),
-                     (F.col("done") & (F.col("y_low") != F.col("y_high"))).alias("converged"),
-                     F.when(F.col("y_low") == F.col("y_high"), F.lit("single_class"))
-                      .when(F.col("n") < MIN_ROWS_FOR_REGRESSION, F.lit("insufficient_rows"))
-                      .otherwise(F.lit("ok")).alias("status"), "y_low", "y_high")
-    data.unpersist(blocking=False)
-    return res
+    single = F.col("y_low") == F.col("y_high")
+    return out.select(*by, F.lit(target).alias("target"), F.lit(feature).alias("feature"), "n",
+                      F.col("b0").alias("intercept"), F.col("b1").alias("coefficient"),
+                      r2.alias("r_squared"), "log_loss", "calibration_error", "resid_std",
+                      F.col("it").alias("iterations"), (F.col("ok") & ~single).alias("converged"),
+                      F.when(single, F.lit("single_class"))
+                       .when(F.col("n") < MIN_ROWS_FOR_REGRESSION, F.lit("insufficient_rows"))
+                       .otherwise(F.lit("ok")).alias("status"), "y_low", "y_high")
 
 
 # --------------------------------------------------------------------------- encoding

@@ -88,16 +88,40 @@ def _labelled(spark, sf):
     return t(spark, sf, "documents").select("doc_id", "lang", "n_chars").join(t(spark, sf, "labels"), "doc_id")
 
 
-@register("logistic")
+def _logistic_sql(target: str, select: str, by: str | None = None) -> str:
+    """Plain Newton steps by a recursive CTE on the standardised feature; no fit here comes near the bounds."""
+    g, part = (f"{by}, ", f"PARTITION BY {by}") if by else ("", "")
+    on = f" USING ({by})" if by else " ON true"
+    grp = f"GROUP BY {by}" if by else ""
+    return f"""WITH RECURSIVE d AS (SELECT {g}{target}::DOUBLE AS y0, n_chars::DOUBLE AS x FROM documents JOIN labels USING (doc_id)
+  WHERE {target} IS NOT NULL AND n_chars IS NOT NULL),
+u AS (SELECT {g}CASE WHEN y0 = max(y0) OVER w THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y,
+  (x - avg(x) OVER w) / stddev_pop(x) OVER w AS u, avg(x) OVER w AS m, stddev_pop(x) OVER w AS s FROM d WINDOW w AS ({part})),
+start AS (SELECT {g}0.0::DOUBLE AS a, 0.0::DOUBLE AS c FROM u {grp or "LIMIT 1"}),
+it AS (SELECT 0 AS k, * FROM start
+  UNION ALL
+  SELECT k + 1, {g}a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), c + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+  FROM (SELECT k, {g}a, c, sum(y - p) AS g0, sum((y - p) * u) AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * u) AS h01,
+          sum(p * (1 - p) * u * u) AS h11
+        FROM (SELECT k, {g}a, c, y, u, 1 / (1 + exp(-(a + c * u))) AS p FROM it JOIN u{on} WHERE k < 15)
+        GROUP BY k, {g}a, c)),
+f AS (SELECT {g}y, m, s, a, c, a + c * u AS z, 1 / (1 + exp(-(a + c * u))) AS p FROM it JOIN u{on} WHERE k = 15),
+r AS (SELECT {g}count(*) AS n, any_value(a) - any_value(c) / any_value(s) * any_value(m) AS b0, any_value(c) / any_value(s) AS b1,
+  sum(y * ln(p) + (1 - y) * ln(1 - p)) AS ll, avg(y) AS ybar, avg(abs(p - y)) AS calibration FROM f {grp})
+SELECT {g}'{target}' AS target, 'n_chars' AS feature, n, {O.sig('b0', 6)} AS intercept, {O.sig('b1', 6)} AS coefficient,
+  {O.sig('1 - ll / (n * (ybar * ln(ybar) + (1 - ybar) * ln(1 - ybar)))', 6)} AS r_squared, {select}, true AS converged FROM r"""
+
+
+@register("logistic", _logistic_sql("quality", f"{O.sig('-ll / n', 6)} AS log_loss, {O.sig('calibration', 6)} AS calibration_error"))
 def q_logistic(spark, sf):
-    """Quality ~ n_chars on labelled documents (grouped Newton, bounded). Iterative: no SQL oracle."""
+    """Quality ~ n_chars on labelled documents (damped Newton over the box)."""
     r = logistic(_labelled(spark, sf), "quality", "n_chars")
     return rounded(r.select("target", "feature", "n", "intercept", "coefficient", "r_squared", "log_loss",
                             "calibration_error", "converged"),
                    ["intercept", "coefficient", "r_squared", "log_loss", "calibration_error"], 6)
 
 
-@register("logistic_by_segment")
+@register("logistic_by_segment", _logistic_sql("toxic", "'logistic' AS model_type", "lang"))
 def q_logistic_by_segment(spark, sf):
     """R3 per language, all segments fitted by the same per-iteration aggregates."""
     r = fit_simple_regression(_labelled(spark, sf), "toxic", "n_chars", by=["lang"])
