@@ -11,11 +11,13 @@ by the next bits. With all 64 bits each cell holds one value, so the rounds end.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .columns import is_numeric, num
 from .joins import keyed_join, lookup_join
 
 #: Bits of the hash that a round adds, for limits up to 256; more for larger ones.
@@ -35,15 +37,16 @@ def _split(rows: DataFrame, keys: list[str], bits: int) -> DataFrame:
 
 def few_distinct(rows: DataFrame, keys: Sequence[str], limit: int = 25, value: str = "value",
                  round_bits: int | None = None) -> DataFrame:
-    """``keys..., n_distinct``: the number of distinct values of a double column, exact up to ``limit`` and
+    """``keys..., n_distinct``: the number of distinct values of a column, exact up to ``limit`` and
     ``limit + 1`` for more.
 
-    Null values count for nothing (a key with null values alone has no row), -0.0 is 0.0, NaN is one value; keys may be
-    null. An empty table gives no rows.
+    Numbers are doubles (-0.0 is 0.0, NaN is one value), other values are told apart by a 64-bit hash of their text.
+    Null values count for nothing (a key with null values alone has no row); keys may be null. An empty table gives no rows.
     """
     keys = list(keys)
     step = round_bits or max(ROUND_BITS, (4 * limit).bit_length())
-    rows = rows.select(*keys, (F.col(value).cast("double") + F.lit(0.0)).alias("_v")).where(F.col("_v").isNotNull())
+    v = F.col(value).cast("double") + F.lit(0.0) if is_numeric(rows, value) else F.xxhash64(F.col(value).cast("string"))
+    rows = rows.where(F.col(value).isNotNull()).select(*keys, v.alias("_v"))
     bits = min(64, step)
     known = materialize(_split(rows, keys, bits))
     at_least = F.col("single") + 2 * F.size("pending")
@@ -58,3 +61,16 @@ def few_distinct(rows: DataFrame, keys: Sequence[str], limit: int = 25, value: s
         known = materialize(keyed_join(known, more, keys, "left").select(
             *keys, (F.col("single") + F.coalesce("_single", F.lit(0))).alias("single"), F.coalesce("_pending", "pending").alias("pending")))
     return known.select(*keys, F.least(at_least, F.lit(limit + 1)).cast("long").alias("n_distinct"))
+
+
+def few_distinct_columns(df: DataFrame, cols: Sequence[str], limit: int, by: Sequence[str] = ()) -> DataFrame:
+    """``by..., column, n_distinct`` of many columns, as ``distinct_counts`` has it, but exact up to ``limit`` only
+    (``limit + 1`` for more): an identifier's values don't move just to learn that there are many. NaN is missing."""
+    cols, by = list(cols), list(by)
+    nums = [c for c in cols if is_numeric(df, c)]
+    parts = []
+    for names, clean in ((nums, num), ([c for c in cols if c not in set(nums)], lambda c: F.col(c).cast("string"))):
+        if names:
+            wide = df.select(*by, *[clean(c).alias(c) for c in names])
+            parts.append(few_distinct(wide.unpivot(by, names, "column", "value"), [*by, "column"], limit))
+    return reduce(DataFrame.unionByName, parts)

@@ -15,7 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import as_list, distinct_counts, is_text, num
+from ..functions.columns import as_list, is_text, num
+from ..functions.distinct import few_distinct_columns
 from ..functions.joins import keyed_join
 from ..functions.special import f_sf
 
@@ -111,11 +112,11 @@ def eta_squared_only(df: DataFrame, targets, group_cols, by=None) -> DataFrame:
     return eta_squared(df, targets, group_cols, by, 1).select(*by, "target", "group_col", "eta_squared")
 
 
-def _level_counts(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
-    """Exact distinct non-null counts for a few columns (one aggregated row)."""
+def _level_counts(df: DataFrame, cols: Sequence[str], limit: int) -> dict[str, int]:
+    """Distinct non-null values of columns, exact up to ``limit``; one more for columns above it."""
     if not cols:
         return {}
-    got = {r["column"]: r["n_distinct"] for r in distinct_counts(df, cols).collect()}
+    got = {r["column"]: r["n_distinct"] for r in few_distinct_columns(df, cols, limit).collect()}
     return {c: got.get(c, 0) for c in cols}
 
 
@@ -134,7 +135,7 @@ def significant_subgroups(df: DataFrame, targets: str | Sequence[str], threshold
     cands = list(group_cols) if group_cols is not None else [
         c for c in df.columns if is_text(df, c) and c not in set(targets) | set(by)]
     known = level_counts or {}
-    counts = {**_level_counts(df, [c for c in cands if c not in known]), **known}
+    counts = {**_level_counts(df, [c for c in cands if c not in known], max_levels), **known}
     cands = [c for c in cands if 1 < counts[c] <= max_levels]
     if not cands:
         return df.sparkSession.createDataFrame([], _subgroup_schema(df, by))
@@ -201,7 +202,7 @@ def confounders_for_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], thres
     non_text = [c for c in others if not is_text(df, c)]
     if segment_levels is None:
         known = level_counts or {}
-        counts = {**_level_counts(df, [c for c in non_text if c not in known]), **known}
+        counts = {**_level_counts(df, [c for c in non_text if c not in known], MAX_LEVELS), **known}
         cands = [c for c in others if is_text(df, c) or counts[c] <= MAX_LEVELS]
         eta = eta_squared(df, involved, cands, by, min_group_size)
     else:
@@ -244,7 +245,7 @@ def segment_rates(df: DataFrame, target: str, group_cols, by=None, max_levels: i
     :func:`significant_subgroups`."""
     by = as_list(by)
     if segment_levels is None:
-        counts = _level_counts(df, as_list(group_cols))
+        counts = _level_counts(df, as_list(group_cols), max_levels)
         group_cols = [c for c in as_list(group_cols) if 1 < counts[c] <= max_levels]
         lv = level_stats(df, [target], group_cols, by)
     else:

@@ -1,7 +1,8 @@
 """A25 - per-segment analysis, re-aimed.
 
 The reference loops over groups and runs a whole report per group in
-pandas. Here every operator takes ``by=[...]`` and computes all segments in
+pandas. Here the operators take ``by=[...]`` (all but ``one_hot``, ``duplicate_rows``
+and the helpers that look at names only) and compute all segments in
 the same job; this module only provides the segment bookkeeping: sizes and
 the rows of segments large enough to analyse (the reference skips groups
 under ``min_group_size`` rows). The size table is an aggregate (one row per
