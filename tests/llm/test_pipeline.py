@@ -12,7 +12,7 @@ from varscope.llm.queries import REGISTRY
 def test_registered():
     names = set(entry.queries())
     assert set(REGISTRY) <= names and "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in REGISTRY) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in REGISTRY) == list(range(1, 14))
     assert [f.__name__ for _, f in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "repeated_passages", "mix", "pack"]
 
 
