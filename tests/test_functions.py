@@ -75,3 +75,15 @@ def test_exact_quantiles_single_pass(spark):
     df = frame(spark, {"k": [1, 1, 1, 1, 2], "value": [1.0, 2.0, 3.0, 4.0, 5.0]})
     got = {r["k"]: r["quantiles"] for r in exact_quantiles(df, ["k"], "value", [0.25, 0.5]).collect()}
     assert got[1] == [1.75, 2.5] and got[2] == [5.0, 5.0]
+
+
+def test_exact_quantiles_of_keys_named_as_internal_columns(spark):
+    rng = np.random.default_rng(3)
+    vals = np.concatenate([rng.exponential(10, 700), [1e9, 0.0, -3.0]])
+    rows = [(i % 2, "x" if i % 3 else None, float(v)) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "pid long, rank string, v double")
+    few = {(r["pid"], r["rank"]): r["quantiles"] for r in exact_quantiles(df, ["pid", "rank"], "v", [0.25, 0.9], collect_limit=20, bins=16).collect()}
+    assert len(few) == 4
+    for (pid, rank), got in few.items():
+        exp = np.percentile([v for a, b, v in rows if (a, b) == (pid, rank)], [25, 90])
+        assert np.allclose(got, exp, rtol=1e-12, atol=1e-12)

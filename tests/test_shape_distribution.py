@@ -35,6 +35,22 @@ def test_step_pattern_found(spark):
     assert res[0]["bin_boundaries"] == list(np.percentile(x, [0, 20, 40, 60, 80, 100]))
 
 
+def test_step_pattern_of_more_rows_than_one_task_sorts(spark, monkeypatch):
+    from varscope.functions.quantiles import exact_quantiles
+    rng = np.random.default_rng(12)
+    x = rng.uniform(0, 60, 400)
+    y = np.select([x < 15, x < 30, x < 45], [10.0, 50.0, 20.0], 10.0) + rng.normal(size=400)
+    df = _df(spark, x=x, y=y, z=x + rng.normal(size=400))
+    pairs = [("y", "x"), ("z", "x")]
+    want = step_patterns(df, pairs, keep_all=True).orderBy("target").collect()
+    monkeypatch.setitem(exact_quantiles.__kwdefaults__, "collect_limit", 30)
+    got = step_patterns(df, pairs, keep_all=True).orderBy("target").collect()
+    assert len(got) == len(want) == 2
+    for a, b in zip(got, want):
+        assert a["bin_boundaries"] == b["bin_boundaries"] and a["n"] == b["n"] and a["detected"] == b["detected"]
+        assert abs(a["eta_squared_binned"] - b["eta_squared_binned"]) < 1e-12
+
+
 def test_distribution_detectors(spark):
     rng = np.random.default_rng(41)
     n = 80

@@ -9,21 +9,22 @@ selection:
 1. per key: n, min, max (usually shared with the profile aggregate);
 2. every needed rank starts in the bracket [min, max];
 3. each round is ONE scan: rows are routed to the open bracket of their key,
-   brackets still larger than ``collect_limit`` rows are split into ``bins``
-   buckets (only (bucket, count, min, max) is shuffled), brackets
-   at most ``collect_limit`` rows are collected and sorted;
+   brackets still larger than ``collect_limit`` rows are split into buckets
+   (only (bucket, count, min, max) is shuffled), the values of smaller brackets
+   are counted and a running total finds the rank (no list of values is made,
+   so that a task sorts rows, which spill);
 4. a rank moves to the bucket that holds it; a bucket whose min equals its
    max resolves all its ranks at once (heavy ties resolve immediately).
 
 The driver only loops over the tiny bracket table; rounds are few (a bucket
 holds about 1/bins of its bracket), each round's bracket table is
-checkpointed so a lost executor does not replay earlier rounds.
+checkpointed so a lost executor does not replay earlier rounds. The keys are
+renamed meanwhile, so that they may have any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,10 @@ from ..session import materialize
 from .joins import keyed_join
 
 BROADCAST_MAX_ROWS = 1_000_000
+#: Buckets of a round, over all brackets.
+MAX_BUCKETS = 4_000_000
+#: Buckets of magnitude for a factor of e, and more than all magnitudes of doubles take.
+SIZES_PER_E, MOST_SIZES = 4, 1 << 14
 
 
 def _small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -60,36 +65,50 @@ def _magnitude(c: Column) -> Column:
 
 
 def _bucket(bins: int) -> Column:
-    """The bucket of ``_v`` in its bracket [lo, hi]: by magnitude while the bracket spans more than a
-    decade, which takes one round, then by value, of whose 52 bits each round settles 12. The ends
-    of a bracket never share a bucket, so every round splits it and few rounds are needed."""
+    """The bucket of ``_v`` in its bracket [lo, hi]: one of ``bins`` equal parts of the range. While the bracket spans
+    more than a decade the part next to zero is split by magnitude, so that values far below the greatest ones don't
+    stay together for many rounds. The ends of a bracket never share a bucket, so every round splits it."""
     v, lo, hi = F.col("_v"), F.col("lo"), F.col("hi")
+    zero = F.greatest(lo, F.least(hi, F.lit(0.0)))
+
+    def part(x: Column) -> Column:
+        share = F.coalesce(F.try_divide(x / 2 - lo / 2, hi / 2 - lo / 2), F.when(x == hi, F.lit(1.0)).otherwise(F.lit(0.0)))
+        return F.least(F.lit(bins - 1), F.floor(share * bins).cast("int"))
+
     wide = (F.signum(lo) != F.signum(hi)) | (F.greatest(F.abs(lo), F.abs(hi)) / 10 > F.least(F.abs(lo), F.abs(hi)))
-    by_value = F.try_divide(v / 2 - lo / 2, hi / 2 - lo / 2)
-    by_size = F.try_divide(_magnitude(v) - _magnitude(lo), _magnitude(hi) - _magnitude(lo))
-    share = F.coalesce(F.when(wide, by_size).otherwise(by_value), F.when(v == hi, F.lit(1.0)).otherwise(F.lit(0.0)))
-    return F.when(hi == lo, F.lit(0)).otherwise(F.least(F.lit(bins - 1), F.floor(share * bins).cast("int")))
+    size = F.when(wide & (part(v) == part(zero)), F.floor(_magnitude(v) * SIZES_PER_E).cast("int") + MOST_SIZES // 2).otherwise(F.lit(0))
+    return F.when(hi == lo, F.lit(0).cast("long")).otherwise(part(v).cast("long") * MOST_SIZES + size)
 
 
 def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str = "value",
                     probs: Sequence[float] = (0.5,), *, stats: DataFrame | None = None,
-                    bins: int = 4096, collect_limit: int = 1_000_000) -> DataFrame:
+                    bins: int = 4096, collect_limit: int = 50_000) -> DataFrame:
     """Return ``keys..., n, quantiles`` where ``quantiles[i]`` matches ``probs[i]``.
 
     ``stats`` (optional) must hold ``keys, n, vmin, vmax`` for the non-null values.
     """
-    keys = list(keys)
+    names = list(keys)
+    keys = [f"_k{i}" for i in range(len(names))]
     probs = [float(p) for p in probs]
-    data = long_df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+
+    def renamed(df: DataFrame, *more: Column | str) -> DataFrame:
+        return df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, keys)], *more)
+
+    def result(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(k).alias(c) for c, k in zip(names, keys)], "n", "quantiles")
+
+    data = renamed(long_df, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     if stats is None:
         stats = data.groupBy(*keys).agg(F.count("_v").alias("n"), F.min("_v").alias("vmin"),
                                         F.max("_v").alias("vmax"))
-    stats = stats.select(*keys, "n", "vmin", "vmax").where(F.col("n") > 0)
+    else:
+        stats = renamed(stats, "n", "vmin", "vmax")
+    stats = stats.where(F.col("n") > 0)
     summary = stats.agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("max_n")).first()
     if not summary["k"]:
-        return stats.select(*keys, "n", F.array().cast("array<double>").alias("quantiles")).limit(0)
+        return result(stats.select(*keys, "n", F.array().cast("array<double>").alias("quantiles")).limit(0))
     if summary["max_n"] <= collect_limit:
-        return _single_pass(data, keys, probs)
+        return result(_single_pass(data, keys, probs))
     # upper bound of the bracket table: one bracket per needed rank
     max_brackets = summary["k"] * 2 * len(probs)
 
@@ -106,61 +125,40 @@ def exact_quantiles(long_df: DataFrame, keys: Sequence[str], value: str = "value
              .select(*keys, "rank", F.col("vmin").alias("lo"), F.col("vmax").alias("hi"),
                      F.lit(0).cast("long").alias("below"), F.col("n").alias("cnt"),
                      F.when(F.col("vmin") == F.col("vmax"), F.col("vmin")).alias("val")))
+    ranks = materialize(ranks, max_brackets)
+    w = (Window.partitionBy(*keys, "lo", "hi").orderBy("bucket", "mn")
+         .rowsBetween(Window.unboundedPreceding, -1))
 
-    rounds = 0
     while True:
         open_ranks = ranks.where(F.col("val").isNull())
-        if rounds and open_ranks.limit(1).count() == 0:
+        brackets = open_ranks.groupBy(*keys, "lo", "hi").agg((F.max("cnt") <= collect_limit).alias("_last"))
+        kinds = {r["_last"]: r["count"] for r in brackets.groupBy("_last").count().collect()}
+        if not kinds:
             break
-        rounds += 1
-        done = ranks.where(F.col("val").isNotNull())
-        brackets = (open_ranks.select(*keys, "lo", "hi", "below", "cnt").distinct()
-                    .withColumn("_collect", F.col("cnt") <= collect_limit))
-        bucket = _bucket(bins)
-        kinds = {r["_collect"] for r in brackets.select("_collect").distinct().collect()}
-        parts = []
-        if False in kinds:
-            # split: a plain (codegen'd) count/min/max per bucket, no value lists
-            b = brackets.where(~F.col("_collect")).drop("cnt")
-            routed = keyed_join(data, _small(b, max_brackets), keys)
-            parts.append(routed.where((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
-                         .withColumn("bucket", bucket)
-                         .groupBy(*keys, "lo", "hi", "bucket")
-                         .agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("mn"), F.max("_v").alias("mx"))
-                         .withColumn("vals", F.lit(None).cast("array<double>"))
-                         .withColumn("_collect", F.lit(False)))
-        if True in kinds:
-            # collect: brackets proven to hold at most collect_limit values
-            b = brackets.where(F.col("_collect")).drop("cnt")
-            routed = keyed_join(data, _small(b, max_brackets), keys)
-            parts.append(routed.where((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
-                         .groupBy(*keys, "lo", "hi")
-                         .agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("mn"), F.max("_v").alias("mx"),
-                              F.array_sort(F.collect_list("_v")).alias("vals"))
-                         .withColumn("bucket", F.lit(0)).withColumn("_collect", F.lit(True)))
-        hist = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        w = (Window.partitionBy(*keys, "lo", "hi").orderBy("bucket")
-             .rowsBetween(Window.unboundedPreceding, -1))
+        routed = keyed_join(data, _small(brackets, max_brackets), keys)
+        routed = routed.where((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
+        # a bucket of a value of its own in the small brackets; the counts are a plain (codegen'd) aggregate without value lists
+        width = max(16, min(bins, MAX_BUCKETS // kinds.get(False, 1)))
+        hist = (routed.select(*keys, "lo", "hi", "_v", F.when(F.col("_last"), F.lit(0).cast("long")).otherwise(_bucket(width)).alias("bucket"),
+                              F.when(F.col("_last"), F.col("_v")).alias("_own"))
+                .groupBy(*keys, "lo", "hi", "bucket", "_own")
+                .agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("mn"), F.max("_v").alias("mx")).drop("_own"))
         hist = hist.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)).cast("long"))
 
-        joined = keyed_join(open_ranks.select(*keys, "rank", "lo", "hi", "below"),
-                            hist, keys, extra=["lo", "hi"])
+        joined = keyed_join(hist, _small(open_ranks.select(*keys, "rank", "lo", "hi", "below"), max_brackets), keys, extra=["lo", "hi"])
         start = F.col("below") + F.col("before")
         inside = (F.col("rank") >= start) & (F.col("rank") < start + F.col("c"))
         moved = joined.where(inside).select(
             *keys, "rank",
             F.col("mn").alias("lo"), F.col("mx").alias("hi"), start.alias("below"),
-            F.col("c").alias("cnt"),
-            F.when(F.col("_collect"),
-                   F.element_at("vals", (F.col("rank") - start + 1).cast("int")))
-             .when(F.col("mn") == F.col("mx"), F.col("mn")).alias("val"))
-        ranks = materialize(done.unionByName(moved), max_brackets)
+            F.col("c").alias("cnt"), F.when(F.col("mn") == F.col("mx"), F.col("mn")).alias("val"))
+        ranks = materialize(ranks.where(F.col("val").isNotNull()).unionByName(moved), max_brackets)
 
     ri = ranks.select(*keys, F.col("rank").alias("ri"), F.col("val").alias("xi"))
     rj = ranks.select(*keys, F.col("rank").alias("rj"), F.col("val").alias("xj"))
     out = keyed_join(targets, ri, keys, "left", extra=["ri"])
     out = keyed_join(out, rj, keys, "left", extra=["rj"])
     out = out.withColumn("q", F.col("xi") + F.col("frac") * (F.col("xj") - F.col("xi")))
-    return (out.groupBy(*keys, "n")
-            .agg(F.array_sort(F.collect_list(F.struct("pid", "q"))).alias("_qs"))
-            .select(*keys, "n", F.transform("_qs", lambda s: s["q"]).alias("quantiles")))
+    return result(out.groupBy(*keys, "n")
+                  .agg(F.array_sort(F.collect_list(F.struct("pid", "q"))).alias("_qs"))
+                  .select(*keys, "n", F.transform("_qs", lambda s: s["q"]).alias("quantiles")))

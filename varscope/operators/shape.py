@@ -166,10 +166,9 @@ def _step_by_pair(df: DataFrame, pairs: Sequence[tuple[str, str]], by: list[str]
     long_df = (df.select(*by, F.explode(entries).alias("_e")).select(*by, "_e.*")
                .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
     keys = by + ["pid"]
-    fit = long_df.groupBy(*keys).agg(
+    fit = long_df.groupBy(*keys, "target", "feature").agg(          # names as keys: first() of a string would sort all rows
         F.count(F.lit(1)).alias("n"), F.min("x").alias("vmin"), F.max("x").alias("vmax"),
-        F.regr_r2("y", "x").alias("_r2"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"),
-        F.first("target").alias("target"), F.first("feature").alias("feature")).cache()
+        F.regr_r2("y", "x").alias("_r2"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy")).cache()
     q = exact_quantiles(long_df, keys, "x", _bin_probs(max_bins), stats=fit.select(*keys, "n", "vmin", "vmax"))
     edges = keyed_join(fit, q.drop("n"), keys).select(
         *keys, "n", "target", "feature",
