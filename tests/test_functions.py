@@ -87,3 +87,17 @@ def test_exact_quantiles_of_keys_named_as_internal_columns(spark):
     for (pid, rank), got in few.items():
         exp = np.percentile([v for a, b, v in rows if (a, b) == (pid, rank)], [25, 90])
         assert np.allclose(got, exp, rtol=1e-12, atol=1e-12)
+
+
+def test_materialize_to_few_partitions_leaves_the_steps_before_in_their_tasks(spark):
+    from varscope.session import materialize
+
+    def where(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().taskAttemptId()], pa.int64())], ["task"])
+
+    out = materialize(spark.range(0, 80, 1, 8).mapInArrow(where, "task long"), 10)
+    assert out.rdd.getNumPartitions() == 1
+    assert out.distinct().count() == 8

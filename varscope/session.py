@@ -63,7 +63,9 @@ def materialize(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Cut the lineage of a (small, aggregated) intermediate result.
 
     ``max_rows`` (an upper bound of the row count) sizes the partition count,
-    so iterative state built with ``union`` does not pile up partitions.
+    so iterative state built with ``union`` does not pile up partitions. The few rows
+    are moved (``repartition``): ``coalesce`` would run all partitions of the steps before,
+    each with its sort and hash buffers, in that one task.
 
     Reliable ``checkpoint`` into the shared checkpoint folder, so a lost
     executor does not force the whole iterative history to be recomputed.
@@ -71,7 +73,7 @@ def materialize(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     if max_rows is not None:
-        df = df.coalesce(max(1, -(-max_rows // 250_000)))
+        df = df.repartition(max(1, -(-max_rows // 250_000)))
     cached = df.cache()  # the eager checkpoint then writes from the cache, not a recompute
     if ensure_checkpoint_dir(spark):
         out = cached.checkpoint(eager=True)
