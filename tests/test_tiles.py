@@ -142,3 +142,32 @@ def test_derived_of_many_columns(spark, monkeypatch):
     for seg in "abc":
         one = keyed(derived.derived_relationships(df.where(F.col("seg") == seg), cols), [*keys, "form"])
         close({k[1:]: v for k, v in by_segment.items() if k[0] == seg}, one)
+
+
+@pytest.mark.parametrize("by", [[], ["seg"]])
+def test_wide_centres_hold_no_row_per_value(spark, by):
+    """Batches are reduced in the task and give the centres that the long form gives: nulls, NaN, infinities, constants, far means."""
+    rows = [("a" if k % 3 else None, 1e6 + k % 7, None if k % 4 else k / 3, 5.0, float("nan") if k % 5 == 0 else (float("inf") if k % 5 == 1 else k * 0.5), None)
+            for k in range(200)]
+    df = spark.createDataFrame(rows, "seg string, a double, b double, c double, d double, e double").repartition(3)
+    cols = ["a", "b", "c", "d", "e"]
+    got = {tuple(r[c] for c in by): r for r in tiles.wide_centres(df, cols, by).collect()}
+    want = {tuple(r[c] for c in by): r for r in tiles.centres(df, cols, by).collect()}
+    assert got.keys() == want.keys()
+    for key, w in want.items():
+        g = got[key]
+        assert g["_n"] == w["_n"]
+        for x, y in zip([*g["_mu"], *g["_sd"]], [*w["_mu"], *w["_sd"]]):
+            assert (x is None and y is None) or x == pytest.approx(y, rel=1e-9, abs=1e-12)
+
+
+def test_wide_pairs_are_standardised_in_the_task(spark, monkeypatch):
+    """Without segments no expression per column and no row per value is made in the JVM."""
+    def never(*_):
+        raise AssertionError("the JVM standardises a wide table")
+    monkeypatch.setattr(tiles, "standardised", never)
+    monkeypatch.setattr(tiles, "centres", never)
+    df = spark.range(60).select(*[(F.pow("id", F.lit(1 + i / 10)) + (F.col("id") * (i + 3)) % 7).alias(f"c{i}") for i in range(12)])
+    got = {(r["column_a"], r["column_b"]): r["r"] for r in association.pair_stats(df).collect()}
+    assert len(got) == 66
+    assert got["c0", "c11"] == pytest.approx(df.select(F.corr("c0", "c11")).first()[0], rel=1e-12)

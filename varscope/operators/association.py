@@ -72,8 +72,12 @@ def _tile_stats(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
     Where the rows that a pair has in common lie far from a column's mean, or its values there are (nearly) constant, the
     sums lose digits: these few pairs are computed again one by one.
     """
-    centre = materialize(tiles.centres(df, cols, by))
-    sums = tiles.pair_sums(tiles.standardised(df, cols, by, centre), len(cols), by)
+    centre = materialize(tiles.wide_centres(df, cols, by))
+    if by:
+        sums = tiles.pair_sums(tiles.standardised(df, cols, by, centre), len(cols), by)
+    else:                                             # one row, of as many numbers as columns
+        one = centre.first()
+        sums = tiles.pair_sums(tiles.raw_rows(df, cols, by), len(cols), by, centre=(one["_mu"], one["_sd"]))
     sums = keyed_join(sums, centre.select(*by, "_sd"), by)
     n = F.col("n").cast("double")
     sums = materialize(sums.select(
