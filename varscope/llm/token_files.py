@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import batch, binaries, raw, shared_path, slices, text_bytes, shuffle_partitions, written
+from .common import batch, binaries, raw, shared_path, slices, shuffle_partitions, written
 from .tokens import codec
 
 END_ID = 2
@@ -130,7 +130,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, cut: str, end_id: int = E
             start += int(n.sum())
 
     path = shared_path(spark, "token-files")
-    shards = max(shuffle_partitions(spark), -(-text_bytes(ids, "ids") // SHARD_BYTES))
+    shards = max(shuffle_partitions(spark), -(-sum(-k for k, _ in order) * enc.dtype.itemsize // SHARD_BYTES))
     (ids.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
         .mapInArrow(code, "shard int, shard_start long, doc_id long, n_tokens long, control binary, data binary")
         .write.option("compression", "zstd").parquet(f"{path}/files"))
