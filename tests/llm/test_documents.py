@@ -165,6 +165,57 @@ def test_bands_cover_all_pairs():
             assert b.deletions and 2 * b.segments > diff or b.segments >= diff + 1 + b.empty
 
 
+def test_signatures_of_unlike_sets_rarely_agree():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 40, int(k))).encode() for k in rng.integers(20, 300, 300)]
+    sets = ngram_join.Sets(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), 5)
+    _, sig, group, need = sets.signatures(np.arange(len(texts)), 80, 100)
+    _, back, count = np.unique(sig, return_inverse=True, return_counts=True)
+    alike = np.bincount(group[count[back] > 1], minlength=len(need))
+    assert (alike >= need).mean() < 0.05
+
+
+@pytest.mark.parametrize("num", [50, 80, 90, 100])
+def test_alike_sets_share_the_signatures_they_need(num):
+    rng = np.random.default_rng(num)
+    for size in [*range(1, 140, 3), 237, 457, 900]:
+        for cut in rng.integers(0, size * (100 - num) // 100 + 1, 4).tolist():
+            more = 100 * (size - cut) // num - size                     # as many own elements as the similarity lets
+            base = rng.integers(1, 1 << 63, size + more, dtype=np.uint64)
+            a, b = np.sort(base[:size]), np.sort(base[cut:])
+            sets = ngram_join.Sets.of(np.concatenate([a, b]), np.cumsum([0, len(a), len(b)]))
+            row, sig, group, need = sets.signatures(np.arange(2), num, 100)
+            assert any(len(np.intersect1d(sig[group == x], sig[group == y])) >= max(need[x], need[y])
+                       for x in set(group[row == 0]) for y in set(group[row == 1])), (size, cut, more)
+
+
+def test_ngram_join_links_away_from_the_hub(spark):
+    rng = random.Random(8)
+    common = [" ".join(f"c{j}w{k}" for k in range(9)) for j in range(6)]
+    texts = []
+    for f in range(6):                                                  # families: drafts of a base, copies of a draft
+        base = [f"f{f}w{k}" for k in range(rng.choice([40, 150, 500]))]
+        for d in range(5):
+            draft = [w if rng.random() > 0.06 else f"d{d}{w}" for w in base]
+            for _ in range(3):
+                copy = list(draft)
+                for _ in range(max(1, len(copy) // 40)):
+                    copy[rng.randrange(len(copy))] = f"n{rng.random()}"
+                texts.append(" ".join([*copy, *rng.sample(common, 4)]))
+    order = rng.sample(range(len(texts)), len(texts))
+    texts = [texts[i] for i in order]
+    sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in (t.split(" ") for t in texts)]
+    label = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = ngram_join.similarity_components(docs, n=5, num=80, den=100)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == list(enumerate(label))
+
+
 def test_mixing(spark, docs, empty):
     out = mixing.mix(docs).collect()
     sizes = defaultdict(int)

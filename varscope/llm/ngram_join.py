@@ -5,8 +5,9 @@ Candidates by the pigeonhole on a partition of the universe. For two sets of sim
 from the band. Shingles are hashed into D + 1 + e segments, so at least e + 1 segments hold the
 same subset in both sets, of which one is not empty if at most e are; a set with more empty
 segments than e also sends its empty ones. Where segments would hold too few shingles to tell
-sets apart, half as many segments are used, each sent with its subset and all its one-deletion
-neighbours, as one segment must differ by at most one shingle. The cheaper allocation is taken
+sets apart, half of D + 1, and e more, are used, each sent with its subset and all its one-deletion
+neighbours, as e + 1 segments must differ by at most one shingle; here segments of at most one
+shingle, whose neighbour is the empty set, count as the empty ones. The cheaper allocation is taken
 for each band, by the number of signatures and the collisions to expect. A set sends the
 signatures of its own band and of the bands that larger partners can be in.
 
@@ -17,8 +18,11 @@ signatures of its own band and of the bands that larger partners can be in.
    which one has too few such shingles for their sizes don't link. This takes the many variants
    of one text apart without comparing them.
 3. The sets that are left are compared exactly: first each with the least set, the hub, of each
-   of its signatures. Pairs within a component need no further look. For signatures whose sets
-   are not yet in one component, sets are told apart by how they differ from the hub T. Let d(x)
+   of its signatures. Pairs within a component need no further look. Signatures count on whose
+   other sets are of several components. Sets that link share as many of them as step 1 asks,
+   so a set leaves out its most frequent ones, all but one of that number (in one order for all
+   sets, those that two sets keep then meet); with fewer it is done. Common lines end here. For
+   the signatures that are left, sets are told apart by how they differ from the hub T. Let d(x)
    be the symmetric difference of x and T, and a(x) = |d(x)| - (1-t)/(1+t) |x|. Two sets x, z link
    only if d(x) and d(z) share at least (a(x) + a(z)) / 2 elements, which is above 0 if one of
    them doesn't link with T. So a prefix filter over d, rarest elements first, finds all pairs
@@ -46,15 +50,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .blocks import MESSAGE, contents, in_blocks, ordered, send, shared, told
-from .common import NULL_ID, binaries, batch, raw, written
+from .common import NULL_ID, binaries, batch, raw, slices, written
 from .components import components
 from .hashing import Prefix, Words, member, mix
 
 U = np.uint64
-#: Width of a size band in steps of the threshold.
-BAND_STEPS = 3
+#: Greatest width of a size band in steps of the threshold, and as a ratio if a step is small enough: the differences
+#: that a band allows follow from its largest set, and would fill the segments of its least one.
+BAND_STEPS, BAND_RATIO = 3, 1.4
 #: Differing elements that a task holds at once.
 ELEMENTS = 200_000
+#: Bytes of shingle hashes whose signatures a task makes at once.
+SIGNED_BYTES = 2 << 20
 #: Segments beyond those that empty ones need: so many more signatures must agree.
 SPARE = 4
 #: What a signature that collides by chance costs, in signatures.
@@ -66,7 +73,7 @@ class Band:
     low: int
     high: int
     segments: int
-    empty: int          # empty segments that need not be sent
+    empty: int          # segments that need not be sent: empty ones or, with deletions, of one shingle at most
     deletions: bool
 
 
@@ -74,17 +81,24 @@ class Band:
 def bands(num: int, den: int, largest: int) -> tuple[Band, ...]:
     """Size bands for the threshold num / den up to a set size."""
     out, low = [], 1
+    step = den / num
+    steps = BAND_STEPS if step == 1 else max(1, min(BAND_STEPS, int(math.log(BAND_RATIO) / math.log(step))))
     while low <= largest:
-        high = max(low, math.ceil(low * (den / num) ** BAND_STEPS) - 1)
+        high = max(low, math.ceil(low * step ** steps) - 1)
         diff = (den - num) * 2 * high // (den + num)
         lam = low * num / den / (diff + 1)
         mean = (diff + 1) * math.exp(-lam)
         empty = 0 if not diff else math.ceil(mean + 2 * math.sqrt(mean)) + SPARE
         whole = diff + 1 + empty
-        half = -(-(diff + 1) // 2)
+        half, small = -(-(diff + 1) // 2), 0
+        for _ in range(3):
+            lam = low * num / den / (half + small)
+            mean = (half + small) * (1 + lam) * math.exp(-lam)
+            small = round(mean + 2 * math.sqrt(mean))
+        half += small
         cost = whole * (1 + COLLISION * math.exp(-low / whole))
         cost_half = (half + high) * (1 + COLLISION * math.exp(-low / half))
-        out.append(Band(low, high, half, 0, True) if diff and cost_half < cost else Band(low, high, whole, empty, False))
+        out.append(Band(low, high, half, small, True) if diff and cost_half < cost else Band(low, high, whole, empty, False))
         low = high + 1
     return tuple(out)
 
@@ -112,6 +126,13 @@ class Sets:
         self.k1 = self._sum(mix(self.hash ^ U(0x51ED270B9F3A1C77)))
         self.k2 = self._sum(mix(self.hash ^ U(0xB5297A4D3F84D5B5)))
 
+    @classmethod
+    def of(cls, hashes: np.ndarray, off: np.ndarray) -> Sets:
+        """Sets whose hashes are known; for :meth:`signatures`."""
+        out = cls.__new__(cls)
+        out.hash, out.size, out.ends = hashes, np.diff(off), off[1:]
+        return out
+
     def _sum(self, values: np.ndarray) -> np.ndarray:
         total = np.concatenate([np.zeros(1, U), np.cumsum(values, dtype=U)])
         return total[self.ends] - total[self.ends - self.size]
@@ -158,21 +179,23 @@ class Sets:
         filled = np.bincount(slot, minlength=len(acc))
         row = np.repeat(np.arange(len(texts)), m)
         name = mix(((band[row].astype(U) << U(40)) | (np.arange(len(acc)) - base[row]).astype(U)) + U(1))
-        if deletions:
-            return (np.concatenate([row, owner]), np.concatenate([mix(acc + name), mix(acc[slot] - value + name[slot])]),
-                    np.ones(len(texts), np.int64))
-        bare = filled == 0
+        bare = filled <= deletions
         allowed = np.array([table[b].empty for b in band])
         count = np.bincount(row[bare], minlength=len(texts))
         many = count > allowed
         send_ = ~bare | many[row]
+        if deletions:
+            row, acc, name, one = (np.concatenate([x, y[slot]]) for x, y in
+                                   ((row, row), (acc, acc), (name, name), (send_ | (filled == 1), send_)))
+            acc[len(filled):] -= value
+            return row[one], mix(acc[one] + name[one]), allowed + 1 - np.minimum(count, allowed)
         # of the allowed + 1 segments that a partner has alike, all but the empty ones are sent by both
         return row[send_], mix(acc[send_] + name[send_]), allowed + 1 - np.minimum(count, allowed)
 
 
 def _live_sets(docs: DataFrame, id_col: str, text: str, n: int, num: int, den: int) -> DataFrame:
     """One row per document: doc_id, th, n_shingles, k1, k2 and, for one document of a block with a
-    set that may have links, hashes (8 bytes each, sorted) and signatures."""
+    set that may have links, hashes (8 bytes each, sorted)."""
     blocks, buckets = in_blocks(docs, id_col, text)
 
     def ask_signatures(t: pa.Table) -> pa.Table:
@@ -204,22 +227,18 @@ def _live_sets(docs: DataFrame, id_col: str, text: str, n: int, num: int, den: i
         common = (member(own, told(reply)) | (local > 1))[back]
         in_others = np.bincount(sets.text[common], minlength=len(sets.size))
         live = one & (den * in_others >= num * sets.size)
-        row, sig, _, _ = sets.signatures(np.flatnonzero(live), num, den)
-        sig = sig[np.argsort(row, kind="stable")]
-        n_sig = np.bincount(row, minlength=len(sets.size))
         mine = live[sets.text]
         return pa.table({
             "doc_id": pa.array(ids), "th": t["th"], "n_shingles": pa.array(sets.size.astype(np.int64)),
             "k1": pa.array(sets.k1.view(np.int64)), "k2": pa.array(sets.k2.view(np.int64)), "live": pa.array(live),
             "common": pa.array(in_others.astype(np.int64)),
-            "hashes": binaries(sets.hash[mine].view(np.uint8), 8 * np.concatenate([[0], np.cumsum(sets.size * live)])),
-            "signatures": binaries(sig.view(np.uint8), 8 * np.concatenate([[0], np.cumsum(n_sig)]))})
+            "hashes": binaries(sets.hash[mine].view(np.uint8), 8 * np.concatenate([[0], np.cumsum(sets.size * live)]))})
 
     replies = shared(blocks.groupBy("block").applyInArrow(ask_signatures, MESSAGE), hot=1 << 62)
     asked = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(ask_shingles, MESSAGE)
     common = shared(asked, hot=1 << 62)
     return written(blocks.groupBy("block").cogroup(common.groupBy("block")).applyInArrow(
-        tell, "doc_id long, th long, n_shingles long, k1 long, k2 long, live boolean, common long, hashes binary, signatures binary"), "sets")
+        tell, "doc_id long, th long, n_shingles long, k1 long, k2 long, live boolean, common long, hashes binary"), "sets")
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -242,15 +261,25 @@ def _verify(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _mixed(met: DataFrame) -> DataFrame:
+    """Rows (sig, node, label) of the signatures that sets of several components have; ``times``: how many sets."""
+    mixed = (met.groupBy("sig").agg(F.count(F.lit(1)).alias("times"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+             .filter("lo != hi").select(F.col("sig").alias("_s"), "times"))
+    return met.join(mixed, F.col("sig") == F.col("_s")).drop("_s")
+
+
 def _cross_candidates(signed: DataFrame, labels: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b), a > b, of different components that share a signature and may link."""
-    named = (signed.select("sig", "node").join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
-             .select("sig", "node", F.coalesce("label", "node").alias("label")))
-    mixed = (named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
-                                      F.min(F.struct("node", "label")).alias("hub")).filter("lo != hi")
-             .select(F.col("sig").alias("_s"), F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label")))
-    arms = written(named.join(mixed, F.col("sig") == F.col("_s")).filter("node != hub")
-                   .select("hub", "node", "label", "hub_label").distinct(), "arms")
+    """Pairs (a, b), a > b, of different components that share a signature and may link, but for pairs with a hub."""
+    named = (signed.select("sig", "node", "grp", "need").join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+             .select("sig", "node", "grp", "need", F.coalesce("label", "node").alias("label")))
+    hubs = (named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
+                                     F.min(F.struct("node", "label")).alias("hub")).filter("lo != hi")
+            .select(F.col("sig").alias("_s"), F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label")))
+    met = _mixed(named.join(hubs, F.col("sig") == F.col("_s")).drop("_s").filter("node != hub"))
+    own = W.partitionBy("node", "grp")
+    met = (met.withColumn("listed", F.count(F.lit(1)).over(own)).withColumn("nth", F.row_number().over(own.orderBy("times", "sig")))
+           .filter("nth <= listed - need + 1").drop("times"))
+    arms = written(_mixed(met).select("hub", "node", "label", "hub_label").distinct(), "arms")
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -306,19 +335,19 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text: str = "
     that links reach; similarity num / den or more is a link."""
     sets = _live_sets(docs, id_col, text, n, num, den)
     classes = sets.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
-    live = sets.filter("live").groupBy("k1", "k2").agg(F.first("hashes").alias("hashes"),
-                                                            F.first("signatures").alias("signatures"), F.max("common").alias("common"))
-    nodes = written(live.join(classes, ["k1", "k2"]).select("node", "common", "hashes", "signatures"), "nodes")
+    live = sets.filter("live").groupBy("k1", "k2").agg(F.first("hashes").alias("hashes"), F.max("common").alias("common"))
+    nodes = written(live.join(classes, ["k1", "k2"]).select("node", "common", "hashes"), "nodes")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sig, off = raw(b.column("signatures"))
-            count = np.diff(off) // 8
-            yield batch(["sig", "node", "size", "common"], [sig.view(np.int64), *(np.repeat(b.column(c).to_numpy(), count)
-                                                                                  for c in ("node", "size", "common"))])
-
-    signed = written(nodes.select("node", "common", "signatures", (F.octet_length("hashes") / 8).cast("long").alias("size"))
-                     .mapInArrow(explode, "sig long, node long, size long, common long"), "signatures")
+        for b in slices(batches, "hashes", SIGNED_BYTES):
+            hashes, off = raw(b.column("hashes"))
+            sets = Sets.of(hashes.view(U), off // 8)
+            row, sig, group, need = sets.signatures(np.arange(b.num_rows), num, den)
+            yield batch(["sig", "node", "size", "common", "grp", "need"],
+                        [sig.view(np.int64), b.column("node").take(pa.array(row)), sets.size[row],
+                         b.column("common").take(pa.array(row)), group, need[group]])
+
+    signed = written(nodes.mapInArrow(explode, "sig long, node long, size long, common long, grp long, need long"), "signatures")
     # shingles that no other set has are in no intersection, so both sets must have enough of the others
     enough = num * (F.col("size") + F.col("size_b"))
     close = ((F.least("size", "size_b") * den >= F.greatest("size", "size_b") * num)
