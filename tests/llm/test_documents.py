@@ -10,11 +10,12 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.data import CLASH, DOC_SCHEMA, documents, frame, sentences
-from varscope.llm import mixing, ngram_join, oracles, packing, quality_rules, substring_dedup, suffix_dedup, token_files
+from varscope.llm import blocks, mixing, ngram_join, oracles, packing, quality_rules, substring_dedup, suffix_dedup, token_files, tokens
 from varscope.llm.queries import REGISTRY
 from varscope.llm.tokens import Codec, tokenizer_path
 
@@ -216,6 +217,14 @@ def test_ngram_join_links_away_from_the_hub(spark):
     assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == list(enumerate(label))
 
 
+def test_blocks_give_back_what_tokenizers_hold():
+    tokens.codec(tokenizer_path("byte_bpe_50k.json"), "byte").encode(["some words"])
+    assert tokens._CODECS
+    block = pa.table({"block": [7], "doc_id": [1], "text": ["some words"]})
+    assert blocks.contents(block)[0] == 7 and not tokens._CODECS
+    assert tokens.codec(tokenizer_path("byte_bpe_50k.json"), "byte").encode(["some words"])[0]
+
+
 def test_mixing(spark, docs, empty):
     out = mixing.mix(docs).collect()
     sizes = defaultdict(int)

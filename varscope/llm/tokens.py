@@ -123,3 +123,8 @@ def codec(path: str, cut: str) -> Codec:
     if (path, cut) not in _CODECS:
         _CODECS[path, cut] = Codec(path, cut)
     return _CODECS[path, cut]
+
+
+def forget() -> None:
+    """Drops the tokenizers and their pieces; the next text loads them again."""
+    _CODECS.clear()
