@@ -8,7 +8,6 @@ its bucket answers once a block. All plans below use one and the same exchange o
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,9 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, longs, raw, shuffle_partitions, text_bytes
+from .common import NULL_ID, longs, make_room, raw, shuffle_partitions, text_bytes
 from .hashing import member
-from .tokens import forget
 
 BLOCK_BYTES = 2 << 20
 U = np.uint64
@@ -51,16 +49,6 @@ def ordered(t: pa.Table) -> pa.Table:
     return t.take(pc.sort_indices(t, [("doc_id", "ascending"), ("text", "ascending")]))
 
 
-def make_room() -> None:
-    """Python workers live from stage to stage and keep what they had: tokenizers, and freed memory of arrays and tables.
-    Blocks begin by giving it back, as several workers share an executor's memory."""
-    forget()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)       # glibc has it
-    if trim:
-        trim(0)
-
-
 def contents(t: pa.Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """block, ids, bytes and offsets of an ordered block's texts."""
     make_room()

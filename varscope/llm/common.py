@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .tokens import forget
 
 #: Bytes of text that numpy code looks at together; one longer text goes alone.
 SLICE_BYTES = 4 << 20
@@ -46,6 +48,17 @@ def text_bytes(df: DataFrame, text: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
+def make_room(tokenizers: bool = True) -> None:
+    """Python workers live from stage to stage and keep what they had: tokenizers, and freed memory of arrays and tables.
+    Stages that need neither give it back first, as several workers share an executor's memory."""
+    if tokenizers:
+        forget()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)       # glibc has it
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut by bytes of ``column``, so that temporaries stay small."""
     for b in batches:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import batch, raw, slices, written
+from .common import batch, make_room, raw, slices, written
 from .token_files import END_ID, tokenize
 from .tokens import codec
 
@@ -169,6 +169,7 @@ def pieces(docs: DataFrame, tokenizer: str, cut: str, capacity: int = CAPACITY,
                 cols.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view("<i4"))))
                 names.append("ids")
             yield batch(names, cols)
+        make_room(tokenizers=False)
 
     return tokenize(docs, tokenizer, cut, end_id).mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids array<int>" * keep_ids)
