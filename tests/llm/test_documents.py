@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.data import CLASH, DOC_SCHEMA, documents, frame, sentences
-from varscope.llm import blocks, mixing, ngram_join, oracles, packing, quality_rules, substring_dedup, suffix_dedup, token_files, tokens
+from varscope.llm import blocks, common, components, mixing, ngram_join, oracles, packing, quality_rules, substring_dedup, suffix_dedup, token_files, tokens
 from varscope.llm.queries import REGISTRY
 from varscope.llm.tokens import Codec, tokenizer_path
 
@@ -409,3 +409,52 @@ def test_mark_is_searched_by_its_own_character():
         return min(took)
 
     assert seconds(tokens.MARK) < 0.8 * seconds(behind)
+
+
+def test_components_stop_at_stars(spark, monkeypatch):
+    passes = []
+    monkeypatch.setattr(components, "written", lambda df, name: (passes.append(name), common.written(df, name))[1])
+
+    def labels(links):
+        passes.clear()
+        return sorted(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
+
+    assert labels([(2, 1), (3, 1), (1, 3), (5, 4), (6, 6)]) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
+    assert len(passes) == 1                                     # stars need no pass
+    assert labels([(k, k + 1) for k in range(40)]) == [(k, 0) for k in range(41)]
+    assert labels([(9, 3), (9, 4), (8, 4), (7, 1)]) == [(1, 1), (3, 3), (4, 3), (7, 1), (8, 3), (9, 3)]
+    assert labels([]) == []
+
+
+def test_ngram_join_lists_differences_without_joins(spark, monkeypatch):
+    """Variants of one text with changes of their own, some of which link with each other but not with the least one."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(30):
+        words = list(base)
+        for at in range(k % 6 * 7, 300, 42):
+            words[at] = f"v{k % 6}" + ("" if k % 3 else f"u{k}")
+        for at in rng.sample(range(300), 1 + k % 3):
+            words[at] = f"o{k}"
+        rows.append((k, " ".join(words)))
+    plans, counts = {}, {}
+
+    def seen(df, name, *more):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        out = common.written(df, name, *more)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", seen)
+    got = ngram_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string"), n=3, num=80, den=100)
+    sets = [{tuple(t.split()[i:i + 3]) for i in range(298)} for _, t in rows]
+    label = list(range(30))
+    for _ in range(30):
+        for a in range(30):
+            for b in range(30):
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    assert 1 < len(set(label)) < 30
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == list(enumerate(label))
+    assert counts["differences"] and "Join" not in plans["prefixes"]

@@ -23,15 +23,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a != b").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the distinct edges (a, b), a > b, are stars: each ``a`` has one neighbour, which has no smaller one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(edges.select("b", F.lit(0)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("top")).filter("up > 1 or (up = 1 and top = 0)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """From links (a, b) to (node, label): the least node reachable. Nodes without links are not in it.
     Every pass is written to the shared folder; the number of passes grows with the logarithm of the nodes."""
     edges = written(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    while True:
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == before or not now[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(
-                edges.select(F.col("b"), F.col("b"))).distinct()
-        before = tuple(now)
+    while not _settled(edges):
         edges = written(_star(_star(edges, large=True), large=False), "edges")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(
+        edges.select(F.col("b"), F.col("b"))).distinct()

@@ -25,8 +25,10 @@ signatures of its own band and of the bands that larger partners can be in.
    the signatures that are left, sets are told apart by how they differ from the hub T. Let d(x)
    be the symmetric difference of x and T, and a(x) = |d(x)| - (1-t)/(1+t) |x|. Two sets x, z link
    only if d(x) and d(z) share at least (a(x) + a(z)) / 2 elements, which is above 0 if one of
-   them doesn't link with T. So a prefix filter over d, rarest elements first, finds all pairs
-   that may link: variants of one text with changes of their own share next to nothing in d.
+   them doesn't link with T. What x must share follows from its own sizes and those of T alone.
+   So a prefix filter over d, rarest elements first, finds all pairs that may link: variants of
+   one text with changes of their own share next to nothing in d. A pair whose lists are too
+   short from the place on where they meet is left out at once.
 
 Equal sets are one node (128-bit sums of shingle hashes); copies never make pairs.
 
@@ -286,6 +288,7 @@ def _cross_candidates(signed: DataFrame, labels: DataFrame, nodes: DataFrame, nu
             x, xo = raw(b.column("x"))
             y, yo = raw(b.column("y"))
             x, y, xo, yo = x.view(U), y.view(U), xo // 8, yo // 8
+            apart = b.column("label").to_numpy() != b.column("hub_label").to_numpy()
             parts, first, held = [], 0, 0
             for k in range(b.num_rows):
                 p, q = x[xo[k]:xo[k + 1]], y[yo[k]:yo[k + 1]]
@@ -293,42 +296,58 @@ def _cross_candidates(signed: DataFrame, labels: DataFrame, nodes: DataFrame, nu
                 held += len(parts[-1])
                 if held >= ELEMENTS or k == b.num_rows - 1:              # a batch out holds about so many
                     n = np.array([len(d) for d in parts])
-                    size = np.diff(xo)[first:k + 1]
+                    size, of_hub = np.diff(xo)[first:k + 1], np.diff(yo)[first:k + 1]
                     excess = n * (num + den) - (den - num) * size        # a(x), times num + den
+                    # the least that a partner z can have: a(z) is above (1-t)/(1+t) |T| for one that doesn't link with T,
+                    # not below its negative for others; and d(z) is no smaller than d(x) by more than x and z may differ
+                    near = (den - num) * of_hub
+                    other = np.where(apart[first:k + 1], -near, near + 1)
+                    other = np.maximum(other, n * (num + den) - (den - num) * (size + 2 * (size * den // num)))
+                    need = np.maximum(-(-(excess + other) // (2 * (num + den))), 1)
+                    n[n < need] = 0
                     row = pa.array(np.repeat(np.arange(first, k + 1), n))
-                    yield batch(["hub", "node", "label", "hub_label", "size", "n", "excess", "g"],
-                                [b.column(c).take(row) for c in ("hub", "node", "label", "hub_label")]
-                                + [np.repeat(v, n) for v in (size, n, excess)] + [np.concatenate(parts).view(np.int64)])
+                    kept = [d[:m] for d, m in zip(parts, n)]
+                    yield batch(["hub", "node", "label", "size", "excess", "need", "g"],
+                                [b.column(c).take(row) for c in ("hub", "node", "label")]
+                                + [np.repeat(v, n) for v in (size, excess, need)] + [np.concatenate(kept).view(np.int64)])
                     parts, first, held = [], k + 1, 0
 
     x = nodes.select(F.col("node").alias("_a"), F.col("hashes").alias("x"))
     y = nodes.select(F.col("node").alias("_b"), F.col("hashes").alias("y"))
     both = (arms.join(x, F.col("node") == F.col("_a")).drop("_a").join(y, F.col("hub") == F.col("_b"))
             .select("hub", "node", "label", "hub_label", "x", "y"))
-    parts = written(both.mapInArrow(differ, "hub long, node long, label long, hub_label long, size long, n long, excess long, g long"),
-                    "differences")
-    apart = F.col("label") != F.col("hub_label")
-    least = parts.groupBy("hub").agg(F.min("excess").alias("least"), F.min(F.when(apart, F.col("excess"))).alias("least_apart"))
-    often = (parts.groupBy("hub", "g").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-             .select(F.col("hub").alias("_h"), F.col("g").alias("_g"), "times"))
-    common = (parts.join(often, (F.col("hub") == F.col("_h")) & (F.col("g") == F.col("_g"))).drop("_h", "_g")
-              .join(least.withColumnRenamed("hub", "_h"), F.col("hub") == F.col("_h")).drop("_h"))
-    # elements that one set alone has come first in the order; they are counted, not listed
-    own = W.partitionBy("hub", "node")
-    need = F.ceil((F.col("excess") + F.when(apart, F.col("least")).otherwise(F.col("least_apart"))) / F.lit(2 * (num + den)))
-    prefix = F.count(F.lit(1)).over(own) - F.greatest(need, F.lit(1)) + 1
-    index = written(common.withColumn("prefix", prefix).withColumn("listed", F.count(F.lit(1)).over(own))
-                    .withColumn("nth", F.row_number().over(own.orderBy("times", "g")))
-                    .filter("nth <= prefix").select("hub", "g", "node", "label", "size", "excess", "listed"), "prefixes")
+    parts = written(both.mapInArrow(differ, "hub long, node long, label long, size long, excess long, need long, g long"), "differences")
+    # elements that sets of one component alone have are in no intersection of a pair to be found
+    holders, own = W.partitionBy("hub", "g"), W.partitionBy("hub", "node")
+    common = (parts.withColumns({"times": F.count(F.lit(1)).over(holders), "lo": F.min("label").over(holders), "hi": F.max("label").over(holders)})
+              .filter("lo != hi"))
+    index = written(common.withColumns({"listed": F.count(F.lit(1)).over(own), "nth": F.row_number().over(own.orderBy("times", "g"))})
+                    .filter("nth <= listed - need + 1")
+                    .select("hub", "g", "node", "label", "size", "excess", (F.col("listed") - F.col("nth") + 1).alias("rest")), "prefixes")
     other = index.select(F.col("hub").alias("_h"), F.col("g").alias("_g"), F.col("node").alias("b"), F.col("label").alias("label_b"),
-                         *[F.col(c).alias(f"{c}_b") for c in ("size", "excess", "listed")])
+                         *[F.col(c).alias(f"{c}_b") for c in ("size", "excess", "rest")])
+    # a pair that links meets in the first element that both list: all that they share stands from there on in both lists
     close = ((F.least("size", "size_b") * den >= F.greatest("size", "size_b") * num)
-             & (F.least("listed", "listed_b") * (2 * (num + den)) >= F.col("excess") + F.col("excess_b")))
+             & (F.least("rest", "rest_b") * (2 * (num + den)) >= F.col("excess") + F.col("excess_b")))
     return (index.join(other, (F.col("hub") == F.col("_h")) & (F.col("g") == F.col("_g")) & (F.col("label") != F.col("label_b"))
                        & (F.col("node") > F.col("b")) & close)
             .select(F.col("node").alias("a"), "b").distinct())
 
 
+def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, label) of the components after ``more`` links: only the components that these join are labelled anew."""
+    if more.isEmpty():
+        return labels
+    of = labels.withColumnsRenamed({"node": "_n", "label": "_l"})
+    ends = more
+    for end in ("a", "b"):
+        ends = ends.join(of, F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("_l", end)).drop("_n", "_l")
+    anew = written(components(ends), "labels").withColumnsRenamed({"node": "_n", "label": "_l"})
+    # a node without links so far is the label of its own component
+    known = labels.join(anew, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label"))
+    return written(known.union(anew.select(F.col("_n").alias("node"), F.col("_l").alias("label"))).distinct(), "labels")
+
+
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, num: int = 80,
                           den: int = 100) -> DataFrame:
     """One row per document: doc_id, th (hash of id and text), n_shingles and component_id, the least doc_id
@@ -362,9 +381,8 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text: str = "
     labels = written(components(links), "labels")
 
     cross = written(_cross_candidates(signed, labels, nodes, num, den), "cross")
-    more = _verify(cross.join(stars, ["a", "b"], "left_anti"), nodes, num, den)
-    final = components(written(links.union(more), "links"))
-    final = classes.join(final.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left") \
+    more = written(_verify(cross.join(stars, ["a", "b"], "left_anti"), nodes, num, den), "links")
+    final = classes.join(_joined(labels, more).withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left") \
         .select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.coalesce("label", "node").alias("component_id"))
     out = sets.join(final, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & (F.col("n_shingles") > 0), "left")
     null = F.lit(NULL_ID)
