@@ -458,3 +458,15 @@ def test_ngram_join_lists_differences_without_joins(spark, monkeypatch):
     assert 1 < len(set(label)) < 30
     assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == list(enumerate(label))
     assert counts["differences"] and "Join" not in plans["prefixes"]
+
+
+def test_batches_to_python_hold_few_bytes(spark):
+    def count(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    wide = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 10_000).cast("binary").alias("data"))
+    before = spark.conf.get(common.BATCH_BYTES)
+    sizes = [r["n"] for r in common.written(wide.mapInArrow(count, "n long"), "batches", 100_000).collect()]
+    assert sum(sizes) == 400 and max(sizes) <= 20
+    assert spark.conf.get(common.BATCH_BYTES) == before

@@ -32,11 +32,24 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/varscope-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage and survives lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Session setting of the bytes that a batch to Python may hold.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def written(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts lineage and survives lost executors.
+    ``batch_bytes``: at most about so much goes to Python at once, for rows that hold much (Spark fills 10,000 rows)."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    before = spark.conf.get(BATCH_BYTES) if batch_bytes else None
+    if batch_bytes:
+        spark.conf.set(BATCH_BYTES, batch_bytes)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if batch_bytes:
+            spark.conf.set(BATCH_BYTES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

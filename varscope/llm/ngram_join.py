@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .blocks import MESSAGE, contents, in_blocks, ordered, send, shared, told
-from .common import NULL_ID, binaries, batch, raw, slices, written
+from .common import NULL_ID, binaries, batch, make_room, raw, slices, written
 from .components import components
 from .hashing import Prefix, Words, member, mix
 
@@ -64,6 +64,8 @@ BAND_STEPS, BAND_RATIO = 3, 1.4
 ELEMENTS = 200_000
 #: Bytes of shingle hashes whose signatures a task makes at once.
 SIGNED_BYTES = 2 << 20
+#: Bytes of sets that go to Python at once.
+SET_BYTES = 4 << 20
 #: Segments beyond those that empty ones need: so many more signatures must agree.
 SPARE = 4
 #: What a signature that collides by chance costs, in signatures.
@@ -246,6 +248,7 @@ def _live_sets(docs: DataFrame, id_col: str, text: str, n: int, num: int, den: i
 def _verify(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity. Sets are sorted hashes, 8 bytes each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for b in batches:
             x, xo = raw(b.column("x"))
             y, yo = raw(b.column("y"))
@@ -284,6 +287,7 @@ def _cross_candidates(signed: DataFrame, labels: DataFrame, nodes: DataFrame, nu
     arms = written(_mixed(met).select("hub", "node", "label", "hub_label").distinct(), "arms")
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for b in batches:
             x, xo = raw(b.column("x"))
             y, yo = raw(b.column("y"))
@@ -316,7 +320,7 @@ def _cross_candidates(signed: DataFrame, labels: DataFrame, nodes: DataFrame, nu
     y = nodes.select(F.col("node").alias("_b"), F.col("hashes").alias("y"))
     both = (arms.join(x, F.col("node") == F.col("_a")).drop("_a").join(y, F.col("hub") == F.col("_b"))
             .select("hub", "node", "label", "hub_label", "x", "y"))
-    parts = written(both.mapInArrow(differ, "hub long, node long, label long, size long, excess long, need long, g long"), "differences")
+    parts = written(both.mapInArrow(differ, "hub long, node long, label long, size long, excess long, need long, g long"), "differences", SET_BYTES)
     # elements that sets of one component alone have are in no intersection of a pair to be found
     holders, own = W.partitionBy("hub", "g"), W.partitionBy("hub", "node")
     common = (parts.withColumns({"times": F.count(F.lit(1)).over(holders), "lo": F.min("label").over(holders), "hi": F.max("label").over(holders)})
@@ -358,6 +362,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text: str = "
     nodes = written(live.join(classes, ["k1", "k2"]).select("node", "common", "hashes"), "nodes")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for b in slices(batches, "hashes", SIGNED_BYTES):
             hashes, off = raw(b.column("hashes"))
             sets = Sets.of(hashes.view(U), off // 8)
@@ -366,7 +371,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text: str = "
                         [sig.view(np.int64), b.column("node").take(pa.array(row)), sets.size[row],
                          b.column("common").take(pa.array(row)), group, need[group]])
 
-    signed = written(nodes.mapInArrow(explode, "sig long, node long, size long, common long, grp long, need long"), "signatures")
+    signed = written(nodes.mapInArrow(explode, "sig long, node long, size long, common long, grp long, need long"), "signatures", SET_BYTES)
     # shingles that no other set has are in no intersection, so both sets must have enough of the others
     enough = num * (F.col("size") + F.col("size_b"))
     close = ((F.least("size", "size_b") * den >= F.greatest("size", "size_b") * num)
@@ -377,11 +382,11 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text: str = "
     stars = (signed.join(hubs, F.col("sig") == F.col("_s")).filter((F.col("node") != F.col("b")) & close)
              .select(F.col("node").alias("a"), "b").distinct())
     stars = written(stars, "stars")
-    links = written(_verify(stars, nodes, num, den), "links")
+    links = written(_verify(stars, nodes, num, den), "links", SET_BYTES)
     labels = written(components(links), "labels")
 
     cross = written(_cross_candidates(signed, labels, nodes, num, den), "cross")
-    more = written(_verify(cross.join(stars, ["a", "b"], "left_anti"), nodes, num, den), "links")
+    more = written(_verify(cross.join(stars, ["a", "b"], "left_anti"), nodes, num, den), "links", SET_BYTES)
     final = classes.join(_joined(labels, more).withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left") \
         .select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.coalesce("label", "node").alias("component_id"))
     out = sets.join(final, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & (F.col("n_shingles") > 0), "left")
